@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {
-        "op4_mix_sources": mixing.op4,
-        "op5_quality_rules": rules.op5,
-    }
+from . import classifier, licenses, mixing, rules
+from .common import deliver
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": licenses.op2,
+    "op4_mix_sources": mixing.op4,
+    "op5_quality_rules": rules.op5,
+    "op10_quality_classifier": classifier.op10,
+}
+
+
+def _sent(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        deliver(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _sent(query) for name, query in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,7 +38,7 @@ RULES = (
     Rule("long_words", "word_chars", "n_words", high=1500),
     Rule("symbols", "n_symbols", "n_words", high=30),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=40),
-    Rule("few_stop_words", "n_stop_words", "n_words", low=2),
+    Rule("few_stop_words", "n_stop_words", "n_hundreds", low=100),
     Rule("capitals", "n_capital_words", "n_words", high=60),
 )
 
@@ -52,7 +52,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_lines": F.size("_lines").cast("long"), "one": F.lit(1).cast("long")})
+    out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_lines": F.size("_lines").cast("long"), "one": F.lit(1).cast("long")}).withColumn("n_hundreds", F.floor(F.col("n_words") / 100))
     out = out.withColumns({
         "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
@@ -109,7 +109,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 w AS (SELECT doc_id, i, words[i:i+4] AS w5 FROM d, unnest(range(1, len(words) - 3)) t(i)),
 g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w5) AS c FROM w) WHERE c > 1),
 n AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM g, range(5) r(k) GROUP BY doc_id),
-m AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(lines)::BIGINT AS n_lines, 1 AS one,
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(lines)::BIGINT AS n_lines, 1 AS one, len(words) // 100 AS n_hundreds,
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
