@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, licenses, mixing, rules
+from . import classifier, jaccard, licenses, mixing, rules
 from .common import deliver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": licenses.op2,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": rules.op5,
+    "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,
 }
 
