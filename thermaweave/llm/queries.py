@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jaccard, licenses, mixing, rules
+from . import classifier, jaccard, licenses, mixing, rules, suffixes
 from .common import deliver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": licenses.op2,
+    "op3_suffix_dedup": suffixes.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": rules.op5,
     "op9_jaccard_join": jaccard.op9,
