@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jaccard, licenses, mixing, rules, suffixes
+from . import classifier, jaccard, licenses, mixing, packing, rules, suffixes
 from .common import deliver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": suffixes.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": rules.op5,
+    "op6_best_fit_packing": packing.op6,
     "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,
 }
