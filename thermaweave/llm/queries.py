@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jaccard, licenses, mixing, packing, rules, suffixes
+from . import classifier, edits, jaccard, licenses, media, mixing, packing, rules, suffixes, warc
 from .common import deliver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": edits.op1,
     "op2_license_scan": licenses.op2,
     "op3_suffix_dedup": suffixes.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": rules.op5,
     "op6_best_fit_packing": packing.op6,
+    "op7_warc_derivatives": warc.op7,
+    "op8_media_columns": media.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,
 }
@@ -33,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE}
