@@ -27,6 +27,8 @@ from .common import Prefix, batch, doc_columns, mix, steps, stored, table
 SPAN, GRAM = 400, 200
 #: Classes of an anchor that are sorted together; beyond, windows are counted by hash.
 MOST_CLASSES = 256
+#: Offsets of windows that are counted together beyond.
+CHUNK = 32
 #: Bytes of context that a task sorts at once (whole anchors).
 SORT_BYTES = 4 << 20
 #: The column that with_spans() adds.
@@ -206,6 +208,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     """doc_id, n, start, end: spans whose union is what is covered by repeated windows."""
     found = stored(find_anchors(docs, span, gram), "anchors")
     grams = found.groupBy("gram_hash").agg(F.count("*").alias("members"), F.min("class_hash").alias("c0"), F.max("class_hash").alias("c1")).where("members > 1").select("gram_hash", (F.col("c0") != F.col("c1")).alias("mixed"))
+    grams = stored(grams, "grams")  # so that both sides of the join are plain exchanges, which Spark can split
     again = stored(found.join(grams, "gram_hash"), "repeated-anchors")
     classes = again.groupBy("gram_hash", "class_hash").agg(F.count("*").alias("members"), F.min("mixed").alias("mixed"), F.min("doc_id").alias("doc_id"))
     # One member of each class: the smallest id, and there the first place.
@@ -259,18 +262,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     few = contexts.where(F.col("classes") <= MOST_CLASSES).select("gram_hash", "class_hash", "before", "context")
     sorted_few = few.repartition("gram_hash").sortWithinPartitions("gram_hash", "class_hash").mapInArrow(sort, schema)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, c, o, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                buf = np.frombuffer(x, dtype=np.uint8)
-                at = np.arange(len(x) - span + 1)
-                h = mix(Prefix(buf).part(at, at + span))
-                yield batch({"gram_hash": (np.full(len(at), g), pa.int64()), "class_hash": (np.full(len(at), c), pa.int64()), "offset": (o - at, pa.int64()), "window": (h.view(np.int64), pa.int64())})
-
     many = contexts.where(F.col("classes") > MOST_CLASSES).select("gram_hash", "class_hash", "before", "context")
-    listed = stored(many.mapInArrow(windows, "gram_hash long, class_hash long, offset long, window long").dropDuplicates(["class_hash", "offset", "gram_hash"]), "windows")
-    twice = listed.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window")
-    counted = listed.join(twice, "window").groupBy("gram_hash", "class_hash").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+    counted = counted_windows(many.dropDuplicates(["gram_hash", "class_hash"]), span)
     partial = sorted_few.unionByName(counted)
     # Members of a class with several members are repeated throughout, others as far as their class is.
     whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select("doc_id", "n", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
@@ -279,6 +272,49 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     return whole.unionByName(some)
 
 
+def counted_windows(contexts: DataFrame, span: int = SPAN) -> DataFrame:
+    """gram_hash, class_hash, most, least as repeated_windows() finds them, by counting hashes of bytes.
+
+    Windows are taken CHUNK offsets at a time. A chunk whose bytes stand twice is repeated throughout. The bytes that all
+    windows of a chunk share are its core; only where a core has several chunks can single windows be repeated, and only
+    one of each of those chunks is taken apart. Counts begin before rows move, so an anchor may have any number of classes.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = []
+            for g, c, o, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                prefix, lowest = Prefix(np.frombuffer(x, dtype=np.uint8)), o - (len(x) - span)
+                q = np.arange(lowest // CHUNK, o // CHUNK + 1)
+                low, high = np.maximum(q * CHUNK, lowest), np.minimum(q * CHUNK + CHUNK - 1, o)
+                core = mix(prefix.part(o - q * CHUNK, o - q * CHUNK - CHUNK + 1 + span) + q.astype(np.uint64))
+                whole = mix(prefix.part(o - high, o - low + span) ^ mix((low * 4096 + high).astype(np.uint64)))
+                held.append((np.full(len(q), g), np.full(len(q), c), low, high, core.view(np.int64), whole.view(np.int64)))
+            if held:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield batch({k: (v, pa.int64()) for k, v in zip(("gram_hash", "class_hash", "low", "high", "core", "chunk"), cols, strict=True)})
+
+    chunks = stored(contexts.mapInArrow(cut, "gram_hash long, class_hash long, low long, high long, core long, chunk long"), "chunks")
+    kinds = stored(chunks.groupBy("core", "chunk").agg(F.count("*").alias("members"), F.min("class_hash").alias("class_hash"), F.min("gram_hash").alias("gram_hash"), F.min("low").alias("low"), F.max("high").alias("high")), "chunk-kinds")
+    mixed = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    apart = kinds.join(mixed, "core").groupBy("gram_hash", "class_hash").agg(F.collect_list(F.struct("chunk", "low", "high")).alias("parts"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for o, x, ranges in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                prefix = Prefix(np.frombuffer(x, dtype=np.uint8))
+                for r in ranges:
+                    offset = np.arange(r["low"], r["high"] + 1)
+                    h = mix(prefix.part(o - offset, o - offset + span) + offset.astype(np.uint64))
+                    yield batch({"chunk": (np.full(len(offset), r["chunk"]), pa.int64()), "offset": (offset, pa.int64()), "window": (h.view(np.int64), pa.int64())})
+
+    listed = stored(contexts.join(apart, ["gram_hash", "class_hash"]).select("before", "context", "parts").mapInArrow(windows, "chunk long, offset long, window long"), "windows")
+    twice = listed.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window")
+    single = listed.join(twice, "window").groupBy("chunk").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+    whole = kinds.where("members > 1").select("chunk", F.col("high").alias("most"), F.col("low").alias("least"))
+    return chunks.join(stored(whole.unionByName(single), "repeated-chunks"), "chunk").groupBy("gram_hash", "class_hash").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+
+
 def class_of(context: bytes, before: int, span: int = SPAN) -> int:
     buf = np.frombuffer(context, dtype=np.uint8)
     whole = Prefix(buf).part(np.array([0]), np.array([len(buf)]))
