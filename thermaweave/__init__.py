@@ -1,0 +1 @@
+"""Extreme events in gridded daily time series, as Spark jobs."""

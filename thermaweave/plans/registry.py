@@ -2,10 +2,457 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import CELL
+from ..functions import humid, risk
+from ..functions.columns import rounded
+from ..operators import attribution, climatology, compound, daily, events, masks, metrics, pairing, profile, trends
+from ..sources import grids
+from ..streaming.events import session_events
+from . import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = lambda spark, d: rounded(f(spark, d))
+        if sql:
+            _SQL[name] = fx.sql(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_EVENT = "lat_idx, lon_idx, round(lat, 4) AS lat, round(lon, 4) AS lon, event_start, event_end, duration"
+
+
+# Climatology and events
+
+
+@_query("climatology_doy", "SELECT lat_idx, lon_idx, doy, round(thresh, 4) AS thresh FROM ocean_clim")
+def _(spark, d):
+    return fx.clim(fx.ocean(spark, d), fx.SEA_SHARE)
+
+
+@_query("climatology_pooled", "SELECT lat_idx, lon_idx, ((dayofyear(time) - 1 + k + 366) % 366 + 1)::INT AS doy, round(quantile_cont(v, 0.9), 4) AS thresh FROM land CROSS JOIN (SELECT unnest(range(-2, 3)) AS k) p WHERE year(time) BETWEEN 1995 AND 1999 GROUP BY ALL")
+def _(spark, d):
+    return climatology.climatology(fx.land(spark, d), fx.BASE, 0.9, half_width=2)
+
+
+@_query("exceedance_days", "SELECT lat_idx, lon_idx, time, round(v, 4) AS v, round(thresh, 4) AS thresh FROM land_exceed")
+def _(spark, d):
+    g = fx.land(spark, d)
+    return climatology.exceedance(g, fx.clim(g, fx.LAND_SHARE)).select(*CELL, "time", "v", "thresh")
+
+
+@_query("marine_events", f"SELECT {_EVENT} FROM ocean_events")
+def _(spark, d):
+    return fx.sea_events(spark, d)
+
+
+@_query("land_events", f"SELECT {_EVENT} FROM land_events")
+def _(spark, d):
+    return fx.land_events(spark, d)
+
+
+@_query("paired_marine_events", f"SELECT {_EVENT} FROM ocean_events e WHERE EXISTS (SELECT 1 FROM pairs p WHERE p.ocean_lat_idx = e.lat_idx AND p.ocean_lon_idx = e.lon_idx)")
+def _(spark, d):
+    """Detection on the paired sea cells only."""
+    cells = fx.pairs(spark, d).select(F.col("ocean_lat_idx").alias("lat_idx"), F.col("ocean_lon_idx").alias("lon_idx"))
+    g = events.restrict_to(fx.ocean(spark, d), cells)
+    return events.detect_events(g, fx.clim(g, fx.SEA_SHARE), fx.MIN_DURATION, fx.MAX_GAP)
+
+
+@_query("min_valid_filter", "SELECT lat_idx, lon_idx, count(v) AS n_values FROM land GROUP BY ALL HAVING count(v) >= 530")
+def _(spark, d):
+    return climatology.enough_values(fx.land(spark, d), 530).groupBy(*CELL).agg(F.count("v").alias("n_values"))
+
+
+@_query("regrid_mean", "SELECT time, floor(lat / 0.5::DOUBLE)::INT AS lat_idx, floor(lon / 0.5::DOUBLE)::INT AS lon_idx, round(avg(v), 4) AS v FROM land GROUP BY ALL")
+def _(spark, d):
+    return climatology.regrid_mean(fx.land(spark, d), 0.5)
+
+
+# Masks and pairs
+
+_FIRST = "SELECT DISTINCT lat_idx, lon_idx, round(lat, 4) AS lat, round(lon, 4) AS lon FROM land WHERE v IS NOT NULL"
+_EDGE = "SELECT m.lat_idx, m.lon_idx FROM (SELECT DISTINCT lat_idx, lon_idx FROM {t}) m WHERE (SELECT count(*) FROM (SELECT DISTINCT lat_idx, lon_idx FROM {t}) n WHERE {near}) < {k}"
+_CROSS = "abs(n.lat_idx - m.lat_idx) + abs(n.lon_idx - m.lon_idx) = 1"
+_SQUARE = "greatest(abs(n.lat_idx - m.lat_idx), abs(n.lon_idx - m.lon_idx)) = 1"
+
+
+@_query("mask_first", _FIRST + " AND time = (SELECT min(time) FROM land)")
+def _(spark, d):
+    return masks.valid_mask(fx.land(spark, d), "first")
+
+
+@_query("mask_any", _FIRST)
+def _(spark, d):
+    return masks.valid_mask(fx.land(spark, d), "any")
+
+
+@_query("land_edge", _EDGE.format(t="land", near=_CROSS, k=4))
+def _(spark, d):
+    return masks.edge(masks.valid_mask(fx.land(spark, d), "any")).select(*CELL)
+
+
+@_query("coastal_mask", _EDGE.format(t="land", near=_SQUARE, k=8) + " UNION " + _EDGE.format(t="ocean", near=_SQUARE, k=8))
+def _(spark, d):
+    return masks.coastal_mask(masks.valid_mask(fx.land(spark, d), "any"), masks.valid_mask(fx.ocean(spark, d), "any"))
+
+
+@_query("coastal_buffer", """SELECT DISTINCT l.lat_idx, l.lon_idx FROM (SELECT DISTINCT lat_idx, lon_idx, lat, lon FROM land) l JOIN (SELECT DISTINCT lat, lon FROM land WHERE lat_idx = 0) c
+ON 2 * 6371.0::DOUBLE * asin(least(sqrt(sin(radians(c.lat - l.lat) / 2) ** 2 + cos(radians(l.lat)) * cos(radians(c.lat)) * sin(radians(c.lon - l.lon) / 2) ** 2), 1.0)) <= 60""")
+def _(spark, d):
+    m = masks.valid_mask(fx.land(spark, d), "any")
+    return masks.coastal_buffer(m, m.where("lat_idx = 0"), 60.0).select(*CELL)
+
+
+@_query("nearest_pairs", "SELECT land_lat_idx, land_lon_idx, ocean_lat_idx, ocean_lon_idx, round(land_lat, 4) AS land_lat, round(land_lon, 4) AS land_lon, round(ocean_lat, 4) AS ocean_lat, round(ocean_lon, 4) AS ocean_lon, round(dist_deg, 4) AS dist_deg FROM pairs")
+def _(spark, d):
+    return fx.pairs(spark, d)
+
+
+_GRID4 = "SELECT DISTINCT lat_idx, lon_idx FROM land WHERE (lat_idx * 7 + lon_idx * 3) % 4 <> 0"
+
+
+@_query("neighbour_pairs", f"""SELECT land_lat_idx, land_lon_idx, ocean_lat_idx, ocean_lon_idx FROM (
+  SELECT l.lat_idx AS land_lat_idx, l.lon_idx AS land_lon_idx, o.lat_idx AS ocean_lat_idx, o.lon_idx AS ocean_lon_idx,
+    row_number() OVER (PARTITION BY l.lat_idx, l.lon_idx ORDER BY CASE WHEN o.lat_idx < l.lat_idx THEN 0 WHEN o.lat_idx > l.lat_idx THEN 1 WHEN o.lon_idx < l.lon_idx THEN 2 ELSE 3 END) AS k
+  FROM ({_GRID4}) l JOIN (SELECT DISTINCT lat_idx, lon_idx FROM land WHERE (lat_idx * 7 + lon_idx * 3) % 4 = 0) o ON abs(l.lat_idx - o.lat_idx) + abs(l.lon_idx - o.lon_idx) = 1
+  WHERE l.lat_idx BETWEEN 1 AND 3 AND l.lon_idx BETWEEN 1 AND 3) WHERE k = 1""")
+def _(spark, d):
+    m = masks.valid_mask(fx.land(spark, d), "any")
+    test = (F.col("lat_idx") * 7 + F.col("lon_idx") * 3) % 4 != 0
+    return pairing.neighbour_pairs(m.where(test), m.where(~test), 5, 5)
+
+
+# Compound events and days
+
+
+@_query("compound_events", "SELECT land_lat_idx, land_lon_idx, round(land_lat, 4) AS land_lat, round(land_lon, 4) AS land_lon, thw_start, thw_end, thw_duration, ocean_lat_idx, ocean_lon_idx, mhw_start, mhw_end, mhw_duration FROM compound")
+def _(spark, d):
+    return compound.compound_events(fx.sea_events(spark, d), fx.land_events(spark, d), fx.pairs(spark, d))
+
+
+@_query("standalone_events", "SELECT land_lat_idx, land_lon_idx, round(land_lat, 4) AS land_lat, round(land_lon, 4) AS land_lon, thw_start, thw_end, thw_duration, ocean_lat_idx, ocean_lon_idx FROM standalone")
+def _(spark, d):
+    return compound.standalone_events(fx.sea_events(spark, d), fx.land_events(spark, d), fx.pairs(spark, d))
+
+
+_CLASSES = """SELECT class, count(*) AS n_events, sum(duration) AS n_days FROM (
+  SELECT e.duration, CASE WHEN p.land_lat_idx IS NULL THEN 'unpaired'
+    WHEN EXISTS (SELECT 1 FROM ocean_events o WHERE o.lat_idx = p.ocean_lat_idx AND o.lon_idx = p.ocean_lon_idx AND o.event_start <= e.event_start AND o.event_end >= e.event_end) THEN 'compound'
+    WHEN EXISTS (SELECT 1 FROM ocean_events o WHERE o.lat_idx = p.ocean_lat_idx AND o.lon_idx = p.ocean_lon_idx AND o.event_end >= e.event_start AND o.event_start <= e.event_end) THEN 'partial'
+    ELSE 'standalone' END AS class
+  FROM land_events e LEFT JOIN {pairs} p ON e.lat_idx = p.land_lat_idx AND e.lon_idx = p.land_lon_idx) GROUP BY class"""
+
+
+@_query("event_classes", _CLASSES.format(pairs="pairs"))
+def _(spark, d):
+    found = compound.classify_events(fx.sea_events(spark, d), fx.land_events(spark, d), fx.pairs(spark, d))
+    return found.groupBy("class").agg(F.count("*").alias("n_events"), F.sum("duration").alias("n_days"))
+
+
+@_query("coastal_event_classes", _CLASSES.format(pairs="(SELECT * FROM pairs JOIN (" + _EDGE.format(t="land", near=_CROSS, k=4) + ") b ON land_lat_idx = b.lat_idx AND land_lon_idx = b.lon_idx)"))
+def _(spark, d):
+    """With pairs of coastal land cells only; events of other cells are unpaired."""
+    coast = masks.edge(masks.valid_mask(fx.land(spark, d), "any"))
+    pairs = pairing.nearest_pairs(coast, masks.valid_mask(fx.ocean(spark, d), "any"), 0.5)
+    found = compound.classify_events(fx.sea_events(spark, d), fx.land_events(spark, d), pairs)
+    return found.groupBy("class").agg(F.count("*").alias("n_events"), F.sum("duration").alias("n_days"))
+
+
+@_query("compound_daily", "SELECT * FROM compound_days")
+def _(spark, d):
+    return fx.compound_days(spark, d)
+
+
+@_query("marine_daily", "SELECT DISTINCT lat_idx, lon_idx, time FROM ocean_events JOIN ocean_axis ON time BETWEEN event_start AND event_end")
+def _(spark, d):
+    return daily.events_to_days(fx.sea_events(spark, d), events.time_axis(fx.ocean(spark, d)))
+
+
+@_query("thw_union_daily", "SELECT * FROM union_days")
+def _(spark, d):
+    return daily.union_days(fx.compound_days(spark, d), fx.standalone_days(spark, d))
+
+
+@_query("annual_days", "SELECT year, lat_idx, lon_idx, n_days FROM compound_annual")
+def _(spark, d):
+    return fx.annual(spark, d)[0].select("year", *CELL, "n_days")
+
+
+# Ratios and regional series
+
+
+@_query("chr_annual", "SELECT year, lat_idx, lon_idx, round(value, 4) AS value FROM chr")
+def _(spark, d):
+    c, s, _ = fx.annual(spark, d)
+    return metrics.ratio_field(c, s)
+
+
+@_query("cooccurrence", "SELECT c.year, c.lat_idx, c.lon_idx, round(CASE WHEN u.n_days > 0 THEN c.n_days / u.n_days END, 4) AS value FROM compound_annual c JOIN union_annual u USING (year, lat_idx, lon_idx)")
+def _(spark, d):
+    c, _, u = fx.annual(spark, d)
+    return metrics.ratio_field(c, u)
+
+
+@_query("spatial_mean", "SELECT year, round(sum(n_days * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS value FROM compound_annual WHERE lat BETWEEN 40.25 AND 40.75 AND lon BETWEEN -0.5 AND 0.25 GROUP BY year")
+def _(spark, d):
+    return metrics.spatial_mean(fx.annual(spark, d)[0], ("box", 40.25, 40.75, -0.5, 0.25), "n_days")
+
+
+@_query("ratio_series", "SELECT year, round(sum(value * cos(radians(lat))) / sum(CASE WHEN value IS NOT NULL THEN cos(radians(lat)) END), 4) AS value FROM chr GROUP BY year")
+def _(spark, d):
+    return metrics.spatial_mean(fx.chr_field(spark, d))
+
+
+@_query("ratio_summary", "SELECT round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value FROM chr")
+def _(spark, d):
+    return metrics.field_summary(fx.chr_field(spark, d))
+
+
+@_query("coastal_mean_regions", "SELECT name, year, round(value, 4) AS value FROM series")
+def _(spark, d):
+    return metrics.coastal_means(fx.annual(spark, d)[0], metrics.regions_table(spark, fx.BOXES), "n_days")
+
+
+@_query("mean_fields", """SELECT lat_idx, lon_idx, round(avg(c.n_days), 4) AS compound, round(avg(s.n_days), 4) AS standalone, round(avg(r.value), 4) AS ratio
+FROM compound_annual c JOIN standalone_annual s USING (year, lat_idx, lon_idx) JOIN chr r USING (year, lat_idx, lon_idx) WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx""")
+def _(spark, d):
+    c, s, _ = fx.annual(spark, d)
+    span = (1996, 2000)
+    fields = [metrics.mean_field(c, span, "n_days", "compound"), metrics.mean_field(s, span, "n_days", "standalone"), metrics.mean_field(fx.chr_field(spark, d), span, name="ratio")]
+    return fields[0].join(fields[1], list(CELL)).join(fields[2], list(CELL))
+
+
+@_query("selected_years", "SELECT year, lat_idx, lon_idx, n_days FROM compound_annual WHERE year IN (1996, 1998, 2000) AND n_days > 0")
+def _(spark, d):
+    return metrics.selected_years(fx.annual(spark, d)[0], (1996, 1998, 2000)).select("year", *CELL, "n_days")
+
+
+@_query("positive_p95", "SELECT round(quantile_cont(n_days, 0.95), 4) AS value FROM compound_annual WHERE n_days > 0")
+def _(spark, d):
+    return metrics.positive_percentile(fx.annual(spark, d)[0])
+
+
+@_query("peak_years", "SELECT name, year, round(value, 4) AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY value DESC NULLS LAST, year) AS rank FROM series) WHERE rank <= 3")
+def _(spark, d):
+    return metrics.peak_years(metrics.coastal_means(fx.annual(spark, d)[0], metrics.regions_table(spark, fx.BOXES), "n_days"))
+
+
+@_query("convex_trend", """SELECT name, round(a, 4) AS a, round(b, 4) AS b, round(my - a * mx - b * mq, 4) AS c FROM (
+  SELECT name, mx, mq, my, unnest([{'e': a * a * uu + b * b * ww + 2 * a * b * uw - 2 * a * uz - 2 * b * wz, 'a': a, 'b': b}], recursive := true), row_number() OVER (PARTITION BY name ORDER BY a * a * uu + b * b * ww + 2 * a * b * uw - 2 * a * uz - 2 * b * wz, a, b) AS k FROM (
+    SELECT *, unnest([(uz * ww - wz * uw) / (uu * ww - uw * uw), uz / uu, 0.0, 0.0]) AS a, unnest([(wz * uu - uz * uw) / (uu * ww - uw * uw), 0.0, wz / ww, 0.0]) AS b FROM (
+      SELECT name, any_value(mx) AS mx, any_value(mq) AS mq, any_value(my) AS my, sum(u * u) AS uu, sum(w * w) AS ww, sum(u * w) AS uw, sum(u * z) AS uz, sum(w * z) AS wz FROM (
+        SELECT *, x - mx AS u, x * x - mq AS w, value - my AS z FROM (
+          SELECT name, (year - 1983)::DOUBLE AS x, value, avg((year - 1983)::DOUBLE) OVER p AS mx, avg(((year - 1983) * (year - 1983))::DOUBLE) OVER p AS mq, avg(value) OVER p AS my FROM series WINDOW p AS (PARTITION BY name)))
+      GROUP BY name)) WHERE a >= 0 AND b >= 0) WHERE k = 1""")
+def _(spark, d):
+    return trends.convex_trend(metrics.coastal_means(fx.annual(spark, d)[0], metrics.regions_table(spark, fx.BOXES), "n_days"))
+
+
+@_query("annual_wide", "SELECT lat_idx, lon_idx, max(CASE WHEN year = 1996 THEN n_days END) AS \"1996\", max(CASE WHEN year = 1997 THEN n_days END) AS \"1997\", max(CASE WHEN year = 1998 THEN n_days END) AS \"1998\" FROM compound_annual GROUP BY lat_idx, lon_idx")
+def _(spark, d):
+    return metrics.wide_by_year(fx.annual(spark, d)[0], (1996, 1997, 1998))
+
+
+# Humid heat
+
+_ES = "(6.112 * exp(17.67 * {x} / ({x} + 243.5)))"
+_RH = f"greatest(least({_ES.format(x='d2m')} / {_ES.format(x='tmax')} * 100.0, 100.0), 0.0)"
+_STULL = f"(tmax * atan(0.151977 * sqrt({_RH} + 8.313659)) + atan(tmax + {_RH}) - atan({_RH} - 1.676331) + 0.00391838 * pow({_RH}, 1.5) * atan(0.023101 * {_RH}) - 4.686035)"
+_CLOSED = f"(tmax - (tmax - d2m) / (1.0 + 0.00066 * (1.0 + 0.00115 * {_ES.format(x='d2m')}) * (sp / 100.0) / 10.0))"
+_SH = f"(1000.0 * (0.622 * {_ES.format(x='d2m')} / (sp / 100.0 - 0.378 * {_ES.format(x='d2m')})))"
+_KEY = ("l_orderkey", "l_linenumber", "time", *CELL)
+
+
+def _humid(name: str, text: str, column) -> None:
+    @_query(name, f"SELECT {', '.join(_KEY)}, round({text}, 4) AS value FROM humid")
+    def _(spark, d):
+        return fx.humid(spark, d).select(*_KEY, column().alias("value"))
+
+
+_humid("relative_humidity", _RH, lambda: humid.relative_humidity(F.col("tmax"), F.col("d2m")))
+_humid("wbt_stull", _STULL, lambda: humid.wet_bulb(F.col("tmax"), F.col("d2m"), F.col("sp"), "stull"))
+_humid("wbt_closed", _CLOSED, lambda: humid.wet_bulb(F.col("tmax"), F.col("d2m"), F.col("sp")))
+_humid("specific_humidity", _SH, lambda: humid.specific_humidity(F.col("d2m"), F.col("sp")))
+
+
+def _wet(spark, d):
+    t, td, sp = F.col("tmax"), F.col("d2m"), F.col("sp")
+    return fx.humid_daily(spark, d).select("time", *CELL, humid.wet_bulb_stull(t, td).alias("wbt"), humid.specific_humidity(td, sp).alias("sh"))
+
+
+_MASKED = f"SELECT year(h.time)::INT AS year, h.lat_idx, h.lon_idx, round(avg({_STULL}), 4) AS mean_value, round(max({_STULL}), 4) AS max_value FROM humid_daily h JOIN {{days}}_days c ON h.time = c.time AND h.lat_idx = c.lat_idx AND h.lon_idx = c.lon_idx GROUP BY ALL"
+
+
+@_query("compound_wbt_map", _MASKED.format(days="compound"))
+def _(spark, d):
+    return metrics.masked_annual(_wet(spark, d), fx.compound_days(spark, d), "wbt")
+
+
+@_query("masked_annual_mean", _MASKED.format(days="standalone"))
+def _(spark, d):
+    return metrics.masked_annual(_wet(spark, d), fx.standalone_days(spark, d), "wbt")
+
+
+_WET_DAYS = f"SELECT year(time)::INT AS year, lat_idx, lon_idx, sum(({_STULL} >= 25.5)::INT) AS wbt_days, sum(({_SH} >= 19)::INT) AS sh_days FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL"
+
+
+@_query("humid_stats", f"""SELECT n_days IS NOT NULL AS is_compound, round(avg(wbt_days), 4) AS wbt_days, round(avg(sh_days), 4) AS sh_days FROM (SELECT year, avg(wbt_days) AS wbt_days, avg(sh_days) AS sh_days FROM ({_WET_DAYS}) GROUP BY year)
+LEFT JOIN (SELECT year, sum(n_days) AS n_days FROM compound_annual GROUP BY year HAVING sum(n_days) >= 20) USING (year) GROUP BY ALL""")
+def _(spark, d):
+    """Years of at least 20 compound days against the others."""
+    summer = _wet(spark, d).where(F.month("time").isin(6, 7, 8))
+    by_year = metrics.threshold_days(summer, {"wbt": 25.5, "sh": 19.0}).groupBy("year").agg(F.avg("wbt_days").alias("wbt_days"), F.avg("sh_days").alias("sh_days"))
+    years = metrics.years_with_days(fx.annual(spark, d)[0], 20)
+    return by_year.join(years, "year", "left").groupBy(F.col("n_days").isNotNull().alias("is_compound")).agg(F.avg("wbt_days").alias("wbt_days"), F.avg("sh_days").alias("sh_days"))
+
+
+@_query("compound_years", "SELECT year, sum(n_days)::BIGINT AS n_days FROM compound_annual GROUP BY year HAVING sum(n_days) > 0")
+def _(spark, d):
+    return metrics.years_with_days(fx.annual(spark, d)[0])
+
+
+@_query("jas_trend", "SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM (SELECT lat_idx, lon_idx, year(time) AS year, avg(v) AS v FROM ocean WHERE month(time) IN (7, 8, 9) GROUP BY ALL) GROUP BY ALL")
+def _(spark, d):
+    return trends.seasonal_trend(fx.ocean(spark, d))
+
+
+@_query("monthly_trend", "SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM (SELECT lat_idx, lon_idx, year(time) AS year, avg(v) AS v FROM monthly GROUP BY ALL) GROUP BY ALL")
+def _(spark, d):
+    return trends.seasonal_trend(fx.monthly(spark, d), months=())
+
+
+@_query("return_level", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (
+SELECT 'lat' || lat_idx AS name, threshold, avg((value >= threshold)::INT)::DOUBLE AS p FROM (SELECT lat_idx, year(time) AS year, max({_STULL}) AS value FROM humid_daily GROUP BY ALL) CROSS JOIN (SELECT unnest(range(22, 36))::INT AS threshold) GROUP BY ALL)""")
+def _(spark, d):
+    series = _wet(spark, d).groupBy(F.concat(F.lit("lat"), F.col("lat_idx")).alias("name"), F.year("time").alias("year")).agg(F.max("wbt").alias("value"))
+    return trends.return_levels(series, attribution.thresholds_table(spark, range(22, 36)))
+
+
+@_query("gev_levels")
+def _(spark, d):
+    """Closed forms with the gamma function; held against numpy in the tests."""
+    series = _wet(spark, d).groupBy(F.concat(F.lit("cell"), F.col("lat_idx"), F.lit("-"), F.col("lon_idx")).alias("name"), F.year("time").alias("year")).agg(F.avg("wbt").alias("value"))
+    return trends.gev(series)
+
+
+# Attribution
+
+
+@_query("member_annual_days", "SELECT forcing, member, year, n_days FROM ensemble")
+def _(spark, d):
+    return fx.ensemble(spark, d)
+
+
+@_query("member_events", """SELECT forcing, member, min(time) AS event_start, max(time) AS event_end, (max(t_idx) - min(t_idx) + 1)::INT AS duration FROM (
+  SELECT *, sum(new) OVER (PARTITION BY forcing, member ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS event FROM (
+    SELECT *, CASE WHEN t_idx - lag(t_idx) OVER (PARTITION BY forcing, member ORDER BY t_idx) <= 3 THEN 0 ELSE 1 END AS new FROM (
+      SELECT forcing, member, time, t_idx FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'ALL' ELSE 'FixGHG' END AS forcing, lpad((o_custkey % 20 + 1)::VARCHAR, 3, '0') AS member, o_orderdate::DATE AS time, max(o_totalprice) AS v FROM orders GROUP BY ALL)
+      JOIN (SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT o_orderdate::DATE AS time FROM orders)) USING (time) WHERE v > 300000))) GROUP BY forcing, member, event HAVING max(t_idx) - min(t_idx) + 1 >= 3""")
+def _(spark, d):
+    """The same detection with forcing and member as keys."""
+    rows = fx.read(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "ALL").otherwise("FixGHG").alias("forcing"), F.lpad((F.col("o_custkey") % 20 + 1).cast("string"), 3, "0").alias("member"), F.to_date("o_orderdate").alias("time"), F.col("o_totalprice").alias("v"))
+    g = rows.groupBy("forcing", "member", "time").agg(F.max("v").alias("v")).withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0)})
+    return events.islands(g.where("v > 300000").join(events.time_axis(g), "time"), 3, 2, ("forcing", "member")).drop("lat", "lon")
+
+
+@_query("exceed_probability", "SELECT threshold, round(p_all, 4) AS p_all, round(p_fix, 4) AS p_fix, round(CASE WHEN p_fix <= 0 THEN 1.0 WHEN p_all <= 0 THEN '-Infinity'::DOUBLE ELSE 1.0 - p_fix / p_all END::DOUBLE, 4) AS far, round(CASE WHEN p_fix <= 0 THEN 'Infinity'::DOUBLE ELSE p_all / p_fix END::DOUBLE, 4) AS pr FROM risk")
+def _(spark, d):
+    p = attribution.probability(attribution.member_hits(fx.ensemble(spark, d), attribution.thresholds_table(spark, range(10, 100, 5))))
+    return p.withColumns({"far": risk.far(F.col("p_all"), F.col("p_fix")), "pr": risk.probability_ratio(F.col("p_all"), F.col("p_fix"))})
+
+
+def _boot(spark, d):
+    return attribution.bootstrap(attribution.member_hits(fx.ensemble(spark, d), attribution.thresholds_table(spark, range(10, 100, 5))), 200)
+
+
+@_query("bootstrap_samples", "SELECT replicate, threshold, round(p_all, 4) AS p_all, round(p_fix, 4) AS p_fix, round(far, 4) AS far, round(pr, 4) AS pr FROM boot")
+def _(spark, d):
+    return _boot(spark, d)
+
+
+@_query("bootstrap_far_pr", "SELECT threshold, round(median(p_all), 4) AS p_all, round(quantile_cont(p_fix, 0.05), 4) AS p_fix_low, round(quantile_cont(p_fix, 0.95), 4) AS p_fix_high FROM boot GROUP BY threshold")
+def _(spark, d):
+    return _boot(spark, d).groupBy("threshold").agg(F.percentile("p_all", F.lit(0.5)).alias("p_all"), F.percentile("p_fix", F.lit(0.05)).alias("p_fix_low"), F.percentile("p_fix", F.lit(0.95)).alias("p_fix_high"))
+
+
+@_query("bootstrap_intervals", "SELECT threshold, round(avg(far), 4) AS far_mean, round(avg(pr), 4) AS pr_mean, round(quantile_cont(far, 0.05), 4) AS far_low, round(quantile_cont(far, 0.95), 4) AS far_high, round(quantile_cont(pr, 0.05), 4) AS pr_low, round(quantile_cont(pr, 0.95), 4) AS pr_high FROM boot WHERE p_all > 0 AND p_fix > 0 GROUP BY threshold")
+def _(spark, d):
+    """Over draws in which both probabilities are positive."""
+    return attribution.summary(_boot(spark, d).where("p_all > 0 AND p_fix > 0"))
+
+
+_PERIODS = "SELECT threshold, CASE WHEN p_all <= 0 THEN 'Infinity'::DOUBLE ELSE 1.0 / p_all END::DOUBLE AS period_all, CASE WHEN p_fix <= 0 THEN 'Infinity'::DOUBLE ELSE 1.0 / p_fix END::DOUBLE AS period_fix FROM risk"
+
+
+def _periods(spark, d):
+    return attribution.return_periods(attribution.probability(attribution.member_hits(fx.ensemble(spark, d), attribution.thresholds_table(spark, range(10, 100, 5)))))
+
+
+@_query("return_period", f"SELECT threshold, round(period_all, 4) AS period_all, round(period_fix, 4) AS period_fix FROM ({_PERIODS})")
+def _(spark, d):
+    return _periods(spark, d)
+
+
+@_query("period_levels", f"SELECT years::INT AS years, min(CASE WHEN period_all >= years THEN threshold END) AS level_all, min(CASE WHEN period_fix >= years THEN threshold END) AS level_fix FROM ({_PERIODS}) CROSS JOIN (SELECT unnest([5, 10, 20, 50, 100]) AS years) GROUP BY years")
+def _(spark, d):
+    return attribution.period_levels(_periods(spark, d))
+
+
+@_query("observed_table", """SELECT year, n_days, arg_max(threshold, threshold) AS threshold, round(arg_max(p_all, threshold), 4) AS p_all, round(arg_max(p_fix, threshold), 4) AS p_fix
+FROM (SELECT year, max(n_days)::BIGINT AS n_days FROM ensemble GROUP BY year) LEFT JOIN risk ON threshold <= n_days GROUP BY ALL""")
+def _(spark, d):
+    curve = attribution.probability(attribution.member_hits(fx.ensemble(spark, d), attribution.thresholds_table(spark, range(10, 100, 5))))
+    return attribution.observed_risk(fx.ensemble(spark, d).groupBy("year").agg(F.max("n_days").alias("n_days")), curve)
+
+
+# Sources, checks, streams
+
+
+@_query("grid_profile", "SELECT count(*) AS n_rows, count(DISTINCT time) AS n_times, count(DISTINCT lat_idx) AS n_lats, count(DISTINCT lon_idx) AS n_lons, min(time) AS first_day, max(time) AS last_day, round(min(v), 4) AS min_value, round(max(v), 4) AS max_value, round(avg((v IS NULL)::INT), 4) AS missing_share, CASE WHEN abs(count(DISTINCT time) - 2499) > 10 THEN 'warn' ELSE 'ok' END AS status FROM ocean")
+def _(spark, d):
+    return profile.profile_grid(fx.ocean(spark, d), (2499, 5, 5))
+
+
+@_query("merge_sources", "SELECT l_orderkey AS cell, l_linenumber AS line, l_shipdate::DATE AS time, round(l_quantity, 4) AS v FROM lineitem WHERE l_shipdate::DATE BETWEEN '1996-01-01' AND '2000-12-31'")
+def _(spark, d):
+    """Three year ranges with different column names, merged and clipped."""
+    rows = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("time"), F.col("l_quantity").alias("v"))
+    year = F.year("time")
+    parts = [rows.where(year < 1997).withColumnRenamed("v", "tg"), rows.where((year >= 1997) & (year < 1999)).withColumnRenamed("v", "T2m"), rows.where(year >= 1999)]
+    return grids.merge_sources(parts, "1996-01-01", "2000-12-31")
+
+
+@_query("level_pick", "SELECT l_orderkey AS cell, round(arg_min(v, (abs(lev - 2.0), lev)), 4) AS v FROM (SELECT l_orderkey, l_linenumber - 1.0 AS lev, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def _(spark, d):
+    rows = fx.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell"), (F.col("l_linenumber") - F.lit(1.0)).alias("lev")).agg(F.max("l_extendedprice").alias("v"))
+    return grids.nearest_level(rows, at=2.0, keys=("cell",))
+
+
+@_query("stream_sessions", """SELECT user_id, min(day) AS event_start, max(day) AS event_end, (max(day) - min(day) + 1)::INT AS duration FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS event FROM (
+    SELECT user_id, day, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE value > 20)))
+GROUP BY user_id, event HAVING max(day) - min(day) + 1 >= 3""")
+def _(spark, d):
+    """The stream's session rule over the stored table; tests hold the stream itself against it."""
+    rows = fx.read(spark, d, "events").where("value > 20").select("user_id", F.to_date("ts").alias("time")).distinct()
+    return session_events(rows, 3, 1, ("user_id",))
