@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -63,18 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES):
+def steps(batch: pa.RecordBatch, column: str = "text", most: int | None = None):
     """Yield (first row, UTF-8 texts) of consecutive rows that hold at most `most` bytes; null is empty."""
-    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.binary()).to_pylist()
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t) > most:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield first, held
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first, before = 0, 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(ends, before + (most or STEP_BYTES), side="right")))
+        yield first, texts.slice(first, end - first).to_pylist()
+        first, before = end, int(ends[end - 1])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
