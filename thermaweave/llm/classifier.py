@@ -18,7 +18,7 @@ from .common import STEP_BYTES, Words, batch, doc_columns, spaced, steps, stored
 
 #: Documented bound of the training sample.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAST_HESSIAN, RIDGE = 80, 4, 64, 0.15, 2.0, 1.0
+TREES, DEPTH, BINS, RATE, LEAST_HESSIAN, RIDGE = 80, 4, 64, 0.15, 0.3, 1.0
 CUT = 0.3
 SPACED = spaced()
 
