@@ -456,3 +456,52 @@ def _(spark, d):
     """The stream's session rule over the stored table; tests hold the stream itself against it."""
     rows = fx.read(spark, d, "events").where("value > 20").select("user_id", F.to_date("ts").alias("time")).distinct()
     return session_events(rows, 3, 1, ("user_id",))
+
+
+# Whole jobs
+
+
+@_query("observational_run", """SELECT c.year, sum(c.n_days)::BIGINT AS compound_days, sum(s.n_days)::BIGINT AS standalone_days, sum(u.n_days)::BIGINT AS thw_days, round(avg(r.value), 4) AS mean_ratio
+FROM compound_annual c JOIN standalone_annual s USING (year, lat_idx, lon_idx) JOIN union_annual u USING (year, lat_idx, lon_idx) JOIN chr r USING (year, lat_idx, lon_idx) GROUP BY c.year""")
+def _(spark, d):
+    """The observational job's annual totals. Every cell of these grids has a value on some day only, so the masks' days are moved to one that all have."""
+    from ..config import Settings
+    from .pipelines import run_observational
+
+    def with_first_day(g):
+        """A day before all others with a value below any threshold, in every cell: it makes the masks whole and exceeds nothing."""
+        first = g.groupBy(*CELL, "lat", "lon").agg(F.lit("1990-01-01").cast("date").alias("time"), F.lit(0.0).alias("v"))
+        return g.unionByName(first.select(*g.columns))
+
+    s = Settings(base_period=fx.BASE, min_duration=fx.MIN_DURATION, max_gap=fx.MAX_GAP, percentile=fx.SEA_SHARE, land_percentile=fx.LAND_SHARE, land_min_valid=0)
+    found = run_observational(with_first_day(fx.ocean(spark, d)), with_first_day(fx.land(spark, d)), s, coast_only=False)
+    key = ["year", *CELL]
+    c, a, t = (found[n].select(*key, F.col("n_days").alias(m)) for n, m in (("compound_annual", "compound_days"), ("standalone_annual", "standalone_days"), ("thw_annual", "thw_days")))
+    rows = c.join(a, key).join(t, key).join(found["ratio"].select(*key, "value"), key).where("year > 1990")
+    return rows.groupBy("year").agg(F.sum("compound_days").alias("compound_days"), F.sum("standalone_days").alias("standalone_days"), F.sum("thw_days").alias("thw_days"), F.avg("value").alias("mean_ratio"))
+
+
+@_query("attribution_run", """SELECT threshold, round(avg(far), 4) AS far_mean, round(quantile_cont(far, 0.05), 4) AS far_low, round(quantile_cont(far, 0.95), 4) AS far_high FROM boot WHERE threshold BETWEEN 30 AND 60 GROUP BY threshold""")
+def _(spark, d):
+    from ..config import Settings
+    from .pipelines import run_attribution
+
+    return run_attribution(fx.ensemble(spark, d), Settings(bootstraps=200))["summary"].where("threshold BETWEEN 30 AND 60").select("threshold", "far_mean", "far_low", "far_high")
+
+
+@_query("humid_run", f"""SELECT year, round(avg(wbt_days), 4) AS wbt_days, round(avg(sh_days), 4) AS sh_days FROM (
+SELECT year(time)::INT AS year, lat_idx, lon_idx, sum(({_CLOSED} >= 25.5)::INT) AS wbt_days, sum(({_SH} >= 19)::INT) AS sh_days FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY year""")
+def _(spark, d):
+    from .pipelines import run_humid
+
+    cells = masks.valid_mask(fx.land(spark, d), "any")
+    return run_humid(fx.with_place(fx.humid_daily(spark, d)), fx.compound_days(spark, d), fx.with_place(fx.humid_daily(spark, d).select(*CELL).distinct()), cells)["days"]
+
+
+@_query("panel_ratio_means", "SELECT lat_idx, lon_idx, round(avg(value), 4) AS value FROM chr WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL")
+def _(spark, d):
+    from .pipelines import panel_tables
+
+    c, s, t = fx.annual(spark, d)
+    found = {"compound_annual": c, "standalone_annual": s, "ratio": fx.chr_field(spark, d), "cooccurrence": fx.with_place(metrics.ratio_field(c, t))}
+    return panel_tables(found, (1996, 2000), regions=metrics.regions_table(spark, fx.BOXES))["ratio_mean"]
