@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefix, batch, doc_columns, mix, steps, stored, table
+from .common import Prefix, batch, doc_columns, forget, mix, steps, stored, table
 
 SPAN, GRAM = 400, 200
 #: Classes of an anchor that are sorted together; beyond, windows are counted by hash.
@@ -38,10 +38,12 @@ PART = 1 << 21
 
 
 def anchors(text: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor, first start, last start, anchor hash, hash of bytes first start ... last start + span) of all runs of windows."""
+    """All runs of windows that share an anchor: (anchor, first start, last start less first, last start of all copies,
+    copies, anchor hash, hash of all bytes of the run's windows). Equal runs that follow each other, as in periodic
+    text, are one row with several copies; their windows reach from the first start to the last one without a gap."""
     n = len(text) - span + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(2))
     low = np.uint64((1 << 24) - 1)
     prefix = Prefix(text)
     at = np.arange(len(text) - gram + 1)
@@ -56,7 +58,11 @@ def anchors(text: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nd
     first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.append(first[1:], n) - 1
     a = chosen[first]
-    return a, first, last, whole[a], mix(prefix.part(first, last + span) ^ ((last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (a - first).astype(np.uint64)))
+    grams = whole[a]
+    classes = mix(prefix.part(first, last + span) ^ ((last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (a - first).astype(np.uint64)))
+    head = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (classes[1:] != classes[:-1])]))
+    tail = np.append(head[1:], len(a)) - 1
+    return a[head], first[head], (last - first)[head], last[tail], tail - head + 1, grams[head], classes[head]
 
 
 def parts(text: np.ndarray, span: int = SPAN):
@@ -66,7 +72,8 @@ def parts(text: np.ndarray, span: int = SPAN):
 
 
 def find_anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n (bytes), anchor, first, last (starts of windows), gram_hash, class_hash."""
+    """doc_id, n (bytes), anchor, first, width, stop, copies, gram_hash, class_hash, as anchors() has them."""
+    names = ("anchor", "first", "width", "stop", "copies", "gram_hash", "class_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,13 +82,13 @@ def find_anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
                 held: list[tuple] = []
                 for i, t in enumerate(texts):
                     for offset, part in parts(np.frombuffer(t, dtype=np.uint8), span):
-                        a, f, l, g, c = anchors(part, span, gram)
-                        held.append((np.full(len(a), row + i), a + offset, f + offset, l + offset, g, c, np.full(len(a), len(t))))
-                of, a, f, l, g, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                        a, first, width, stop, copies, g, c = anchors(part, span, gram)
+                        held.append((np.full(len(a), row + i), np.full(len(a), len(t)), a + offset, first + offset, width, stop + offset, copies, g.view(np.int64), c.view(np.int64)))
+                of, n, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
                 who = pa.array(ids, type=pa.int64()).take(pa.array(of))
-                yield batch({"doc_id": (who, pa.int64()), "n": (n, pa.int64()), "anchor": (a, pa.int64()), "first": (f, pa.int64()), "last": (l, pa.int64()), "gram_hash": (g.view(np.int64), pa.int64()), "class_hash": (c.view(np.int64), pa.int64())})
+                yield batch({"doc_id": (who, pa.int64()), "n": (n, pa.int64())} | {k: (v, pa.int64()) for k, v in zip(names, cols, strict=True)})
 
-    return docs.mapInArrow(run, "doc_id long, n long, anchor long, first long, last long, gram_hash long, class_hash long")
+    return docs.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{k} long" for k in names))
 
 
 class Suffixes:
@@ -205,22 +212,23 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n, start, end: spans whose union is what is covered by repeated windows."""
+    """doc_id, n, start, end, stored: spans whose union is what is covered by repeated windows."""
     found = stored(find_anchors(docs, span, gram), "anchors")
-    grams = found.groupBy("gram_hash").agg(F.count("*").alias("members"), F.min("class_hash").alias("c0"), F.max("class_hash").alias("c1")).where("members > 1").select("gram_hash", (F.col("c0") != F.col("c1")).alias("mixed"))
+    grams = found.groupBy("gram_hash").agg(F.sum("copies").alias("members"), F.min("class_hash").alias("c0"), F.max("class_hash").alias("c1")).where("members > 1").select("gram_hash", (F.col("c0") != F.col("c1")).alias("mixed"))
     grams = stored(grams, "grams")  # so that both sides of the join are plain exchanges, which Spark can split
     again = stored(found.join(grams, "gram_hash"), "repeated-anchors")
-    classes = again.groupBy("gram_hash", "class_hash").agg(F.count("*").alias("members"), F.min("mixed").alias("mixed"), F.min("doc_id").alias("doc_id"))
+    forget(found, grams)
+    classes = again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), F.min("mixed").alias("mixed"), F.min("doc_id").alias("doc_id"))
     # One member of each class: the smallest id, and there the first place.
     classes = stored(classes, "classes")
     mixed = classes.where("mixed").groupBy("gram_hash").agg(F.count("*").alias("classes"))
     single = classes.where("mixed").join(mixed, "gram_hash").alias("c")
-    places = again.where("mixed").groupBy("gram_hash", "class_hash", "doc_id", "n").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("last").alias("last"))
+    places = again.where("mixed").groupBy("gram_hash", "class_hash", "doc_id", "n").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("width").alias("width"))
     places = places.alias("p").join(single, F.expr("p.gram_hash = c.gram_hash AND p.class_hash = c.class_hash AND p.doc_id <=> c.doc_id")).select("p.*", "classes")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram_hash", "class_hash", "anchor", "first", "last", "classes")).alias("places"))
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram_hash", "class_hash", "anchor", "first", "width", "classes")).alias("places"))
     # Ids may be repeated or null: what was cut is told from other texts' bytes by its class hash.
     joined = docs.alias("d").join(by_doc.alias("b"), F.expr("d.doc_id <=> b.doc_id")).select("d.text", "b.places")
-    kind = pa.list_(pa.struct([("gram_hash", pa.int64()), ("class_hash", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("classes", pa.int64())]))
+    kind = pa.list_(pa.struct([("gram_hash", pa.int64()), ("class_hash", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("classes", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,8 +237,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
                 rows = []
                 for i, t in enumerate(texts):
                     for p in wanted[row + i]:
-                        context = t[p["first"] : p["last"] + span]
-                        if len(context) == p["last"] - p["first"] + span and class_of(context, p["anchor"] - p["first"], span) == p["class_hash"]:
+                        context = t[p["first"] : p["first"] + p["width"] + span]
+                        if len(context) == p["width"] + span and class_of(context, p["anchor"] - p["first"], span) == p["class_hash"]:
                             rows.append((p["gram_hash"], p["class_hash"], p["classes"], p["anchor"] - p["first"], context))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield batch({"gram_hash": (cols[0], pa.int64()), "class_hash": (cols[1], pa.int64()), "classes": (cols[2], pa.int64()), "before": (cols[3], pa.int64()), "context": (cols[4], pa.binary())})
@@ -263,13 +271,15 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     sorted_few = few.repartition("gram_hash").sortWithinPartitions("gram_hash", "class_hash").mapInArrow(sort, schema)
 
     many = contexts.where(F.col("classes") > MOST_CLASSES).select("gram_hash", "class_hash", "before", "context")
-    counted = counted_windows(many.dropDuplicates(["gram_hash", "class_hash"]), span)
+    counted = stored(counted_windows(many.dropDuplicates(["gram_hash", "class_hash"]), span), "counted")
     partial = sorted_few.unionByName(counted)
     # Members of a class with several members are repeated throughout, others as far as their class is.
-    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select("doc_id", "n", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
+    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select("doc_id", "n", F.col("first").alias("start"), (F.col("stop") + span).alias("end"))
     some = again.where("mixed").join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi").join(partial, ["gram_hash", "class_hash"])
     some = some.select("doc_id", "n", (F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") - F.col("least") + span).alias("end"))
-    return whole.unionByName(some)
+    spans = stored(whole.unionByName(some), "spans")
+    forget(again, classes, contexts, counted)
+    return spans
 
 
 def counted_windows(contexts: DataFrame, span: int = SPAN) -> DataFrame:
@@ -338,7 +348,7 @@ def with_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame
     Rows that share an id but not their text can't be told apart by id: spans go by id and byte length, and ids are
     expected to name one text. Rows with a null id have each other's spans in the same way.
     """
-    found = stored(repeated_spans(doc_columns(docs), span, gram), "spans")
+    found = repeated_spans(doc_columns(docs), span, gram)
     by_doc = found.groupBy(F.col("doc_id").alias("_span_doc"), F.col("n").alias("_span_bytes")).agg(F.collect_set(F.struct("start", "end")).alias(SPANS))
     return docs.join(by_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("_span_doc")) & (F.coalesce(F.octet_length(docs["text"]), F.lit(0)) == F.col("_span_bytes")), "left").drop("_span_doc", "_span_bytes")
 
