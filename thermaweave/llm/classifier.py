@@ -154,9 +154,9 @@ def held_out():
 def train(values: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
     """Fit on labelled rows outside the held-out fold; at most `most` rows come to the driver."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & ~held_out())
-    sample = values.join(rows, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(most).select("x", "quality").toPandas()
-    x = np.array(sample["x"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
-    return fit(x, sample["quality"].to_numpy(dtype=np.float64))
+    sample = values.join(rows, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(most).select("x", "quality").toArrow()
+    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(len(sample), len(FEATURES)).astype(np.float64)
+    return fit(x, sample.column("quality").to_numpy().astype(np.float64))
 
 
 def score(values: DataFrame, trees: Trees) -> DataFrame:
