@@ -37,3 +37,15 @@ def densify(annual: DataFrame, years: DataFrame, cells: DataFrame, keys: Sequenc
     """A row for every year and cell; years and cells are the result's own axes."""
     frame = years.select("year").distinct().crossJoin(cells.select(*keys).distinct())
     return frame.join(annual, ["year", *keys], "left").withColumn("n_days", F.coalesce("n_days", F.lit(0).cast("long")))
+
+
+def annual_by_class(classified: DataFrame, axis: DataFrame, cells: DataFrame, years: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """year, keys, n_compound, n_standalone, n_thw for every year and cell, from events with their class.
+
+    All three counts come from one pass over the classified events, so nothing upstream runs once for each of them.
+    """
+    kinds = classified.where(F.col("class").isin("compound", "standalone"))
+    days = kinds.select(*keys, "class", F.explode(F.sequence("event_start", "event_end")).alias("time")).join(axis.select("time"), "time", "left_semi").distinct()
+    counts = days.groupBy(F.year("time").alias("year"), *keys).agg(F.count_if(F.col("class") == "compound").alias("n_compound"), F.count_if(F.col("class") == "standalone").alias("n_standalone"), F.count_distinct("time").alias("n_thw"))
+    frame = years.select("year").distinct().crossJoin(cells.select(*keys).distinct())  # the result's own axes
+    return frame.join(counts, ["year", *keys], "left").fillna(0, ["n_compound", "n_standalone", "n_thw"])

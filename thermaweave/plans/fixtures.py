@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import climatology, compound, daily, events, masks, metrics, pairing
+from ..functions.columns import ratio
+from ..operators import climatology, compound, daily, events, masks, pairing
 
 BASE = (1995, 1999)
 SEA_SHARE, LAND_SHARE, MIN_DURATION, MAX_GAP = 0.5, 0.7, 3, 2
@@ -84,9 +85,14 @@ def annual(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return dense(spark, d, c), dense(spark, d, s), dense(spark, d, daily.union_days(c, s))
 
 
+def annual_classes(spark: SparkSession, d: str) -> DataFrame:
+    g = land(spark, d)
+    found = compound.classify_events(sea_events(spark, d), land_events(spark, d), pairs(spark, d))
+    return with_place(daily.annual_by_class(found, events.time_axis(g), g, g.select(F.year("time").alias("year"))))
+
+
 def chr_field(spark: SparkSession, d: str) -> DataFrame:
-    c, s, _ = annual(spark, d)
-    return with_place(metrics.ratio_field(c, s))
+    return annual_classes(spark, d).select("year", "lat_idx", "lon_idx", "lat", "lon", ratio(F.col("n_compound"), F.col("n_standalone")).alias("value"))
 
 
 def humid(spark: SparkSession, d: str) -> DataFrame:
@@ -198,4 +204,6 @@ def sql(final: str) -> str:
 
     add(final)
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
+    if head and final.startswith("WITH "):
+        return f"WITH {head},\n{final[5:]}"
     return (f"WITH {head}\n" if head else "") + final

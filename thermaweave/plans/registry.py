@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CELL
 from ..functions import humid, risk
-from ..functions.columns import rounded
+from ..functions.columns import ratio, rounded
 from ..operators import attribution, climatology, compound, daily, events, masks, metrics, pairing, profile, trends
 from ..sources import grids
 from ..streaming.events import session_events
@@ -83,6 +83,17 @@ def _(spark, d):
     return climatology.enough_values(fx.land(spark, d), 530).groupBy(*CELL).agg(F.count("v").alias("n_values"))
 
 
+@_query("pooled_point_events", """WITH one AS (SELECT * FROM land WHERE lat_idx = 2 AND lon_idx = 2),
+c AS (SELECT ((dayofyear(time) - 1 + k + 366) % 366 + 1)::INT AS doy, quantile_cont(v, 0.7) AS thresh FROM one CROSS JOIN (SELECT unnest(range(-5, 6)) AS k) p WHERE year(time) BETWEEN 1995 AND 1999 GROUP BY ALL),
+e AS (SELECT time, t_idx FROM one JOIN c ON c.doy = least(dayofyear(time), (SELECT max(doy) FROM c)) JOIN (SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT time FROM one)) USING (time) WHERE v > thresh),
+i AS (SELECT *, sum(new) OVER (ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS event FROM (SELECT *, CASE WHEN t_idx - lag(t_idx) OVER (ORDER BY t_idx) <= 3 THEN 0 ELSE 1 END AS new FROM e))
+SELECT min(time) AS event_start, max(time) AS event_end, (max(t_idx) - min(t_idx) + 1)::INT AS duration FROM i GROUP BY event HAVING max(t_idx) - min(t_idx) + 1 >= 3""")
+def _(spark, d):
+    """One cell with a threshold pooled over eleven days."""
+    g = fx.land(spark, d).where("lat_idx = 2 AND lon_idx = 2")
+    return events.detect_events(g, climatology.climatology(g, fx.BASE, fx.LAND_SHARE, half_width=5), fx.MIN_DURATION, fx.MAX_GAP).select("event_start", "event_end", "duration")
+
+
 @_query("regrid_mean", "SELECT time, floor(lat / 0.5::DOUBLE)::INT AS lat_idx, floor(lon / 0.5::DOUBLE)::INT AS lon_idx, round(avg(v), 4) AS v FROM land GROUP BY ALL")
 def _(spark, d):
     return climatology.regrid_mean(fx.land(spark, d), 0.5)
@@ -203,14 +214,12 @@ def _(spark, d):
 
 @_query("chr_annual", "SELECT year, lat_idx, lon_idx, round(value, 4) AS value FROM chr")
 def _(spark, d):
-    c, s, _ = fx.annual(spark, d)
-    return metrics.ratio_field(c, s)
+    return fx.chr_field(spark, d).select("year", *CELL, "value")
 
 
 @_query("cooccurrence", "SELECT c.year, c.lat_idx, c.lon_idx, round(CASE WHEN u.n_days > 0 THEN c.n_days / u.n_days END, 4) AS value FROM compound_annual c JOIN union_annual u USING (year, lat_idx, lon_idx)")
 def _(spark, d):
-    c, _, u = fx.annual(spark, d)
-    return metrics.ratio_field(c, u)
+    return fx.annual_classes(spark, d).select("year", *CELL, ratio(F.col("n_compound"), F.col("n_thw")).alias("value"))
 
 
 @_query("spatial_mean", "SELECT year, round(sum(n_days * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS value FROM compound_annual WHERE lat BETWEEN 40.25 AND 40.75 AND lon BETWEEN -0.5 AND 0.25 GROUP BY year")
@@ -236,10 +245,8 @@ def _(spark, d):
 @_query("mean_fields", """SELECT lat_idx, lon_idx, round(avg(c.n_days), 4) AS compound, round(avg(s.n_days), 4) AS standalone, round(avg(r.value), 4) AS ratio
 FROM compound_annual c JOIN standalone_annual s USING (year, lat_idx, lon_idx) JOIN chr r USING (year, lat_idx, lon_idx) WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx""")
 def _(spark, d):
-    c, s, _ = fx.annual(spark, d)
-    span = (1996, 2000)
-    fields = [metrics.mean_field(c, span, "n_days", "compound"), metrics.mean_field(s, span, "n_days", "standalone"), metrics.mean_field(fx.chr_field(spark, d), span, name="ratio")]
-    return fields[0].join(fields[1], list(CELL)).join(fields[2], list(CELL))
+    rows = fx.annual_classes(spark, d).where(F.col("year").between(1996, 2000))
+    return rows.groupBy(*CELL).agg(F.avg("n_compound").alias("compound"), F.avg("n_standalone").alias("standalone"), F.avg(ratio(F.col("n_compound"), F.col("n_standalone"))).alias("ratio"))
 
 
 @_query("selected_years", "SELECT year, lat_idx, lon_idx, n_days FROM compound_annual WHERE year IN (1996, 1998, 2000) AND n_days > 0")
