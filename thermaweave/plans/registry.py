@@ -166,7 +166,7 @@ def _(spark, d):
     return compound.standalone_events(fx.sea_events(spark, d), fx.land_events(spark, d), fx.pairs(spark, d))
 
 
-_CLASSES = """SELECT class, count(*) AS n_events, sum(duration) AS n_days FROM (
+_CLASSES = """SELECT class, count(*) AS n_events, sum(duration)::BIGINT AS n_days FROM (
   SELECT e.duration, CASE WHEN p.land_lat_idx IS NULL THEN 'unpaired'
     WHEN EXISTS (SELECT 1 FROM ocean_events o WHERE o.lat_idx = p.ocean_lat_idx AND o.lon_idx = p.ocean_lon_idx AND o.event_start <= e.event_start AND o.event_end >= e.event_end) THEN 'compound'
     WHEN EXISTS (SELECT 1 FROM ocean_events o WHERE o.lat_idx = p.ocean_lat_idx AND o.lon_idx = p.ocean_lon_idx AND o.event_end >= e.event_start AND o.event_start <= e.event_end) THEN 'partial'
