@@ -18,12 +18,11 @@ BREAKS = "p|div|article|section|h[1-6]|li|ul|ol|table|tr|td|th|br|figure|figcapt
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 #: (pattern, replacement) in turn; both Java's and RE2's syntax.
 STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>", "") for t in SILENT),
+    ("(?is)<!--.*?-->|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>" for t in SILENT), ""),
     (rf"(?i)</?(?:{BREAKS})(?:[\s/][^>]*)?>", "\n"),
     (r"<[!/a-zA-Z][^>]*>", ""),
 )
-SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
+SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"))
 TITLE, LANGUAGE, LINK = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", r"(?i)<html(?:\s[^>]*)?\slang=[\"']?([a-zA-Z-]*)", r"(?i)<a\s[^>]*href"
 
 
@@ -36,7 +35,7 @@ def _referred(c: Column) -> Column:
 def _spaced(c: Column) -> Column:
     for p, r in SPACES:
         c = F.regexp_replace(c, p, r)
-    return c
+    return F.btrim(c, F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:
@@ -112,7 +111,10 @@ def _oracle() -> str:
         h = f"md5(concat_ws(chr(10), {text(kind)}, {parts}))"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
-    title = replaced(referred(f"regexp_replace(regexp_extract(html, {text(TITLE)}, 1), '\\s+', ' ', 'g')"), SPACES)
+    def spaced(c: str) -> str:
+        return f"trim({replaced(c, SPACES)}, ' ' || chr(10))"
+
+    title = spaced(referred(f"regexp_replace(regexp_extract(html, {text(TITLE)}, 1), '\\s+', ' ', 'g')"))
     return f"""
 WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html FROM pages),
 b AS (SELECT *, 'sha256:' || sha256(html) AS source_digest, strlen(html)::BIGINT AS source_length FROM p),
@@ -121,7 +123,7 @@ r AS (
   SELECT *, 'metadata' AS record_type, {uuid("metadata", "refers_to")} AS record_id, 'application/warc-fields' AS block_type,
     'title: ' || {title} || chr(13) || chr(10) || 'language: ' || regexp_extract(html, {text(LANGUAGE)}, 1) || chr(13) || chr(10) || 'links: ' || len(regexp_extract_all(html, {text(LINK)}))::VARCHAR || chr(13) || chr(10) AS block FROM c
   UNION ALL
-  SELECT *, 'conversion', {uuid("conversion", "refers_to")}, 'text/plain', {replaced(referred(replaced("html", STEPS)), SPACES)} FROM c)
+  SELECT *, 'conversion', {uuid("conversion", "refers_to")}, 'text/plain', {spaced(referred(replaced("html", STEPS)))} FROM c)
 SELECT page_id, record_type, record_id, refers_to, target_uri, 'text/html' AS source_type, source_length, source_digest, block_type,
   strlen(block)::BIGINT AS block_length, 'sha256:' || sha256(block) AS block_digest, block FROM r
 """
