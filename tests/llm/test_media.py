@@ -34,3 +34,14 @@ def test_unknown_digest_stays_without_payload(spark):
     store = media.describe(media.media_store(docs(spark, [(1, "a")])))
     found = media.resolve(media.sequences(pages), "page_id", store).collect()
     assert len(found) == 1 and found[0].payload_bytes is None and found[0].digest == "nowhere"
+
+
+def test_sequence_holds_the_whole_text(spark):
+    rows = AWKWARD + [(40, "first & last\n\n<b>second</b> line\n" + words(900) + "\n  &amp; \u00a0 tail"), (41, words(3000))]
+    found = media.interleave(doc_columns(docs(spark, rows))).collect()
+    want = []
+    for i, t in rows:
+        items = [" ".join(x.split()) for x in (t or "").split("\n") if x.split()]
+        text = "\n".join(items).encode()
+        want.append((i, min(1, len(items)), len(items) + 1, len(items), len(text), hashlib.sha256(text).hexdigest()))
+    assert sorted(((r.doc_id, r.position, r.n_items, r.n_texts, r.text_bytes, r.text_sha256) for r in found), key=repr) == sorted(want, key=repr)

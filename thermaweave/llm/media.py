@@ -170,29 +170,42 @@ def describe(store: DataFrame) -> DataFrame:
 
 
 def resolve(items: DataFrame, key: str, described: DataFrame) -> DataFrame:
-    """Media items (key, position, caption, digest) with what the store knows of their digest (null: not in the store)."""
-    media = items.select(key, F.explode("items").alias("i")).where("i.kind = 'media'").select(key, "i.position", "i.caption", "i.digest")
+    """Media items (key, position, caption, digest, and what `items` holds beside its items) with what the store knows of
+    their digest (null: not in the store)."""
+    others = [c for c in items.columns if c not in (key, "items")]
+    media = items.select(key, *others, F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i")).select(key, *others, "i.position", "i.caption", "i.digest")
     return media.join(described, "digest", "left")
 
 
+def with_text(items: DataFrame) -> DataFrame:
+    """items with n_items, n_texts, text_bytes and text_sha256: how many items there are and how many of text, and the
+    bytes and digest of all text items in order, joined by line ends."""
+    text = F.array_join(F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: i["text"]), "\n")
+    n_texts = F.size(F.filter("items", lambda i: i["kind"] == "text"))
+    return items.withColumns({"n_items": F.size("items"), "n_texts": n_texts, "text_bytes": F.octet_length(text).cast("long"), "text_sha256": F.sha2(text, 256)})
+
+
+def page_of(text: bytes) -> str:
+    """A page of the whole text, a paragraph a line that isn't blank, with its payload as a captioned figure after the first."""
+    lines = [f"<p>{escape(x)}</p>" for x in text.decode("utf-8", "replace").split("\n") if x.strip()]
+    lines.insert(1, f'<figure><img src="sha256:{hashlib.sha256(payload_of(text)).hexdigest()}"><figcaption>{len(text)} bytes</figcaption></figure>')
+    return f"<html><body>{''.join(lines)}</body></html>"
+
+
 def document_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html: a page for each document, its opening words as a paragraph and its payload as a captioned figure."""
+    """doc_id, n_bytes, html: a page for each document, as page_of() makes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in steps(b):
-                pages = []
-                for t in texts:
-                    lead = escape(" ".join(t[:400].decode("utf-8", "ignore").split()[:12]))
-                    pages.append(f'<html><body><p>{lead}</p><figure><img src="sha256:{hashlib.sha256(payload_of(t)).hexdigest()}"><figcaption>{len(t)} bytes</figcaption></figure></body></html>')
-                yield batch({"doc_id": (b.column(0).slice(first, len(texts)), pa.int64()), "n_bytes": ([len(t) for t in texts], pa.int64()), "html": (pages, pa.string())})
+                yield batch({"doc_id": (b.column(0).slice(first, len(texts)), pa.int64()), "n_bytes": ([len(t) for t in texts], pa.int64()), "html": ([page_of(t) for t in texts], pa.string())})
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, html string")
 
 
 def interleave(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, position and caption of the document's figure.
+    feature, position and caption of the document's figure; n_items, n_texts, text_bytes and text_sha256 of its sequence.
 
     Null texts are empty; an empty text's payload is one row of blanks. Texts of any length are stored whole. Equal
     texts share a digest and so all values; repeated rows and null ids come out as often as they stand there. An empty
@@ -203,8 +216,8 @@ def interleave(docs: DataFrame) -> DataFrame:
     described = stored(describe(store), "described")
     forget(store)
     # An item's caption is the byte count, so ids need not be unique for it to follow its document.
-    found = resolve(sequences(document_pages(docs), "doc_id"), "doc_id", described)
-    return found.select("doc_id", F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = resolve(with_text(sequences(document_pages(docs), "doc_id")), "doc_id", described)
+    return found.select("doc_id", F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "n_texts", "text_bytes", "text_sha256")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
