@@ -1,10 +1,12 @@
 """License scans: an exact set-similarity (containment) join of text blocks with license templates.
 
 Templates are few and fixed, so they travel with the tasks. Their tokens are ordered by their document frequency over
-the whole corpus, rarest first. A block (a line) can reach a containment of `threshold` in a template of k tokens only
-if it holds one of the template's k - ceil(threshold * k) + 1 rarest tokens (prefix filter), has at least
-ceil(threshold * k) distinct tokens (length filter), and has enough tokens left after the first shared one (positional
-filter). Those that pass are intersected exactly.
+the whole corpus, rarest first. A template's blocks are all runs of RUN times as many consecutive words as it has, at
+every word, so lines and their wrapping don't matter. A block can reach a containment of `threshold` in a template of k
+tokens only if it holds one of the template's k - ceil(threshold * k) + 1 rarest tokens (prefix filter), if the document
+has at least ceil(threshold * k) words (length filter), and if enough of the template's tokens stand within a block's
+length of the rare one (positional filter). Blocks that pass are counted exactly, by a window that slides over the
+template's tokens.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ TEMPLATES = (
     ("public-domain", "this is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.8
+#: Fixed value: words of a block to words of its template.
+RUN = 2
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = True
@@ -54,13 +58,39 @@ def _hit(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at[np.isin(hashes[at], wanted)]
 
 
-def _lines(w: Words) -> np.ndarray:
-    """The line of each word, counted over the whole step."""
-    return np.cumsum(w.buf == 10)[w.starts] if len(w.starts) else np.zeros(0, dtype=np.int64)
+def _blocks(at: np.ndarray, token: np.ndarray, doc: np.ndarray, length: int, need: int) -> tuple[dict[int, int], dict[int, int]]:
+    """By document, the most distinct tokens in a block of words and the number of disjoint blocks with `need` of them.
+    at, token, doc: the word, token and document of each of a template's tokens in the texts, in order. A block that
+    counts takes in all words up to the template's length from its first token, so that a notice's last words don't
+    count for the next one."""
+    most: dict[int, int] = {}
+    runs: dict[int, int] = {}
+    rows = list(zip(at.tolist(), token.tolist(), doc.tolist(), strict=True))
+    held, fresh, taken = ({}, 0), ({}, 0), 0  # tokens of the block that ends here, and of its part behind the last counted one
+    for j, (p, t, d) in enumerate(rows):
+        moved = []
+        for inside, i in (held, fresh):
+            while rows[i][2] != d or rows[i][0] <= p - RUN * length:
+                old = rows[i][1]
+                inside[old] -= 1
+                if not inside[old]:
+                    del inside[old]
+                i += 1
+            inside[t] = inside.get(t, 0) + 1
+            moved.append((inside, i))
+        held, fresh = moved
+        if p < taken:
+            fresh = ({}, j + 1)
+        most[d] = max(most.get(d, 0), len(held[0]))
+        if len(fresh[0]) >= need:
+            runs[d] = runs.get(d, 0) + 1
+            taken = rows[fresh[1]][0] + length
+            fresh = ({}, j + 1)
+    return most, runs
 
 
 def token_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
-    """In how many blocks of the corpus each template token stands; as many rows as the templates have tokens."""
+    """In how many texts of the corpus each template token stands; as many rows as the templates have tokens."""
     wanted = np.unique(np.concatenate([_tokens(t) for _, t in templates]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +99,8 @@ def token_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
             for _, texts in steps(b):
                 w = Words(texts, IS_WORD)
                 at = _hit(w.hashes, wanted)
-                pairs = np.unique(np.stack([_lines(w)[at], np.searchsorted(wanted, w.hashes[at])]), axis=1)
+                of = np.repeat(np.arange(len(w.counts)), w.counts)
+                pairs = np.unique(np.stack([of[at], np.searchsorted(wanted, w.hashes[at])]), axis=1)
                 total += np.bincount(pairs[1], minlength=len(wanted))
         yield batch({"token": (wanted.view(np.int64), pa.int64()), "n": (total, pa.int64())})
 
@@ -82,21 +113,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
 
     Base labels come from phrases; `labels` adds those of the templates that a block contains to `threshold`; score is
     1 with a base label, else the best containment among the blocks that pass the filters (0: none); n_blocks counts the
-    (block, template) matches. Null and empty texts have no words and no labels. Texts of any length are scanned whole;
+    matches, for each template disjoint blocks from the first on. Null and empty texts have no words and no labels. Texts of any length are scanned whole;
     repeated rows get equal results, other columns aren't read, and an empty table gives an empty result.
     """
     frequency = token_frequencies(docs, templates)
     plans = []
     for label, text in templates:
-        tokens = sorted(set(_tokens(text).view(np.int64).tolist()), key=lambda t: (frequency.get(t, 0), t))
+        words = _tokens(text)
+        tokens = np.array(sorted(set(words.view(np.int64).tolist()), key=lambda t: (frequency.get(t, 0), t)), dtype=np.int64).view(np.uint64)
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        plans.append((label, tokens, need, len(tokens) - need + 1))
-    starts: dict[int, list[int]] = {}
-    for k, (_, tokens, _, prefix) in enumerate(plans):
-        for t in tokens[:prefix]:
-            starts.setdefault(t, []).append(k)
-    wanted = np.unique(np.array(list(starts), dtype=np.int64)).view(np.uint64)
-    rank = {t: i for i, t in enumerate(sorted({t for p in plans for t in p[1]}, key=lambda t: (frequency.get(t, 0), t)))}
+        order = np.argsort(tokens)
+        plans.append((label, tokens[order], order, need, len(tokens) - need + 1, len(words)))
+    wanted = np.unique(np.concatenate([p[1] for p in plans]))
     places = [(_tokens(p), label) for p, label in phrases.items()]
 
     def found(w: Words) -> tuple[list, list, list, list]:
@@ -112,28 +140,25 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
             at = at[of[at] == of[at + len(phrase) - 1]]
             for i in at.tolist():
                 base[of[i]].append((i - int(w.at[of[i]]), label))
-        at = _hit(w.hashes, wanted)
-        if len(at):
-            lines = _lines(w)
-            for line in np.unique(lines[at]).tolist():
-                a, z = np.searchsorted(lines, [line, line + 1])
-                block = set(w.hashes[a:z].view(np.int64).tolist())
-                known = sorted((t for t in block if t in rank), key=rank.__getitem__)
-                for k in {k for t in known for k in starts.get(t, ())}:
-                    label, tokens, need, prefix = plans[k]
-                    if len(block) < need:
-                        continue
-                    inside = set(tokens)
-                    shared = next(i for i, t in enumerate(tokens) if t in block)
-                    first = next(i for i, t in enumerate(known) if t in inside)
-                    if shared >= prefix or min(len(tokens) - shared, len(known) - first) < need:
-                        continue
-                    share = len(inside & block) / len(tokens)
-                    d = int(of[a])
-                    best[d] = max(best[d], share)
-                    if share >= threshold - 1e-9:
-                        more[d].add(label)
-                        blocks[d] += 1
+        hits = _hit(w.hashes, wanted)
+        for label, tokens, rank, need, prefix, length in plans:
+            slot = np.minimum(np.searchsorted(tokens, w.hashes[hits]), len(tokens) - 1)
+            mine = tokens[slot] == w.hashes[hits]
+            at, token = hits[mine], rank[slot[mine]]
+            rare = at[(token < prefix) & (w.counts[of[at]] >= need)]
+            a = np.searchsorted(at, np.maximum(rare - RUN * length + 1, w.at[of[rare]]))
+            z = np.searchsorted(at, np.minimum(rare + RUN * length, w.at[of[rare] + 1]))
+            enough = z - a >= need
+            if not enough.any():
+                continue
+            near = np.bincount(a[enough], minlength=len(at) + 1) - np.bincount(z[enough], minlength=len(at) + 1)
+            near = np.flatnonzero(np.cumsum(near)[:-1])
+            most, runs = _blocks(at[near], token[near], of[at[near]], length, need)
+            for d, n in most.items():
+                best[d] = max(best[d], n / len(tokens))
+            for d, n in runs.items():
+                more[d].add(label)
+                blocks[d] += n
         return base, more, best, blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
