@@ -85,3 +85,18 @@ def test_suffix_order():
     for (g, a), (h, b), c in zip(strings, strings[1:], s.common, strict=False):
         want = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) if g == h else 0
         assert c == want
+
+
+def test_rows_with_equal_ids_keep_their_own_spans(spark):
+    shared = words(30, seed=1)
+    pairs = []
+    for k, i in enumerate((None, None, None, 7, 7, 8)):
+        own = words(80, seed=60 + k)
+        pairs += [(i, (shared + " " + own)[:300].ljust(300, "x")), (i, words(90, seed=80 + k)[:290].ljust(300, "y"))]
+    assert len({len(t.encode()) for _, t in pairs}) < len(pairs)
+    pairs = [(i, t.encode().decode("ascii", "ignore")[:280]) for i, t in pairs]  # all of one length
+    assert {len(t.encode()) for _, t in pairs} == {280}
+    pairs += [(None, pairs[1][1]), (None, None), (7, ""), (7, pairs[7][1])]
+    found = run(docs(spark, pairs))
+    assert found == brute(pairs)
+    assert {r[2] for r in found} > {0} and sum(r[2] == 0 for r in found) > 4

@@ -10,12 +10,15 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
+#: Columns that tell texts apart: the id and two hashes of the text, as ids may be null or repeated.
+KEY = ("doc_id", "text_h0", "text_h1")
+
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -165,3 +168,14 @@ def batch(rows: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text, with different seeds; null is empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """KEY and text."""
+    return docs.select("doc_id", *[h.alias(c) for h, c in zip(text_hashes(F.col("text")), KEY[1:], strict=True)], "text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefix, batch, doc_columns, forget, mix, steps, stored, table
+from .common import KEY, Prefix, batch, doc_columns, forget, keyed, mix, steps, stored, table, text_hashes
 
 SPAN, GRAM = 400, 200
 #: Classes of an anchor that are sorted together; beyond, windows are counted by hash.
@@ -72,23 +72,21 @@ def parts(text: np.ndarray, span: int = SPAN):
 
 
 def find_anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n (bytes), anchor, first, width, stop, copies, gram_hash, class_hash, as anchors() has them."""
+    """KEY, anchor, first, width, stop, copies, gram_hash, class_hash, as anchors() has them."""
     names = ("anchor", "first", "width", "stop", "copies", "gram_hash", "class_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
             for row, texts in steps(b):
                 held: list[tuple] = []
                 for i, t in enumerate(texts):
                     for offset, part in parts(np.frombuffer(t, dtype=np.uint8), span):
                         a, first, width, stop, copies, g, c = anchors(part, span, gram)
-                        held.append((np.full(len(a), row + i), np.full(len(a), len(t)), a + offset, first + offset, width, stop + offset, copies, g.view(np.int64), c.view(np.int64)))
-                of, n, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-                who = pa.array(ids, type=pa.int64()).take(pa.array(of))
-                yield batch({"doc_id": (who, pa.int64()), "n": (n, pa.int64())} | {k: (v, pa.int64()) for k, v in zip(names, cols, strict=True)})
+                        held.append((np.full(len(a), row + i), a + offset, first + offset, width, stop + offset, copies, g.view(np.int64), c.view(np.int64)))
+                of, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield batch({k: (b.column(i).take(pa.array(of)), pa.int64()) for i, k in enumerate(KEY)} | {k: (v, pa.int64()) for k, v in zip(names, cols, strict=True)})
 
-    return docs.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{k} long" for k in names))
+    return keyed(docs).mapInArrow(run, ", ".join(f"{k} long" for k in (*KEY, *names)))
 
 
 class Suffixes:
@@ -212,22 +210,22 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n, start, end, stored: spans whose union is what is covered by repeated windows."""
+    """KEY, start, end, stored: spans whose union is what is covered by repeated windows."""
     found = stored(find_anchors(docs, span, gram), "anchors")
     grams = found.groupBy("gram_hash").agg(F.sum("copies").alias("members"), F.min("class_hash").alias("c0"), F.max("class_hash").alias("c1")).where("members > 1").select("gram_hash", (F.col("c0") != F.col("c1")).alias("mixed"))
     grams = stored(grams, "grams")  # so that both sides of the join are plain exchanges, which Spark can split
     again = stored(found.join(grams, "gram_hash"), "repeated-anchors")
     forget(found, grams)
-    classes = again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), F.min("mixed").alias("mixed"), F.min("doc_id").alias("doc_id"))
-    # One member of each class: the smallest id, and there the first place.
+    classes = again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), F.min("mixed").alias("mixed"), F.min(F.struct(*KEY)).alias("k")).select("gram_hash", "class_hash", "members", "mixed", "k.*")
+    # One member of each class: the text with the smallest key, and there the first place.
     classes = stored(classes, "classes")
     mixed = classes.where("mixed").groupBy("gram_hash").agg(F.count("*").alias("classes"))
-    single = classes.where("mixed").join(mixed, "gram_hash").alias("c")
-    places = again.where("mixed").groupBy("gram_hash", "class_hash", "doc_id", "n").agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("width").alias("width"))
-    places = places.alias("p").join(single, F.expr("p.gram_hash = c.gram_hash AND p.class_hash = c.class_hash AND p.doc_id <=> c.doc_id")).select("p.*", "classes")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram_hash", "class_hash", "anchor", "first", "width", "classes")).alias("places"))
-    # Ids may be repeated or null: what was cut is told from other texts' bytes by its class hash.
-    joined = docs.alias("d").join(by_doc.alias("b"), F.expr("d.doc_id <=> b.doc_id")).select("d.text", "b.places")
+    single = classes.where("mixed").join(mixed, "gram_hash")
+    places = again.where("mixed").groupBy("gram_hash", "class_hash", *KEY).agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("width").alias("width"))
+    same = " AND ".join(f"a.{c} <=> b.{c}" for c in KEY)
+    places = places.alias("a").join(single.alias("b"), F.expr(f"a.gram_hash = b.gram_hash AND a.class_hash = b.class_hash AND {same}")).select("a.*", "classes")
+    by_doc = places.groupBy(*KEY).agg(F.collect_list(F.struct("gram_hash", "class_hash", "anchor", "first", "width", "classes")).alias("places"))
+    joined = keyed(docs).alias("a").join(by_doc.alias("b"), F.expr(same)).select("a.text", "b.places")
     kind = pa.list_(pa.struct([("gram_hash", pa.int64()), ("class_hash", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("classes", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +247,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
         held, size = [], 0
 
         def result():
-            rows = {(g, c): (g, c, o, x) for g, c, o, x in held}  # repeated ids may bring a class twice
+            rows = {(g, c): (g, c, o, x) for g, c, o, x in held}  # repeated rows may bring a class twice
             rows = list(rows.values())
             group = np.cumsum([0] + [rows[i][0] != rows[i - 1][0] for i in range(1, len(rows))])
             most, least = repeated_windows([r[3] for r in rows], np.array([r[2] for r in rows]), group, span)
@@ -274,9 +272,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     counted = stored(counted_windows(many.dropDuplicates(["gram_hash", "class_hash"]), span), "counted")
     partial = sorted_few.unionByName(counted)
     # Members of a class with several members are repeated throughout, others as far as their class is.
-    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select("doc_id", "n", F.col("first").alias("start"), (F.col("stop") + span).alias("end"))
+    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select(*KEY, F.col("first").alias("start"), (F.col("stop") + span).alias("end"))
     some = again.where("mixed").join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi").join(partial, ["gram_hash", "class_hash"])
-    some = some.select("doc_id", "n", (F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") - F.col("least") + span).alias("end"))
+    some = some.select(*KEY, (F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") - F.col("least") + span).alias("end"))
     spans = stored(whole.unionByName(some), "spans")
     forget(again, classes, contexts, counted)
     return spans
@@ -345,12 +343,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def with_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """docs (all columns) with SPANS, an array of (start, end) in bytes whose union is removed (null: none).
 
-    Rows that share an id but not their text can't be told apart by id: spans go by id and byte length, and ids are
-    expected to name one text. Rows with a null id have each other's spans in the same way.
+    Spans go by id and two hashes of the text, so rows that share an id, or have none, keep their own.
     """
     found = repeated_spans(doc_columns(docs), span, gram)
-    by_doc = found.groupBy(F.col("doc_id").alias("_span_doc"), F.col("n").alias("_span_bytes")).agg(F.collect_set(F.struct("start", "end")).alias(SPANS))
-    return docs.join(by_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("_span_doc")) & (F.coalesce(F.octet_length(docs["text"]), F.lit(0)) == F.col("_span_bytes")), "left").drop("_span_doc", "_span_bytes")
+    by_doc = found.groupBy(*[F.col(c).alias(f"_span_{c}") for c in KEY]).agg(F.collect_set(F.struct("start", "end")).alias(SPANS))
+    # Hashes are columns of their own before the join, so that it hashes each text once.
+    mine = docs.withColumns(dict(zip([f"_mine_{c}" for c in KEY], [docs["doc_id"].cast("long"), *text_hashes(docs["text"])], strict=True)))
+    same = " AND ".join(f"_mine_{c} <=> _span_{c}" for c in KEY)
+    return mine.join(by_doc, F.expr(same), "left").drop(*[f"_{side}_{c}" for side in ("mine", "span") for c in KEY])
 
 
 def _runs(rows) -> list[list[tuple[int, int]]]:
