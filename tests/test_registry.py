@@ -38,3 +38,25 @@ def test_every_query_has_sql_but_one():
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_summary_has_all_thresholds_and_draws(spark, tables):
+    from thermaweave.operators import attribution
+    from thermaweave.plans import fixtures as fx
+
+    ours, theirs = registry.queries()["attribution_summary"](spark, SF), tables.sql(registry.oracle_sql()["attribution_summary"])
+    found = ours.collect()
+    assert rows(ours.columns, found) == rows(theirs.columns, theirs.fetchall())
+    draws = attribution.bootstrap(attribution.member_hits(fx.ensemble(spark, SF), attribution.thresholds_table(spark, range(10, 100, 5))), 1000).collect()
+    assert [r.threshold for r in sorted(found)] == list(range(10, 100, 5)) and any(r.pr_high == float("inf") for r in found)
+
+    def at(values, q):
+        values, k = sorted(values), q * (len(values) - 1)
+        low, high = values[int(k)], values[min(int(k) + 1, len(values) - 1)]
+        return low if low == high else (1 - k % 1) * low + k % 1 * high
+
+    for r in found:
+        far, pr = ([x[c] for x in draws if x.threshold == r.threshold] for c in ("far", "pr"))
+        assert len(far) == 1000
+        want = (sum(far) / 1000, sum(pr) / 1000, at(far, 0.05), at(far, 0.95), at(pr, 0.05), at(pr, 0.95))
+        assert (r.far_mean, r.pr_mean, r.far_low, r.far_high, r.pr_low, r.pr_high) == pytest.approx(want, abs=1e-4)

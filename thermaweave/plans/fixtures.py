@@ -189,6 +189,11 @@ FROM (SELECT unnest(range(200))::INT AS replicate) r CROSS JOIN limits t CROSS J
 }
 
 
+#: All draws of the method; draws and boot are the 200 of the queries that compare samples.
+CTES["all_draws"] = CTES["draws"].replace("range(200)", "range(1000)")
+CTES["all_boot"] = CTES["boot"].replace("FROM draws", "FROM all_draws")
+
+
 def sql(final: str) -> str:
     """`final` behind the subqueries that it needs, directly or through others."""
     import re

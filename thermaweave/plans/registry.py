@@ -496,6 +496,22 @@ def _(spark, d):
     return run_attribution(fx.ensemble(spark, d), Settings(bootstraps=200))["summary"].where("threshold BETWEEN 30 AND 60").select("threshold", "far_mean", "far_low", "far_high")
 
 
+def _bound(c: str, q: float) -> str:
+    """Percentile of the sorted list c of n + 1 values; equal neighbours, infinite ones too, are not subtracted."""
+    low, high = f"{c}[floor({q} * n)::INT + 1]", f"{c}[ceil({q} * n)::INT + 1]"
+    return f"round(CASE WHEN {low} = {high} THEN {low} ELSE (ceil({q} * n) - {q} * n) * {low} + ({q} * n - floor({q} * n)) * {high} END::DOUBLE, 4)"
+
+
+@_query("attribution_summary", f"""SELECT threshold, round(far_mean, 4) AS far_mean, round(pr_mean, 4) AS pr_mean, {", ".join(f"{_bound(c, q)} AS {c}_{n}" for c in ("far", "pr") for n, q in (("low", 0.05), ("high", 0.95)))} FROM (
+SELECT threshold, CASE WHEN bool_or(isinf(far)) THEN '-Infinity'::DOUBLE ELSE avg(CASE WHEN NOT isinf(far) THEN far END) END AS far_mean, CASE WHEN bool_or(isinf(pr)) THEN 'Infinity'::DOUBLE ELSE avg(CASE WHEN NOT isinf(pr) THEN pr END) END AS pr_mean,
+  list_sort(list(far)) AS far, list_sort(list(pr)) AS pr, (count(*) - 1)::DOUBLE AS n FROM all_boot GROUP BY threshold)""")
+def _(spark, d):
+    """All thresholds over all draws of the defaults; infinite values are values."""
+    from .pipelines import run_attribution
+
+    return run_attribution(fx.ensemble(spark, d))["summary"]
+
+
 @_query("humid_run", f"""SELECT year, round(avg(wbt_days), 4) AS wbt_days, round(avg(sh_days), 4) AS sh_days FROM (
 SELECT year(time)::INT AS year, lat_idx, lon_idx, sum(({_CLOSED} >= 25.5)::INT) AS wbt_days, sum(({_SH} >= 19)::INT) AS sh_days FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY year""")
 def _(spark, d):
