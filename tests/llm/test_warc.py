@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 from thermaweave.llm import warc
 
 
@@ -16,3 +19,26 @@ def test_records(spark, tmp_path):
     assert head.startswith("WARC/1.1\r\n") and f"Content-Length: {len(body.encode())}" in head and body == text.block
     warc.write(warc.derive(pages), str(tmp_path / "w"))
     assert warc.derive(pages.limit(0)).count() == 0
+
+
+def test_all_references(spark):
+    from html import unescape
+    from html.entities import html5
+
+    names = [f"&{k}" for k in sorted(html5)]
+    texts = [" | ".join(names[k : k + 100]) for k in range(0, len(names), 100)] + ["&copy; 2020 &middot; A&#8217;s &#x1F600; &#169 &amp;copy; &amp;nbsp; &unknown; a & b &lt;p&gt;&#128;&#0;", "a&nbsp;b&#160;&#xA0;c&#1600;"]
+    pages = spark.createDataFrame([(k, "u", f"<title>{t}</title><p>{t}</p>") for k, t in enumerate(texts)] + [(900, None, None), (901, "u", "")], "page_id long, url string, html string")
+    found = {(r.page_id, r.record_type): r for r in warc.derive(pages, all_references=True).collect()}
+
+    def spaced(x):
+        for p, r in warc.SPACES:
+            x = re.sub(p, r, x)
+        return x.strip(" \n")
+
+    for k, t in enumerate(texts):
+        want = spaced(unescape(re.sub(r"&nbsp;?|&#160;|&#xA0;", " ", t)))
+        assert found[k, "conversion"].block == want and found[k, "metadata"].block == f"title: {want}\r\nlanguage: \r\nlinks: 0\r\n"
+        assert found[k, "conversion"].block_digest == "sha256:" + hashlib.sha256(want.encode()).hexdigest() and found[k, "conversion"].block_length == len(want.encode())
+    assert found[900, "conversion"].block == "" and found[901, "conversion"].block == "" and len(found) == 2 * len(texts) + 4
+    plain = {(r.page_id, r.record_type): r for r in warc.derive(pages).collect()}
+    assert all(plain[k].record_id == found[k].record_id and plain[k].refers_to == found[k].refers_to for k in found)

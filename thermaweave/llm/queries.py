@@ -17,6 +17,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": rules.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_warc_derivatives": warc.op7,
+    "op7_warc_decoded": warc.op7_decoded,
     "op8_media_columns": media.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,

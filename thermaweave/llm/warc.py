@@ -7,6 +7,11 @@ All of it is Spark SQL functions in one pass without a shuffle.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from .common import table
 SILENT = ("script", "style", "noscript", "template", "title")
 BREAKS = "p|div|article|section|h[1-6]|li|ul|ol|table|tr|td|th|br|figure|figcaption|nav|body|html|head|header|footer|blockquote|pre|hr"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: References of the no-break space.
+BLANK = re.compile(r"&(?:nbsp;?|#0*160(?:;|(?![0-9]))|#[xX]0*[aA]0(?:;|(?![0-9a-fA-F])))")
 #: (pattern, replacement) in turn; both Java's and RE2's syntax.
 STEPS = (
     ("(?is)<!--.*?-->|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>" for t in SILENT), ""),
@@ -38,10 +45,34 @@ def _spaced(c: Column) -> Column:
     return F.btrim(c, F.lit(" \n"))
 
 
-def plain_text(html: Column) -> Column:
+def _stripped(html: Column) -> Column:
     for p, r in STEPS:
         html = F.regexp_replace(html, p, r)
-    return _spaced(_referred(html))
+    return html
+
+
+def plain_text(html: Column) -> Column:
+    return _spaced(_referred(_stripped(html)))
+
+
+def decoded(text: str) -> str:
+    """All character references, named and numeric, once; those of the no-break space are blanks, as in REFERENCES."""
+    return unescape(BLANK.sub(" ", text))
+
+
+def _with_all_references(base: DataFrame) -> DataFrame:
+    """base with the columns title and text of its html, every reference decoded."""
+    rows = base.withColumns({"title": F.regexp_replace(F.regexp_extract("html", TITLE, 1), r"\s+", " "), "text": _stripped(F.col("html"))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in ("title", "text"):
+                b = b.set_column(b.schema.get_field_index(c), c, pa.array([decoded(x) if "&" in x else x for x in b.column(b.schema.get_field_index(c)).to_pylist()], type=pa.string()))
+            yield b
+
+    # Of the page only what the records hold goes to Python and back.
+    rows = rows.withColumns({"language": F.regexp_extract("html", LANGUAGE, 1), "links": F.regexp_count("html", F.lit(LINK))}).drop("html")
+    return rows.mapInArrow(run, rows.schema).withColumns({c: _spaced(F.col(c)) for c in ("title", "text")})
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -51,20 +82,26 @@ def record_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
-def derive(pages: DataFrame) -> DataFrame:
+def derive(pages: DataFrame, all_references: bool = False) -> DataFrame:
     """Two rows per row of pages (page_id, url, html): page_id, record_type, record_id, refers_to, target_uri,
     source_type, source_length, source_digest, block_type, block_length, block_digest, block.
 
     Null HTML is an empty response: its text is empty and its metadata have an empty title. A null url stays null as
     target. Ids and digests follow content, so repeated rows give equal records. Text of any length is converted whole;
-    other columns are not read; an empty table gives no rows.
+    other columns are not read; an empty table gives no rows. Titles and texts have the references of REFERENCES decoded,
+    as the SQL has it, or with all_references every one that html.unescape knows.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id"), F.col("url").alias("target_uri"), html.alias("html")).withColumns({"source_digest": F.concat(F.lit("sha256:"), F.sha2("html", 256)), "source_length": F.octet_length("html").cast("long")})
     base = base.withColumn("refers_to", record_id("response", F.col("page_id"), F.col("target_uri"), F.col("source_digest")))
-    title = _spaced(_referred(F.regexp_replace(F.regexp_extract("html", TITLE, 1), r"\s+", " ")))
-    metadata = F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), F.regexp_extract("html", LANGUAGE, 1), F.lit("\r\nlinks: "), F.regexp_count("html", F.lit(LINK)).cast("string"), F.lit("\r\n"))
-    kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("block_type"), metadata.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("block_type"), plain_text(F.col("html")).alias("block")))
+    if all_references:
+        base = _with_all_references(base)
+        title, text, language, links = (F.col(c) for c in ("title", "text", "language", "links"))
+    else:
+        title = _spaced(_referred(F.regexp_replace(F.regexp_extract("html", TITLE, 1), r"\s+", " ")))
+        text, language, links = plain_text(F.col("html")), F.regexp_extract("html", LANGUAGE, 1), F.regexp_count("html", F.lit(LINK))
+    metadata = F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), language, F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\n"))
+    kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("block_type"), metadata.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("block_type"), text.alias("block")))
     rows = base.withColumn("_r", F.explode(kinds)).select("*", "_r.*")
     return rows.select(
         "page_id", "record_type", F.when(F.col("record_type") == "metadata", record_id("metadata", F.col("refers_to"))).otherwise(record_id("conversion", F.col("refers_to"))).alias("record_id"), "refers_to", "target_uri",
@@ -93,6 +130,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "pages"))
 
 
+def op7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(table(spark, sf_dir, "pages"), all_references=True)
+
+
 def _oracle() -> str:
     def text(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
