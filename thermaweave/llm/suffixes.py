@@ -31,6 +31,8 @@ MOST_CLASSES = 256
 CHUNK = 32
 #: Bytes of context that a task sorts at once (whole anchors).
 SORT_BYTES = 4 << 20
+#: Bytes that are verified at once.
+EQUAL_BYTES = 1 << 20
 #: The column that with_spans() adds.
 SPANS = "_repeated_spans"
 #: Long texts are looked at in parts of so many windows.
@@ -89,6 +91,19 @@ def find_anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
     return keyed(docs).mapInArrow(run, ", ".join(f"{k} long" for k in (*KEY, *names)))
 
 
+def equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
+    """Whether all strings of these lengths at a and b are equal; EQUAL_BYTES of them are compared at once."""
+    ends, at = np.cumsum(length), 0
+    while at < len(length):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EQUAL_BYTES, side="right")))
+        c = length[at:stop]
+        inside = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        if (buf[np.repeat(a[at:stop], c) + inside] != buf[np.repeat(b[at:stop], c) + inside]).any():
+            return False
+        at = stop
+    return True
+
+
 class Suffixes:
     """Suffixes of a buffer, each with a length, compared by prefix hashes."""
 
@@ -150,9 +165,7 @@ class Suffixes:
 
     def _verified(self) -> bool:
         """Whether all common extensions of neighbours are equal byte by byte."""
-        c = self.common
-        inside = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        return bool((self.buf[np.repeat(self.start[self.order[:-1]], c) + inside] == self.buf[np.repeat(self.start[self.order[1:]], c) + inside]).all())
+        return equal_bytes(self.buf, self.start[self.order[:-1]], self.start[self.order[1:]], self.common)
 
 
 class RangeMinimum:
@@ -198,8 +211,7 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
     shared = RangeMinimum(s.common)(rank[who[a]], rank[who[b]]) if len(a) else np.zeros(0)
     hit = shared >= span - offset[a]
     a, b = a[hit], b[hit]
-    inside = np.arange(offset[a].sum()) - np.repeat(np.cumsum(offset[a]) - offset[a], offset[a])
-    if not (buf[np.repeat(anchor[a] - offset[a], offset[a]) + inside] == buf[np.repeat(anchor[b] - offset[b], offset[b]) + inside]).all():
+    if not equal_bytes(buf, anchor[a] - offset[a], anchor[b] - offset[b], offset[a]):
         raise ValueError("two different strings have equal hashes")
     most, least = np.full(len(size), -1), np.full(len(size), 1 << 40)
     for x in (a, b):
