@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -25,6 +26,26 @@ def brute(rows, span=SPAN):
     return sorted(out, key=repr)
 
 
+def passages(rows, span=SPAN, words=50):
+    """(doc_id, number of passages, their bytes, remaining text)."""
+    texts = [(t or "").encode() for _, t in rows]
+    half, out = span // 2, []
+    seen = Counter(t[i : i + half] for t in texts for i in range(len(t) - half + 1))
+    for (doc, _), t in zip(rows, texts, strict=True):
+        mask = bytearray(len(t))
+        for i in range(len(t) - half + 1):
+            if seen[t[i : i + half]] > 1:
+                mask[i : i + half] = b"\1" * half
+        n, gone = 0, bytearray(len(t))
+        for m in re.finditer(rb"\x01+", bytes(mask)):
+            whole = sum(m.start() <= w.start() and w.end() <= m.end() for w in re.finditer(rb"[^ \t-\r]+", t))
+            if m.end() - m.start() >= span or whole > words:
+                n += 1
+                gone[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        out.append((doc, n, sum(gone), bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")))
+    return sorted(out, key=repr)
+
+
 def run(df, span=SPAN, gram=20):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(df, span, gram).collect()), key=repr)
 
@@ -46,6 +67,15 @@ def test_brute_force(spark):
     assert run(docs(spark, rows())) == brute(rows())
 
 
+def test_passages_of_many_words(spark):
+    shared = ["".join(chr(97 + (i * 7 + k) % 26) + " " for i in range(60)) for k in range(2)]
+    mine = [(1000 + i, f"{words(20, seed=i)}\n{shared[i % 2][: 2 * n]}\n{words(20, seed=50 + i)}") for i, n in enumerate((51, 51, 50, 50, 60, 52, 9))] + rows()
+    found = sorted(((r.doc_id, r.n_passages, r.n_passage_bytes, r.text) for r in suffixes.dedup(docs(spark, mine), 200, 100).collect()), key=repr)
+    assert found == passages(mine, 200)
+    assert {n for i, n, *_ in found if i in (1000, 1001)} == {1}
+    assert run(docs(spark, mine), 200, 100) == brute(mine, 200)
+
+
 def test_counted_windows(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "MOST_CLASSES", 1)
     monkeypatch.setattr(suffixes, "CHUNK", 4)

@@ -1,9 +1,12 @@
 """Suffix-array dedup: removal of byte strings that stand anywhere else, by hash-compared suffix sorting.
 
+Two lengths of strings are looked for in one pass: `span` bytes (removed) and half of that, whose runs are reported as
+passages where they hold over 50 words. What follows holds for each length by itself.
+
 A window is `span` bytes. Every window selects an anchor, the k-gram in it whose hash is smallest (leftmost of equals),
 so equal windows select equal anchors at equal offsets, and consecutive windows share theirs. Anchors that stand once
-need no further look. The others are classes (anchor hash, hash of all bytes of the anchor's windows): members of a
-class with several members are repeated throughout. Where an anchor has several classes, one member of each goes to a
+need no further look. The others are classes (polynomial hash of the anchor, and a hash of another kind, xxh3, of all
+bytes of the anchor's windows): members of a class with several members are repeated throughout. Where an anchor has several classes, one member of each goes to a
 task with the anchor's other classes. There the suffixes that begin at the anchor are sorted by mergesort; two suffixes
 are compared by binary search for their common extension over polynomial prefix hashes, and every common extension is
 verified byte by byte. A window at offset o before its anchor is repeated if another one's o bytes before the anchor
@@ -15,28 +18,33 @@ An anchor with very many classes isn't gathered: its windows are counted by hash
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KEY, Prefix, batch, doc_columns, forget, keyed, mix, steps, stored, table, text_hashes
 
 SPAN, GRAM = 400, 200
+#: Runs of strings of half the span are passages if they hold more whole words than these, or a span of bytes.
+PASSAGE_WORDS = 50
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Classes of an anchor that are sorted together; beyond, windows are counted by hash.
 MOST_CLASSES = 256
 #: Offsets of windows that are counted together beyond.
 CHUNK = 32
 #: Bytes of context that a task sorts at once (whole anchors).
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 #: Bytes that are verified at once.
 EQUAL_BYTES = 1 << 20
 #: The column that with_spans() adds.
 SPANS = "_repeated_spans"
 #: Long texts are looked at in parts of so many windows.
-PART = 1 << 21
+PART = 1 << 19
 
 
 def anchors(text: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -73,20 +81,34 @@ def parts(text: np.ndarray, span: int = SPAN):
         yield at, text[at : at + PART + span - 1]
 
 
-def find_anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """KEY, anchor, first, width, stop, copies, gram_hash, class_hash, as anchors() has them."""
-    names = ("anchor", "first", "width", "stop", "copies", "gram_hash", "class_hash")
+def class_names(text: bytes, first: np.ndarray, width: np.ndarray, before: np.ndarray, span: int) -> np.ndarray:
+    """For each run of windows a hash of all its bytes and of its anchor's place in them."""
+    rows = zip(first.tolist(), (first + width + span).tolist(), before.tolist(), strict=True)
+    return np.fromiter((xxhash.xxh3_64_intdigest(text[a:z], b) for a, z, b in rows), dtype=np.uint64, count=len(first)).view(np.int64)
+
+
+def find_anchors(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFrame:
+    """KEY, span, anchor, first, width, stop, copies, gram_hash, class_hash, as anchors() has them for each (span, gram).
+
+    Anchors of different levels have different hashes."""
+    names = ("span", "anchor", "first", "width", "stop", "copies", "gram_hash", "class_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, texts in steps(b):
                 held: list[tuple] = []
                 for i, t in enumerate(texts):
-                    for offset, part in parts(np.frombuffer(t, dtype=np.uint8), span):
-                        a, first, width, stop, copies, g, c = anchors(part, span, gram)
-                        held.append((np.full(len(a), row + i), a + offset, first + offset, width, stop + offset, copies, g.view(np.int64), c.view(np.int64)))
-                of, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield batch({k: (b.column(i).take(pa.array(of)), pa.int64()) for i, k in enumerate(KEY)} | {k: (v, pa.int64()) for k, v in zip(names, cols, strict=True)})
+                    for span, gram in levels:
+                        for offset, part in parts(np.frombuffer(t, dtype=np.uint8), span):
+                            a, first, width, stop, copies, g, _ = anchors(part, span, gram)
+                            if len(a):
+                                first += offset
+                                a += offset
+                                c = class_names(t, first, width, a - first, span)
+                                held.append((np.full(len(a), row + i), np.full(len(a), span), a, first, width, stop + offset, copies, mix(g + np.uint64(span)).view(np.int64), c))
+                if held:
+                    of, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield batch({k: (b.column(i).take(pa.array(of)), pa.int64()) for i, k in enumerate(KEY)} | {k: (v, pa.int64()) for k, v in zip(names, cols, strict=True)})
 
     return keyed(docs).mapInArrow(run, ", ".join(f"{k} long" for k in (*KEY, *names)))
 
@@ -186,10 +208,10 @@ class RangeMinimum:
         return out
 
 
-def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context, the largest and smallest offset o at which the window that begins o bytes before the anchor is
     repeated in its group; -1, -1 if none is. before: bytes of the context that stand before the anchor; its windows
-    begin at 0 ... len - span."""
+    begin at 0 ... len - span. Contexts of a group have one span."""
     size = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
     at = np.cumsum(size) - size
     buf = np.frombuffer(b"".join(contexts), dtype=np.uint8)
@@ -209,7 +231,7 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
     ok = (group[who[a]] == group[who[b]]) & (offset[a] == offset[b])
     a, b = a[ok], b[ok]
     shared = RangeMinimum(s.common)(rank[who[a]], rank[who[b]]) if len(a) else np.zeros(0)
-    hit = shared >= span - offset[a]
+    hit = shared >= span[who[a]] - offset[a]
     a, b = a[hit], b[hit]
     if not equal_bytes(buf, anchor[a] - offset[a], anchor[b] - offset[b], offset[a]):
         raise ValueError("two different strings have equal hashes")
@@ -221,78 +243,80 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
     return most, least
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """KEY, start, end, stored: spans whose union is what is covered by repeated windows."""
-    found = stored(find_anchors(docs, span, gram), "anchors")
+def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFrame:
+    """KEY, span, start, end, stored: for each level, spans whose union is what is covered by repeated windows."""
+    found = stored(find_anchors(docs, levels), "anchors")
     grams = found.groupBy("gram_hash").agg(F.sum("copies").alias("members"), F.min("class_hash").alias("c0"), F.max("class_hash").alias("c1")).where("members > 1").select("gram_hash", (F.col("c0") != F.col("c1")).alias("mixed"))
     grams = stored(grams, "grams")  # so that both sides of the join are plain exchanges, which Spark can split
-    again = stored(found.join(grams, "gram_hash"), "repeated-anchors")
+    again = stored(found.join(grams.hint("merge"), "gram_hash"), "repeated-anchors")
     forget(found, grams)
     classes = again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), F.min("mixed").alias("mixed"), F.min(F.struct(*KEY)).alias("k")).select("gram_hash", "class_hash", "members", "mixed", "k.*")
     # One member of each class: the text with the smallest key, and there the first place.
     classes = stored(classes, "classes")
     mixed = classes.where("mixed").groupBy("gram_hash").agg(F.count("*").alias("classes"))
     single = classes.where("mixed").join(mixed, "gram_hash")
-    places = again.where("mixed").groupBy("gram_hash", "class_hash", *KEY).agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("width").alias("width"))
+    places = again.where("mixed").groupBy("gram_hash", "class_hash", *KEY).agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("width").alias("width"), F.min("span").alias("span"))
     same = " AND ".join(f"a.{c} <=> b.{c}" for c in KEY)
     places = places.alias("a").join(single.alias("b"), F.expr(f"a.gram_hash = b.gram_hash AND a.class_hash = b.class_hash AND {same}")).select("a.*", "classes")
-    by_doc = places.groupBy(*KEY).agg(F.collect_list(F.struct("gram_hash", "class_hash", "anchor", "first", "width", "classes")).alias("places"))
-    joined = keyed(docs).alias("a").join(by_doc.alias("b"), F.expr(same)).select("a.text", "b.places")
-    kind = pa.list_(pa.struct([("gram_hash", pa.int64()), ("class_hash", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("classes", pa.int64())]))
+    fields = ("gram_hash", "class_hash", "classes", "span", "anchor", "first", "width")
+    by_doc = places.groupBy(*KEY).agg(*[F.collect_list(F.struct(*fields)).alias("places")])
+    joined = keyed(docs).alias("a").join(by_doc.hint("merge").alias("b"), F.expr(same)).select("a.text", "b.places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(1).cast(kind).to_pylist()
+            ends = b.column(1).offsets.to_numpy()
+            flat = b.column(1).values.flatten()
+            wanted = np.stack([c.to_numpy() for c in flat], axis=1)
             for row, texts in steps(b):
                 rows = []
                 for i, t in enumerate(texts):
-                    for p in wanted[row + i]:
-                        context = t[p["first"] : p["first"] + p["width"] + span]
-                        if len(context) == p["width"] + span and class_of(context, p["anchor"] - p["first"], span) == p["class_hash"]:
-                            rows.append((p["gram_hash"], p["class_hash"], p["classes"], p["anchor"] - p["first"], context))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield batch({"gram_hash": (cols[0], pa.int64()), "class_hash": (cols[1], pa.int64()), "classes": (cols[2], pa.int64()), "before": (cols[3], pa.int64()), "context": (cols[4], pa.binary())})
+                    for g, c, n, span, anchor, first, width in wanted[ends[row + i] : ends[row + i + 1]].tolist():
+                        context = t[first : first + width + span]
+                        if len(context) == width + span and class_names(context, np.zeros(1, np.int64), np.array([width]), np.array([anchor - first]), span)[0] == c:
+                            rows.append((g, c, n, span, anchor - first, context))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(("gram_hash", "class_hash", "classes", "span", "before", "context"), cols, strict=True)})
 
-    contexts = stored(joined.mapInArrow(cut, "gram_hash long, class_hash long, classes long, before long, context binary"), "contexts")
+    contexts = stored(joined.mapInArrow(cut, "gram_hash long, class_hash long, classes long, span long, before long, context binary"), "contexts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def result():
-            rows = {(g, c): (g, c, o, x) for g, c, o, x in held}  # repeated rows may bring a class twice
+            rows = {r[:2]: r for r in held}  # repeated rows may bring a class twice
             rows = list(rows.values())
             group = np.cumsum([0] + [rows[i][0] != rows[i - 1][0] for i in range(1, len(rows))])
-            most, least = repeated_windows([r[3] for r in rows], np.array([r[2] for r in rows]), group, span)
+            most, least = repeated_windows([r[4] for r in rows], np.array([r[3] for r in rows]), group, np.array([r[2] for r in rows]))
             keep = np.flatnonzero(most >= 0)
             return batch({"gram_hash": ([rows[i][0] for i in keep], pa.int64()), "class_hash": ([rows[i][1] for i in keep], pa.int64()), "most": (most[keep], pa.int64()), "least": (least[keep], pa.int64())})
 
         for b in batches:
-            for g, c, o, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                if size > SORT_BYTES and held[-1][0] != g:
+            for r in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                if size > SORT_BYTES and held[-1][0] != r[0]:
                     yield result()
                     held, size = [], 0
-                held.append((g, c, o, x))
-                size += len(x)
+                held.append(r)
+                size += len(r[4])
         if held:
             yield result()
 
     schema = "gram_hash long, class_hash long, most long, least long"
-    few = contexts.where(F.col("classes") <= MOST_CLASSES).select("gram_hash", "class_hash", "before", "context")
+    few = contexts.where(F.col("classes") <= MOST_CLASSES).select("gram_hash", "class_hash", "span", "before", "context")
     sorted_few = few.repartition("gram_hash").sortWithinPartitions("gram_hash", "class_hash").mapInArrow(sort, schema)
 
-    many = contexts.where(F.col("classes") > MOST_CLASSES).select("gram_hash", "class_hash", "before", "context")
-    counted = stored(counted_windows(many.dropDuplicates(["gram_hash", "class_hash"]), span), "counted")
+    many = contexts.where(F.col("classes") > MOST_CLASSES).select("gram_hash", "class_hash", "span", "before", "context")
+    counted = stored(counted_windows(many.dropDuplicates(["gram_hash", "class_hash"])), "counted")
     partial = sorted_few.unionByName(counted)
     # Members of a class with several members are repeated throughout, others as far as their class is.
-    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select(*KEY, F.col("first").alias("start"), (F.col("stop") + span).alias("end"))
+    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select(*KEY, "span", F.col("first").alias("start"), (F.col("stop") + F.col("span")).alias("end"))
     some = again.where("mixed").join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi").join(partial, ["gram_hash", "class_hash"])
-    some = some.select(*KEY, (F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") - F.col("least") + span).alias("end"))
+    some = some.select(*KEY, "span", (F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") - F.col("least") + F.col("span")).alias("end"))
     spans = stored(whole.unionByName(some), "spans")
     forget(again, classes, contexts, counted)
     return spans
 
 
-def counted_windows(contexts: DataFrame, span: int = SPAN) -> DataFrame:
+def counted_windows(contexts: DataFrame) -> DataFrame:
     """gram_hash, class_hash, most, least as repeated_windows() finds them, by counting hashes of bytes.
 
     Windows are taken CHUNK offsets at a time. A chunk whose bytes stand twice is repeated throughout. The bytes that all
@@ -303,7 +327,7 @@ def counted_windows(contexts: DataFrame, span: int = SPAN) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = []
-            for g, c, o, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
+            for g, c, span, o, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 prefix, lowest = Prefix(np.frombuffer(x, dtype=np.uint8)), o - (len(x) - span)
                 q = np.arange(lowest // CHUNK, o // CHUNK + 1)
                 low, high = np.maximum(q * CHUNK, lowest), np.minimum(q * CHUNK + CHUNK - 1, o)
@@ -321,26 +345,20 @@ def counted_windows(contexts: DataFrame, span: int = SPAN) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for o, x, ranges in zip(*(col.to_pylist() for col in b.columns), strict=True):
+            for span, o, x, ranges in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 prefix = Prefix(np.frombuffer(x, dtype=np.uint8))
                 for r in ranges:
                     offset = np.arange(r["low"], r["high"] + 1)
                     h = mix(prefix.part(o - offset, o - offset + span) + offset.astype(np.uint64))
                     yield batch({"chunk": (np.full(len(offset), r["chunk"]), pa.int64()), "offset": (offset, pa.int64()), "window": (h.view(np.int64), pa.int64())})
 
-    listed = stored(contexts.join(apart, ["gram_hash", "class_hash"]).select("before", "context", "parts").mapInArrow(windows, "chunk long, offset long, window long"), "windows")
+    listed = stored(contexts.join(apart, ["gram_hash", "class_hash"]).select("span", "before", "context", "parts").mapInArrow(windows, "chunk long, offset long, window long"), "windows")
     twice = listed.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window")
     single = listed.join(twice, "window").groupBy("chunk").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
     whole = kinds.where("members > 1").select("chunk", F.col("high").alias("most"), F.col("low").alias("least"))
     return chunks.join(stored(whole.unionByName(single), "repeated-chunks"), "chunk").groupBy("gram_hash", "class_hash").agg(F.max("most").alias("most"), F.min("least").alias("least"))
 
 
-def class_of(context: bytes, before: int, span: int = SPAN) -> int:
-    buf = np.frombuffer(context, dtype=np.uint8)
-    whole = Prefix(buf).part(np.array([0]), np.array([len(buf)]))
-    return int(mix(whole ^ (np.array([len(buf) - span], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([before], dtype=np.uint64))).view(np.int64)[0])
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans without overlap or touch."""
     out: list[tuple[int, int]] = []
@@ -352,21 +370,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """docs (all columns) with SPANS, an array of (start, end) in bytes whose union is removed (null: none).
+def with_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFrame:
+    """docs (all columns) with SPANS, an array of (span, start, end) in bytes (null: none); each level's union is what its
+    repeated strings cover.
 
     Spans go by id and two hashes of the text, so rows that share an id, or have none, keep their own.
     """
-    found = repeated_spans(doc_columns(docs), span, gram)
-    by_doc = found.groupBy(*[F.col(c).alias(f"_span_{c}") for c in KEY]).agg(F.collect_set(F.struct("start", "end")).alias(SPANS))
+    found = repeated_spans(doc_columns(docs), levels)
+    by_doc = found.groupBy(*[F.col(c).alias(f"_span_{c}") for c in KEY]).agg(F.collect_set(F.struct("span", "start", "end")).alias(SPANS))
     # Hashes are columns of their own before the join, so that it hashes each text once.
     mine = docs.withColumns(dict(zip([f"_mine_{c}" for c in KEY], [docs["doc_id"].cast("long"), *text_hashes(docs["text"])], strict=True)))
     same = " AND ".join(f"_mine_{c} <=> _span_{c}" for c in KEY)
-    return mine.join(by_doc, F.expr(same), "left").drop(*[f"_{side}_{c}" for side in ("mine", "span") for c in KEY])
+    return mine.join(by_doc.hint("merge"), F.expr(same), "left").drop(*[f"_{side}_{c}" for side in ("mine", "span") for c in KEY])
 
 
-def _runs(rows) -> list[list[tuple[int, int]]]:
-    return [merged([(s["start"], s["end"]) for s in r or ()]) for r in rows]
+def runs_of(spans: list[dict] | None, span: int) -> list[tuple[int, int]]:
+    return merged([(s["start"], s["end"]) for s in spans or () if s["span"] == span])
+
+
+def is_passage(text: bytes, start: int, end: int, span: int = SPAN, most: int = PASSAGE_WORDS) -> bool:
+    """Whether a run has at least `span` bytes or more than `most` whole words."""
+    if end - start >= span:
+        return True
+    at = [(m.start(), m.end()) for m in WORD.finditer(text[start:end])]
+    cut = bool(at) and at[0][0] == 0 and start > 0 and WORD.match(text[start - 1 : start]) is not None
+    cut += bool(at) and at[-1][1] == end - start and end < len(text) and WORD.match(text[end : end + 1]) is not None
+    return len(at) - cut > most
 
 
 def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -374,46 +403,59 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:z] for a, z in zip(ends, [*(a for a, _ in runs), len(text)], strict=True))
 
 
-def dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), n_passages,
+    n_passage_bytes, text.
 
     Every byte covered by a string of `span` bytes that also starts anywhere else, in the same or another document,
     is removed; strings are judged on the input and never cross documents. Null texts are empty; texts shorter than
     `span` lose nothing; repeated rows are each other's copies. An empty table gives no rows.
+
+    Passages are maximal runs of bytes covered by strings of half the span that start anywhere else too, if the run has
+    more than `words` whole words or a span of bytes; text is what remains without them (a character that loses a byte
+    goes). They hold all that is removed, and shorter passages besides.
     """
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passages long, n_passage_bytes long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(2).to_pylist()
             for row, texts in steps(b):
-                runs = _runs(spans[row : row + len(texts)])
-                kept = [_kept(t, r) for t, r in zip(texts, runs, strict=True)]
-                yield batch({
-                    "doc_id": (b.column(0).slice(row, len(texts)), pa.int64()), "n_bytes": ([len(t) for t in texts], pa.int64()), "n_removed": ([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
-                    "n_spans": ([len(r) for r in runs], pa.int64()), "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": (kept, pa.binary()),
-                })
+                rows = []
+                for t, s in zip(texts, b.column(2).slice(row, len(texts)).to_pylist(), strict=True):
+                    runs, passages = runs_of(s, span), [r for r in runs_of(s, span // 2) if is_passage(t, *r, span, words)]
+                    kept, rest = _kept(t, runs), _kept(t, passages)
+                    rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, len(passages), len(t) - len(rest), rest.decode("utf-8", "ignore")))
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()] + [pa.int64()] * 2 + [pa.string()]
+                names = [c.split()[0] for c in schema.split(", ")]
+                yield batch({"doc_id": (b.column(0).slice(row, len(texts)), pa.int64())} | {k: (list(v), kind) for k, v, kind in zip(names[1:], zip(*rows, strict=True), kinds, strict=True)})
 
-    return with_spans(doc_columns(docs), span, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_spans(doc_columns(docs), ((span, gram), (span // 2, gram // 2))).mapInArrow(run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with their texts cut; a character of which a byte goes, goes. n_chars follows; emptied documents go."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """docs without their passages (see dedup()); a character of which a byte goes, goes. n_chars follows.
+
+    Documents that lose all their text go; null and empty texts stay as they are, and so do rows without passages, with
+    or without an id. Equal rows lose the same. An empty table stays empty; other columns, whatever their names, stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(b.num_columns - 1).to_pylist()
             at = b.schema.get_field_index("text")
             for row, texts in steps(b):
-                runs = _runs(spans[row : row + len(texts)])
-                kept = [_kept(t, r).decode("utf-8", "ignore") if r else t.decode("utf-8") for t, r in zip(texts, runs, strict=True)]
-                part = b.slice(row, len(texts)).select(range(b.num_columns - 1))
-                part = part.set_column(at, "text", pa.array(kept, type=pa.string()))
+                part = b.slice(row, len(texts))
+                spans = part.column(b.num_columns - 1).to_pylist()
+                runs = [[r for r in runs_of(s, span // 2) if is_passage(t, *r, span)] for t, s in zip(texts, spans, strict=True)]
+                kept = [_kept(t, r).decode("utf-8", "ignore") if r else old for t, r, old in zip(texts, runs, part.column(at).to_pylist(), strict=True)]
+                part = part.select(range(b.num_columns - 1)).set_column(at, b.schema.field(at), pa.array(kept, type=pa.string()))
                 if "n_chars" in part.schema.names:
-                    part = part.set_column(part.schema.get_field_index("n_chars"), "n_chars", pa.array([len(k) for k in kept], type=part.schema.field("n_chars").type))
+                    c = part.schema.get_field_index("n_chars")
+                    count = [len(k) if r else old for k, r, old in zip(kept, runs, part.column(c).to_pylist(), strict=True)]
+                    part = part.set_column(c, part.schema.field(c), pa.array(count, type=part.schema.field(c).type))
                 yield part.filter(pa.array([bool(k) or not r for k, r in zip(kept, runs, strict=True)], type=pa.bool_()))
 
-    return with_spans(docs).select(*docs.columns, SPANS).mapInArrow(run, docs.schema)
+    return with_spans(docs, ((span // 2, gram // 2),)).select(*docs.columns, SPANS).mapInArrow(run, docs.schema)
