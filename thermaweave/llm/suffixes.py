@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, Prefix, batch, doc_columns, forget, keyed, mix, steps, stored, table, text_hashes
 
-SPAN, GRAM = 400, 200
+SPAN, GRAM = 400, 160
 #: Runs of strings of half the span are passages if they hold more whole words than these, or a span of bytes.
 PASSAGE_WORDS = 50
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -246,20 +246,16 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
 def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFrame:
     """KEY, span, start, end, stored: for each level, spans whose union is what is covered by repeated windows."""
     found = stored(find_anchors(docs, levels), "anchors")
-    grams = found.groupBy("gram_hash").agg(F.sum("copies").alias("members"), F.min("class_hash").alias("c0"), F.max("class_hash").alias("c1")).where("members > 1").select("gram_hash", (F.col("c0") != F.col("c1")).alias("mixed"))
-    grams = stored(grams, "grams")  # so that both sides of the join are plain exchanges, which Spark can split
-    again = stored(found.join(grams.hint("merge"), "gram_hash"), "repeated-anchors")
+    grams = stored(found.groupBy("gram_hash").agg(F.sum("copies").alias("members")).where("members > 1").select("gram_hash"), "grams")
+    again = stored(found.join(grams.hint("merge"), "gram_hash"), "repeated-anchors")  # grams stored: Spark can split plain exchanges
     forget(found, grams)
-    classes = again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), F.min("mixed").alias("mixed"), F.min(F.struct(*KEY)).alias("k")).select("gram_hash", "class_hash", "members", "mixed", "k.*")
-    # One member of each class: the text with the smallest key, and there the first place.
-    classes = stored(classes, "classes")
-    mixed = classes.where("mixed").groupBy("gram_hash").agg(F.count("*").alias("classes"))
-    single = classes.where("mixed").join(mixed, "gram_hash")
-    places = again.where("mixed").groupBy("gram_hash", "class_hash", *KEY).agg(F.min("anchor").alias("anchor"), F.min("first").alias("first"), F.min("width").alias("width"), F.min("span").alias("span"))
-    same = " AND ".join(f"a.{c} <=> b.{c}" for c in KEY)
-    places = places.alias("a").join(single.alias("b"), F.expr(f"a.gram_hash = b.gram_hash AND a.class_hash = b.class_hash AND {same}")).select("a.*", "classes")
+    # One member of each class: in the text with the smallest key the first place.
+    member = F.min(F.struct(*KEY, "first", "anchor", "width", "span")).alias("k")
+    classes = stored(again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), member).select("gram_hash", "class_hash", "members", "k.*"), "classes")
+    places = classes.join(classes.groupBy("gram_hash").agg(F.count("*").alias("classes")).where("classes > 1"), "gram_hash")
     fields = ("gram_hash", "class_hash", "classes", "span", "anchor", "first", "width")
-    by_doc = places.groupBy(*KEY).agg(*[F.collect_list(F.struct(*fields)).alias("places")])
+    by_doc = places.groupBy(*KEY).agg(F.collect_list(F.struct(*fields)).alias("places"))
+    same = " AND ".join(f"a.{c} <=> b.{c}" for c in KEY)
     joined = keyed(docs).alias("a").join(by_doc.hint("merge").alias("b"), F.expr(same)).select("a.text", "b.places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +304,14 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
     counted = stored(counted_windows(many.dropDuplicates(["gram_hash", "class_hash"])), "counted")
     partial = sorted_few.unionByName(counted)
     # Members of a class with several members are repeated throughout, others as far as their class is.
-    whole = again.join(classes.where("members > 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"]).select(*KEY, "span", F.col("first").alias("start"), (F.col("stop") + F.col("span")).alias("end"))
-    some = again.where("mixed").join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi").join(partial, ["gram_hash", "class_hash"])
-    some = some.select(*KEY, "span", (F.col("anchor") - F.col("most")).alias("start"), (F.col("anchor") - F.col("least") + F.col("span")).alias("end"))
-    spans = stored(whole.unionByName(some), "spans")
-    forget(again, classes, contexts, counted)
+    nothing = F.lit(None).cast("long")
+    whole = classes.where("members > 1").select("gram_hash", "class_hash", nothing.alias("most"), nothing.alias("least"))
+    part = partial.join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi")
+    found = stored(whole.unionByName(part), "repeated-classes")
+    both = again.join(found.hint("merge"), ["gram_hash", "class_hash"])
+    start, end = F.coalesce(F.col("anchor") - F.col("most"), "first"), F.coalesce(F.col("anchor") - F.col("least"), "stop") + F.col("span")
+    spans = stored(both.select(*KEY, "span", start.alias("start"), end.alias("end")), "spans")
+    forget(again, classes, contexts, counted, found)
     return spans
 
 
