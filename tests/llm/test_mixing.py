@@ -51,8 +51,9 @@ def test_awkward_rows_and_stage(spark):
     found = mixing.mix_sources(docs(spark, AWKWARD)).collect()
     assert len(found) == len(AWKWARD) and all(r.taken == 0 and r.first_position is None for r in found if r.size == 0)
     assert mixing.mix_sources(docs(spark, [])).count() == 0
-    source = docs(spark, [(i, words(10 + i, seed=i), "ab"[i % 2]) for i in range(50)]).withColumn("extra", F.lit(1))
+    source = clashing(docs(spark, [(i, words(10 + i, seed=i), "ab"[i % 2]) for i in range(50)])).withColumns({c: F.lit("own") for c in ("target", "copies", "_key", "_bucket", "taken", "source_size", "tilt")})
     out = mixing.stage(spark, source, "")
+    assert out.drop("doc_id", "text", "source", "n_chars", "lang").distinct().collect() == source.drop("doc_id", "text", "source", "n_chars", "lang").distinct().collect()
     taken = {r.doc_id: r.copies for r in mixing.mix_sources(source).collect()}
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert out.columns == source.columns and counts == {k: v for k, v in taken.items() if v}
@@ -61,3 +62,17 @@ def test_awkward_rows_and_stage(spark):
 def test_clashing_columns_are_not_read(spark):
     rows = docs(spark, [(1, "a b c", "s"), (2, "d e", "t")])
     assert mixing.mix_sources(clashing(rows)).select("doc_id", "taken").orderBy("doc_id").collect() == mixing.mix_sources(rows).select("doc_id", "taken").orderBy("doc_id").collect()
+
+
+def test_stage_on_awkward_rows(spark):
+    rows = [*AWKWARD, (None, words(30, seed=1), None), (None, words(40, seed=2), None), (9, words(20, seed=3), "a"), (9, words(20, seed=3), "a"), (10, None, "a")]
+    out = [(r.doc_id, r.text) for r in mixing.stage(spark, clashing(docs(spark, rows)), "").collect()]
+    assert {(i, t) for i, t in out} <= {(r[0], r[1]) for r in rows if r[1] and r[1].split()}
+    assert max(out.count(x) for x in out) <= 4 and out.count((9, words(20, seed=3))) % 2 == 0
+    assert mixing.stage(spark, docs(spark, []), "").collect() == []
+
+
+def test_null_ids_are_spread(spark):
+    mixed = mixing.mix_sources(docs(spark, [(None, words(12, seed=k), "a") for k in range(60)]))
+    keys = docs(spark, [(None, words(12, seed=k), "a") for k in range(60)]).select(mixing.order_key(F.col("doc_id"), F.col("text")).alias("k"))
+    assert keys.distinct().count() == 60 and mixed.count() == 60

@@ -13,15 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import forget, stored, table, text_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the production mix.
 WEIGHTS, TOTAL_SHARE, MOST_REPEATS = (5.0, 2.0, 1.0), 1.5, 2
 #: Each source in turn is drawn more and more, evenly, or less and less.
 TILTS = (0.5, 0.0, -0.5)
-#: Each source's documents are summed in so many buckets before running totals are taken.
-BUCKETS = 1024
+#: Each source's documents are summed in buckets before running totals are taken: so many (a power of two) at least,
+#: and as many as keep a bucket of a source with all rows near BUCKET_ROWS.
+BUCKETS, BUCKET_ROWS = 1024, 1 << 15
 
 
 def word_count(text: Column) -> Column:
@@ -55,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_REPEATS, tilts: Sequence[float] = TILTS) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, first_position, last_position.
 
-    Within a source, documents come in the order of a hash of doc_id. Whole documents are repeated: with
+    Within a source, documents come in the order of a hash of doc_id (of the text, where it is null). Whole documents are repeated: with
     target = q * source_size + rest every document is taken q times, and once more where the running size in hash
     order stays nearest to `rest` (its middle lies below it). So the words taken differ from the target by at most
     half a document. A document has no copy beyond `most`. Positions are the times (0 to 1) at which the schedule
@@ -68,18 +69,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     Running totals are taken in two steps (sums by hash bucket, then within a bucket), so that a source with a third
     of all rows is spread over many tasks.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("_key"))
     return place(stored(rows, "mix-sizes"), weights, share, most, tilts)
 
 
-def order_key() -> Column:
-    """60 bits of md5 of the id: an order that has nothing to do with the table's."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def order_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of md5 of the id, or of the text of a row without one: an order that has nothing to do with the table's."""
+    name = F.coalesce(doc_id.cast("long").cast("string"), text.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def place(rows: DataFrame, weights, share, most, tilts) -> DataFrame:
-    """What mix_sources does once sizes and keys are known; other columns of rows are kept."""
-    rows = rows.withColumn("_key", order_key()).withColumn("_bucket", F.floor(F.col("_key") / F.lit((1 << 60) // BUCKETS)).cast("int"))
+    """What mix_sources does once sizes and keys are known.
+
+    rows: a stored table of doc_id, source, size, _key; other columns are kept."""
+    buckets = max(BUCKETS, 1 << (rows.count() // BUCKET_ROWS).bit_length())
+    rows = rows.withColumn("_bucket", F.floor(F.col("_key") / F.lit((1 << 60) // buckets)).cast("int"))
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
     along = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +124,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS key FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM s),
 w AS (SELECT *, [5.0, 2.0, 1.0][(rank % 3 + 1)::INT]::DOUBLE AS weight, [0.5, 0.0, -0.5][(rank % 3 + 1)::INT]::DOUBLE AS tilt,
@@ -143,7 +148,23 @@ FROM y
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: one row per copy taken, in training order."""
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    mixed = place(rows, WEIGHTS, TOTAL_SHARE, MOST_REPEATS, TILTS)
-    return training_order(mixed).select(*docs.columns)
+    """The mix as documents: one row per copy taken, in training order.
+
+    Places are found on ids, text hashes and sizes alone; texts join them once. Rows of equal id, text and source are
+    placed as one document of their joint size, so they are taken alike. Null texts and texts without words aren't
+    taken; null sources are a source, null ids are told apart by their texts; an empty table stays empty. Other columns,
+    whatever their names, stay as they are.
+    """
+    here = [f"_mix_{c}" for c in ("doc_id", "h0", "h1", "source")]
+    mine = docs.withColumns(dict(zip(here, [docs["doc_id"].cast("long"), *text_hashes(docs["text"]), docs["source"].cast("string")], strict=True)))
+    sizes = mine.select(*here, word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("_key"))
+    alike = sizes.groupBy(*here, "_key").agg(F.sum("size").alias("size"))
+    rows = stored(alike.select(*here[:3], F.col(here[0]).alias("doc_id"), F.col(here[3]).alias("source"), "size", "_key"), "mix-sizes")
+    placed = place(rows, WEIGHTS, TOTAL_SHARE, MOST_REPEATS, TILTS).where("copies > 0")
+    taken = stored(placed.select(*here[:3], "source", "copies", "first_position", "last_position").toDF(*(f"_place{c}" for c in (*here, "_copies", "_first", "_last"))), "mix-places")
+    forget(rows)
+    both = mine.join(taken.hint("merge"), F.expr(" AND ".join(f"{c} <=> _place{c}" for c in here)))
+    step = (F.col("_place_last") - F.col("_place_first")) / F.greatest(F.col("_place_copies") - 1, F.lit(1))
+    each = both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_place_copies") - 1))).withColumn("_mix_position", F.col("_place_first") + F.col("_mix_copy") * step)
+    order = ("_mix_position", "_mix_doc_id", "_mix_h0")
+    return each.select(*docs.columns, *order).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
