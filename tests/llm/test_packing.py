@@ -74,3 +74,19 @@ def test_plan_is_close_to_the_bound():
         lengths = np.clip(r.exponential(scale, 50_000).astype(int) + 1, 1, 2048)
         histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
         assert sum(n for n, _ in packing.plan(histogram)) <= 1.02 * lengths.sum() / 2048 + 1
+
+
+def test_a_length_of_many_pieces_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 100)
+    same = [(None, 0, 0, 700, 7, k) for k in range(20_000)] + [(k, 0, 0, 2048, 8, k) for k in range(500)]
+    held = spark.createDataFrame(same, "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
+    found = packing.pack(held).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(map(sorted, by.values())) == [[(0, 700), (700, 700)]] * 10_000 + [[(0, 2048)]] * 500
+
+
+def test_stage_on_awkward_rows(spark):
+    assert sorted(r.doc_id or 0 for r in packing.stage(spark, clashing(docs(spark, AWKWARD)), "").collect() if r.piece == 0) == sorted(i or 0 for i, _ in AWKWARD)
+    assert packing.stage(spark, clashing(docs(spark, [])), "").collect() == []

@@ -23,12 +23,14 @@ from .tokens import encoder
 
 ROOM, END = 2048, 0
 GROUPS, SMALL = 64, 192
-#: Pieces of a length are numbered in so many buckets.
-BUCKETS = 64
+#: Pieces of a length are numbered in buckets: so many at least, and as many as keep each near BUCKET_ROWS.
+BUCKETS, BUCKET_ROWS = 64, 1 << 16
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every document's ids and the end id, longer ones cut at `room`.
+    """doc_id, piece, start, length, ids_crc32, lot: every document's ids and the end id, longer ones cut at `room`.
+
+    lot: the number of the piece in its task, by which equal rows are told apart.
 
     tokenizer: a path that the executors can read; by default that of the installed word_bpe_49k.json.
     """
@@ -36,6 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
+        lot = 0
         encode = encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json")).encode
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -46,9 +49,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> D
                     n = len(data) // 4
                     rows += [(ids[first + i], k, s, min(room, n - s), zlib.crc32(data[4 * s : 4 * (s + room)])) for k, s in enumerate(range(0, n, room))]
                 cols = list(zip(*rows, strict=True))
-                yield batch({"doc_id": (cols[0], pa.int64()), "piece": (cols[1], pa.int32()), "start": (cols[2], pa.int64()), "length": (cols[3], pa.int64()), "ids_crc32": (cols[4], pa.int64())})
+                yield batch({"doc_id": (cols[0], pa.int64()), "piece": (cols[1], pa.int32()), "start": (cols[2], pa.int64()), "length": (cols[3], pa.int64()), "ids_crc32": (cols[4], pa.int64()), "lot": (np.arange(lot, lot + len(rows)), pa.int64())})
+                lot += len(rows)
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
 
 
 def _best_configuration(sizes: list[int], worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -76,7 +80,9 @@ def _best_configuration(sizes: list[int], worth: np.ndarray, room: int) -> tuple
 
 
 def configurations(sizes: list[int], demand: np.ndarray, room: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and amounts of a solution of: least sum of amounts with columns @ amounts = demand."""
+    """Columns and amounts of a solution of: least sum of amounts with columns @ amounts = demand.
+
+    After `most` columns the solution so far is taken: it meets the demand, with perhaps more sequences than the least."""
     base = np.diag([float(room // s) for s in sizes])
     amounts = demand / np.diag(base)
     for _ in range(most):
@@ -202,17 +208,23 @@ def places(recipes: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 def pack(found: DataFrame, room: int = ROOM) -> DataFrame:
     """Pieces with sequence_id and offset. found must be a stored table: it is read for counts and for placing.
 
-    The plan depends on the counts of at most `room` lengths and has some thousand recipes, whatever the number of
-    pieces. Pieces of a length are numbered by a hash bucket's start plus their number within the bucket, so a
-    length that a third of all pieces has is numbered by many tasks.
+    A piece as long as a sequence is one by itself (a negative id). For the others the plan depends on the counts of less
+    than `room` lengths and has some thousand recipes, whatever the number of pieces. Pieces of a length are numbered by
+    a hash bucket's start plus their number within the bucket; buckets follow the number of pieces, so a length that a
+    third of all pieces has is numbered by many tasks.
     """
-    rows = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    out = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    alone = found.where(F.col("length") == room).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).select(*out)
+    found = found.where(F.col("length") < room)
+    buckets = max(BUCKETS, -(-found.count() // BUCKET_ROWS))
+    rows = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "lot"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table_ = places(plan(histogram, room))
+    # One row a bucket of a length: some thousandths of the pieces at most.
     along = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "lot")
     numbered = rows.join(starts, ["length", "_bucket"]).withColumn("_number", F.col("_start") + F.row_number().over(inside) - 1)
     key = table_["length"] * (1 << 48) + table_["first"]
 
@@ -222,7 +234,8 @@ def pack(found: DataFrame, room: int = ROOM) -> DataFrame:
             at = np.searchsorted(key, length * (1 << 48) + number, side="right") - 1
             yield batch({n: (b.column(k), None) for k, n in enumerate(("doc_id", "piece", "start", "length", "ids_crc32"))} | {"sequence_id": (table_["base"][at] + number - table_["first"][at], pa.int64()), "offset": (table_["offset"][at], pa.int64())})
 
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "_number").mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "_number").mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return alone.unionByName(placed)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> DataFrame:
@@ -239,4 +252,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """pack_documents() of docs, whose other columns aren't read, whatever their names."""
     return pack_documents(doc_columns(docs))
