@@ -51,3 +51,16 @@ def test_stage(spark, tmp_path):
     found = classifier.stage(spark, source, str(tmp_path))
     kept = {r.doc_id for r in found.collect()}
     assert found.columns == source.columns and kept == {i for i, q in truth.items() if q}
+
+
+def test_stage_decides_as_the_query(spark, tmp_path):
+    from .helpers import AWKWARD, clashing
+
+    rows = [*AWKWARD, *((100 + k, "Plain words stand here, and more of them follow. " * 4 if k % 2 else "#### $$$ click | click <<< " * 9) for k in range(60))]
+    labels = spark.createDataFrame([(100 + k, k % 2) for k in range(60)] + [(None, 1), (101, None)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    source = clashing(docs(spark, rows))
+    want = sorted(str(r.doc_id) for r in classifier.classify(source.select("doc_id", "text"), labels).collect() if r.predicted)
+    out = classifier.stage(spark, source, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in out.collect()) == want and out.columns == source.columns and 30 <= len(want) < 68
+    assert classifier.stage(spark, docs(spark, []), str(tmp_path)).collect() == []

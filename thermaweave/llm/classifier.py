@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Words, batch, doc_columns, spaced, steps, stored, table
+from .common import STEP_BYTES, Words, batch, doc_columns, forget, spaced, steps, stored, table
 
 #: Documented bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -151,15 +151,19 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(values: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
-    """Fit on labelled rows outside the held-out fold; about `most` rows at most come to the driver.
+def chosen(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, quality of labelled rows outside the held-out fold, a few per cent above `most` at most.
 
-    Of more labelled rows, those are joined whose hash lies below a bound that leaves a few per cent above `most`.
+    Of more labelled rows, those whose hash lies below a bound.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & ~held_out())
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     share = min(1.0, (1.05 * most + 500) / max(1, rows.count()))
     key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
-    rows = rows.where(key <= int(share * 2**32))
+    return rows.where(key <= int(share * 2**32))
+
+
+def train(values: DataFrame, rows: DataFrame, most: int = TRAIN_ROWS) -> Trees:
+    """Fit on rows (doc_id, quality) and their values (doc_id, x); at most `most` rows come to the driver."""
     sample = values.join(rows, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(most).select("x", "quality").toArrow()
     x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(len(sample), len(FEATURES)).astype(np.float64)
     return fit(x, sample.column("quality").to_numpy().astype(np.float64))
@@ -184,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     get equal scores; other columns are not read. Without labels every score is 0.5; an empty table gives no rows.
     """
     values = stored(features(docs), "quality-features")
-    scored = score(values, train(values, labels))
+    scored = score(values, train(values, chosen(labels)))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -193,12 +197,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    trees = train(features(doc_columns(docs)), table(spark, sf_dir, "labels"))
+    """docs without those that classify() rejects (predicted 0).
+
+    Null and empty texts are judged as texts without words; repeated rows and equal texts fare alike; other columns,
+    whatever their names, are neither read nor changed. Without labels all rows stay; an empty table stays empty.
+    """
+    rows = stored(chosen(table(spark, sf_dir, "labels")), "chosen-labels")
+    known = doc_columns(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")  # statistics of these alone
+    trees = train(features(known), rows)
+    forget(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in steps(b):
-                yield b.slice(first, len(texts)).filter(pa.array(trees.score(statistics(texts)) >= CUT))
+                x = statistics(texts).astype(np.float32).astype(np.float64)  # as features() stores them
+                yield b.slice(first, len(texts)).filter(pa.array(trees.score(x) >= CUT))
 
     return docs.mapInArrow(run, docs.schema)
