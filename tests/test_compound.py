@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from thermaweave.operators import attribution, compound, daily, metrics, trends
 
@@ -79,3 +80,18 @@ def test_attribution_invariants(spark):
     assert levels[5].level_fix <= levels[5].level_all
     seen = attribution.observed_risk(spark.createDataFrame([(2022, 62), (1950, 3)], "year int, n_days long"), attribution.probability(hits)).collect()
     assert {r.year: r.threshold for r in seen} == {2022: 60, 1950: None}
+
+
+def test_gev_of_series_without_spread(spark):
+    rows = [(n, v) for n, vs in (("flat", [5.0] * 8), ("two", [1.0, 2.0]), ("pair", [0.0, 0.0, 0.0, 0.0, 9.0]), ("negative", [-3.0, -3.5, -3.2, -2.0, -3.1])) for v in vs]
+    found = {r.name: r for r in trends.gev(spark.createDataFrame(rows, "name string, value double")).collect()}
+    assert set(found) == {"flat", "pair", "negative"}
+    assert found["flat"].scale is None and found["flat"].location is None
+    assert found["negative"].scale > 0 and found["negative"].location < -2.5
+
+
+def test_gamma(spark):
+    from math import gamma
+
+    for k in (-0.9, -0.5, -0.01, 0.0, 0.3, 1.0, 2.5):
+        assert abs(spark.range(1).select(trends.gamma_of_next(F.lit(k))).first()[0] / gamma(1 + k) - 1) < 1e-12

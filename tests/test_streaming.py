@@ -55,3 +55,17 @@ def test_tracked_events_lack_each_cells_last_one_only(spark, tmp_path):
     got = {(r.lat_idx, r.start_idx, r.end_idx) for r in run(spark, df, tmp_path, stream.tracked_events, "tracked")}
     all_, last = want(df)
     assert got <= all_ and all(z == last[c] for c, _, z in all_ - got)
+
+
+def test_flush_emits_open_events(spark, tmp_path):
+    df = rows(spark)
+    more = df.unionByName(stream.flush_rows(df, df.schema))
+    path = str(tmp_path / "in")
+    for k in range(3):
+        df.where(F.floor(F.col("t_idx") / 30) == k).coalesce(1).write.mode("append").parquet(path)
+    more.where("t_idx IS NULL").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = stream.tracked_events(source).writeStream.format("memory").queryName("flushed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.lat_idx, r.start_idx, r.end_idx) for r in spark.sql("SELECT * FROM flushed").collect()}
+    assert got == want(df)[0]

@@ -63,6 +63,11 @@ def period_levels(periods: DataFrame, years: Sequence[int] = (5, 10, 20, 50, 100
     return each.groupBy("years").agg(level("period_all").alias("level_all"), level("period_fix").alias("level_fix"))
 
 
+def risk_curve(p: DataFrame, boot_summary: DataFrame) -> DataFrame:
+    """By threshold the probabilities, and mean and interval of far and pr."""
+    return p.join(boot_summary, "threshold")
+
+
 def observed_risk(observed: DataFrame, curve: DataFrame) -> DataFrame:
     """observed (year, n_days) with the curve at the largest threshold not above n_days (null below the first)."""
     best = observed.join(F.broadcast(curve), curve["threshold"] <= observed["n_days"], "left")  # the curve has a row a threshold

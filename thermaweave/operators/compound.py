@@ -1,7 +1,12 @@
-"""Land events against the sea events of their paired cells: containment, overlap, classes."""
+"""Land events against the sea events of their paired cells: containment, overlap, classes.
+
+keys: columns beside the cell that both sides have (forcing and member of an ensemble); pairs hold for all of them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,40 +26,41 @@ def paired_events(land: DataFrame, pairs: DataFrame) -> DataFrame:
     return named.join(cells, ["lat_idx", "lon_idx"]).withColumnsRenamed({"lat_idx": "land_lat_idx", "lon_idx": "land_lon_idx", "lat": "land_lat", "lon": "land_lon"})
 
 
-def sea_side(sea: DataFrame) -> DataFrame:
-    return sea.select(F.col("lat_idx").alias("ocean_lat_idx"), F.col("lon_idx").alias("ocean_lon_idx"), F.col("event_start").alias("mhw_start"), F.col("event_end").alias("mhw_end"), F.col("duration").alias("mhw_duration"))
+def sea_side(sea: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return sea.select(*keys, F.col("lat_idx").alias("ocean_lat_idx"), F.col("lon_idx").alias("ocean_lon_idx"), F.col("event_start").alias("mhw_start"), F.col("event_end").alias("mhw_end"), F.col("duration").alias("mhw_duration"))
 
 
 _CELL = ["ocean_lat_idx", "ocean_lon_idx"]
 
 
-def _on(a: DataFrame, b: DataFrame, test: Column) -> Column:
-    return (a["ocean_lat_idx"] == b["ocean_lat_idx"]) & (a["ocean_lon_idx"] == b["ocean_lon_idx"]) & test
+def _on(a: DataFrame, b: DataFrame, test: Column, keys: Sequence[str]) -> Column:
+    for c in (*_CELL, *keys):
+        test = (a[c] == b[c]) & test
+    return test
 
 
-def compound_events(sea: DataFrame, land: DataFrame, pairs: DataFrame) -> DataFrame:
+def compound_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Land events that lie within a sea event of the paired cell, with the first such sea event.
 
     The interval test is a residual of the join on the sea cell, so no pair that fails it leaves the join.
     """
-    a, b = paired_events(land, pairs), sea_side(sea)
-    both = a.join(b, _on(a, b, contains(b["mhw_start"], b["mhw_end"], a["thw_start"], a["thw_end"])))
-    keys = [a[c] for c in a.columns]
+    a, b = paired_events(land, pairs), sea_side(sea, keys)
+    both = a.join(b, _on(a, b, contains(b["mhw_start"], b["mhw_end"], a["thw_start"], a["thw_end"]), keys))
     first = F.min_by(F.struct(b["mhw_start"], b["mhw_end"], b["mhw_duration"]), F.struct(b["mhw_start"], b["mhw_end"])).alias("_m")
-    return both.groupBy(*keys).agg(first).select(*a.columns, "_m.*")
+    return both.groupBy(*[a[c] for c in a.columns]).agg(first).select(*a.columns, "_m.*")
 
 
-def standalone_events(sea: DataFrame, land: DataFrame, pairs: DataFrame) -> DataFrame:
+def standalone_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Paired land events that no sea event of the paired cell overlaps."""
-    a, b = paired_events(land, pairs), sea_side(sea)
-    return a.join(b, _on(a, b, overlaps(b["mhw_start"], b["mhw_end"], a["thw_start"], a["thw_end"])), "left_anti")
+    a, b = paired_events(land, pairs), sea_side(sea, keys)
+    return a.join(b, _on(a, b, overlaps(b["mhw_start"], b["mhw_end"], a["thw_start"], a["thw_end"]), keys), "left_anti")
 
 
-def classify_events(sea: DataFrame, land: DataFrame, pairs: DataFrame) -> DataFrame:
+def classify_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every land event with its class: compound, partial, standalone, unpaired."""
     cells = pairs.select(F.col("land_lat_idx").alias("lat_idx"), F.col("land_lon_idx").alias("lon_idx"), *_CELL)
-    a, b = land.join(cells, ["lat_idx", "lon_idx"], "left"), sea_side(sea)
-    both = a.join(b, _on(a, b, overlaps(b["mhw_start"], b["mhw_end"], a["event_start"], a["event_end"])), "left")
+    a, b = land.join(cells, ["lat_idx", "lon_idx"], "left"), sea_side(sea, keys)
+    both = a.join(b, _on(a, b, overlaps(b["mhw_start"], b["mhw_end"], a["event_start"], a["event_end"]), keys), "left")
     inside = F.max(F.coalesce(contains(b["mhw_start"], b["mhw_end"], a["event_start"], a["event_end"]), F.lit(False)))
     kind = F.when(F.max(a["ocean_lat_idx"]).isNull(), "unpaired").when(inside, "compound").when(F.max(b["mhw_start"]).isNotNull(), "partial").otherwise("standalone")
     return both.groupBy(*[a[c] for c in land.columns]).agg(kind.alias("class"))

@@ -16,10 +16,10 @@ def events_to_days(events: DataFrame, axis: DataFrame, start: str = "event_start
     return days.join(axis.select("time"), "time", "left_semi").select(*keys, "time").distinct()
 
 
-def land_days(events: DataFrame, axis: DataFrame) -> DataFrame:
-    """Days of compound or stand-alone events by land cell."""
+def land_days(events: DataFrame, axis: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """Days of compound or stand-alone events by land cell (and what else keys name)."""
     named = events.withColumnsRenamed({"land_lat_idx": "lat_idx", "land_lon_idx": "lon_idx"})
-    return events_to_days(named, axis, "thw_start", "thw_end")
+    return events_to_days(named, axis, "thw_start", "thw_end", keys)
 
 
 def union_days(*days: DataFrame) -> DataFrame:

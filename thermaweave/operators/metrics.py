@@ -74,6 +74,18 @@ def years_with_days(annual: DataFrame, least: int = 1) -> DataFrame:
     return annual.groupBy("year").agg(F.sum("n_days").alias("n_days")).where(F.col("n_days") >= least)
 
 
+def years_above_mean(annual: DataFrame) -> DataFrame:
+    """Years whose days are at least the mean of all years; one row a year."""
+    years = annual.groupBy("year").agg(F.sum("n_days").alias("n_days"))
+    return years.withColumn("_m", F.avg("n_days").over(Window.partitionBy())).where("n_days >= _m").drop("_m")
+
+
+def regional_days(days: DataFrame, cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """year and the mean of each column over the given cells (lat_idx, lon_idx, lat), weighted by cos(lat)."""
+    rows = days.join(cells.select(*CELL, F.col("lat").alias("_lat")).distinct(), list(CELL))
+    return rows.groupBy("year").agg(*[weighted_mean(F.col(c), cos_latitude(F.col("_lat"))).alias(c) for c in columns])
+
+
 def threshold_days(field: DataFrame, limits: dict[str, float]) -> DataFrame:
     """year, cell, and for each value column the days that reach its limit."""
     counts: list[Column] = [F.sum(F.when(F.col(c) >= v, 1).otherwise(0)).alias(f"{c}_days") for c, v in limits.items()]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import log, pi, sqrt
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CELL
@@ -48,28 +49,36 @@ def return_levels(series: DataFrame, thresholds: DataFrame, by: str = "name") ->
     return out.withColumn("period", F.when(F.col("p") > 0, 1 / F.col("p")).otherwise(F.lit(float("inf"))))
 
 
+#: Coefficients of Lanczos' series for the gamma function (g = 7, nine terms), and Euler's constant.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+EULER = 0.5772156649015329
+
+
+def gamma_of_next(k: Column) -> Column:
+    """gamma(1 + k) for k > -1."""
+    t = k + 7.5
+    series = reduce(lambda a, b: a + b, [F.lit(c) / (k + i) for i, c in enumerate(LANCZOS) if i], F.lit(LANCZOS[0]))
+    return F.lit(sqrt(2 * pi)) * F.pow(t, k + 0.5) * F.exp(-t) * series
+
+
 def gev(series: DataFrame, by: str = "name") -> DataFrame:
     """by, shape, scale, location of a generalised extreme value distribution by L-moments.
 
-    Ranks and the three probability-weighted moments are Spark windows and sums; what is left is a closed form a row.
+    Ranks and the three probability-weighted moments are windows and sums; what is left are closed forms. A series of
+    fewer than three values has no row; one without spread, or whose moments no such distribution has, has nulls; where
+    the shape vanishes, the distribution is Gumbel's.
     """
     rank = Window.partitionBy(by).orderBy("value")
     n = Window.partitionBy(by)
     rows = series.where(F.col("value").isNotNull()).select(by, "value", (F.row_number().over(rank) - 1).alias("i"), F.count("*").over(n).alias("n")).where("n >= 3")
     moments = rows.groupBy(by).agg(F.avg("value").alias("b0"), F.avg(F.col("value") * F.col("i") / (F.col("n") - 1)).alias("b1"), F.avg(F.col("value") * F.col("i") * (F.col("i") - 1) / ((F.col("n") - 1) * (F.col("n") - 2))).alias("b2"))
-
-    def close(batches):
-        from math import gamma, log
-
-        for pdf in batches:
-            out = []
-            for name, b0, b1, b2 in pdf.itertuples(index=False):
-                l2 = 2 * b1 - b0
-                c = l2 / (3 * b2 - b0) - log(2) / log(3)
-                k = 7.8590 * c + 2.9554 * c * c
-                g = gamma(1 + k)
-                scale = l2 * k / ((1 - 2 ** -k) * g)
-                out.append((name, -k, scale, b0 - scale * (1 - g) / k))
-            yield pd.DataFrame(out, columns=[by, "shape", "scale", "location"])
-
-    return moments.mapInPandas(close, f"{by} string, shape double, scale double, location double")
+    b0, l2, k = F.col("b0"), F.col("l2"), F.col("k")
+    spread = 2 * F.col("b1") - b0
+    moments = moments.withColumn("l2", F.when(spread > 1e-9 * F.greatest(F.abs(b0), F.lit(1e-9)), spread))
+    c = F.try_divide(l2, 3 * F.col("b2") - b0) - F.lit(log(2) / log(3))
+    shape = 7.8590 * c + 2.9554 * c * c
+    moments = moments.withColumn("k", F.when(shape > -1, shape))
+    flat, g = F.abs(k) < 1e-6, gamma_of_next(k)
+    scale = F.when(flat, l2 / F.lit(log(2))).otherwise(l2 * k / ((1 - F.pow(F.lit(2.0), -k)) * g))
+    place = F.when(flat, b0 - F.lit(EULER) * F.col("scale")).otherwise(b0 - F.col("scale") * (1 - g) / k)
+    return moments.withColumn("scale", scale).select(by, (-k).alias("shape"), "scale", place.alias("location"))

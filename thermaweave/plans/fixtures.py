@@ -10,6 +10,7 @@ from ..operators import climatology, compound, daily, events, masks, pairing
 
 BASE = (1995, 1999)
 SEA_SHARE, LAND_SHARE, MIN_DURATION, MAX_GAP = 0.5, 0.7, 3, 2
+MEMBER_SEA_SHARE, MEMBER_LAND_SHARE = 0.1, 0.3
 #: Regions over the fixture's cells (they overlap).
 BOXES = (("j", 40.0, 40.5, -0.5, 0.5), ("k", 40.75, 41.0, -0.5, -0.25), ("l", 40.0, 41.0, -0.5, 0.5))
 
@@ -80,9 +81,9 @@ def dense(spark: SparkSession, d: str, days: DataFrame) -> DataFrame:
 
 
 def annual(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dense annual days: compound, stand-alone, both."""
-    c, s = compound_days(spark, d), standalone_days(spark, d)
-    return dense(spark, d, c), dense(spark, d, s), dense(spark, d, daily.union_days(c, s))
+    """Dense annual days: compound, stand-alone, both; all from one pass over the events."""
+    per = annual_classes(spark, d)
+    return tuple(per.select("year", "lat_idx", "lon_idx", "lat", "lon", F.col(c).alias("n_days")) for c in ("n_compound", "n_standalone", "n_thw"))
 
 
 def annual_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -119,26 +120,55 @@ def ensemble(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("forcing", "member", F.year("time").alias("year")).agg(F.count_distinct("time").alias("n_days"))
 
 
+MEMBER = ("forcing", "member")
+
+
+def member_land(spark: SparkSession, d: str) -> DataFrame:
+    """Daily land fields of two members for each forcing, on five cells."""
+    rows = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return _member(rows, "o_orderkey", "o_custkey", "o_orderdate", "c_nationkey", "o_totalprice", 40.0, F.lit(-0.5) + F.lit(0.25) * F.col("lon_idx"))
+
+
+def member_ocean(spark: SparkSession, d: str) -> DataFrame:
+    x = F.lit(-0.4) + F.lit(0.25) * F.col("lon_idx")
+    rows = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return _member(rows, "l_orderkey", "l_partkey", "l_shipdate", "s_nationkey", "l_extendedprice", 40.1, F.when(x < 0, x + 360).otherwise(x))
+
+
+def _member(rows: DataFrame, forcing: str, member: str, time: str, key: str, value: str, lat: float, lon) -> DataFrame:
+    keys = [F.when(F.col(forcing) % 2 == 0, "ALL").otherwise("FixGHG").alias("forcing"), F.lpad((F.col(member) % 2 + 1).cast("string"), 3, "0").alias("member"), F.to_date(time).alias("time"), F.lit(0).alias("lat_idx"), (F.col(key) % 5).cast("int").alias("lon_idx")]
+    return rows.groupBy(*keys).agg(F.max(value).alias("v")).withColumns({"lat": F.lit(lat), "lon": lon})
+
+
 _LAT, _LON = "40.0::DOUBLE + 0.25::DOUBLE * lat_idx", "-0.5::DOUBLE + 0.25::DOUBLE * lon_idx"
 
 
-def _island(grid: str, share: float) -> str:
+def _island(grid: str, cell: str = "lat_idx, lon_idx") -> str:
     return f"""
-SELECT lat_idx, lon_idx, any_value(lat) AS lat, any_value(lon) AS lon, min(time) AS event_start, max(time) AS event_end, (max(t_idx) - min(t_idx) + 1)::INT AS duration
-FROM (SELECT *, sum(new) OVER (PARTITION BY lat_idx, lon_idx ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS event
-  FROM (SELECT *, CASE WHEN t_idx - lag(t_idx) OVER (PARTITION BY lat_idx, lon_idx ORDER BY t_idx) <= {MAX_GAP + 1} THEN 0 ELSE 1 END AS new FROM {grid}_exceed))
-GROUP BY lat_idx, lon_idx, event HAVING max(t_idx) - min(t_idx) + 1 >= {MIN_DURATION}"""
+SELECT {cell}, any_value(lat) AS lat, any_value(lon) AS lon, min(time) AS event_start, max(time) AS event_end, (max(t_idx) - min(t_idx) + 1)::INT AS duration
+FROM (SELECT *, sum(new) OVER (PARTITION BY {cell} ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS event
+  FROM (SELECT *, CASE WHEN t_idx - lag(t_idx) OVER (PARTITION BY {cell} ORDER BY t_idx) <= {MAX_GAP + 1} THEN 0 ELSE 1 END AS new FROM {grid}_exceed))
+GROUP BY {cell}, event HAVING max(t_idx) - min(t_idx) + 1 >= {MIN_DURATION}"""
 
 
-def _per_grid(grid: str, share: float) -> dict[str, str]:
+def _per_grid(grid: str, share: float, cell: str = "lat_idx, lon_idx") -> dict[str, str]:
+    on = " AND ".join(f"g.{c} = c.{c}" for c in cell.split(", "))
     return {
-        f"{grid}_clim": f"SELECT lat_idx, lon_idx, dayofyear(time)::INT AS doy, quantile_cont(v, {share}) AS thresh FROM {grid} WHERE year(time) BETWEEN {BASE[0]} AND {BASE[1]} GROUP BY ALL",
+        f"{grid}_clim": f"SELECT {cell}, dayofyear(time)::INT AS doy, quantile_cont(v, {share}) AS thresh FROM {grid} WHERE year(time) BETWEEN {BASE[0]} AND {BASE[1]} GROUP BY ALL",
         f"{grid}_axis": f"SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT time FROM {grid})",
-        f"{grid}_exceed": f"SELECT g.*, t_idx, c.doy, c.thresh FROM {grid} g JOIN {grid}_clim c ON g.lat_idx = c.lat_idx AND g.lon_idx = c.lon_idx AND c.doy = least(dayofyear(g.time), (SELECT max(doy) FROM {grid}_clim)) JOIN {grid}_axis USING (time) WHERE g.v > c.thresh",
-        f"{grid}_events": _island(grid, share),
+        f"{grid}_exceed": f"SELECT g.*, t_idx, c.doy, c.thresh FROM {grid} g JOIN {grid}_clim c ON {on} AND c.doy = least(dayofyear(g.time), (SELECT max(doy) FROM {grid}_clim)) JOIN {grid}_axis USING (time) WHERE g.v > c.thresh",
+        f"{grid}_events": _island(grid, cell),
     }
 
 
+_BY_MEMBER = "forcing, member, lat_idx, lon_idx"
+
+
+def _member_sql(table: str, forcing: str, member: str, time: str, key: str, value: str, lat: float, lon: str) -> str:
+    return f"""SELECT CASE WHEN {forcing} % 2 = 0 THEN 'ALL' ELSE 'FixGHG' END AS forcing, lpad(({member} % 2 + 1)::VARCHAR, 3, '0') AS member, {time}::DATE AS time, 0 AS lat_idx, ({key} % 5)::INT AS lon_idx,
+  max({value}) AS v, {lat}::DOUBLE AS lat, {lon} AS lon FROM {table} GROUP BY ALL"""
+
+
 #: Named subqueries, each after those it refers to.
 CTES: dict[str, str] = {
     "ocean": """SELECT l_shipdate::DATE AS time, floor(s_nationkey / 5.0)::INT AS lat_idx, (s_nationkey % 5)::INT AS lon_idx, max(l_extendedprice) AS v,
@@ -177,6 +207,17 @@ FROM in_boxes JOIN active USING (name, lat_idx, lon_idx) JOIN enough USING (name
     "monthly": "SELECT date_trunc('month', l_shipdate)::DATE AS time, floor(s_nationkey / 5.0)::INT AS lat_idx, (s_nationkey % 5)::INT AS lon_idx, max(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
     "ensemble": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'ALL' ELSE 'FixGHG' END AS forcing, lpad((o_custkey % 20 + 1)::VARCHAR, 3, '0') AS member, year(o_orderdate)::INT AS year, count(DISTINCT o_orderdate::DATE) AS n_days FROM orders GROUP BY ALL",
     "limits": "SELECT unnest(range(10, 100, 5))::INT AS threshold",
+    "member_land": _member_sql("orders JOIN customer ON o_custkey = c_custkey", "o_orderkey", "o_custkey", "o_orderdate", "c_nationkey", "o_totalprice", 40.0, "-0.5::DOUBLE + 0.25::DOUBLE * (c_nationkey % 5)"),
+    "member_ocean": _member_sql("lineitem JOIN supplier ON l_suppkey = s_suppkey", "l_orderkey", "l_partkey", "l_shipdate", "s_nationkey", "l_extendedprice", 40.1, "-0.4::DOUBLE + 0.25::DOUBLE * (s_nationkey % 5)"),
+    **_per_grid("member_land", MEMBER_LAND_SHARE, _BY_MEMBER),
+    **_per_grid("member_ocean", MEMBER_SEA_SHARE, _BY_MEMBER),
+    "member_classes": f"""SELECT l.forcing, l.member, l.lat_idx, l.lon_idx, l.event_start, l.event_end,
+  CASE WHEN bool_or(coalesce(o.event_start <= l.event_start AND o.event_end >= l.event_end, false)) THEN 'compound' WHEN max(o.event_start) IS NOT NULL THEN 'partial' ELSE 'standalone' END AS class
+FROM member_land_events l LEFT JOIN member_ocean_events o ON l.forcing = o.forcing AND l.member = o.member AND l.lon_idx = o.lon_idx AND o.event_start <= l.event_end AND o.event_end >= l.event_start GROUP BY ALL""",
+    "member_days": "SELECT DISTINCT forcing, member, lat_idx, lon_idx, class, time FROM member_classes JOIN member_land_axis ON time BETWEEN event_start AND event_end WHERE class IN ('compound', 'standalone')",
+    "member_annual": f"""SELECT forcing, member, year, lat_idx, lon_idx, coalesce(n_compound, 0)::BIGINT AS n_compound, coalesce(n_standalone, 0)::BIGINT AS n_standalone
+FROM (SELECT DISTINCT year(time)::INT AS year FROM member_land) CROSS JOIN (SELECT DISTINCT {_BY_MEMBER} FROM member_land)
+LEFT JOIN (SELECT forcing, member, year(time)::INT AS year, lat_idx, lon_idx, count(*) FILTER (WHERE class = 'compound') AS n_compound, count(*) FILTER (WHERE class = 'standalone') AS n_standalone FROM member_days GROUP BY ALL) USING (forcing, member, year, lat_idx, lon_idx)""",
     "hits": "SELECT forcing, member, threshold, sum((n_days >= threshold)::INT) AS hits, count(*) AS total FROM ensemble CROSS JOIN limits GROUP BY ALL",
     "risk": "SELECT threshold, coalesce(sum(hits) FILTER (WHERE forcing = 'ALL') / sum(total) FILTER (WHERE forcing = 'ALL'), 0.0)::DOUBLE AS p_all, coalesce(sum(hits) FILTER (WHERE forcing = 'FixGHG') / sum(total) FILTER (WHERE forcing = 'FixGHG'), 0.0)::DOUBLE AS p_fix FROM hits GROUP BY ALL",
     "numbered": "SELECT forcing, member, row_number() OVER (PARTITION BY forcing ORDER BY member) - 1 AS k FROM (SELECT DISTINCT forcing, member FROM hits)",

@@ -9,53 +9,57 @@ from pyspark.sql import functions as F
 
 from ..config import CELL, EUROPE, MAP_YEARS, PANELS, Settings
 from ..functions import humid
+from ..functions.columns import cos_latitude, weighted_mean
 from ..operators import attribution, climatology, compound, daily, events, masks, metrics, pairing, trends
-from ..sources.grids import materialize
+from ..sources.grids import materialize, scaled
 
 
-def run_observational(sst: DataFrame, t2m: DataFrame, settings: Settings = Settings(), store: str | None = None, coast_only: bool = True, thw_scope: str = "classified") -> dict[str, DataFrame]:
+def run_observational(
+    sst: DataFrame, t2m: DataFrame, settings: Settings = Settings(), store: str | None = None, coast_only: bool = True, thw_scope: str = "classified", mask: str = "first", keys: Sequence[str] = ()
+) -> dict[str, DataFrame]:
     """Events, pairs, classes, days, annual counts and ratios from a sea and a land grid.
 
     Sea events are found on paired cells only. thw_scope: the days of land events that the co-occurrence is a share of,
-    "classified" (compound and stand-alone) or "all_paired". store: a folder in which pairs, events and annual tables
-    are kept and from which a later run takes them.
+    "classified" (compound and stand-alone) or "all_paired". store: a folder in which pairs, climatologies, events and
+    annual tables are kept and from which a later run takes them. mask: the day by whose values cells count as land or
+    sea ("first", or "any"). keys: columns of both grids beside the cell, as an ensemble's forcing and member.
     """
     spark = sst.sparkSession
 
     def kept(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         return materialize(spark, make, f"{store}/{name}") if store else make()
 
-    s = settings
-    land_cells = masks.valid_mask(t2m, "first")
+    s, cell = settings, (*keys, *CELL)
+    land_cells = masks.valid_mask(t2m, mask)
     edge = masks.edge(land_cells) if coast_only else land_cells
-    pairs = kept("pairs", lambda: pairing.nearest_pairs(edge, masks.valid_mask(sst, "first"), s.max_distance))
+    pairs = kept("pairs", lambda: pairing.nearest_pairs(edge, masks.valid_mask(sst, mask), s.max_distance))
     sea_cells = pairs.select(F.col("ocean_lat_idx").alias("lat_idx"), F.col("ocean_lon_idx").alias("lon_idx"))
     sea_grid = events.restrict_to(sst, sea_cells)
-    sea_limits = climatology.climatology(sea_grid, s.base_period, s.percentile)
+    sea_limits = kept("sea_climatology", lambda: climatology.climatology(sea_grid, s.base_period, s.percentile, cell))
     # The axis is the whole source's, also where its cells are restricted.
-    sea = kept("sea_events", lambda: events.islands(climatology.exceedance(sea_grid, sea_limits).join(events.time_axis(sst), "time"), s.min_duration, s.max_gap))
-    land_limits = climatology.climatology(t2m, s.base_period, s.land_percentile or s.percentile)
-    land = kept("land_events", lambda: events.detect_events(t2m, land_limits, s.min_duration, s.max_gap, s.land_min_valid))
+    sea = kept("sea_events", lambda: events.islands(climatology.exceedance(sea_grid, sea_limits, cell).join(events.time_axis(sst), "time"), s.min_duration, s.max_gap, cell))
+    land_limits = kept("land_climatology", lambda: climatology.climatology(t2m, s.base_period, s.land_percentile or s.percentile, cell))
+    land = kept("land_events", lambda: events.detect_events(t2m, land_limits, s.min_duration, s.max_gap, s.land_min_valid, cell))
+    classes = kept("classes", lambda: compound.classify_events(sea, land, pairs, keys))
     axis = events.time_axis(t2m)
-    both, alone = compound.compound_events(sea, land, pairs), compound.standalone_events(sea, land, pairs)
-    compound_days, alone_days = daily.land_days(both, axis), daily.land_days(alone, axis)
+    years, cells = t2m.select(F.year("time").alias("year")), t2m.select(*cell, "lat", "lon").distinct()
+    placed = lambda df: df.join(cells, list(cell))
+    # All annual counts come from one pass over the classified events.
+    per = kept("annual", lambda: daily.annual_by_class(classes, axis, cells, years, cell))
+    count = lambda c: placed(per.select("year", *cell, F.col(c).alias("n_days")))
+    both, alone = compound.compound_events(sea, land, pairs, keys), compound.standalone_events(sea, land, pairs, keys)
     if thw_scope == "all_paired":
-        all_days = daily.land_days(compound.paired_events(land, pairs), axis)
+        all_days = daily.annual_days(daily.land_days(compound.paired_events(land, pairs), axis, cell), cell)
+        all_annual = kept("thw_annual", lambda: placed(daily.densify(all_days, years, cells, cell)))
     elif thw_scope == "classified":
-        all_days = daily.union_days(compound_days, alone_days)
+        all_annual = count("n_thw")
     else:
         raise ValueError(f"unknown scope: {thw_scope}")
-    years, cells = t2m.select(F.year("time").alias("year")), t2m.select(*CELL, "lat", "lon").distinct()
-
-    def annual(days: DataFrame) -> DataFrame:
-        return daily.densify(daily.annual_days(days), years, cells).join(cells, list(CELL))
-
-    tables = {n: kept(f"{n}_annual", lambda d=d: annual(d)) for n, d in (("compound", compound_days), ("standalone", alone_days), ("thw", all_days))}
-    placed = lambda df: df.join(cells, list(CELL))
-    ratio = placed(metrics.ratio_field(tables["compound"], tables["standalone"]))
-    share = placed(metrics.ratio_field(tables["compound"], tables["thw"]))
+    tables = {"compound": count("n_compound"), "standalone": count("n_standalone"), "thw": all_annual}
+    ratio = placed(metrics.ratio_field(tables["compound"], tables["standalone"], ("year", *cell)))
+    share = placed(metrics.ratio_field(tables["compound"], tables["thw"], ("year", *cell)))
     return {
-        "pairs": pairs, "sea_events": sea, "land_events": land, "classes": compound.classify_events(sea, land, pairs), "compound_events": both, "standalone_events": alone, "compound_days": compound_days, "standalone_days": alone_days,
+        "pairs": pairs, "sea_events": sea, "land_events": land, "classes": classes, "compound_events": both, "standalone_events": alone, "compound_days": daily.land_days(both, axis, cell), "standalone_days": daily.land_days(alone, axis, cell),
         "compound_annual": tables["compound"], "standalone_annual": tables["standalone"], "thw_annual": tables["thw"], "ratio": ratio, "cooccurrence": share, "ratio_summary": metrics.field_summary(ratio),
     }
 
@@ -80,19 +84,40 @@ def run_attribution(annual: DataFrame, settings: Settings = Settings(), observed
     out = {"probability": p, "samples": boot, "summary": attribution.summary(boot, settings.interval), "periods": attribution.return_periods(p)}
     out["levels"] = attribution.period_levels(out["periods"])
     if observed is not None:
-        out["observed"] = attribution.observed_risk(observed, out["summary"])
+        out["observed"] = attribution.observed_risk(observed, attribution.risk_curve(p, out["summary"]))
     return out
 
 
-def run_humid(fields: DataFrame, compound_days: DataFrame, land: DataFrame, coast: DataFrame, settings: Settings = Settings(), months: Sequence[int] = (6, 7, 8)) -> dict[str, DataFrame]:
-    """fields (time, cell, lat, lon, tmax, d2m, sp): maps on compound days, threshold days of compound and other years, return levels."""
+def run_ensemble(sst: DataFrame, t2m: DataFrame, settings: Settings = Settings(), observed: DataFrame | None = None, store: str | None = None, coast_only: bool = True, mask: str = "first") -> dict[str, DataFrame]:
+    """Daily fields of all members (forcing, member, time, cell, v) to the attribution's tables.
+
+    Detection, pairing and classes are those of the observations with forcing and member as keys.
+    """
+    keys = ("forcing", "member")
+    found = run_observational(sst, t2m, settings, store, coast_only, mask=mask, keys=keys)
+    annual = found["compound_annual"].select(*keys, "year", *CELL, "n_days")
+    return found | run_attribution(annual, settings, observed) | {"annual": annual}
+
+
+def run_humid(fields: DataFrame, compound_days: DataFrame, land: DataFrame, coast: DataFrame, settings: Settings = Settings(), months: Sequence[int] = (6, 7, 8), evaporation: DataFrame | None = None, evaporation_factor: float = 1.0) -> dict[str, DataFrame]:
+    """fields (time, cell, lat, lon, tmax, d2m, sp): maps on compound days, threshold days of compound and other years,
+    return levels of the coastal buffer's mean series, and trends of specific humidity and of monthly evaporation (v)."""
     t, td, sp = F.col("tmax"), F.col("d2m"), F.col("sp")
     wet = fields.select("time", *CELL, "lat", "lon", humid.wet_bulb(t, td, sp).alias("wbt"), humid.specific_humidity(td, sp).alias("sh"))
-    near = masks.coastal_buffer(land, coast, settings.buffer_km).select(*CELL).distinct()
-    summer = wet.where(F.month("time").isin(*months)).join(near, list(CELL), "left_semi")
-    by_year = metrics.threshold_days(summer, {"wbt": settings.wet_bulb, "sh": settings.specific_humidity}).groupBy("year").agg(F.avg("wbt_days").alias("wbt_days"), F.avg("sh_days").alias("sh_days"))
+    near = masks.coastal_buffer(land, coast, settings.buffer_km).select(*CELL, "lat").distinct()
+    summer = wet.where(F.month("time").isin(*months)).join(near.select(*CELL), list(CELL), "left_semi")
+    names = ("wbt_days", "sh_days")
+    by_year = metrics.regional_days(metrics.threshold_days(summer, {"wbt": settings.wet_bulb, "sh": settings.specific_humidity}), near, names)
     years = metrics.years_with_days(daily.annual_days(compound_days))
-    split = by_year.join(years.select("year", F.lit(True).alias("_c")), "year", "left").groupBy(F.coalesce("_c", F.lit(False)).alias("is_compound")).agg(F.avg("wbt_days").alias("wbt_days"), F.avg("sh_days").alias("sh_days"))
-    top = wet.groupBy(F.lit("all").alias("name"), F.year("time").alias("year")).agg(F.max("wbt").alias("value"))
-    levels = trends.return_levels(top, attribution.thresholds_table(fields.sparkSession, range(22, 29)))
-    return {"maps": metrics.masked_annual(wet, compound_days, "wbt"), "days": by_year, "split": split, "levels": levels, "gev": trends.gev(top)}
+    split = by_year.join(years.select("year", F.lit(True).alias("_c")), "year", "left").groupBy(F.coalesce("_c", F.lit(False)).alias("is_compound")).agg(*[F.avg(c).alias(c) for c in names])
+    weight = cos_latitude(F.col("lat"))
+    means = summer.groupBy("time").agg(*[weighted_mean(F.col(c), weight).alias(c) for c in ("wbt", "sh")])
+    tops = means.groupBy(F.year("time").alias("year")).agg(F.max("wbt").alias("wbt"), F.max("sh").alias("sh"))
+    top = tops.select("year", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("wbt", "sh")])).alias("x")).select("year", "x.*")
+    limits = attribution.thresholds_table(fields.sparkSession, range(12, 29))  # 22 to 28 degrees, 12 to 28 g a kg
+    levels = trends.return_levels(top, limits).where("name = 'sh' OR threshold >= 22")
+    out = {"maps": metrics.masked_annual(wet, compound_days, "wbt"), "days": by_year, "split": split, "levels": levels, "gev": trends.gev(top)}
+    out["sh_trend"] = trends.seasonal_trend(wet.select("time", *CELL, F.col("sh").alias("v")), months)
+    if evaporation is not None:
+        out["evaporation_trend"] = trends.seasonal_trend(scaled(evaporation, "v", evaporation_factor), months)
+    return out

@@ -323,13 +323,19 @@ def _(spark, d):
 _WET_DAYS = f"SELECT year(time)::INT AS year, lat_idx, lon_idx, sum(({_STULL} >= 25.5)::INT) AS wbt_days, sum(({_SH} >= 19)::INT) AS sh_days FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL"
 
 
-@_query("humid_stats", f"""SELECT n_days IS NOT NULL AS is_compound, round(avg(wbt_days), 4) AS wbt_days, round(avg(sh_days), 4) AS sh_days FROM (SELECT year, avg(wbt_days) AS wbt_days, avg(sh_days) AS sh_days FROM ({_WET_DAYS}) GROUP BY year)
-LEFT JOIN (SELECT year, sum(n_days) AS n_days FROM compound_annual GROUP BY year HAVING sum(n_days) >= 20) USING (year) GROUP BY ALL""")
+_NEAR = "SELECT DISTINCT lat_idx, lon_idx, 40.0::DOUBLE + 0.25::DOUBLE * lat_idx AS lat FROM humid_daily WHERE lat_idx <= 1"
+
+
+@_query("humid_stats", f"""SELECT y.year IS NOT NULL AS is_compound, round(avg(wbt_days), 4) AS wbt_days, round(avg(sh_days), 4) AS sh_days FROM (
+SELECT year, sum(wbt_days * cos(radians(lat))) / sum(cos(radians(lat))) AS wbt_days, sum(sh_days * cos(radians(lat))) / sum(cos(radians(lat))) AS sh_days FROM ({_WET_DAYS}) JOIN ({_NEAR}) USING (lat_idx, lon_idx) GROUP BY year) d
+LEFT JOIN (SELECT year FROM (SELECT year, sum(n_days) AS n FROM compound_annual GROUP BY year) QUALIFY n >= avg(n) OVER ()) y ON d.year = y.year GROUP BY ALL""")
 def _(spark, d):
-    """Years of at least 20 compound days against the others."""
+    """Years of at least the mean of compound days against the others, over the cells within 30 km of the southern row."""
+    cells = fx.with_place(fx.humid_daily(spark, d).select(*CELL).distinct())
+    near = masks.coastal_buffer(cells, cells.where("lat_idx = 0"), 30.0)
     summer = _wet(spark, d).where(F.month("time").isin(6, 7, 8))
-    by_year = metrics.threshold_days(summer, {"wbt": 25.5, "sh": 19.0}).groupBy("year").agg(F.avg("wbt_days").alias("wbt_days"), F.avg("sh_days").alias("sh_days"))
-    years = metrics.years_with_days(fx.annual(spark, d)[0], 20)
+    by_year = metrics.regional_days(metrics.threshold_days(summer, {"wbt": 25.5, "sh": 19.0}), near, ("wbt_days", "sh_days"))
+    years = metrics.years_above_mean(fx.annual(spark, d)[0])
     return by_year.join(years, "year", "left").groupBy(F.col("n_days").isNotNull().alias("is_compound")).agg(F.avg("wbt_days").alias("wbt_days"), F.avg("sh_days").alias("sh_days"))
 
 
@@ -348,6 +354,21 @@ def _(spark, d):
     return trends.seasonal_trend(fx.monthly(spark, d), months=())
 
 
+_MONTHLY = "SELECT lat_idx, lon_idx, year(time) AS year, avg(v * 0.1) AS v FROM monthly WHERE month(time) IN (6, 7, 8) GROUP BY ALL"
+
+
+@_query("sh_trend", f"SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM (SELECT lat_idx, lon_idx, year(time) AS year, avg({_SH}) AS v FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY ALL")
+def _(spark, d):
+    return _humid_run(spark, d)["sh_trend"]
+
+
+@_query("evaporation_trend", f"SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM ({_MONTHLY}) GROUP BY ALL")
+def _(spark, d):
+    """Monthly evaporation under a long name, picked, renamed and scaled."""
+    raw = fx.monthly(spark, d).withColumnRenamed("v", "monthly_mean_evaporation")
+    return _humid_run(spark, d, grids.select_variable(raw, "monthly_mean_evaporation", "v"), 0.1)["evaporation_trend"]
+
+
 @_query("return_level", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (
 SELECT 'lat' || lat_idx AS name, threshold, avg((value >= threshold)::INT)::DOUBLE AS p FROM (SELECT lat_idx, year(time) AS year, max({_STULL}) AS value FROM humid_daily GROUP BY ALL) CROSS JOIN (SELECT unnest(range(22, 36))::INT AS threshold) GROUP BY ALL)""")
 def _(spark, d):
@@ -355,9 +376,15 @@ def _(spark, d):
     return trends.return_levels(series, attribution.thresholds_table(spark, range(22, 36)))
 
 
-@_query("gev_levels")
+@_query("gev_levels", f"""SELECT name, round(-k, 4) AS shape, round(scale, 4) AS scale, round(CASE WHEN abs(k) < 1e-6 THEN b0 - 0.5772156649015329 * scale ELSE b0 - scale * (1 - gamma(1 + k)) / k END, 4) AS location FROM (
+SELECT *, CASE WHEN abs(k) < 1e-6 THEN l2 / ln(2) ELSE l2 * k / ((1 - pow(2.0, -k)) * gamma(1 + k)) END AS scale FROM (
+SELECT *, CASE WHEN 7.8590 * c + 2.9554 * c * c > -1 THEN (7.8590 * c + 2.9554 * c * c)::DOUBLE END AS k FROM (
+SELECT *, CASE WHEN 3 * b2 - b0 <> 0 THEN l2 / (3 * b2 - b0) - ln(2) / ln(3) END AS c FROM (
+SELECT *, CASE WHEN 2 * b1 - b0 > 1e-9 * greatest(abs(b0), 1e-9) THEN 2 * b1 - b0 END AS l2 FROM (
+SELECT name, avg(value) AS b0, avg(value * i / (n - 1)) AS b1, avg(value * i * (i - 1) / ((n - 1) * (n - 2))) AS b2 FROM (
+SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM (
+SELECT 'cell' || lat_idx || '-' || lon_idx AS name, year(time) AS year, avg({_STULL}) AS value FROM humid_daily GROUP BY ALL)) WHERE n >= 3 GROUP BY name)))))""")
 def _(spark, d):
-    """Closed forms with the gamma function; held against numpy in the tests."""
     series = _wet(spark, d).groupBy(F.concat(F.lit("cell"), F.col("lat_idx"), F.lit("-"), F.col("lon_idx")).alias("name"), F.year("time").alias("year")).agg(F.avg("wbt").alias("value"))
     return trends.gev(series)
 
@@ -397,15 +424,30 @@ def _(spark, d):
     return _boot(spark, d)
 
 
-@_query("bootstrap_far_pr", "SELECT threshold, round(median(p_all), 4) AS p_all, round(quantile_cont(p_fix, 0.05), 4) AS p_fix_low, round(quantile_cont(p_fix, 0.95), 4) AS p_fix_high FROM boot GROUP BY threshold")
+def _bound(c: str, q: float) -> str:
+    """Percentile of the sorted list c of n + 1 values; equal neighbours, infinite ones too, are not subtracted."""
+    low, high = f"{c}[floor({q} * n)::INT + 1]", f"{c}[ceil({q} * n)::INT + 1]"
+    return f"round(CASE WHEN {low} = {high} THEN {low} ELSE (ceil({q} * n) - {q} * n) * {low} + ({q} * n - floor({q} * n)) * {high} END::DOUBLE, 4)"
+
+
+def _summary(boot: str) -> str:
+    """By threshold mean and interval of far and pr over all draws; infinite values are values."""
+    bounds = ", ".join(f"{_bound(c, q)} AS {c}_{n}" for c in ("far", "pr") for n, q in (("low", 0.05), ("high", 0.95)))
+    return f"""SELECT threshold, round(far_mean, 4) AS far_mean, round(pr_mean, 4) AS pr_mean, {bounds} FROM (
+SELECT threshold, CASE WHEN bool_or(isinf(far)) THEN '-Infinity'::DOUBLE ELSE avg(CASE WHEN NOT isinf(far) THEN far END) END AS far_mean, CASE WHEN bool_or(isinf(pr)) THEN 'Infinity'::DOUBLE ELSE avg(CASE WHEN NOT isinf(pr) THEN pr END) END AS pr_mean,
+  list_sort(list(far)) AS far, list_sort(list(pr)) AS pr, (count(*) - 1)::DOUBLE AS n FROM {boot} GROUP BY threshold)"""
+
+
+@_query("bootstrap_far_pr", f"""SELECT threshold, {_bound('far', 0.5)} AS far, {_bound('pr', 0.5)} AS pr, round(p_all, 4) AS p_all, round(p_fix_low, 4) AS p_fix_low, round(p_fix_high, 4) AS p_fix_high FROM (
+SELECT threshold, median(p_all) AS p_all, quantile_cont(p_fix, 0.05) AS p_fix_low, quantile_cont(p_fix, 0.95) AS p_fix_high, list_sort(list(far)) AS far, list_sort(list(pr)) AS pr, (count(*) - 1)::DOUBLE AS n FROM boot GROUP BY threshold)""")
 def _(spark, d):
-    return _boot(spark, d).groupBy("threshold").agg(F.percentile("p_all", F.lit(0.5)).alias("p_all"), F.percentile("p_fix", F.lit(0.05)).alias("p_fix_low"), F.percentile("p_fix", F.lit(0.95)).alias("p_fix_high"))
+    middle = [F.percentile(c, F.lit(0.5)).alias(c) for c in ("far", "pr", "p_all")]
+    return _boot(spark, d).groupBy("threshold").agg(*middle, F.percentile("p_fix", F.lit(0.05)).alias("p_fix_low"), F.percentile("p_fix", F.lit(0.95)).alias("p_fix_high"))
 
 
-@_query("bootstrap_intervals", "SELECT threshold, round(avg(far), 4) AS far_mean, round(avg(pr), 4) AS pr_mean, round(quantile_cont(far, 0.05), 4) AS far_low, round(quantile_cont(far, 0.95), 4) AS far_high, round(quantile_cont(pr, 0.05), 4) AS pr_low, round(quantile_cont(pr, 0.95), 4) AS pr_high FROM boot WHERE p_all > 0 AND p_fix > 0 GROUP BY threshold")
+@_query("bootstrap_intervals", _summary("boot"))
 def _(spark, d):
-    """Over draws in which both probabilities are positive."""
-    return attribution.summary(_boot(spark, d).where("p_all > 0 AND p_fix > 0"))
+    return attribution.summary(_boot(spark, d))
 
 
 _PERIODS = "SELECT threshold, CASE WHEN p_all <= 0 THEN 'Infinity'::DOUBLE ELSE 1.0 / p_all END::DOUBLE AS period_all, CASE WHEN p_fix <= 0 THEN 'Infinity'::DOUBLE ELSE 1.0 / p_fix END::DOUBLE AS period_fix FROM risk"
@@ -425,11 +467,40 @@ def _(spark, d):
     return attribution.period_levels(_periods(spark, d))
 
 
-@_query("observed_table", """SELECT year, n_days, arg_max(threshold, threshold) AS threshold, round(arg_max(p_all, threshold), 4) AS p_all, round(arg_max(p_fix, threshold), 4) AS p_fix
-FROM (SELECT year, max(n_days)::BIGINT AS n_days FROM ensemble GROUP BY year) LEFT JOIN risk ON threshold <= n_days GROUP BY ALL""")
+_RISK = ("threshold", "p_all", "p_fix", "far_mean", "pr_mean", "far_low", "far_high", "pr_low", "pr_high")
+
+
+@_query("observed_table", f"""SELECT year, n_days, {", ".join(f"arg_max({c}, threshold) AS {c}" for c in _RISK)} FROM (SELECT year, max(n_days)::BIGINT AS n_days FROM ensemble GROUP BY year)
+LEFT JOIN (SELECT threshold, round(p_all, 4) AS p_all, round(p_fix, 4) AS p_fix, s.* EXCLUDE (threshold) FROM risk JOIN ({_summary("boot")}) s USING (threshold)) ON threshold <= n_days GROUP BY ALL""")
+def _(spark, d):
+    """The largest count of a year in the attribution curve: probabilities, FAR, PR and their intervals."""
+    from ..config import Settings
+    from .pipelines import run_attribution
+
+    observed = fx.ensemble(spark, d).groupBy("year").agg(F.max("n_days").alias("n_days"))
+    return run_attribution(fx.ensemble(spark, d), Settings(bootstraps=200), observed)["observed"].select("year", "n_days", *_RISK)
+
+
+@_query("member_compound_annual", "SELECT * FROM member_annual")
+def _(spark, d):
+    """Detection, pairing, classes and days of every member, from its daily fields."""
+    a = _members(spark, d)
+    key = ["forcing", "member", "year", *CELL]
+    return a["compound_annual"].select(*key, F.col("n_days").alias("n_compound")).join(a["standalone_annual"].select(*key, F.col("n_days").alias("n_standalone")), key)
+
+
+@_query("attribution_from_fields", """SELECT threshold, round(avg((n_compound >= threshold)::INT) FILTER (WHERE forcing = 'ALL'), 4)::DOUBLE AS p_all, round(avg((n_compound >= threshold)::INT) FILTER (WHERE forcing = 'FixGHG'), 4)::DOUBLE AS p_fix
+FROM member_annual CROSS JOIN (SELECT unnest([1, 3, 5, 10, 20, 40, 80])::INT AS threshold) GROUP BY threshold""")
 def _(spark, d):
-    curve = attribution.probability(attribution.member_hits(fx.ensemble(spark, d), attribution.thresholds_table(spark, range(10, 100, 5))))
-    return attribution.observed_risk(fx.ensemble(spark, d).groupBy("year").agg(F.max("n_days").alias("n_days")), curve)
+    return _members(spark, d)["probability"]
+
+
+def _members(spark, d):
+    from ..config import Settings
+    from .pipelines import run_ensemble
+
+    s = Settings(base_period=fx.BASE, min_duration=fx.MIN_DURATION, max_gap=fx.MAX_GAP, percentile=fx.MEMBER_SEA_SHARE, land_percentile=fx.MEMBER_LAND_SHARE, land_min_valid=0, thresholds=(1, 3, 5, 10, 20, 40, 80), bootstraps=50)
+    return run_ensemble(fx.member_ocean(spark, d), fx.member_land(spark, d), s, mask="any")
 
 
 # Sources, checks, streams
@@ -455,6 +526,13 @@ def _(spark, d):
     return grids.nearest_level(rows, at=2.0, keys=("cell",))
 
 
+@_query("member_surface", "SELECT l_orderkey AS cell, 'ALL' AS forcing, '001' AS member, round(arg_min(v, lev) - 273.15, 4) AS \"SST\" FROM (SELECT l_orderkey, l_linenumber - 1.0 AS lev, max(l_quantity) + 273.15 AS v FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def _(spark, d):
+    """A member's sea field in Kelvin with levels: its surface in Celsius."""
+    rows = fx.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell"), (F.col("l_linenumber") - F.lit(1.0)).alias("lev")).agg((F.max("l_quantity") + F.lit(273.15)).alias("TEMP"))
+    return grids.load_member(rows, "ALL", "001", keys=("cell",)).select("cell", "forcing", "member", "SST")
+
+
 @_query("stream_sessions", """SELECT user_id, min(day) AS event_start, max(day) AS event_end, (max(day) - min(day) + 1)::INT AS duration FROM (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS event FROM (
     SELECT user_id, day, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE value > 20)))
@@ -468,43 +546,33 @@ def _(spark, d):
 # Whole jobs
 
 
-@_query("observational_run", """SELECT c.year, sum(c.n_days)::BIGINT AS compound_days, sum(s.n_days)::BIGINT AS standalone_days, sum(u.n_days)::BIGINT AS thw_days, round(avg(r.value), 4) AS mean_ratio
-FROM compound_annual c JOIN standalone_annual s USING (year, lat_idx, lon_idx) JOIN union_annual u USING (year, lat_idx, lon_idx) JOIN chr r USING (year, lat_idx, lon_idx) GROUP BY c.year""")
+_COAST = "(lat_idx IN (0, 4) OR lon_idx IN (0, 4)) AND (lat_idx, lon_idx) IN (SELECT (lat_idx, lon_idx) FROM land GROUP BY lat_idx, lon_idx HAVING count(v) >= 500)"
+
+
+@_query("observational_run", f"""SELECT year, sum(CASE WHEN coast THEN c.n_days ELSE 0 END)::BIGINT AS compound_days, sum(CASE WHEN coast THEN s.n_days ELSE 0 END)::BIGINT AS standalone_days, sum(CASE WHEN coast THEN u.n_days ELSE 0 END)::BIGINT AS thw_days, round(avg(CASE WHEN coast THEN r.value END), 4) AS mean_ratio
+FROM (SELECT *, {_COAST} AS coast FROM compound_annual) c JOIN standalone_annual s USING (year, lat_idx, lon_idx) JOIN union_annual u USING (year, lat_idx, lon_idx) JOIN chr r USING (year, lat_idx, lon_idx) GROUP BY year""")
 def _(spark, d):
-    """The observational job's annual totals. Every cell of these grids has a value on some day only, so the masks' days are moved to one that all have."""
+    """The observational job's annual totals, with its coast and with a least number of valid days that some cells miss."""
     from ..config import Settings
     from .pipelines import run_observational
 
-    def with_first_day(g):
-        """A day before all others with a value below any threshold, in every cell: it makes the masks whole and exceeds nothing."""
-        first = g.groupBy(*CELL, "lat", "lon").agg(F.lit("1990-01-01").cast("date").alias("time"), F.lit(0.0).alias("v"))
-        return g.unionByName(first.select(*g.columns))
-
-    s = Settings(base_period=fx.BASE, min_duration=fx.MIN_DURATION, max_gap=fx.MAX_GAP, percentile=fx.SEA_SHARE, land_percentile=fx.LAND_SHARE, land_min_valid=0)
-    found = run_observational(with_first_day(fx.ocean(spark, d)), with_first_day(fx.land(spark, d)), s, coast_only=False)
+    s = Settings(base_period=fx.BASE, min_duration=fx.MIN_DURATION, max_gap=fx.MAX_GAP, percentile=fx.SEA_SHARE, land_percentile=fx.LAND_SHARE, land_min_valid=500)
+    found = run_observational(fx.ocean(spark, d), fx.land(spark, d), s, mask="any")
     key = ["year", *CELL]
     c, a, t = (found[n].select(*key, F.col("n_days").alias(m)) for n, m in (("compound_annual", "compound_days"), ("standalone_annual", "standalone_days"), ("thw_annual", "thw_days")))
-    rows = c.join(a, key).join(t, key).join(found["ratio"].select(*key, "value"), key).where("year > 1990")
+    rows = c.join(a, key).join(t, key).withColumn("value", ratio(F.col("compound_days"), F.col("standalone_days")))
     return rows.groupBy("year").agg(F.sum("compound_days").alias("compound_days"), F.sum("standalone_days").alias("standalone_days"), F.sum("thw_days").alias("thw_days"), F.avg("value").alias("mean_ratio"))
 
 
-@_query("attribution_run", """SELECT threshold, round(avg(far), 4) AS far_mean, round(quantile_cont(far, 0.05), 4) AS far_low, round(quantile_cont(far, 0.95), 4) AS far_high FROM boot WHERE threshold BETWEEN 30 AND 60 GROUP BY threshold""")
+@_query("attribution_run", _summary("boot"))
 def _(spark, d):
     from ..config import Settings
     from .pipelines import run_attribution
 
-    return run_attribution(fx.ensemble(spark, d), Settings(bootstraps=200))["summary"].where("threshold BETWEEN 30 AND 60").select("threshold", "far_mean", "far_low", "far_high")
+    return run_attribution(fx.ensemble(spark, d), Settings(bootstraps=200))["summary"]
 
 
-def _bound(c: str, q: float) -> str:
-    """Percentile of the sorted list c of n + 1 values; equal neighbours, infinite ones too, are not subtracted."""
-    low, high = f"{c}[floor({q} * n)::INT + 1]", f"{c}[ceil({q} * n)::INT + 1]"
-    return f"round(CASE WHEN {low} = {high} THEN {low} ELSE (ceil({q} * n) - {q} * n) * {low} + ({q} * n - floor({q} * n)) * {high} END::DOUBLE, 4)"
-
-
-@_query("attribution_summary", f"""SELECT threshold, round(far_mean, 4) AS far_mean, round(pr_mean, 4) AS pr_mean, {", ".join(f"{_bound(c, q)} AS {c}_{n}" for c in ("far", "pr") for n, q in (("low", 0.05), ("high", 0.95)))} FROM (
-SELECT threshold, CASE WHEN bool_or(isinf(far)) THEN '-Infinity'::DOUBLE ELSE avg(CASE WHEN NOT isinf(far) THEN far END) END AS far_mean, CASE WHEN bool_or(isinf(pr)) THEN 'Infinity'::DOUBLE ELSE avg(CASE WHEN NOT isinf(pr) THEN pr END) END AS pr_mean,
-  list_sort(list(far)) AS far, list_sort(list(pr)) AS pr, (count(*) - 1)::DOUBLE AS n FROM all_boot GROUP BY threshold)""")
+@_query("attribution_summary", _summary("all_boot"))
 def _(spark, d):
     """All thresholds over all draws of the defaults; infinite values are values."""
     from .pipelines import run_attribution
@@ -512,13 +580,29 @@ def _(spark, d):
     return run_attribution(fx.ensemble(spark, d))["summary"]
 
 
-@_query("humid_run", f"""SELECT year, round(avg(wbt_days), 4) AS wbt_days, round(avg(sh_days), 4) AS sh_days FROM (
-SELECT year(time)::INT AS year, lat_idx, lon_idx, sum(({_CLOSED} >= 25.5)::INT) AS wbt_days, sum(({_SH} >= 19)::INT) AS sh_days FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY year""")
-def _(spark, d):
+def _humid_run(spark, d, evaporation=None, factor=1.0):
+    """The humid job; its coast is the southern row of cells, its buffer 30 km."""
+    from ..config import Settings
     from .pipelines import run_humid
 
-    cells = masks.valid_mask(fx.land(spark, d), "any")
-    return run_humid(fx.with_place(fx.humid_daily(spark, d)), fx.compound_days(spark, d), fx.with_place(fx.humid_daily(spark, d).select(*CELL).distinct()), cells)["days"]
+    fields = fx.with_place(fx.humid_daily(spark, d))
+    cells = fields.select(*CELL, "lat", "lon").distinct()
+    return run_humid(fields, fx.compound_days(spark, d), cells, cells.where("lat_idx = 0"), Settings(buffer_km=30.0), evaporation=evaporation, evaporation_factor=factor)
+
+
+@_query("humid_run", f"""SELECT year, round(sum(wbt_days * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS wbt_days, round(sum(sh_days * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS sh_days FROM (
+SELECT year(time)::INT AS year, lat_idx, lon_idx, sum(({_CLOSED} >= 25.5)::INT) AS wbt_days, sum(({_SH} >= 19)::INT) AS sh_days FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL) JOIN ({_NEAR}) USING (lat_idx, lon_idx) GROUP BY year""")
+def _(spark, d):
+    return _humid_run(spark, d)["days"]
+
+
+@_query("humid_levels", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (SELECT name, threshold, avg((value >= threshold)::INT)::DOUBLE AS p FROM (
+SELECT unnest(['wbt', 'sh']) AS name, year, unnest([max(wbt), max(sh)]) AS value FROM (
+SELECT time, year(time) AS year, sum({_CLOSED} * cos(radians(lat))) / sum(cos(radians(lat))) AS wbt, sum({_SH} * cos(radians(lat))) / sum(cos(radians(lat))) AS sh FROM humid_daily JOIN ({_NEAR}) USING (lat_idx, lon_idx) WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY year)
+CROSS JOIN (SELECT unnest(range(12, 29))::INT AS threshold) WHERE name = 'sh' OR threshold >= 22 GROUP BY ALL)""")
+def _(spark, d):
+    """Return levels of the coastal buffer's mean series."""
+    return _humid_run(spark, d)["levels"]
 
 
 @_query("panel_ratio_means", "SELECT lat_idx, lon_idx, round(avg(value), 4) AS value FROM chr WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL")
@@ -528,3 +612,32 @@ def _(spark, d):
     c, s, t = fx.annual(spark, d)
     found = {"compound_annual": c, "standalone_annual": s, "ratio": fx.chr_field(spark, d), "cooccurrence": fx.with_place(metrics.ratio_field(c, t))}
     return panel_tables(found, (1996, 2000), regions=metrics.regions_table(spark, fx.BOXES))["ratio_mean"]
+
+
+_PANELS = {
+    "maps": "SELECT NULL AS name, year, lat_idx, lon_idx, n_days::DOUBLE AS value FROM compound_annual WHERE year IN (1996, 1998, 2000) AND n_days > 0",
+    "scale": "SELECT NULL, NULL, NULL, NULL, quantile_cont(n_days, 0.95) FROM compound_annual WHERE n_days > 0",
+    "series": "SELECT name, year, NULL, NULL, value FROM series",
+    "peaks": "SELECT name, year, NULL, NULL, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY value DESC NULLS LAST, year) AS k FROM series) WHERE k <= 3",
+    "cooccurrence_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(CASE WHEN u.n_days > 0 THEN c.n_days / u.n_days END) FROM compound_annual c JOIN union_annual u USING (year, lat_idx, lon_idx) GROUP BY lat_idx, lon_idx",
+    "compound_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(n_days) FROM compound_annual WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx",
+    "standalone_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(n_days) FROM standalone_annual WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx",
+    "ratio_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(value) FROM chr WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx",
+    "ratio_series": "SELECT NULL, year, NULL, NULL, sum(value * cos(radians(lat))) / sum(CASE WHEN value IS NOT NULL THEN cos(radians(lat)) END) FROM chr GROUP BY year",
+}
+
+
+@_query("panel_rows", "SELECT panel, name, year::INT AS year, lat_idx::INT AS lat_idx, lon_idx::INT AS lon_idx, round(value, 4)::DOUBLE AS value FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS panel, * FROM ({v})" for k, v in _PANELS.items()) + ")")
+def _(spark, d):
+    """The rows of all figure tables but the fitted trend, from the job that makes them."""
+    from .pipelines import panel_tables
+
+    c, s, t = fx.annual(spark, d)
+    found = {"compound_annual": c, "standalone_annual": s, "ratio": fx.chr_field(spark, d), "cooccurrence": fx.with_place(metrics.ratio_field(c, t))}
+    tables = panel_tables(found, (1996, 2000), (1996, 1998, 2000), metrics.regions_table(spark, fx.BOXES))
+    out = None
+    for k in _PANELS:
+        df = tables[k].withColumnRenamed("n_days", "value") if "n_days" in tables[k].columns else tables[k]
+        part = df.select(F.lit(k).alias("panel"), *[F.col(n).cast(kind).alias(n) if n in df.columns else F.lit(None).cast(kind).alias(n) for n, kind in (("name", "string"), ("year", "int"), ("lat_idx", "int"), ("lon_idx", "int"), ("value", "double"))])
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -55,9 +55,9 @@ def nearest_level(df: DataFrame, level: str = "lev", at: float = 0.0, keys: Sequ
     return df.withColumn("_n", F.row_number().over(near)).where("_n = 1").drop("_n", level)
 
 
-def load_member(df: DataFrame, forcing: str, member: str, temperature: str = "TREFHT", sea: str = "TEMP") -> DataFrame:
+def load_member(df: DataFrame, forcing: str, member: str, temperature: str = "TREFHT", sea: str = "TEMP", keys: Sequence[str] = (*CELL, "time")) -> DataFrame:
     """One ensemble member in Celsius with its keys; a sea field with levels is cut to the surface."""
-    out = nearest_level(df) if "lev" in df.columns else df
+    out = nearest_level(df, keys=keys) if "lev" in df.columns else df
     for old, new in ((temperature, "T2m"), (sea, "SST")):
         if old in out.columns:
             out = out.withColumn(new, kelvin_to_celsius(F.col(old))).drop(old)

@@ -39,7 +39,8 @@ class _Tracker(StatefulProcessor):
         self.state = handle.getValueState("open", kind)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        days = pd.concat(list(rows)).sort_values("t_idx")["t_idx"].tolist()
+        found = pd.concat(list(rows))["t_idx"]
+        days, ends = sorted(found.dropna().astype("int64").tolist()), bool(found.isna().any())
         held = self.state.get() if self.state.exists() else None
         out = []
         start, last = held or (None, None)
@@ -51,7 +52,12 @@ class _Tracker(StatefulProcessor):
                     out.append((*key, start, last, last - start + 1))
                 start = t
             last = t if last is None or t > last or start == t else last
-        self.state.update((start, last))
+        if ends:
+            if start is not None and last - start + 1 >= self.min_duration:
+                out.append((*key, start, last, last - start + 1))
+            self.state.clear()
+        elif start is not None:
+            self.state.update((start, last))
         yield pd.DataFrame(out, columns=[*CELL, "start_idx", "end_idx", "duration"])
 
     def close(self) -> None:
@@ -62,7 +68,13 @@ def tracked_events(exceeding: DataFrame, min_duration: int = 5, max_gap: int = 2
     """Events by axis position (lat_idx, lon_idx, t_idx of exceeding days) with one open event of state a cell.
 
     Needs the RocksDB state store. An event is emitted by the first exceeding day behind its gap; the last one of each
-    cell stays in the state.
+    cell stays in the state until a row of the cell without t_idx flushes it (flush_rows gives one a cell).
     """
     schema = StructType([StructField("lat_idx", IntegerType()), StructField("lon_idx", IntegerType()), StructField("start_idx", LongType()), StructField("end_idx", LongType()), StructField("duration", LongType())])
     return exceeding.groupBy(*CELL).transformWithStateInPandas(statefulProcessor=_Tracker(min_duration, max_gap), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def flush_rows(cells: DataFrame, schema: StructType) -> DataFrame:
+    """A row a cell that ends its series: tracked_events then emits what is open there. schema: that of the stream."""
+    keys = cells.select(*CELL).distinct()
+    return keys.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in CELL else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
