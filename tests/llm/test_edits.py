@@ -34,6 +34,35 @@ def test_edits_touch_little():
     assert tree.reencoded < 60 and tree.total == whole(tree.text)
 
 
+def test_edits_update_few_sums():
+    r = random.Random(7)
+    tree = C.tree(words(5000, seed=3))
+    depth = tree.width.bit_length()
+    changed = 0
+    for _ in range(400):
+        n = tree.n_chars
+        a = r.randrange(n)
+        before, pieces = tree.touched, int(tree.sums[2, 1])
+        tree.edit(a, min(n, a + r.choice([0, 3, 12])), r.choice(["", "one two three", " ", "x, y; z", "12 13"]))
+        assert tree.touched - before <= 8 * depth
+        changed += pieces != int(tree.sums[2, 1])
+    assert changed > 200
+    assert tree.rebuilt == 0 and tree.total == whole(tree.text) and tree.n_chars == len(tree.text)
+
+
+def test_large_insertions_and_deletions():
+    tree = C.tree(words(300, seed=4))
+    tree.edit(200, 210, words(900, seed=5))
+    assert tree.rebuilt == 1 and tree.total == whole(tree.text)
+    tree.edit(100, tree.n_chars - 50, "")
+    assert tree.total == whole(tree.text) and tree.n_chars == len(tree.text)
+    tree.edit(0, tree.n_chars, "")
+    assert tree.total == 0 and tree.text == ""
+    tree.edit(0, 0, "it's" + " " * 500 + "x" * 3000 + "'ll")
+    tree.edit(3, 3, "  ")
+    assert tree.total == whole(tree.text)
+
+
 def test_query(spark):
     rows = AWKWARD + [(30, "write to a.b@c.example.org or +1 (389) 555-5010, 10.0.0.1"), (31, words(400))]
     found = edits.count_tokens(doc_columns(clashing(docs(spark, rows)))).collect()

@@ -1,9 +1,10 @@
 """Token counts that follow edits.
 
-A document's pre-tokens (the pieces a byte-level BPE never merges across) are the leaves of a segment tree of token
-sums. An edit re-encodes only the pre-tokens it touches plus as much context as its effect on the splitting reaches:
-from the pre-token before the edit until the new splitting meets the old one again. Changed leaves update the sums of
-their subtrees.
+A document's pre-tokens (the pieces a byte-level BPE never merges across) are the leaves of a segment tree of token,
+character and piece sums. An edit finds its leaf by descending along character sums and re-encodes only the pre-tokens
+it touches plus as much context as its effect on the splitting reaches: from the pre-token before the edit until the new
+splitting meets the old one again. A leaf may hold several pre-tokens or none, so an edit that changes their number
+updates the sums above its leaves too; only where a leaf would hold more than MOST_IN_LEAF are leaves dealt anew.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import batch, doc_columns, steps, table
 
@@ -24,6 +24,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REDACTIONS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<mail>"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<address>"), (r"\+?\d[\d ()-]{7,}\d", "<number>"))
 #: Counted pre-tokens kept by a task process.
 MOST_KNOWN = 1 << 20
+#: Pre-tokens in a leaf; characters behind an edit that are looked at first; those that a window's end may distort.
+MOST_IN_LEAF, AHEAD, MARGIN = 32, 64, 4
 
 _HELD: dict[str, "Counter"] = {}
 
@@ -63,83 +65,125 @@ class Counter:
 
 
 class Tree:
-    """The pre-tokens of a text and their token sums, in heap order with a power of two of leaves."""
+    """A text as leaves of pre-tokens, and the sums of tokens, characters and pre-tokens of all subtrees in heap order."""
 
     def __init__(self, counter: Counter, text: str):
-        self.counter, self.text = counter, text
-        self.reencoded = 0
-        self._build(counter.pattern.findall(text), None)
-
-    def _build(self, pieces: list[str], counts: list[int] | None) -> None:
-        self.pieces = pieces
-        counts = self.counter.count(pieces) if counts is None else counts
-        self.ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
-        self.width = 1 << max(0, len(pieces) - 1).bit_length()
-        self.sums = np.zeros(2 * self.width, dtype=np.int64)
-        self.sums[self.width : self.width + len(pieces)] = counts
+        self.counter = counter
+        self.reencoded = self.touched = self.rebuilt = 0
+        pieces = counter.pattern.findall(text)
+        self._build(pieces, counter.count(pieces))
+
+    def _build(self, pieces: list[str], counts: list[int]) -> None:
+        n = len(pieces)
+        self.width = 1 << max(0, n - 1).bit_length()
+        self.sums = np.zeros((3, 2 * self.width), dtype=np.int64)
+        self.sums[:, self.width : self.width + n] = counts, np.fromiter(map(len, pieces), dtype=np.int64, count=n), np.ones(n, dtype=np.int64)
         level = self.width
         while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
+            self.sums[:, level // 2 : level] = self.sums[:, level : 2 * level : 2] + self.sums[:, level + 1 : 2 * level : 2]
             level //= 2
+        self._flat, self.leaves = (pieces, counts), None
+
+    def _open(self) -> None:
+        """Leaves as lists (pre-tokens, their counts), from the first edit on."""
+        if self.leaves is None:
+            pieces, counts = self._flat
+            self.leaves = [([p], [c]) for p, c in zip(pieces, counts, strict=True)] + [([], []) for _ in range(self.width - len(pieces))]
+            self._flat = None
+
+    @property
+    def pieces(self) -> list[str]:
+        return self._flat[0] if self.leaves is None else [p for leaf in self.leaves for p in leaf[0]]
+
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces)
 
     @property
     def total(self) -> int:
-        return int(self.sums[1]) if len(self.sums) > 1 else 0
+        return int(self.sums[0, 1])
 
-    def tokens(self, first: int, end: int) -> int:
-        """The tokens of pre-tokens first ... end - 1, from the sums of O(log n) subtrees."""
-        a, z, total = first + self.width, end + self.width, 0
-        while a < z:
-            if a & 1:
-                total += int(self.sums[a])
-                a += 1
-            if z & 1:
-                z -= 1
-                total += int(self.sums[z])
-            a //= 2
-            z //= 2
+    @property
+    def n_chars(self) -> int:
+        return int(self.sums[1, 1])
+
+    def _leaf(self, at: int, kind: int) -> tuple[int, int]:
+        """The leaf that holds character (kind 1) or pre-token (kind 2) number `at`, and how many stand before it."""
+        sums, node, before = self.sums[kind], 1, 0
+        while node < self.width:
+            node *= 2
+            if at - before >= (left := int(sums[node])):
+                before += left
+                node += 1
+        return node - self.width, before
+
+    def _before(self, end: int) -> int:
+        """The tokens of the first `end` pre-tokens, from the sums of O(log n) subtrees."""
+        if end >= self.sums[2, 1]:
+            return self.total
+        leaf, before = self._leaf(end, 2)
+        self._open()
+        total, node = sum(self.leaves[leaf][1][: end - before]), leaf + self.width
+        while node > 1:
+            if node & 1:
+                total += int(self.sums[0, node - 1])
+            node //= 2
         return total
 
+    def tokens(self, first: int, end: int) -> int:
+        """The tokens of pre-tokens first ... end - 1."""
+        return self._before(end) - self._before(first)
+
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters start ... end - 1. Only touched pre-tokens and boundary context are split and encoded again."""
-        shift = len(new) - (end - start)
-        text = self.text[:start] + new + self.text[end:]
+        self._open()
+        total, shift = self.n_chars, len(new) - (end - start)
         # Where the text before `start` was split stays so, but for the two last pieces: what comes after may lengthen
         # one, or take a blank from it.
-        first = max(0, int(np.searchsorted(self.ends, start, side="left")) - 1)
-        at = int(self.ends[first - 1]) if first else 0
-        old = {int(e) + shift: k + 1 for k, e in enumerate(self.ends) if e >= end} if len(self.ends) < 64 else None
-        fresh: list[str] = []
-        last = len(self.pieces)
-        for m in self.counter.pattern.finditer(text, at):
-            fresh.append(m.group())
-            stop = m.end()
-            if stop > start + len(new):
-                # Both splittings have a boundary here: from now on they are the same.
-                if old is not None:
-                    meets = old.get(stop)
-                else:
-                    k = int(np.searchsorted(self.ends, stop - shift, side="left"))
-                    meets = k + 1 if k < len(self.ends) and self.ends[k] == stop - shift else None
-                if meets is not None:
-                    last = meets
+        first, at = self._leaf(max(start - 1, 0), 1) if total else (0, 0)
+        if at:
+            first, at = self._leaf(at - 1, 1)
+        ahead = AHEAD
+        while True:
+            pieces, counts, reach, last = [], [], at, first
+            while reach < min(end + ahead, total):
+                last, _ = self._leaf(reach, 1)
+                pieces += self.leaves[last][0]
+                counts += self.leaves[last][1]
+                reach += int(self.sums[1, self.width + last])
+            old = "".join(pieces)
+            window = old[: start - at] + new + old[end - at :]
+            ends = np.cumsum([len(p) for p in pieces]).tolist() if pieces else []
+            meets = {e + shift: k + 1 for k, e in enumerate(ends) if at + e >= end}
+            safe = len(window) if reach == total else len(window) - MARGIN
+            fresh: list[str] = []
+            kept = len(pieces) if reach == total else None
+            for m in self.counter.pattern.finditer(window):
+                fresh.append(m.group())
+                stop = m.end()
+                if start - at + len(new) < stop <= safe and stop in meets:
+                    kept = meets[stop]  # both splittings have a boundary here: from now on they are the same
                     break
-        self.text = text
+            if kept is not None:
+                break
+            ahead *= 4
         self.reencoded += sum(map(len, fresh))
-        counts = self.counter.count(fresh)
-        if len(fresh) == last - first:
-            # The same number of leaves: only the sums above them change.
-            self.pieces[first:last] = fresh
-            self.ends[first:] = np.concatenate([(self.ends[first - 1] if first else 0) + np.cumsum(np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh))), self.ends[last:] + shift])
-            self.sums[self.width + first : self.width + last] = counts
-            a, z = (self.width + first) // 2, (self.width + last - 1) // 2
-            while a >= 1:
-                k = np.arange(a, z + 1)
-                self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
-                a, z = a // 2, z // 2
-        else:
-            leaves = self.sums[self.width : self.width + len(self.pieces)].tolist()
-            self._build(self.pieces[:first] + fresh + self.pieces[last:], leaves[:first] + counts + leaves[last:])
+        pieces, counts = fresh + pieces[kept:], self.counter.count(fresh) + counts[kept:]
+        each = -(-len(pieces) // (last - first + 1))
+        if each > MOST_IN_LEAF:
+            self.rebuilt += 1
+            left, right = self.leaves[:first], self.leaves[last + 1 :]
+            self._build([p for leaf in left for p in leaf[0]] + pieces + [p for leaf in right for p in leaf[0]], [c for leaf in left for c in leaf[1]] + counts + [c for leaf in right for c in leaf[1]])
+            return
+        for k in range(first, last + 1):
+            cut = slice((k - first) * each, (k - first + 1) * each)
+            self.leaves[k] = (pieces[cut], counts[cut])
+            self.sums[:, self.width + k] = sum(counts[cut]), sum(map(len, pieces[cut])), len(pieces[cut])
+        a, z = (self.width + first) // 2, (self.width + last) // 2
+        while a >= 1:
+            self.sums[:, a : z + 1] = self.sums[:, 2 * a : 2 * z + 2 : 2] + self.sums[:, 2 * a + 1 : 2 * z + 2 : 2]
+            self.touched += z + 1 - a
+            a, z = a // 2, z // 2
 
 
 def redactions(text: str, compiled) -> list[tuple[int, int, str]]:
@@ -175,11 +219,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, script=REDACTION
                 for i, t in enumerate(texts):
                     text = t.decode("utf-8")
                     tree = c.tree(text)
-                    before, pretokens = tree.total, len(tree.pieces)
+                    before, pretokens = tree.total, int(tree.sums[2, 1])
                     edits = redactions(text, compiled)
                     for e in edits:
                         tree.edit(*e)
-                    rows.append((ids[first + i], len(text), pretokens, before, len(edits), len(tree.text), tree.total, tree.reencoded))
+                    rows.append((ids[first + i], len(text), pretokens, before, len(edits), tree.n_chars, tree.total, tree.reencoded))
                 names = ("doc_id", "n_chars", "n_pretokens", "n_tokens", "n_edits", "n_chars_edited", "n_tokens_edited", "n_chars_reencoded")
                 yield batch({n: (x, pa.int64()) for n, x in zip(names, zip(*rows, strict=True), strict=True)})
 
@@ -188,8 +232,3 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, script=REDACTION
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(doc_columns(table(spark, sf_dir, "documents")))
-
-
-def updated_total(totals: DataFrame) -> DataFrame:
-    """The corpus's tokens before and after its edits."""
-    return totals.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_tokens_edited").alias("n_tokens_edited"))
