@@ -16,7 +16,7 @@ def test_records(spark, tmp_path):
     assert [r for r in found if r.page_id == 2][0].target_uri is None
     record = [r.record for r in warc.serialised(warc.derive(pages.limit(1))).collect() if "conversion" in r.record][0]
     head, body = record.split("\r\n\r\n", 1)
-    assert head.startswith("WARC/1.1\r\n") and f"Content-Length: {len(body.encode())}" in head and body == text.block
+    assert head.startswith("WARC/1.1\r\nWARC-Date: ") and f"Content-Length: {len(body.encode())}" in head and body == text.block
     warc.write(warc.derive(pages), str(tmp_path / "w"))
     assert warc.derive(pages.limit(0)).count() == 0
 
@@ -42,3 +42,38 @@ def test_all_references(spark):
     assert found[900, "conversion"].block == "" and found[901, "conversion"].block == "" and len(found) == 2 * len(texts) + 4
     plain = {(r.page_id, r.record_type): r for r in warc.derive(pages).collect()}
     assert all(plain[k].record_id == found[k].record_id and plain[k].refers_to == found[k].refers_to for k in found)
+
+
+def read_records(data):
+    """An independent reader: (headers, block) of concatenated records."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode().split("\r\n")
+        assert version == "WARC/1.1"
+        head = dict(line.split(": ", 1) for line in lines)
+        n = int(head["Content-Length"])
+        block = data[end + 4 : end + 4 + n]
+        assert data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
+        out.append((head, block))
+        at = end + 8 + n
+    return out
+
+
+def test_files_read_back(spark, tmp_path):
+    long = "<p>" + "long words stand here é &copy; " * 60_000
+    pages = spark.createDataFrame([(1, "http://u\r\nX: y", "<title>t</title><p>a<script>var x = '<p>no</p>'", 0), (2, "http://v", long, 0), (3, None, "<!-- open <p>no", 0), (4, "http://w", "<style>p{}", 0)], "page_id long, url string, html string, created int").drop("created")
+    for every in (False, True):
+        records = warc.derive(pages, all_references=every)
+        path = str(tmp_path / f"w{every}")
+        warc.write(records, path)
+        found = [r for p in sorted((tmp_path / f"w{every}").glob("part-*")) for r in read_records(p.read_bytes())]
+        want = {r.record_id: r for r in records.collect()}
+        assert len(found) == 8 == len(want)
+        for head, block in found:
+            r = want[head["WARC-Record-ID"]]
+            assert block.decode() == r.block and head["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+            assert head["WARC-Refers-To"] == r.refers_to and head["X-Source-Payload-Digest"] == r.source_digest and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"]) and "X" not in head
+        text = {r.page_id: r.block for r in want.values() if r.record_type == "conversion"}
+        assert text[1] == "a" and text[3] == text[4] == ""
+        assert text[2] == ("long words stand here é %s " % ("©" if every else "&copy;") * 60_000).strip()

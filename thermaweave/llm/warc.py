@@ -25,7 +25,7 @@ REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("
 BLANK = re.compile(r"&(?:nbsp;?|#0*160(?:;|(?![0-9]))|#[xX]0*[aA]0(?:;|(?![0-9a-fA-F])))")
 #: (pattern, replacement) in turn; both Java's and RE2's syntax.
 STEPS = (
-    ("(?is)<!--.*?-->|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>" for t in SILENT), ""),
+    (r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?(?:</{t}\s*>|\z)" for t in SILENT), ""),
     (rf"(?i)</?(?:{BREAKS})(?:[\s/][^>]*)?>", "\n"),
     (r"<[!/a-zA-Z][^>]*>", ""),
 )
@@ -109,16 +109,26 @@ def derive(pages: DataFrame, all_references: bool = False) -> DataFrame:
     )
 
 
-def serialised(records: DataFrame) -> DataFrame:
-    """page_id, record: each record with its WARC/1.1 header, without the two line ends that close it."""
+#: Header names and the columns they take; a null value has no line.
+HEADERS = (
+    ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"),
+    ("X-Source-Content-Type", "source_type"), ("X-Source-Content-Length", "source_length"), ("X-Source-Payload-Digest", "source_digest"), ("Content-Type", "block_type"), ("Content-Length", "block_length"),
+)
+#: When the query's records are dated; WARC-Date is mandatory and the given pages have no date.
+CREATED = "2025-01-01T00:00:00Z"
+
+
+def serialised(records: DataFrame, created: str = CREATED) -> DataFrame:
+    """page_id, record_type, record: each record with its WARC/1.1 header, without the two line ends that close it.
+
+    created: the WARC-Date of all records, unless records have a column `created`. A line end in a value is a blank.
+    """
     def header(name: str, value: Column) -> Column:
-        return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
+        return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
 
-    fields = [header(n, F.col(c)) for n, c in (
-        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"),
-        ("X-Source-Content-Type", "source_type"), ("X-Source-Content-Length", "source_length"), ("X-Source-Payload-Digest", "source_digest"), ("Content-Type", "block_type"), ("Content-Length", "block_length"),
-    )]
-    return records.select("page_id", F.concat(F.lit("WARC/1.1\r\n"), *fields, F.lit("\r\n"), F.col("block")).alias("record"))
+    date = F.coalesce("created", F.lit(created)) if "created" in records.columns else F.lit(created)
+    fields = [header("WARC-Date", date), *[header(n, F.col(c)) for n, c in HEADERS]]
+    return records.select("page_id", "record_type", F.concat(F.lit("WARC/1.1\r\n"), *fields, F.lit("\r\n"), F.col("block")).alias("record"))
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -134,6 +144,10 @@ def op7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "pages"), all_references=True)
 
 
+def op7_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serialised(derive(table(spark, sf_dir, "pages")))
+
+
 def _oracle() -> str:
     def text(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -171,3 +185,6 @@ SELECT page_id, record_type, record_id, refers_to, target_uri, 'text/html' AS so
 
 
 ORACLE = _oracle()
+SERIALISED = f"SELECT page_id, record_type, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Date: {CREATED}' || chr(13) || chr(10) || " + " || ".join(
+    f"coalesce('{n}: ' || regexp_replace({c}::VARCHAR, '[\\r\\n]+', ' ', 'g') || chr(13) || chr(10), '')" for n, c in HEADERS
+) + f" || chr(13) || chr(10) || block AS record FROM ({ORACLE})"
