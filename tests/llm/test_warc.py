@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import duckdb
+
 from thermaweave.llm import warc
 
 
@@ -77,3 +79,20 @@ def test_files_read_back(spark, tmp_path):
         text = {r.page_id: r.block for r in want.values() if r.record_type == "conversion"}
         assert text[1] == "a" and text[3] == text[4] == ""
         assert text[2] == ("long words stand here é %s " % ("©" if every else "&copy;") * 60_000).strip()
+
+
+def test_sql_decodes_what_the_query_decodes(spark):
+    from html.entities import html5
+
+    numbers = [*range(300), 0x2019, 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**30]
+    parts = [" ".join(f"a&{k}b" for k in sorted(html5)), " ".join(f"&#{n};&#{n} &#x{n:x}; &#X{n:X}g" for n in numbers)]
+    parts += ["&amp;copy; &amp;nbsp; &unknown; a & b &&amp;& &#; &#x; &#000160;&#x00a0;x&nbspx&nbsp &ltp&gt &noti; &notin; é&copyé &" + "x" * 50, "&" + "copy" * 20 + ";&lt;p&gt;\u00a0"]
+    rows = [(k, "u", f"<html lang=de><title>{t}</title><p>{t}</p><br>{t}") for k, t in enumerate(parts)] + [(7, None, None), (8, "u", ""), (0, "u", "&lt;"), (0, "u", "&lt;"), (None, None, "&gt;&#10;x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    for query, sql in ((warc.derive(pages), warc.ORACLE), (warc.serialised(warc.derive(pages)), warc.SERIALISED)):
+        theirs = con.sql(sql)
+        assert query.columns == theirs.columns
+        assert sorted(map(tuple, query.collect()), key=repr) == sorted(theirs.fetchall(), key=repr)

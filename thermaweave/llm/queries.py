@@ -17,7 +17,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": rules.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_warc_derivatives": warc.op7,
-    "op7_warc_decoded": warc.op7_decoded,
+    "op7_warc_decoded": warc.op7,
     "op7_warc_serialised": warc.op7_serialised,
     "op8_media_columns": media.op8,
     "op9_jaccard_join": jaccard.op9,
@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE, "op7_warc_serialised": warc.SERIALISED}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE, "op7_warc_decoded": warc.ORACLE, "op7_warc_serialised": warc.SERIALISED}

@@ -2,7 +2,7 @@
 
 Every response row gives a metadata record (title, language, number of links) and a conversion record (plain text).
 Both refer to the response's record id and carry its target URI and payload digest; each has its own block digest.
-All of it is Spark SQL functions in one pass without a shuffle.
+All of it is one pass without a shuffle, in Spark SQL functions but for character references, which Python decodes.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Elements that have no text, tags that end a line, character references (the ampersand last).
+#: Elements that have no text, tags that end a line, the character references that are decoded without
+#: Python (the ampersand last).
 SILENT = ("script", "style", "noscript", "template", "title")
 BREAKS = "p|div|article|section|h[1-6]|li|ul|ol|table|tr|td|th|br|figure|figcaption|nav|body|html|head|header|footer|blockquote|pre|hr"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
@@ -82,14 +84,14 @@ def record_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
-def derive(pages: DataFrame, all_references: bool = False) -> DataFrame:
+def derive(pages: DataFrame, all_references: bool = True) -> DataFrame:
     """Two rows per row of pages (page_id, url, html): page_id, record_type, record_id, refers_to, target_uri,
     source_type, source_length, source_digest, block_type, block_length, block_digest, block.
 
     Null HTML is an empty response: its text is empty and its metadata have an empty title. A null url stays null as
     target. Ids and digests follow content, so repeated rows give equal records. Text of any length is converted whole;
-    other columns are not read; an empty table gives no rows. Titles and texts have the references of REFERENCES decoded,
-    as the SQL has it, or with all_references every one that html.unescape knows.
+    other columns are not read; an empty table gives no rows. Titles and texts have all character references decoded,
+    named and numeric, closed or not, as HTML has it; without all_references only those of REFERENCES, without Python.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id"), F.col("url").alias("target_uri"), html.alias("html")).withColumns({"source_digest": F.concat(F.lit("sha256:"), F.sha2("html", 256)), "source_length": F.octet_length("html").cast("long")})
@@ -140,23 +142,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "pages"))
 
 
-def op7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "pages"), all_references=True)
-
-
 def op7_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serialised(derive(table(spark, sf_dir, "pages")))
 
 
+#: A character reference; a name may go on into the text that follows it.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _windows_1252(n: int) -> str:
+    """What a numeric reference from 128 to 159 stands for."""
+    return bytes([n]).decode("cp1252", "ignore") or chr(n)
+
+
 def _oracle() -> str:
     def text(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    def referred(c: str) -> str:
-        for a, b in REFERENCES:
-            c = f"replace({c}, {text(a)}, {text(b)})"
-        return c
-
     def replaced(c: str, steps) -> str:
         for p, r in steps:
             c = f"regexp_replace({c}, {text(p)}, {'chr(10)' if r == chr(10) else text(r)}, 'g')"
@@ -169,16 +171,31 @@ def _oracle() -> str:
     def spaced(c: str) -> str:
         return f"trim({replaced(c, SPACES)}, ' ' || chr(10))"
 
-    title = spaced(referred(f"regexp_replace(regexp_extract(html, {text(TITLE)}, 1), '\\s+', ' ', 'g')"))
+    names = ", ".join(f"({text(k)}, {text(' ' if k.rstrip(';') == 'nbsp' else v)})" for k, v in sorted(html5.items()))
+    high = ", ".join(text(_windows_1252(n)) for n in range(128, 160))
+    title = f"regexp_replace(regexp_extract(html, {text(TITLE)}, 1), '\\s+', ' ', 'g')"
     return f"""
-WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html FROM pages),
-b AS (SELECT *, 'sha256:' || sha256(html) AS source_digest, strlen(html)::BIGINT AS source_length FROM p),
-c AS (SELECT *, {uuid("response", "page_id::VARCHAR, coalesce(target_uri, ''), source_digest")} AS refers_to FROM b),
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS row_id, page_id, url AS target_uri, coalesce(html, '') AS html FROM pages),
+parts AS (SELECT row_id, 'title' AS part, {title} AS body FROM p UNION ALL SELECT row_id, 'text', {replaced("html", STEPS)} FROM p),
+lists AS (SELECT row_id, part, string_split_regex(body, {text(REFERENCE)}) AS pieces, regexp_extract_all(body, {text(REFERENCE)}) AS refs FROM parts),
+cut AS MATERIALIZED (SELECT row_id, part, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS piece, unnest(refs) AS ref FROM lists),
+named(name, value) AS (VALUES {names}),
+refs AS (SELECT DISTINCT ref, substr(ref, 2) AS s FROM cut WHERE ref IS NOT NULL),
+numbers AS (SELECT ref, coalesce(CASE WHEN regexp_matches(s, '^#[xX]') THEN try_cast('0x0' || ltrim(rtrim(substr(s, 3), ';'), '0') AS BIGINT) ELSE try_cast('0' || ltrim(rtrim(substr(s, 2), ';'), '0') AS BIGINT) END, 1114112) AS n FROM refs WHERE s[1] = '#'),
+decoded AS (
+  SELECT ref, CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN [{high}][n - 127] WHEN n = 160 THEN ' '
+    WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END AS value FROM numbers
+  UNION ALL
+  SELECT ref, coalesce(max_by(value || substr(s, length(name) + 1), length(name)), ref) FROM refs LEFT JOIN named ON starts_with(s, name) WHERE s[1] <> '#' GROUP BY ref),
+whole AS (SELECT row_id, part, string_agg(piece || coalesce(value, ''), '' ORDER BY i) AS body FROM cut LEFT JOIN decoded USING (ref) GROUP BY row_id, part),
+b AS (SELECT p.*, {spaced("t.body")} AS title, {spaced("w.body")} AS text, 'sha256:' || sha256(html) AS source_digest, strlen(html)::BIGINT AS source_length
+  FROM p JOIN whole t ON t.row_id = p.row_id AND t.part = 'title' JOIN whole w ON w.row_id = p.row_id AND w.part = 'text'),
+c AS (SELECT *, {uuid("response", "coalesce(page_id::VARCHAR, ''), coalesce(target_uri, ''), source_digest")} AS refers_to FROM b),
 r AS (
   SELECT *, 'metadata' AS record_type, {uuid("metadata", "refers_to")} AS record_id, 'application/warc-fields' AS block_type,
-    'title: ' || {title} || chr(13) || chr(10) || 'language: ' || regexp_extract(html, {text(LANGUAGE)}, 1) || chr(13) || chr(10) || 'links: ' || len(regexp_extract_all(html, {text(LINK)}))::VARCHAR || chr(13) || chr(10) AS block FROM c
+    'title: ' || title || chr(13) || chr(10) || 'language: ' || regexp_extract(html, {text(LANGUAGE)}, 1) || chr(13) || chr(10) || 'links: ' || len(regexp_extract_all(html, {text(LINK)}))::VARCHAR || chr(13) || chr(10) AS block FROM c
   UNION ALL
-  SELECT *, 'conversion', {uuid("conversion", "refers_to")}, 'text/plain', {spaced(referred(replaced("html", STEPS)))} FROM c)
+  SELECT *, 'conversion', {uuid("conversion", "refers_to")}, 'text/plain', text FROM c)
 SELECT page_id, record_type, record_id, refers_to, target_uri, 'text/html' AS source_type, source_length, source_digest, block_type,
   strlen(block)::BIGINT AS block_length, 'sha256:' || sha256(block) AS block_digest, block FROM r
 """
