@@ -46,9 +46,10 @@ RULES = (
 def measure(docs: DataFrame) -> DataFrame:
     """docs with the integer measures the rules refer to.
 
-    Each step is a column of its own since lambda functions re-evaluate what they refer to. Repeated windows: the
-    (hash, position) pairs of all 5-word windows are sorted, those equal to a neighbour are repeated, and the words
-    they cover are counted along their sorted positions: O(n log n) for a text of n words.
+    Each step is a column of its own since lambda functions re-evaluate what they refer to. Repeated windows: where the
+    hashes of a text's 5-word windows aren't all distinct, their (hash, position) pairs are sorted, those equal to a
+    neighbour are repeated, and the words they cover are counted along their sorted positions: O(n log n) for a text of
+    n words, O(n) for one without repeats.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
@@ -58,16 +59,18 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": F.col("n_lines") - F.size(F.array_distinct("_lines")),
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-        "n_capital_words": F.size(F.filter("_words", lambda w: w.rlike("^[^a-z]*[A-Z][A-Z][^a-z]*$"))).cast("long"),
+        "n_capital_words": F.size(F.filter("_words", lambda w: w.rlike("[A-Z][A-Z]") & ~w.rlike("[a-z]"))).cast("long"),
         "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
     })
     starts = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int"))).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")))
-    out = out.withColumn("_windows", F.array_sort(hashed))
+    out = out.withColumn("_grams", F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(WINDOW)])))
+    repeats = F.size(F.array_distinct("_grams")) < F.size("_grams")
+    out = out.withColumn("_windows", F.when(repeats, F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter("_windows", lambda w, k: (F.get(F.col("_windows"), k - 1)["h"] == w["h"]) | (F.get(F.col("_windows"), k + 1)["h"] == w["h"]))
-    out = out.withColumn("_again", F.array_sort(F.transform(again, lambda w: w["i"])))
+    out = out.withColumn("_again", F.sort_array(F.transform(again, lambda w: w["i"])))
     cover = F.transform("_again", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_again"), k + 1) - i, F.lit(WINDOW))))
-    return out.withColumn("n_repeat_words", F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_words", "_lines", "_hashes", "_windows", "_again")
+    words = F.coalesce(F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+    return out.withColumn("n_repeat_words", words).drop("_words", "_lines", "_hashes", "_grams", "_windows", "_again")
 
 
 def failed(rule: Rule) -> Column:
