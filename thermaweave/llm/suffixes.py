@@ -47,37 +47,40 @@ SPANS = "_repeated_spans"
 PART = 1 << 19
 
 
-def anchors(text: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """All runs of windows that share an anchor: (anchor, first start, last start less first, last start of all copies,
-    copies, anchor hash, hash of all bytes of the run's windows). Equal runs that follow each other, as in periodic
-    text, are one row with several copies; their windows reach from the first start to the last one without a gap."""
-    n = len(text) - span + 1
+def anchors(prefix: Prefix, size: int, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """All runs of windows that share an anchor, in the first `size` bytes behind prefix: (anchor, first start, last start
+    less first, last start of all copies, copies, anchor hash, hash of all bytes of the run's windows). Equal runs that
+    follow each other, as in periodic text, are one row with several copies; their windows reach from the first start to
+    the last one without a gap."""
+    n = size - span + 1
     if n <= 0:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(2))
-    low = np.uint64((1 << 24) - 1)
-    prefix = Prefix(text)
-    at = np.arange(len(text) - gram + 1)
-    whole = mix(prefix.part(at, at + gram))
-    best = (whole & ~low) | (at.astype(np.uint64) & low)
+    low, many = np.uint64((1 << 24) - 1), size - gram + 1
+    whole = prefix.sums[gram : size + 1] - prefix.sums[:many]
+    whole *= prefix.down[:many]
+    whole ^= whole >> np.uint64(32)
+    whole *= np.uint64(0x94D049BB133111EB)
+    best = whole & ~low
+    best |= np.arange(many, dtype=np.uint64)
     width, have = span - gram + 1, 1
     while have < width:
         step = min(have, width - have)
         best = np.minimum(best[:-step], best[step:])
         have += step
-    chosen = (best[:n] & low).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    first = np.append(0, np.flatnonzero(best[1:n] != best[: n - 1]) + 1)
     last = np.append(first[1:], n) - 1
-    a = chosen[first]
-    grams = whole[a]
+    a = (best[first] & low).astype(np.int64)
+    grams = mix(whole[a])
     classes = mix(prefix.part(first, last + span) ^ ((last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (a - first).astype(np.uint64)))
     head = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (classes[1:] != classes[:-1])]))
     tail = np.append(head[1:], len(a)) - 1
     return a[head], first[head], (last - first)[head], last[tail], tail - head + 1, grams[head], classes[head]
 
 
-def parts(text: np.ndarray, span: int = SPAN):
-    """(offset, bytes): consecutive parts whose windows are all windows of the text."""
-    for at in range(0, max(1, len(text) - span + 1), PART):
+def parts(text: np.ndarray, span: int = SPAN, least: int | None = None):
+    """(offset, bytes): consecutive parts whose windows of span bytes, or of any length from `least`, are all windows of
+    the text."""
+    for at in range(0, max(1, len(text) - (least or span) + 1), PART):
         yield at, text[at : at + PART + span - 1]
 
 
@@ -92,15 +95,17 @@ def find_anchors(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFr
 
     Anchors of different levels have different hashes."""
     names = ("span", "anchor", "first", "width", "stop", "copies", "gram_hash", "class_hash")
+    longest, shortest = max(s for s, _ in levels), min(s for s, _ in levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, texts in steps(b):
                 held: list[tuple] = []
                 for i, t in enumerate(texts):
-                    for span, gram in levels:
-                        for offset, part in parts(np.frombuffer(t, dtype=np.uint8), span):
-                            a, first, width, stop, copies, g, _ = anchors(part, span, gram)
+                    for offset, part in parts(np.frombuffer(t, dtype=np.uint8), longest, shortest):
+                        prefix = Prefix(part)
+                        for span, gram in levels:
+                            a, first, width, stop, copies, g, _ = anchors(prefix, min(len(part), PART + span - 1), span, gram)
                             if len(a):
                                 first += offset
                                 a += offset
