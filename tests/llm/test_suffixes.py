@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from thermaweave.llm import suffixes
 
@@ -76,12 +77,25 @@ def test_passages_of_many_words(spark):
     assert run(docs(spark, mine), 200, 100) == brute(mine, 200)
 
 
-def test_counted_windows(spark, monkeypatch):
+def test_split_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "MOST_CLASSES", 1)
-    monkeypatch.setattr(suffixes, "CHUNK", 4)
     assert run(docs(spark, rows())) == brute(rows())
 
 
+def test_anchor_with_very_many_classes(spark, monkeypatch):
+    sorted_anchors, sizes = suffixes.sorted_anchors, []
+
+    def watched(contexts):
+        sizes.append(contexts.groupBy("part_hash").agg(F.countDistinct("name").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return sorted_anchors(contexts)
+
+    monkeypatch.setattr(suffixes, "sorted_anchors", watched)
+    shared = words(9, seed=1)
+    mine = [(k, f"{words(6, seed=k % 700)}{shared}{words(6, seed=5000 + k % 900)}") for k in range(1200)]
+    assert run(docs(spark, mine)) == brute(mine)
+    assert len(sizes) > 2 and max(sizes) <= suffixes.MOST_CLASSES
+
+
 def test_parts_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PART", 64)
     text = np.frombuffer(words(400).encode(), dtype=np.uint8)

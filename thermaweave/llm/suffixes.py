@@ -12,7 +12,10 @@ are compared by binary search for their common extension over polynomial prefix
 verified byte by byte. A window at offset o before its anchor is repeated if another one's o bytes before the anchor
 are equal and their suffixes share span - o bytes, which is a range minimum over the sorted suffixes' extensions.
 
-An anchor with very many classes isn't gathered: its windows are counted by hash instead.
+An anchor with too many classes for one task is split: windows that begin in the nearer half of its offsets share more
+bytes behind it, those of the farther half more bytes before it. What the windows of a half share is an anchor of its own,
+longer and with half as many offsets, that again stands once, has classes to sort or is split, until a single offset is
+left, where all that share the anchor are one class.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +37,19 @@ SPAN, GRAM = 400, 160
 #: Runs of strings of half the span are passages if they hold more whole words than these, or a span of bytes.
 PASSAGE_WORDS = 50
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Classes of an anchor that are sorted together; beyond, windows are counted by hash.
+#: Classes of an anchor that are sorted together; an anchor with more is split into longer ones.
 MOST_CLASSES = 256
-#: Offsets of windows that are counted together beyond.
-CHUNK = 32
 #: Bytes of context that a task sorts at once (whole anchors).
 SORT_BYTES = 1 << 20
 #: Bytes that are verified at once.
 EQUAL_BYTES = 1 << 20
 #: The column that with_spans() adds.
 SPANS = "_repeated_spans"
+#: Windows around an anchor: the anchor and their class among its classes, the anchor and class that they were part of
+#: before any split, classes of the anchor, length of windows, least and most offset of windows from the anchor, bytes of
+#: the context before the anchor.
+CONTEXT = ("part_hash", "name", "gram_hash", "class_hash", "classes", "span", "low", "high", "before", "context")
+CONTEXT_SCHEMA = ", ".join(f"{k} {'binary' if k == 'context' else 'long'}" for k in CONTEXT)
 #: Long texts are looked at in parts of so many windows.
 PART = 1 << 19
 
@@ -261,6 +268,7 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
     fields = ("gram_hash", "class_hash", "classes", "span", "anchor", "first", "width")
     by_doc = places.groupBy(*KEY).agg(F.collect_list(F.struct(*fields)).alias("places"))
     same = " AND ".join(f"a.{c} <=> b.{c}" for c in KEY)
+    farthest = {span: span - gram for span, gram in levels}
     joined = keyed(docs).alias("a").join(by_doc.hint("merge").alias("b"), F.expr(same)).select("a.text", "b.places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,93 +282,93 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
                     for g, c, n, span, anchor, first, width in wanted[ends[row + i] : ends[row + i + 1]].tolist():
                         context = t[first : first + width + span]
                         if len(context) == width + span and class_names(context, np.zeros(1, np.int64), np.array([width]), np.array([anchor - first]), span)[0] == c:
-                            rows.append((g, c, n, span, anchor - first, context))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(("gram_hash", "class_hash", "classes", "span", "before", "context"), cols, strict=True)})
+                            rows.append((g, c, g, c, n, span, 0, farthest[span], anchor - first, context))
+                cols = list(zip(*rows, strict=True)) or [()] * len(CONTEXT)
+                yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(CONTEXT, cols, strict=True)})
+
+    contexts = stored(joined.mapInArrow(cut, CONTEXT_SCHEMA), "contexts")
+    rows, repeated, held = contexts, [], []
+    while True:
+        repeated.append(stored(sorted_anchors(rows.where(F.col("classes") <= MOST_CLASSES)), "sorted"))
+        rows = rows.where(F.col("classes") > MOST_CLASSES)
+        if rows.isEmpty():
+            break
+        rows, whole = split_anchors(rows)  # each time with half the offsets, so a few times at most
+        repeated.append(whole)
+        held.append(rows)
+    partial = reduce(DataFrame.unionByName, repeated).groupBy("gram_hash", "class_hash").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    # Members of a class with several members are repeated throughout, others as far as their class is.
+    nothing = F.lit(None).cast("long")
+    whole = classes.where("members > 1").select("gram_hash", "class_hash", nothing.alias("most"), nothing.alias("least"))
+    part = partial.join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi")
+    found = stored(whole.unionByName(part), "repeated-classes")
+    both = again.join(found.hint("merge"), ["gram_hash", "class_hash"])
+    start, end = F.coalesce(F.col("anchor") - F.col("most"), "first"), F.coalesce(F.col("anchor") - F.col("least"), "stop") + F.col("span")
+    spans = stored(both.select(*KEY, "span", start.alias("start"), end.alias("end")), "spans")
+    forget(again, classes, contexts, found, *repeated, *held)
+    return spans
 
-    contexts = stored(joined.mapInArrow(cut, "gram_hash long, class_hash long, classes long, span long, before long, context binary"), "contexts")
+
+def sorted_anchors(contexts: DataFrame) -> DataFrame:
+    """gram_hash, class_hash, most, least as repeated_windows() finds them: whole groups, each in one task."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def result():
-            rows = {r[:2]: r for r in held}  # repeated rows may bring a class twice
-            rows = list(rows.values())
-            group = np.cumsum([0] + [rows[i][0] != rows[i - 1][0] for i in range(1, len(rows))])
-            most, least = repeated_windows([r[4] for r in rows], np.array([r[3] for r in rows]), group, np.array([r[2] for r in rows]))
+            group = np.cumsum([0] + [held[i][0] != held[i - 1][0] for i in range(1, len(held))])
+            most, least = repeated_windows([r[6] for r in held], np.array([r[5] for r in held]), group, np.array([r[4] for r in held]))
             keep = np.flatnonzero(most >= 0)
-            return batch({"gram_hash": ([rows[i][0] for i in keep], pa.int64()), "class_hash": ([rows[i][1] for i in keep], pa.int64()), "most": (most[keep], pa.int64()), "least": (least[keep], pa.int64())})
+            return batch({"gram_hash": ([held[i][2] for i in keep], pa.int64()), "class_hash": ([held[i][3] for i in keep], pa.int64()), "most": (most[keep], pa.int64()), "least": (least[keep], pa.int64())})
 
         for b in batches:
             for r in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                if held and held[-1][:2] == r[:2]:
+                    continue  # repeated rows may bring a class more than once
                 if size > SORT_BYTES and held[-1][0] != r[0]:
                     yield result()
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[6])
         if held:
             yield result()
 
-    schema = "gram_hash long, class_hash long, most long, least long"
-    few = contexts.where(F.col("classes") <= MOST_CLASSES).select("gram_hash", "class_hash", "span", "before", "context")
-    sorted_few = few.repartition("gram_hash").sortWithinPartitions("gram_hash", "class_hash").mapInArrow(sort, schema)
-
-    many = contexts.where(F.col("classes") > MOST_CLASSES).select("gram_hash", "class_hash", "span", "before", "context")
-    counted = stored(counted_windows(many.dropDuplicates(["gram_hash", "class_hash"])), "counted")
-    partial = sorted_few.unionByName(counted)
-    # Members of a class with several members are repeated throughout, others as far as their class is.
-    nothing = F.lit(None).cast("long")
-    whole = classes.where("members > 1").select("gram_hash", "class_hash", nothing.alias("most"), nothing.alias("least"))
-    part = partial.join(classes.where("members = 1").select("gram_hash", "class_hash"), ["gram_hash", "class_hash"], "left_semi")
-    found = stored(whole.unionByName(part), "repeated-classes")
-    both = again.join(found.hint("merge"), ["gram_hash", "class_hash"])
-    start, end = F.coalesce(F.col("anchor") - F.col("most"), "first"), F.coalesce(F.col("anchor") - F.col("least"), "stop") + F.col("span")
-    spans = stored(both.select(*KEY, "span", start.alias("start"), end.alias("end")), "spans")
-    forget(again, classes, contexts, counted, found)
-    return spans
+    rows = contexts.select("part_hash", "name", "gram_hash", "class_hash", "span", "before", "context")
+    return rows.repartition("part_hash").sortWithinPartitions("part_hash", "name").mapInArrow(sort, "gram_hash long, class_hash long, most long, least long")
 
 
-def counted_windows(contexts: DataFrame) -> DataFrame:
-    """gram_hash, class_hash, most, least as repeated_windows() finds them, by counting hashes of bytes.
+def split_anchors(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors with many classes, split into the anchors that the windows of either half of their offsets share.
 
-    Windows are taken CHUNK offsets at a time. A chunk whose bytes stand twice is repeated throughout. The bytes that all
-    windows of a chunk share are its core; only where a core has several chunks can single windows be repeated, and only
-    one of each of those chunks is taken apart. Counts begin before rows move, so an anchor may have any number of classes.
+    Returns the contexts of new anchors with several classes (one member of each), and gram_hash, class_hash, most, least
+    of what is repeated already since new classes have several members. Counts of keys come before any context moves, and
+    both tables of each join are stored, so that Spark can split its exchanges: an anchor may have any number of classes.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = []
-            for g, c, span, o, x in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                prefix, lowest = Prefix(np.frombuffer(x, dtype=np.uint8)), o - (len(x) - span)
-                q = np.arange(lowest // CHUNK, o // CHUNK + 1)
-                low, high = np.maximum(q * CHUNK, lowest), np.minimum(q * CHUNK + CHUNK - 1, o)
-                core = mix(prefix.part(o - q * CHUNK, o - q * CHUNK - CHUNK + 1 + span) + q.astype(np.uint64))
-                whole = mix(prefix.part(o - high, o - low + span) ^ mix((low * 4096 + high).astype(np.uint64)))
-                held.append((np.full(len(q), g), np.full(len(q), c), low, high, core.view(np.int64), whole.view(np.int64)))
-            if held:
-                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield batch({k: (v, pa.int64()) for k, v in zip(("gram_hash", "class_hash", "low", "high", "core", "chunk"), cols, strict=True)})
-
-    chunks = stored(contexts.mapInArrow(cut, "gram_hash long, class_hash long, low long, high long, core long, chunk long"), "chunks")
-    kinds = stored(chunks.groupBy("core", "chunk").agg(F.count("*").alias("members"), F.min("class_hash").alias("class_hash"), F.min("gram_hash").alias("gram_hash"), F.min("low").alias("low"), F.max("high").alias("high")), "chunk-kinds")
-    mixed = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
-    apart = kinds.join(mixed, "core").groupBy("gram_hash", "class_hash").agg(F.collect_list(F.struct("chunk", "low", "high")).alias("parts"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for span, o, x, ranges in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                prefix = Prefix(np.frombuffer(x, dtype=np.uint8))
-                for r in ranges:
-                    offset = np.arange(r["low"], r["high"] + 1)
-                    h = mix(prefix.part(o - offset, o - offset + span) + offset.astype(np.uint64))
-                    yield batch({"chunk": (np.full(len(offset), r["chunk"]), pa.int64()), "offset": (offset, pa.int64()), "window": (h.view(np.int64), pa.int64())})
-
-    listed = stored(contexts.join(apart, ["gram_hash", "class_hash"]).select("span", "before", "context", "parts").mapInArrow(windows, "chunk long, offset long, window long"), "windows")
-    twice = listed.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window")
-    single = listed.join(twice, "window").groupBy("chunk").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
-    whole = kinds.where("members > 1").select("chunk", F.col("high").alias("most"), F.col("low").alias("least"))
-    return chunks.join(stored(whole.unionByName(single), "repeated-chunks"), "chunk").groupBy("gram_hash", "class_hash").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+            rows = []
+            for _, _, g, c, _, span, least, most, before, context in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                middle, nearest = (least + most) // 2, before - (len(context) - span)
+                for low, high in ((least, middle), (middle + 1, most)):
+                    z, a = max(low, nearest), min(high, before)
+                    if z <= a:
+                        shared, own = context[before - low : before - high + span], context[before - a : before - z + span]
+                        names = [xxhash.xxh3_64_intdigest(x, (span << 40) + (p << 20) + q) - (1 << 63) for x, p, q in ((shared, low, high), (own, z, a))]
+                        rows.append((*names, g, c, 0, span, low, high, a, own))
+            yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(CONTEXT, list(zip(*rows, strict=True)) or [()] * len(CONTEXT), strict=True)})
+
+    pieces = stored(contexts.dropDuplicates(["gram_hash", "class_hash", "part_hash"]).select(*CONTEXT).mapInArrow(halves, CONTEXT_SCHEMA), "halves")
+    member = F.min(F.struct("gram_hash", "class_hash")).alias("k")
+    kinds = stored(pieces.groupBy("part_hash", "name").agg(F.count("*").alias("members"), member).select("part_hash", "name", "members", "k.*"), "half-classes")
+    several = stored(kinds.groupBy("part_hash").agg(F.count("*").alias("classes")).where("classes > 1"), "half-anchors")
+    twice = pieces.select("part_hash", "name", "gram_hash", "class_hash", "before", F.length("context").alias("size"), "span")
+    twice = twice.join(kinds.where("members > 1").select("part_hash", "name").hint("merge"), ["part_hash", "name"])
+    whole = stored(twice.select("gram_hash", "class_hash", F.col("before").alias("most"), (F.col("before") - (F.col("size") - F.col("span"))).alias("least")), "half-repeated")
+    chosen = kinds.join(several.hint("merge"), "part_hash").select("part_hash", "name", "gram_hash", "class_hash", "classes")
+    rows = stored(pieces.drop("classes").join(chosen, ["part_hash", "name", "gram_hash", "class_hash"]).select(*CONTEXT), "half-contexts")
+    forget(pieces, kinds, several)
+    return rows, whole
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
