@@ -12,10 +12,9 @@ are compared by binary search for their common extension over polynomial prefix
 verified byte by byte. A window at offset o before its anchor is repeated if another one's o bytes before the anchor
 are equal and their suffixes share span - o bytes, which is a range minimum over the sorted suffixes' extensions.
 
-An anchor with too many classes for one task is split: windows that begin in the nearer half of its offsets share more
-bytes behind it, those of the farther half more bytes before it. What the windows of a half share is an anchor of its own,
-longer and with half as many offsets, that again stands once, has classes to sort or is split, until a single offset is
-left, where all that share the anchor are one class.
+An anchor with too many classes for one task is split: its windows' offsets fall into a few ranges, and what the windows
+of a range share is an anchor of its own, longer and with fewer offsets, that again stands once, has classes to sort or
+is split, until a single offset is left, where all that share the anchor are one class.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ PASSAGE_WORDS = 50
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Classes of an anchor that are sorted together; an anchor with more is split into longer ones.
 MOST_CLASSES = 256
+#: Ranges of offsets that an anchor is split into.
+RANGES = 4
 #: Bytes of context that a task sorts at once (whole anchors).
 SORT_BYTES = 1 << 20
 #: Bytes that are verified at once.
@@ -287,16 +288,17 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
                 yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(CONTEXT, cols, strict=True)})
 
     contexts = stored(joined.mapInArrow(cut, CONTEXT_SCHEMA), "contexts")
-    rows, repeated, held = contexts, [], []
-    while True:
-        repeated.append(stored(sorted_anchors(rows.where(F.col("classes") <= MOST_CLASSES)), "sorted"))
-        rows = rows.where(F.col("classes") > MOST_CLASSES)
-        if rows.isEmpty():
-            break
-        rows, whole = split_anchors(rows)  # each time with half the offsets, so a few times at most
-        repeated.append(whole)
-        held.append(rows)
-    partial = reduce(DataFrame.unionByName, repeated).groupBy("gram_hash", "class_hash").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    few, many = [contexts.where(F.col("classes") <= MOST_CLASSES)], contexts.where(F.col("classes") > MOST_CLASSES)
+    whole, held = [], []
+    while not many.isEmpty():  # offsets become fewer each time, so a few times at most
+        pieces = split_anchors(many)
+        held.append(pieces)
+        whole.append(pieces.where("members > 1").select("gram_hash", "class_hash", F.col("before").alias("most"), "least"))
+        pieces = pieces.where(F.col("context").isNotNull() & (F.col("classes") > 1)).select(*CONTEXT)
+        few.append(pieces.where(F.col("classes") <= MOST_CLASSES))
+        many = pieces.where(F.col("classes") > MOST_CLASSES)
+    ordered = stored(sorted_anchors(reduce(DataFrame.unionByName, few)), "sorted")
+    partial = reduce(DataFrame.unionByName, whole, ordered).groupBy("gram_hash", "class_hash").agg(F.max("most").alias("most"), F.min("least").alias("least"))
     # Members of a class with several members are repeated throughout, others as far as their class is.
     nothing = F.lit(None).cast("long")
     whole = classes.where("members > 1").select("gram_hash", "class_hash", nothing.alias("most"), nothing.alias("least"))
@@ -305,7 +307,7 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
     both = again.join(found.hint("merge"), ["gram_hash", "class_hash"])
     start, end = F.coalesce(F.col("anchor") - F.col("most"), "first"), F.coalesce(F.col("anchor") - F.col("least"), "stop") + F.col("span")
     spans = stored(both.select(*KEY, "span", start.alias("start"), end.alias("end")), "spans")
-    forget(again, classes, contexts, found, *repeated, *held)
+    forget(again, classes, contexts, found, ordered, *held)
     return spans
 
 
@@ -337,38 +339,39 @@ def sorted_anchors(contexts: DataFrame) -> DataFrame:
     return rows.repartition("part_hash").sortWithinPartitions("part_hash", "name").mapInArrow(sort, "gram_hash long, class_hash long, most long, least long")
 
 
-def split_anchors(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors with many classes, split into the anchors that the windows of either half of their offsets share.
+def split_anchors(contexts: DataFrame) -> DataFrame:
+    """Anchors with many classes, split into the anchors that the windows of each range of offsets share.
 
-    Returns the contexts of new anchors with several classes (one member of each), and gram_hash, class_hash, most, least
-    of what is repeated already since new classes have several members. Counts of keys come before any context moves, and
-    both tables of each join are stored, so that Spark can split its exchanges: an anchor may have any number of classes.
+    Returns CONTEXT, least (offset) and members of the new classes with several members, and of those whose anchor has
+    several classes; context is null but for one member of each class. Keys are counted before any context moves, and both
+    tables of the last join are stored, so that Spark can split its exchanges: an anchor may have any number of classes.
     """
+    names = (*CONTEXT, "least")
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for _, _, g, c, _, span, least, most, before, context in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                middle, nearest = (least + most) // 2, before - (len(context) - span)
-                for low, high in ((least, middle), (middle + 1, most)):
+                nearest, step = before - (len(context) - span), -(-(most - least + 1) // RANGES)
+                for low in range(least, most + 1, step):
+                    high = min(low + step - 1, most)
                     z, a = max(low, nearest), min(high, before)
                     if z <= a:
                         shared, own = context[before - low : before - high + span], context[before - a : before - z + span]
-                        names = [xxhash.xxh3_64_intdigest(x, (span << 40) + (p << 20) + q) - (1 << 63) for x, p, q in ((shared, low, high), (own, z, a))]
-                        rows.append((*names, g, c, 0, span, low, high, a, own))
-            yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(CONTEXT, list(zip(*rows, strict=True)) or [()] * len(CONTEXT), strict=True)})
-
-    pieces = stored(contexts.dropDuplicates(["gram_hash", "class_hash", "part_hash"]).select(*CONTEXT).mapInArrow(halves, CONTEXT_SCHEMA), "halves")
-    member = F.min(F.struct("gram_hash", "class_hash")).alias("k")
-    kinds = stored(pieces.groupBy("part_hash", "name").agg(F.count("*").alias("members"), member).select("part_hash", "name", "members", "k.*"), "half-classes")
-    several = stored(kinds.groupBy("part_hash").agg(F.count("*").alias("classes")).where("classes > 1"), "half-anchors")
-    twice = pieces.select("part_hash", "name", "gram_hash", "class_hash", "before", F.length("context").alias("size"), "span")
-    twice = twice.join(kinds.where("members > 1").select("part_hash", "name").hint("merge"), ["part_hash", "name"])
-    whole = stored(twice.select("gram_hash", "class_hash", F.col("before").alias("most"), (F.col("before") - (F.col("size") - F.col("span"))).alias("least")), "half-repeated")
-    chosen = kinds.join(several.hint("merge"), "part_hash").select("part_hash", "name", "gram_hash", "class_hash", "classes")
-    rows = stored(pieces.drop("classes").join(chosen, ["part_hash", "name", "gram_hash", "class_hash"]).select(*CONTEXT), "half-contexts")
-    forget(pieces, kinds, several)
-    return rows, whole
+                        hashes = [xxhash.xxh3_64_intdigest(x, (span << 40) + (p << 20) + q) - (1 << 63) for x, p, q in ((shared, low, high), (own, z, a))]
+                        rows.append((*hashes, g, c, 0, span, low, high, a, own, z))
+            yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(names, list(zip(*rows, strict=True)) or [()] * len(names), strict=True)})
+
+    once = contexts.dropDuplicates(["gram_hash", "class_hash", "part_hash"]).select(*CONTEXT)
+    pieces = stored(once.mapInArrow(ranges, CONTEXT_SCHEMA + ", least long"), "ranges")
+    kinds = stored(pieces.groupBy("part_hash", "name").agg(F.count("*").alias("members"), F.min(F.struct("gram_hash", "class_hash")).alias("first")), "range-classes")
+    counts = stored(kinds.groupBy("part_hash").agg(F.count("*").alias("classes")), "range-anchors")
+    wanted = stored(kinds.join(counts.hint("merge"), "part_hash").where("members > 1 OR classes > 1"), "range-kinds")
+    is_first = F.struct("gram_hash", "class_hash") == F.col("first")
+    joined = pieces.drop("classes").join(wanted.hint("merge"), ["part_hash", "name"]).withColumn("context", F.when(is_first, F.col("context")))
+    out = stored(joined.where("members > 1 OR context IS NOT NULL").select(*names, "members"), "range-contexts")
+    forget(pieces, kinds, counts, wanted)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
