@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, edits, jaccard, licenses, media, mixing, packing, rules, suffixes, warc
+from . import classifier, edits, jaccard, licenses, media, middles, mixing, packing, rules, suffixes, warc
 from .common import deliver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": media.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,
+    "op11_fill_in_middle": middles.op11,
 }
 
 
@@ -38,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE, "op7_warc_decoded": warc.ORACLE, "op7_warc_serialised": warc.SERIALISED}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE, "op7_warc_decoded": warc.ORACLE, "op7_warc_serialised": warc.SERIALISED, "op11_fill_in_middle": middles.ORACLE}
