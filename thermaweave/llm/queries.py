@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, edits, jaccard, licenses, media, middles, mixing, packing, rules, suffixes, warc
+from . import classifier, edits, jaccard, licenses, media, middles, mixing, packing, pieces, rules, suffixes, tries, warc
 from .common import deliver
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,
     "op11_fill_in_middle": middles.op11,
+    "op12_sentence_pieces": pieces.op12,
+    "op13_conversation_trie": tries.op13,
 }
 
 
@@ -39,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE, "op7_warc_decoded": warc.ORACLE, "op7_warc_serialised": warc.SERIALISED, "op11_fill_in_middle": middles.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op5_quality_rules": rules.ORACLE, "op7_warc_derivatives": warc.ORACLE, "op7_warc_decoded": warc.ORACLE, "op7_warc_serialised": warc.SERIALISED, "op11_fill_in_middle": middles.ORACLE, "op13_conversation_trie": tries.ORACLE}
