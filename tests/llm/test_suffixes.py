@@ -122,6 +122,18 @@ def test_stage(spark):
     assert set(found) == {1, 2, 3} and list(found[1].asDict()) == source.columns
 
 
+def test_stage_keeps_columns_of_its_own_names(spark):
+    from pyspark.sql import functions as F
+
+    names = [*(f"_{side}_{c}" for side in ("mine", "span", "repeated") for c in ("doc_id", "text_h0", "Text_h1")), "_repeated_spans", "span", "start", "end"]
+    rows = docs(spark, [(1, "Q " + words(150, seed=8)), (2, "R " + words(150, seed=8)), (3, "z"), (None, None)])
+    more = rows.withColumns({c: F.lit(c) for c in names})
+    out = suffixes.stage(spark, more, "")
+    assert out.columns == more.columns and out.select(*names).distinct().collect() == [tuple(names)]
+    assert sorted(map(tuple, out.select(*rows.columns).collect()), key=repr) == sorted(map(tuple, suffixes.stage(spark, rows, "").collect()), key=repr) != []
+    assert suffixes.stage(spark, docs(spark, []), "").count() == 0
+
+
 def test_suffix_order():
     r = random.Random(1)
     buf = bytes(r.choice(b"ab") for _ in range(3000))

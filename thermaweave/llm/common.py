@@ -172,6 +172,30 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has in any spelling, so that they can stand beside its columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_nulls(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """df with the given columns under fresh names, null ones as a default and a mark, so that joins by equality find them.
+
+    Windows and aggregations by the same names then need no exchange behind such a join. Returns df and all names.
+    """
+    names = fresh(df, *columns, *(f"{c}_null" for c in columns))
+    n = len(columns)
+    out = df.withColumns(dict(zip(names[:n], columns.values(), strict=True)))
+    kinds = dict(out.dtypes)
+    out = out.withColumns({mark: F.col(c).isNull() for c, mark in zip(names[:n], names[n:], strict=True)})
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit("") if kinds[c] == "string" else F.lit(0).cast(kinds[c])) for c in names[:n]}), names
+
+
 def text_hashes(text: Column) -> list[Column]:
     """Two 64-bit hashes of a text, with different seeds; null is empty."""
     text = F.coalesce(text.cast("string"), F.lit(""))

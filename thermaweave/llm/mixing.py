@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, stored, table, text_hashes
+from .common import forget, fresh, stored, table, text_hashes, without_nulls
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the production mix.
@@ -83,28 +83,49 @@ def place(rows: DataFrame, weights, share, most, tilts) -> DataFrame:
     """What mix_sources does once sizes and keys are known.
 
     rows: a stored table of doc_id, source, size, _key; other columns are kept."""
+    return copies_of(running(rows.withColumn("_words", F.col("size")), weights, share, most, tilts), most)
+
+
+def running(rows: DataFrame, weights, share, most, tilts) -> DataFrame:
+    """rows (doc_id, source, size, _key, and _words of all that the row stands for) with source_size, target, tilt, and
+    _before, the words of its source that come before it."""
     buckets = max(BUCKETS, 1 << (rows.count() // BUCKET_ROWS).bit_length())
     rows = rows.withColumn("_bucket", F.floor(F.col("_key") / F.lit((1 << 60) // buckets)).cast("int"))
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("_words").alias("_sum"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
     along = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_start"))
     tilt = F.element_at(F.array(*[F.lit(float(t)) for t in tilts]), (F.col("rank") % len(tilts) + 1).cast("int"))
     starts = starts.alias("a").join(targets.withColumn("tilt", tilt).alias("b"), F.expr("a.source <=> b.source")).select("a.source", "_bucket", "_start", "source_size", "target", "tilt")
     inside = Window.partitionBy("r.source", "r._bucket").orderBy("r._key", "r.doc_id", "r.size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source AND r._bucket = s._bucket")).select("r.*", "_start", "source_size", "target", "tilt", (F.col("_start") + F.coalesce(F.sum("r.size").over(inside), F.lit(0))).alias("_before"))
-    each = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("_each") * F.col("source_size")
-    more = ((F.col("_before") + F.col("size") / 2) < rest).cast("long")
-    placed = placed.withColumn("_each", each).withColumn("_more", more).withColumn("copies", F.when(F.col("size") > 0, F.least(F.col("_each") + F.col("_more"), F.lit(most))).otherwise(F.lit(0)).cast("int"))
-    placed = placed.withColumn("taken", F.col("size") * F.col("copies"))
-    # The c-th of `target` tokens is due when (1 - tilt) * t + tilt * t**2 = c / target.
-    def due(c: Column) -> Column:
-        y = F.least(F.greatest(c / F.col("target"), F.lit(0.0)), F.lit(1.0))
-        root = F.sqrt(F.greatest((1 - F.col("tilt")) * (1 - F.col("tilt")) + 4 * F.col("tilt") * y, F.lit(0.0)))
-        return F.when(F.col("tilt") == 0, y).otherwise((root - (1 - F.col("tilt"))) / (2 * F.col("tilt")))
-    middle = F.col("_before") + F.col("size") / 2
-    return placed.withColumn("first_position", F.when(F.col("copies") > 0, due(middle))).withColumn("last_position", F.when(F.col("copies") > 0, due(middle + (F.col("copies") - 1) * F.col("source_size"))))
+    return rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source AND r._bucket = s._bucket")).select("r.*", "_start", "source_size", "target", "tilt", (F.col("_start") + F.coalesce(F.sum("r._words").over(inside), F.lit(0))).alias("_before"))
+
+
+def copies_of(placed: DataFrame, most: int) -> DataFrame:
+    """placed (size, source_size, target, tilt, _before) with copies, taken, first_position, last_position."""
+    size, source_size, target, tilt, before = (F.col(c) for c in ("size", "source_size", "target", "tilt", "_before"))
+    placed = placed.withColumn("copies", copies(size, source_size, target, before, most)).withColumn("taken", size * F.col("copies"))
+    positions = dict(zip(("first_position", "last_position"), due(size, source_size, target, tilt, before, F.col("copies")), strict=True))
+    return placed.withColumns({c: F.when(F.col("copies") > 0, p) for c, p in positions.items()})
+
+
+def copies(size: Column, source_size: Column, target: Column, before: Column, most: int) -> Column:
+    """How often a document is taken; its middle decides on one time more."""
+    each = F.when(source_size > 0, F.floor(target / source_size)).otherwise(F.lit(0)).cast("long")
+    more = ((before + size / 2) < target - each * source_size).cast("long")
+    return F.when(size > 0, F.least(each + more, F.lit(most))).otherwise(F.lit(0)).cast("int")
+
+
+def due(size: Column, source_size: Column, target: Column, tilt: Column, before: Column, n: Column) -> list[Column]:
+    """Positions of the first and the n-th copy: the c-th of `target` tokens is due when (1 - tilt) * t + tilt * t**2 = c / target."""
+
+    def at(c: Column) -> Column:
+        y = F.least(F.greatest(c / target, F.lit(0.0)), F.lit(1.0))
+        root = F.sqrt(F.greatest((1 - tilt) * (1 - tilt) + 4 * tilt * y, F.lit(0.0)))
+        return F.when(tilt == 0, y).otherwise((root - (1 - tilt)) / (2 * tilt))
+
+    middle = before + size / 2
+    return [at(middle), at(middle + (n - 1) * source_size)]
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -150,21 +171,30 @@ FROM y
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: one row per copy taken, in training order.
 
-    Places are found on ids, text hashes and sizes alone; texts join them once. Rows of equal id, text and source are
-    placed as one document of their joint size, so they are taken alike. Null texts and texts without words aren't
-    taken; null sources are a source, null ids are told apart by their texts; an empty table stays empty. Other columns,
-    whatever their names, stay as they are.
+    Places are found on ids, text hashes and sizes alone; texts join them once. Rows of equal id, text and source share
+    a place in the order, within which they are numbered, so that each is a document of its own. Null texts and texts
+    without words aren't taken; null sources are a source, null ids are told apart by their texts; an empty table stays
+    empty. Other columns, whatever their names, stay as they are.
     """
-    here = [f"_mix_{c}" for c in ("doc_id", "h0", "h1", "source")]
-    mine = docs.withColumns(dict(zip(here, [docs["doc_id"].cast("long"), *text_hashes(docs["text"]), docs["source"].cast("string")], strict=True)))
-    sizes = mine.select(*here, word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("_key"))
-    alike = sizes.groupBy(*here, "_key").agg(F.sum("size").alias("size"))
-    rows = stored(alike.select(*here[:3], F.col(here[0]).alias("doc_id"), F.col(here[3]).alias("source"), "size", "_key"), "mix-sizes")
-    placed = place(rows, WEIGHTS, TOTAL_SHARE, MOST_REPEATS, TILTS).where("copies > 0")
-    taken = stored(placed.select(*here[:3], "source", "copies", "first_position", "last_position").toDF(*(f"_place{c}" for c in (*here, "_copies", "_first", "_last"))), "mix-places")
+    keys = {"_mix_id": docs["doc_id"].cast("long"), **dict(zip(("_mix_h0", "_mix_h1"), text_hashes(docs["text"]), strict=True)), "_mix_source": docs["source"].cast("string")}
+    mine, here = without_nulls(docs, keys)
+    sizes = mine.select(*here, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("_key"))
+    alike = sizes.groupBy(*here, "doc_id", "source", "_key").agg(F.first("size").alias("size"), F.sum("size").alias("_words"))
+    rows = stored(alike, "mix-sizes")
+    found = ("size", "source_size", "target", "tilt", "_before")
+    names = fresh(mine, *(f"_place{c}" for c in (*found, "_nth", "_copies", "_copy", "_first", "_last", "_at")))
+    at, (nth, copies_, copy, first, last, position) = dict(zip(found, names, strict=False)), names[len(found) :]
+    placed = running(rows, WEIGHTS, TOTAL_SHARE, MOST_REPEATS, TILTS)
+    taken = stored(copies_of(placed, MOST_REPEATS).where("copies > 0").select(*here, *[F.col(c).alias(at[c]) for c in found]), "mix-places")
     forget(rows)
-    both = mine.join(taken.hint("merge"), F.expr(" AND ".join(f"{c} <=> _place{c}" for c in here)))
-    step = (F.col("_place_last") - F.col("_place_first")) / F.greatest(F.col("_place_copies") - 1, F.lit(1))
-    each = both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_place_copies") - 1))).withColumn("_mix_position", F.col("_place_first") + F.col("_mix_copy") * step)
-    order = ("_mix_position", "_mix_doc_id", "_mix_h0")
+    # Which of equal rows is which depends on what else they hold, not on how they come.
+    rest = [F.xxhash64(F.col(c)) for c, kind in docs.dtypes if c != "text" and not any(t in kind for t in ("map<", "variant"))]
+    both = mine.join(taken.hint("merge"), here).withColumn(nth, F.row_number().over(Window.partitionBy(*here).orderBy(*here, *rest)) - 1)
+    size, source_size, target, tilt, before = (F.col(at[c]) for c in found)
+    before = before + F.col(nth) * size
+    both = both.withColumn(copies_, copies(size, source_size, target, before, MOST_REPEATS)).where(F.col(copies_) > 0)
+    each = both.withColumns(dict(zip((first, last), due(size, source_size, target, tilt, before, F.col(copies_)), strict=True)))
+    step = (F.col(last) - F.col(first)) / F.greatest(F.col(copies_) - 1, F.lit(1))
+    each = each.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies_) - 1))).withColumn(position, F.col(first) + F.col(copy) * step)
+    order = (position, *here[:2])
     return each.select(*docs.columns, *order).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, Prefix, batch, doc_columns, forget, keyed, mix, steps, stored, table, text_hashes
+from .common import KEY, Prefix, batch, doc_columns, forget, fresh, keyed, mix, steps, stored, table, text_hashes
 
 SPAN, GRAM = 400, 160
 #: Runs of strings of half the span are passages if they hold more whole words than these, or a span of bytes.
@@ -44,8 +44,6 @@ RANGES = 4
 SORT_BYTES = 1 << 20
 #: Bytes that are verified at once.
 EQUAL_BYTES = 1 << 20
-#: The column that with_spans() adds.
-SPANS = "_repeated_spans"
 #: Windows around an anchor: the anchor and their class among its classes, the anchor and class that they were part of
 #: before any split, classes of the anchor, length of windows, least and most offset of windows from the anchor, bytes of
 #: the context before the anchor.
@@ -386,17 +384,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> DataFrame:
-    """docs (all columns) with SPANS, an array of (span, start, end) in bytes (null: none); each level's union is what its
+    """docs (all columns) and, last, an array of (span, start, end) in bytes (null: none); each level's union is what its
     repeated strings cover.
 
     Spans go by id and two hashes of the text, so rows that share an id, or have none, keep their own.
     """
+    here, there, spans = (fresh(docs, *(f"_{side}_{c}" for c in KEY)) for side in ("mine", "span", "repeated"))
     found = repeated_spans(doc_columns(docs), levels)
-    by_doc = found.groupBy(*[F.col(c).alias(f"_span_{c}") for c in KEY]).agg(F.collect_set(F.struct("span", "start", "end")).alias(SPANS))
+    by_doc = found.groupBy(*[F.col(c).alias(t) for c, t in zip(KEY, there, strict=True)]).agg(F.collect_set(F.struct("span", "start", "end")).alias(spans[0]))
     # Hashes are columns of their own before the join, so that it hashes each text once.
-    mine = docs.withColumns(dict(zip([f"_mine_{c}" for c in KEY], [docs["doc_id"].cast("long"), *text_hashes(docs["text"])], strict=True)))
-    same = " AND ".join(f"_mine_{c} <=> _span_{c}" for c in KEY)
-    return mine.join(by_doc.hint("merge"), F.expr(same), "left").drop(*[f"_{side}_{c}" for side in ("mine", "span") for c in KEY])
+    mine = docs.withColumns(dict(zip(here, [docs["doc_id"].cast("long"), *text_hashes(docs["text"])], strict=True)))
+    same = " AND ".join(f"{a} <=> {b}" for a, b in zip(here, there, strict=True))
+    return mine.join(by_doc.hint("merge"), F.expr(same), "left").select(*docs.columns, spans[0])
 
 
 def runs_of(spans: list[dict] | None, span: int) -> list[tuple[int, int]]:
@@ -473,4 +472,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, span: int = SPAN, g
                     part = part.set_column(c, part.schema.field(c), pa.array(count, type=part.schema.field(c).type))
                 yield part.filter(pa.array([bool(k) or not r for k, r in zip(kept, runs, strict=True)], type=pa.bool_()))
 
-    return with_spans(docs, ((span // 2, gram // 2),)).select(*docs.columns, SPANS).mapInArrow(run, docs.schema)
+    return with_spans(docs, ((span // 2, gram // 2),)).mapInArrow(run, docs.schema)
