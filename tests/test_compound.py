@@ -29,6 +29,42 @@ def test_classes(setting):
     assert [r.lat_idx for r in compound.unpaired_events(setting[1], setting[2]).collect()] == [9]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sweep_same_as_all_pairs(spark, seed):
+    import random
+
+    r = random.Random(seed)
+
+    def series(cell, n):
+        at, out = r.randrange(4), []
+        for _ in range(n):
+            length = r.randrange(1, 9)
+            out.append((*cell, at, at + length - 1))
+            at += length + r.randrange(1, 6)  # disjoint, now and then neighbours
+        return out
+
+    sea = [e for c in range(3) for e in series((5, c), 25)]
+    land = [e for c in range(8) for e in series((1, c), 20)]
+    home = {c: c % 4 for c in range(6)}  # sea cell 3 has no events, land cells 6 and 7 no sea cell
+    pairs = spark.createDataFrame([(1, c, 5, o) for c, o in home.items()], "land_lat_idx int, land_lon_idx int, ocean_lat_idx int, ocean_lon_idx int")
+    args = (evts(spark, sea), evts(spark, land), pairs)
+    classes, inside, alone = {}, {}, set()
+    for _, c, a, z in land:
+        near = [(s, e) for _, o, s, e in sea if o == home.get(c) and e >= a and s <= z]
+        holds = [(s, e) for s, e in near if s <= a and e >= z]
+        classes[c, D(a)] = "unpaired" if c not in home else "compound" if holds else "partial" if near else "standalone"
+        if holds:
+            inside[c, D(a)] = D(min(holds)[0])
+        if c in home and not near:
+            alone.add((c, D(a)))
+    found = compound.classify_events(*args).collect()
+    assert {(x.lon_idx, x.event_start): x["class"] for x in found} == classes and len(found) == len(land) and set(classes.values()) == {"unpaired", "compound", "partial", "standalone"}
+    assert {(x.land_lon_idx, x.thw_start): x.mhw_start for x in compound.compound_events(*args).collect()} == inside
+    assert {(x.land_lon_idx, x.thw_start) for x in compound.standalone_events(*args).collect()} == alone
+    # The only join is that with the pairs; the sweep itself is a union and windows.
+    assert compound.compound_events(*args)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_days_split_at_new_year_and_overlap_once(spark):
     axis = spark.createDataFrame([(D(n),) for n in range(40) if n != 3], "time date")
     days = daily.events_to_days(evts(spark, [(0, 0, 2, 14), (0, 0, 13, 15)]), axis)

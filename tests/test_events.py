@@ -86,3 +86,58 @@ def test_min_valid(spark):
 def test_empty_results_keep_their_columns(spark):
     out = events.detect_events(table(spark, {0: "F"}), limits(spark, [0]))
     assert out.count() == 0 and out.columns == ["lat_idx", "lon_idx", "lat", "lon", "event_start", "event_end", "duration"]
+
+
+def exchanges(df):
+    """Lines of the plan with an exchange of several partitions, and those of scans."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [x for x in plan if "Exchange hashpartitioning" in x], [x for x in plan if "FileScan" in x]
+
+
+def test_the_grid_moves_once(spark, tmp_path):
+    table(spark, {c: "TTTTTFF" * 9 for c in range(6)}).write.parquet(str(tmp_path / "grid"))
+    g = spark.read.parquet(str(tmp_path / "grid"))
+    moved, scans = exchanges(events.events_above_percentile(g, (1990, 2010), 0.9, 5, 2, 3))
+    assert len(moved) == 2 and sum("hashpartitioning(lat_idx" in x for x in moved) == 1 and sum("hashpartitioning(time" in x for x in moved) == 1
+    assert len([x for x in scans if "v#" in x]) == 1 and all("FileScan parquet [time#" in x for x in scans if "v#" not in x) and len(scans) == 2
+    limits(spark, range(6)).write.parquet(str(tmp_path / "limits"))
+    moved, scans = exchanges(events.detect_events(g, spark.read.parquet(str(tmp_path / "limits")).hint("merge"), 5, 2, 3, period=(1990, 2010)))
+    # The grid, its days, and the thresholds, which are one row a cell where they meet the grid.
+    assert len(moved) == 3 and len([x for x in scans if ",v#" in x]) == 1
+
+
+def test_thresholds_found_on_the_way_are_those_of_the_climatology(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(0, c, dt.date(1998, 1, 1) + dt.timedelta(days=k), None if r.random() < 0.1 else float(r.randrange(50)), 50.0, 1.0) for c in range(4) for k in range(0, 1500 + 40 * c) if r.random() < 0.9]
+    g = spark.createDataFrame(rows, "lat_idx int, lon_idx int, time date, v double, lat double, lon double")
+    for period, least in (((1998, 1999), 0), ((1998, 2000), 1300), ((1999, 1999), 0), ((1950, 1960), 0)):
+        clim = climatology.climatology(g, period, 0.6)
+        by = lambda df: sorted(map(tuple, df.collect()))
+        one = by(events.events_above_percentile(g, period, 0.6, 2, 1, least))
+        assert one == by(events.detect_events(g, clim, 2, 1, least, period=period)) == by(events.detect_events(g, clim, 2, 1, least)) and bool(one) == (period[0] > 1990)
+
+
+def test_pooled_thresholds_move_each_value_once(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(7)
+    rows = [(0, c, dt.date(1999, 12, 1) + dt.timedelta(days=k), None if r.random() < 0.2 else r.random()) for c in range(2) for k in range(420) if r.random() < 0.5]
+    rows += [(0, 9, dt.date(2000, 5, 1), None)]
+    g = spark.createDataFrame(rows, "lat_idx int, lon_idx int, time date, v double")
+    found = climatology.climatology(g, (1999, 2001), 0.9, half_width=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # values are dealt out behind it
+    values, days = {}, set()
+    for _, c, d, v in rows:
+        for k in range(-3, 4):
+            doy = (d.timetuple().tm_yday - 1 + k) % 366 + 1
+            days.add((c, doy))
+            if v is not None:
+                values.setdefault((c, doy), []).append(v)
+    got = {(x.lon_idx, x.doy): x.thresh for x in found.collect()}
+    assert set(got) == days and all((got[k] is None) == (k not in values) for k in days)
+    assert all(got[k] == pytest.approx(np.quantile(v, 0.9)) for k, v in values.items())

@@ -69,3 +69,71 @@ def test_flush_emits_open_events(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.lat_idx, r.start_idx, r.end_idx) for r in spark.sql("SELECT * FROM flushed").collect()}
     assert got == want(df)[0]
+
+
+def put_file(spark, rows, path):
+    spark.createDataFrame(rows, "lat_idx int, lon_idx int, time date").coalesce(1).write.mode("append").parquet(path)
+
+
+def timed(spark, tmp_path, gap=2, least=5):
+    """The stream over files taken one by one in order of their time, and what it has written."""
+    (tmp_path / "clock").mkdir(exist_ok=True)
+    source = spark.readStream.schema("lat_idx int, lon_idx int, time date").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "days"))
+    return stream.timed_events(source, least, gap, late="3 days", clock=spark.readStream.schema("time date").parquet(str(tmp_path / "clock")))
+
+
+def written(spark, tmp_path, schema):
+    day = lambda d: (d - dt.date(2000, 1, 1)).days
+    return sorted((r.lat_idx, day(r.event_start), day(r.event_end)) for r in stream.read_batches(spark, str(tmp_path / "out"), schema).collect())
+
+
+def test_timers_close_every_event_and_a_restart_repeats_none(spark, tmp_path, monkeypatch):
+    df = rows(spark, n_cells=5, n_days=100)
+    all_, last = want(df)
+    days = [(r.lat_idx, r.lon_idx, r.time) for r in df.collect()]
+    for k in range(5):
+        # A day comes with its file or, every third, with the next one, still within the allowed lateness.
+        put_file(spark, [d for d in days if min(4, ((d[2] - dt.date(2000, 1, 1)).days + (d[2].day % 3 == 0)) // 20) == k], str(tmp_path / "days"))
+    found = timed(spark, tmp_path)
+    write, fails = stream.write_batch, [2]
+
+    def failing(batch, path, number):
+        write(batch, path, number)
+        if number in fails:
+            fails.remove(number)
+            raise RuntimeError("lost after writing")
+
+    monkeypatch.setattr(stream, "write_batch", failing)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    try:
+        stream.run_to_end(found, out, checkpoint)
+        raise AssertionError("the batch did not fail")
+    except Exception as error:
+        assert "lost after writing" in str(error)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"batch=0", "batch=1", "batch=2"}
+    stream.run_to_end(timed(spark, tmp_path), out, checkpoint)
+    got = written(spark, tmp_path, found.schema)
+    assert len(got) == len(set(got)) and set(got) <= all_ and all(z >= 100 - 3 - 3 for _, _, z in all_ - set(got))
+    stream.close_series(spark, str(tmp_path / "clock"), "2000-04-09", 2 + 2 + 3)
+    stream.run_to_end(timed(spark, tmp_path), out, checkpoint)
+    got = written(spark, tmp_path, found.schema)
+    assert got == sorted(all_) and any(z == last[c] for c, _, z in got)
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(days=k)
+    days = str(tmp_path / "days")
+    put_file(spark, [(0, 0, day(k)) for k in range(5)] + [(1, 0, day(k)) for k in range(10, 13)], days)
+    put_file(spark, [(1, 0, day(40))], days)
+    # Cell 0 is closed by now, whatever comes for its gap; cell 1 still takes days within three of the last.
+    put_file(spark, [(0, 0, day(6)), (1, 0, day(38)), (1, 0, day(39)), (1, 0, day(41)), (1, 0, day(42))], days)
+    stream.close_series(spark, str(tmp_path / "clock"), "2000-03-01", 9)
+    found = timed(spark, tmp_path)
+    for clock in (tmp_path / "clock").iterdir():
+        clock.rename(tmp_path / clock.name)  # not before the days
+    stream.run_to_end(found, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert written(spark, tmp_path, found.schema) == [(0, 0, 4)]
+    for clock in tmp_path.glob("*part-*"):
+        clock.rename(tmp_path / "clock" / clock.name)
+    stream.run_to_end(timed(spark, tmp_path), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert written(spark, tmp_path, found.schema) == [(0, 0, 4), (1, 38, 42)]

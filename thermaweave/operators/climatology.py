@@ -19,20 +19,53 @@ def climatology(grid: DataFrame, period: tuple[int, int], percentile: float, key
     """keys, doy, thresh: the linearly interpolated percentile of v in the base period, missing values skipped.
 
     half_width pools the days within so many days of the year (around its end). approximate: accuracy of
-    percentile_approx, whose state is bounded, in place of the exact percentile.
+    percentile_approx, whose state is bounded, in place of the exact percentile; pooled ones are exact.
     """
     rows = grid.where(base_period(period)).select(*keys, F.dayofyear("time").alias("doy"), "v")
     if half_width:
-        rows = rows.withColumn("doy", F.explode(F.transform(F.sequence(F.lit(-half_width), F.lit(half_width)), lambda k: F.pmod(F.col("doy") - 1 + k, F.lit(366)) + 1)))
+        return _pooled(rows, percentile, keys, half_width)
     value = F.percentile_approx("v", percentile, approximate) if approximate else F.percentile("v", F.lit(percentile))
     return rows.groupBy(*keys, "doy").agg(value.alias("thresh"))
 
 
-def exceedance(grid: DataFrame, clim: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """The rows of grid above their threshold; the day of year is held to the days that clim has. Missing never exceeds."""
-    last = clim.agg(F.max("doy").alias("_last"))
-    rows = grid.crossJoin(F.broadcast(last)).withColumn("doy", F.least(F.dayofyear("time"), F.col("_last"))).drop("_last")  # one row
-    return rows.join(clim, [*keys, "doy"]).where(F.coalesce(F.col("v") > F.col("thresh"), F.lit(False)))
+def _pooled(rows: DataFrame, percentile: float, keys: Sequence[str], half_width: int) -> DataFrame:
+    """rows (keys, doy, v) to keys, doy, thresh over 2 * half_width + 1 days.
+
+    Rows move once, to their cell. There each day's values are one array, and what a day needs are the arrays of its
+    neighbours, which are dealt out and merged where they are.
+    """
+    days = rows.repartition(*keys).groupBy(*keys, "doy").agg(F.collect_list("v").alias("values"))
+    around = F.transform(F.sequence(F.lit(-half_width), F.lit(half_width)), lambda k: F.pmod(F.col("doy") - 1 + k, F.lit(366)) + 1)
+    merged = days.select(*keys, "values", F.explode(around).alias("doy")).groupBy(*keys, "doy").agg(F.array_sort(F.flatten(F.collect_list("values"))).alias("values"))
+    return merged.select(*keys, "doy", quantile_of_sorted(F.col("values"), percentile).alias("thresh"))
+
+
+def quantile_of_sorted(values: Column, q: float) -> Column:
+    """The linearly interpolated quantile of a sorted array; null of an empty one."""
+    at = (F.size(values) - 1) * F.lit(float(q))
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def threshold_slots(clim: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """keys, slots: the thresholds of a cell by day of year, 366 of them (null where it has none)."""
+    by = clim.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("doy", "thresh"))).alias("_by"))
+    return by.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.try_element_at(F.col("_by"), d)).alias("slots"))
+
+
+def exceedance(grid: DataFrame, clim: DataFrame, keys: Sequence[str] = CELL, placed: bool = False) -> DataFrame:
+    """The rows of grid above their threshold, with doy and thresh; missing values never exceed.
+
+    The day of year is held to the last one that clim has; placed: grid has it (doy) already, so that clim isn't gone
+    through for it. Thresholds are joined by cell, one array each, so that rows which are to be grouped by cell
+    afterwards move once.
+    """
+    rows = grid
+    if not placed:
+        last = clim.agg(F.max("doy").alias("_last"))
+        rows = grid.crossJoin(F.broadcast(last)).withColumn("doy", F.least(F.dayofyear("time"), F.col("_last"))).drop("_last")  # one row
+    found = rows.join(threshold_slots(clim, keys), list(keys)).withColumn("thresh", F.get("slots", F.col("doy") - 1)).drop("slots")
+    return found.where(F.coalesce(F.col("v") > F.col("thresh"), F.lit(False)))
 
 
 def enough_values(grid: DataFrame, least: int, keys: Sequence[str] = CELL) -> DataFrame:

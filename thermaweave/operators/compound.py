@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,37 +33,54 @@ def sea_side(sea: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 _CELL = ["ocean_lat_idx", "ocean_lon_idx"]
 
 
-def _on(a: DataFrame, b: DataFrame, test: Column, keys: Sequence[str]) -> Column:
-    for c in (*_CELL, *keys):
-        test = (a[c] == b[c]) & test
-    return test
+def swept(land: DataFrame, sea: DataFrame, keys: Sequence[str] = (), start: str = "thw_start", end: str = "thw_end") -> DataFrame:
+    """land (with the paired sea cell) with, from that cell's events: _m, of those that begin by its start the one that
+    ends last, and _next, the first begin after its start.
 
+    Events of both kinds lie in one ordered window of the sea cell; no pairs are made. As sea events of a cell are
+    disjoint, _m is the only one that can hold a land event or reach its start, and an event that overlaps it but
+    doesn't reach its start begins after it, no earlier than _next.
+    """
+    cell = [*_CELL, *keys]
+    own = F.struct(*[F.col(c) for c in land.columns if c not in cell])
+    theirs = F.struct("mhw_end", "mhw_start", "mhw_duration")
+    both = land.select(*cell, F.col(start).alias("_at"), F.lit(1).alias("_kind"), own.alias("_land"), F.lit(None).cast("struct<mhw_end:date,mhw_start:date,mhw_duration:int>").alias("_sea"))
+    both = both.unionByName(sea_side(sea, keys).select(*cell, F.col("mhw_start").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(land.select(own.alias("x")).schema["x"].dataType).alias("_land"), theirs.alias("_sea")))
+    rising = Window.partitionBy(*cell).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = Window.partitionBy(*cell).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("_m", F.max("_sea").over(rising)).withColumn("_next", F.min("_sea.mhw_start").over(falling))
+    return swept.where("_kind = 1").select("_land.*", *cell, "_m", "_next").select(*land.columns, "_m", "_next")
 
-def compound_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Land events that lie within a sea event of the paired cell, with the first such sea event.
 
-    The interval test is a residual of the join on the sea cell, so no pair that fails it leaves the join.
-    """
-    a, b = paired_events(land, pairs), sea_side(sea, keys)
-    both = a.join(b, _on(a, b, contains(b["mhw_start"], b["mhw_end"], a["thw_start"], a["thw_end"]), keys))
-    first = F.min_by(F.struct(b["mhw_start"], b["mhw_end"], b["mhw_duration"]), F.struct(b["mhw_start"], b["mhw_end"])).alias("_m")
-    return both.groupBy(*[a[c] for c in a.columns]).agg(first).select(*a.columns, "_m.*")
+def _inside(start: str, end: str) -> Column:
+    return F.coalesce(contains(F.col("_m.mhw_start"), F.col("_m.mhw_end"), F.col(start), F.col(end)), F.lit(False))
+
+
+def _touched(start: str, end: str) -> Column:
+    return F.coalesce(F.col("_m.mhw_end") >= F.col(start), F.lit(False)) | F.coalesce(F.col("_next") <= F.col(end), F.lit(False))
+
+
+def compound_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Land events that lie within a sea event of the paired cell, with that sea event. Sea events of a cell are disjoint."""
+    a = paired_events(land, pairs)
+    found = swept(a, sea, keys).where(_inside("thw_start", "thw_end"))
+    return found.select(*a.columns, "_m.mhw_start", "_m.mhw_end", "_m.mhw_duration")
 
 
 def standalone_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Paired land events that no sea event of the paired cell overlaps."""
-    a, b = paired_events(land, pairs), sea_side(sea, keys)
-    return a.join(b, _on(a, b, overlaps(b["mhw_start"], b["mhw_end"], a["thw_start"], a["thw_end"]), keys), "left_anti")
+    a = paired_events(land, pairs)
+    return swept(a, sea, keys).where(~_touched("thw_start", "thw_end")).select(*a.columns)
 
 
 def classify_events(sea: DataFrame, land: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Every land event with its class: compound, partial, standalone, unpaired."""
+    """Every land event with its class: compound, partial, standalone, unpaired. A land cell has one sea cell at most."""
     cells = pairs.select(F.col("land_lat_idx").alias("lat_idx"), F.col("land_lon_idx").alias("lon_idx"), *_CELL)
-    a, b = land.join(cells, ["lat_idx", "lon_idx"], "left"), sea_side(sea, keys)
-    both = a.join(b, _on(a, b, overlaps(b["mhw_start"], b["mhw_end"], a["event_start"], a["event_end"]), keys), "left")
-    inside = F.max(F.coalesce(contains(b["mhw_start"], b["mhw_end"], a["event_start"], a["event_end"]), F.lit(False)))
-    kind = F.when(F.max(a["ocean_lat_idx"]).isNull(), "unpaired").when(inside, "compound").when(F.max(b["mhw_start"]).isNotNull(), "partial").otherwise("standalone")
-    return both.groupBy(*[a[c] for c in land.columns]).agg(kind.alias("class"))
+    a = land.join(cells, ["lat_idx", "lon_idx"], "left")
+    kind = F.when(_inside("event_start", "event_end"), "compound").when(_touched("event_start", "event_end"), "partial").otherwise("standalone")
+    paired = swept(a.where(F.col(_CELL[0]).isNotNull()), sea, keys, "event_start", "event_end")
+    alone = a.where(F.col(_CELL[0]).isNull()).select(*land.columns, F.lit("unpaired").alias("class"))
+    return paired.select(*land.columns, kind.alias("class")).unionByName(alone)
 
 
 def unpaired_events(land: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -45,13 +45,11 @@ def clim(grid: DataFrame, share: float) -> DataFrame:
 
 
 def sea_events(spark: SparkSession, d: str) -> DataFrame:
-    g = ocean(spark, d)
-    return events.detect_events(g, clim(g, SEA_SHARE), MIN_DURATION, MAX_GAP)
+    return events.events_above_percentile(ocean(spark, d), BASE, SEA_SHARE, MIN_DURATION, MAX_GAP)
 
 
 def land_events(spark: SparkSession, d: str) -> DataFrame:
-    g = land(spark, d)
-    return events.detect_events(g, clim(g, LAND_SHARE), MIN_DURATION, MAX_GAP)
+    return events.events_above_percentile(land(spark, d), BASE, LAND_SHARE, MIN_DURATION, MAX_GAP)
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from ..functions import humid, risk
 from ..functions.columns import ratio, rounded
 from ..operators import attribution, climatology, compound, daily, events, masks, metrics, pairing, profile, trends
 from ..sources import grids
-from ..streaming.events import session_events
+from ..session import Files, shared_dir
+from ..streaming.events import close_series, read_batches, run_to_end, session_events, timed_events
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +77,7 @@ def _(spark, d):
     """Detection on the paired sea cells only."""
     cells = fx.pairs(spark, d).select(F.col("ocean_lat_idx").alias("lat_idx"), F.col("ocean_lon_idx").alias("lon_idx"))
     g = events.restrict_to(fx.ocean(spark, d), cells)
-    return events.detect_events(g, fx.clim(g, fx.SEA_SHARE), fx.MIN_DURATION, fx.MAX_GAP)
+    return events.detect_events(g, fx.clim(g, fx.SEA_SHARE), fx.MIN_DURATION, fx.MAX_GAP, period=fx.BASE)
 
 
 @_query("min_valid_filter", "SELECT lat_idx, lon_idx, count(v) AS n_values FROM land GROUP BY ALL HAVING count(v) >= 530")
@@ -533,16 +535,38 @@ def _(spark, d):
     return grids.load_member(rows, "ALL", "001", keys=("cell",)).select("cell", "forcing", "member", "SST")
 
 
-@_query("stream_sessions", """SELECT user_id, min(day) AS event_start, max(day) AS event_end, (max(day) - min(day) + 1)::INT AS duration FROM (
+_SESSIONS = """SELECT user_id, min(day) AS event_start, max(day) AS event_end, (max(day) - min(day) + 1)::INT AS duration FROM (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS event FROM (
     SELECT user_id, day, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE value > 20)))
-GROUP BY user_id, event HAVING max(day) - min(day) + 1 >= 3""")
+GROUP BY user_id, event HAVING max(day) - min(day) + 1 >= 3"""
+
+
+@_query("stream_sessions", _SESSIONS)
 def _(spark, d):
     """The stream's session rule over the stored table; tests hold the stream itself against it."""
     rows = fx.read(spark, d, "events").where("value > 20").select("user_id", F.to_date("ts").alias("time")).distinct()
     return session_events(rows, 3, 1, ("user_id",))
 
 
+@_query("stream_timed_events", _SESSIONS)
+def _(spark, d):
+    """The stream itself: all of events in a first run; a second one takes up its state and is told that the series ends."""
+    root = f"{shared_dir(spark)}/timed-{uuid.uuid4().hex}"
+    Files(spark, f"{root}/clock").make()
+    stored = fx.read(spark, d, "events")
+
+    def found():
+        rows = spark.readStream.schema(stored.schema).parquet(f"{d}/event[s].parquet").where("value > 20").select("user_id", F.col("ts").alias("time"))
+        return timed_events(rows, 3, 1, ("user_id",), late="2 days", clock=spark.readStream.schema("time date").parquet(f"{root}/clock"))
+
+    run_to_end(found(), f"{root}/events", f"{root}/checkpoint")
+    last = stored.agg(F.max(F.to_date("ts")).cast("string")).first()[0]
+    if last:
+        close_series(spark, f"{root}/clock", last, 1 + 2 + 2)
+        run_to_end(found(), f"{root}/events", f"{root}/checkpoint")
+    return read_batches(spark, f"{root}/events", found().schema)
+
+
 # Whole jobs
 
 

@@ -6,12 +6,16 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..config import CELL
+from ..session import Files, deliver
+
+DAY_MS = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def session_events(exceeding: DataFrame, min_duration: int = 5, max_gap: int = 2, keys: Sequence[str] = CELL, time: str = "time", late: str = "3 days") -> DataFrame:
@@ -78,3 +82,103 @@ def flush_rows(cells: DataFrame, schema: StructType) -> DataFrame:
     """A row a cell that ends its series: tracked_events then emits what is open there. schema: that of the stream."""
     keys = cells.select(*CELL).distinct()
     return keys.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in CELL else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+class _Closing(StatefulProcessor):
+    """Open runs of a key, (first, last) as days since 1970. A timer closes each when no row can reach it any more."""
+
+    def __init__(self, min_duration: int, max_gap: int, keys: Sequence[str]):
+        self.min_duration, self.max_gap, self.keys = min_duration, max_gap, list(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", StructType([StructField("first", LongType()), StructField("last", LongType())]))
+
+    def _end(self, last: int) -> int:
+        """When the first day begins that can't be bridged."""
+        return (last + self.max_gap + 2) * DAY_MS
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        days = pd.concat([r["day_number"] for r in rows]).dropna().astype("int64").unique().tolist()
+        if days:
+            merged: list[list[int]] = []
+            for first, last in sorted([*((int(a), int(z)) for a, z in self.runs.get()), *((d, d) for d in days)]):
+                if merged and first - merged[-1][1] <= self.max_gap + 1:
+                    merged[-1][1] = max(merged[-1][1], last)
+                else:
+                    merged.append([first, last])
+            self.runs.put([tuple(r) for r in merged])
+            for _, last in merged:
+                self.handle.registerTimer(self._end(last))
+        yield pd.DataFrame({c: [] for c in (*self.keys, "first", "last")})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        runs = [(int(a), int(z)) for a, z in self.runs.get()]
+        held = [r for r in runs if self._end(r[1]) > now]  # a run that has grown since has a later timer
+        if held:
+            self.runs.put(held)
+        else:
+            self.runs.clear()
+        out = [(*key, *r) for r in runs if self._end(r[1]) <= now and r[1] - r[0] + 1 >= self.min_duration]
+        yield pd.DataFrame(out, columns=[*self.keys, "first", "last"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_events(exceeding: DataFrame, min_duration: int = 5, max_gap: int = 2, keys: Sequence[str] = CELL, time: str = "time", late: str = "3 days", clock: DataFrame | None = None) -> DataFrame:
+    """keys, event_start, event_end, duration (calendar days) from a stream of exceeding days.
+
+    An event is emitted when its gap expires: a timer in event time fires as soon as the watermark passes the last day
+    that could extend it, and its state goes with it. Rows may come in any order within `late`; later ones are dropped.
+    What moves the watermark are the days of all keys, and those of clock, a stream with a column of the same name: as
+    a series ends, one row of it, so many days further, closes what is still open. State: open runs of a key. Needs the
+    RocksDB state store (run_to_end() sets it).
+    """
+    deliver(exceeding.sparkSession)
+    rows = exceeding.select(*keys, F.to_timestamp(F.to_date(time)).alias("seen_at"), F.unix_date(F.to_date(time)).cast("long").alias("day_number"))
+    if clock is not None:
+        kinds = {f.name: f.dataType for f in rows.schema}
+        ticks = clock.select(*[F.lit(None).cast(kinds[k]).alias(k) for k in keys], F.to_timestamp(F.to_date(time)).alias("seen_at"), F.lit(None).cast("long").alias("day_number"))
+        rows = rows.unionByName(ticks)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.select(*keys).schema), StructField("first", LongType()), StructField("last", LongType())])
+    grouped = rows.withWatermark("seen_at", late).groupBy(*keys)
+    found = grouped.transformWithStateInPandas(statefulProcessor=_Closing(min_duration, max_gap, keys), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
+    return found.select(*keys, day("first").alias("event_start"), day("last").alias("event_end"), (F.col("last") - F.col("first") + 1).cast("int").alias("duration"))
+
+
+def write_batch(batch: DataFrame, path: str, number: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def write_batches(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a stream that writes each of its batches as a folder of its own, named by the batch.
+
+    A batch that runs again after a failure takes the place of what it left, so each event is there once.
+    """
+    return found.writeStream.foreachBatch(lambda batch, number: write_batch(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What write_batches() has written; nothing yet: no rows."""
+    Files(spark, path).make()
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def run_to_end(found: DataFrame, path: str, checkpoint: str) -> None:
+    """write_batches() over all that the source has, from where the checkpoint stands; state lives in RocksDB."""
+    spark, name = found.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        query = write_batches(found, path, checkpoint)
+    finally:
+        spark.conf.set(name, before)
+    query.awaitTermination()
+
+
+def close_series(spark: SparkSession, folder: str, last: str, days: int, time: str = "time") -> None:
+    """One row for timed_events()'s clock, so many days behind the last day of a series that goes no further."""
+    spark.sql(f"SELECT date_add(DATE '{last}', {int(days)}) AS `{time}`").coalesce(1).write.mode("append").parquet(folder)
