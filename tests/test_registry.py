@@ -7,7 +7,7 @@ import __spark_entry__
 from thermaweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["climatology_doy", "marine_events", "land_events", "event_classes", "coastal_mask", "nearest_pairs", "spatial_mean", "wbt_stull", "humid_stats", "bootstrap_samples", "observed_table", "level_pick", "merge_sources", "stream_sessions", "gev_levels", "member_compound_annual", "attribution_from_fields", "humid_levels", "member_surface", "panel_rows"]
+NAMES = ["climatology_doy", "marine_events", "land_events", "event_classes", "coastal_mask", "nearest_pairs", "spatial_mean", "wbt_stull", "humid_stats", "bootstrap_samples", "observed_table", "level_pick", "merge_sources", "stream_sessions", "gev_levels", "member_compound_annual", "attribution_from_fields", "humid_levels", "member_surface", "panel_rows", "stream_timed_events", "regrid_conservative", "rows_set_aside", "humid_periods", "observational_first_day", "trend_fields"]
 
 
 @pytest.fixture(scope="module")
@@ -85,9 +85,12 @@ def test_jobs_reuse_what_they_store(spark, tmp_path):
     first = run_observational(ocean, land, s, str(tmp_path), mask="any")
     names = {p.name for p in tmp_path.iterdir()}
     assert {"pairs", "sea_climatology", "land_climatology", "sea_events", "land_events", "classes", "annual"} <= names
-    again = run_observational(ocean.limit(0), land.limit(0), s, str(tmp_path), mask="any")
+    written = lambda: {p.name: (p / "_SUCCESS").stat().st_mtime_ns for p in tmp_path.iterdir()}
+    before = written()
+    again = run_observational(ocean, land, s, str(tmp_path), mask="any")
     for n in ("classes", "sea_events", "pairs"):
         assert sorted(first[n].collect(), key=repr) == sorted(again[n].collect(), key=repr) != []
+    assert written() == before
     # Counts of one pass over the classes are those of the two kinds of days.
     total = lambda df: df.selectExpr("sum(n_days)").first()[0] or 0
     assert total(first["compound_annual"]) == first["compound_days"].count() and total(first["standalone_annual"]) == first["standalone_days"].count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CELL
+from ..functions.columns import weighted_mean
 
 
 def base_period(period: tuple[int, int], time: str = "time") -> Column:
@@ -79,3 +80,28 @@ def regrid_mean(grid: DataFrame, size: float) -> DataFrame:
     """Means on a common grid of boxes of the given size."""
     box = {k: F.floor(F.col(c) / F.lit(size)).cast("int") for k, c in (("lat_idx", "lat"), ("lon_idx", "lon"))}
     return grid.groupBy("time", *[c.alias(k) for k, c in box.items()]).agg(F.avg("v").alias("v"))
+
+
+def regrid_conservative(grid: DataFrame, size: float, step: tuple[float, float], by: Sequence[str] = ("time",)) -> DataFrame:
+    """by, lat_idx, lon_idx, v, area: means on boxes of `size` degrees, weighted by the area that cells share with them.
+
+    Cells are step[0] by step[1] degrees around lat, lon. Each goes to the boxes that it overlaps, a few, with the shared
+    area on the unit sphere; sums are taken before anything moves. Boxes are counted from 0 degrees and from the poles
+    inwards (lat_idx 0 begins at -90), longitudes go round. area is that of the parts with a value, so the sum of
+    v * area over boxes is that of the cells; parts without a value have no weight.
+    """
+    size_, n = F.lit(float(size)), round(360 / size)
+    if abs(n * size - 360) > 1e-9:
+        raise ValueError("a whole number of boxes has to go round")
+    south = F.greatest(F.col("lat") - F.lit(step[0] / 2), F.lit(-90.0))
+    north = F.least(F.col("lat") + F.lit(step[0] / 2), F.lit(90.0))
+    west, east = F.col("lon") - F.lit(step[1] / 2), F.col("lon") + F.lit(step[1] / 2)
+    box = lambda c: F.floor(c / size_).cast("long")
+    # A cell's far edge may lie on the edge of a box, of which it then has nothing: weight 0.
+    rows = grid.select(*by, "v", south.alias("_s"), north.alias("_n"), west.alias("_w"), east.alias("_e"))
+    rows = rows.withColumn("_y", F.explode(F.sequence(box(F.col("_s") + 90), box(F.col("_n") + 90)))).withColumn("_x", F.explode(F.sequence(box(F.col("_w")), box(F.col("_e")))))
+    low, high = F.greatest(F.col("_s"), F.col("_y") * size_ - 90), F.least(F.col("_n"), (F.col("_y") + 1) * size_ - 90)
+    wide = F.least(F.col("_e"), (F.col("_x") + 1) * size_) - F.greatest(F.col("_w"), F.col("_x") * size_)
+    area = F.radians(wide) * (F.sin(F.radians(high)) - F.sin(F.radians(low)))
+    held = rows.withColumn("_area", area).where("_area > 1e-15").select(*by, "v", "_area", F.col("_y").cast("int").alias("lat_idx"), F.pmod(F.col("_x"), F.lit(n)).cast("int").alias("lon_idx"))
+    return held.groupBy(*by, "lat_idx", "lon_idx").agg(weighted_mean(F.col("v"), F.col("_area")).alias("v"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("_area"))), F.lit(0.0)).alias("area"))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import pi, sin
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import EARTH_KM
 from ..functions.columns import haversine_km
 
 CROSS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 SQUARE = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
-KM_PER_DEGREE = 111.19492664455873
 
 
 def valid_mask(grid: DataFrame, mode: str = "first") -> DataFrame:
@@ -38,19 +39,25 @@ def coastal_mask(land: DataFrame, sea: DataFrame) -> DataFrame:
     return edge(land, SQUARE).unionByName(edge(sea, SQUARE)).select("lat_idx", "lon_idx").distinct()
 
 
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    """The place as a vector of length one."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
 def coastal_buffer(land: DataFrame, coast: DataFrame, km: float) -> DataFrame:
     """Land cells within so many km of a coast cell.
 
-    Both are dealt into latitude bands of that width, and into boxes of longitude whose width suits the band's widest
-    parallel; a coast cell goes to the boxes around its own, so the join is on equal boxes, whatever the grids' sizes.
+    Places are vectors of length one, dealt into cubes as wide as the chord of that distance; a coast cell goes to the
+    27 cubes around its own, so the join is on equal cubes, whatever the grids' sizes. The sphere has no seam there:
+    neither the antimeridian nor a pole is a case of its own, and longitudes may be written from -180 or from 0.
     """
-    step = km / KM_PER_DEGREE
-    band = lambda lat: F.floor(lat / F.lit(step))
-    # A box of a band is as wide as km at the band's edge nearest the pole, and a band further.
-    wide = lambda b: F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs((b - 1) * step), F.abs((b + 2) * step)), F.lit(89.0)))), F.lit(0.0175))
-    homes = land.withColumn("_band", band(F.col("lat"))).withColumn("_box", F.floor(F.col("lon") / wide(F.col("_band"))))
-    spread = coast.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("_band"))
-    spread = spread.withColumn("_own", F.floor(F.col("_lon") / wide(F.col("_band")))).withColumn("_box", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
+    side = 2 * sin(min(km / EARTH_KM, pi) / 2) * (1 + 1e-9)
+    axes = ("_x", "_y", "_z")
+    cubes = lambda df, lat, lon: df.withColumns({c: F.floor(v / F.lit(side)).cast("long") for c, v in zip(axes, _unit(F.col(lat), F.col(lon)), strict=True)})
+    spread = cubes(coast.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct(), "_lat", "_lon")
+    for c in axes:
+        spread = spread.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     near = haversine_km(F.col("l.lat"), F.col("l.lon"), F.col("c._lat"), F.col("c._lon")) <= km
-    on = reduce(lambda a, b: a & b, [F.col("l._band") == F.col("c._band"), F.col("l._box") == F.col("c._box"), near])
-    return homes.alias("l").join(spread.alias("c"), on, "left_semi").drop("_band", "_box")
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"c.{c}") for c in axes], near)
+    return cubes(land, "lat", "lon").alias("l").join(spread.alias("c"), on, "left_semi").drop(*axes)

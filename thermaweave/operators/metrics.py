@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,3 +95,22 @@ def threshold_days(field: DataFrame, limits: dict[str, float]) -> DataFrame:
 def wide_by_year(annual: DataFrame, years: Sequence[int]) -> DataFrame:
     """A column a year, for export."""
     return annual.groupBy(*CELL).pivot("year", list(years)).agg(F.first("n_days"))
+
+
+def joined_fields(fields: Mapping[str, DataFrame], value: str, suffix: str = "") -> DataFrame:
+    """lat_idx, lon_idx and a column of each field (name and suffix), for export; a cell that a field lacks is null there."""
+    out = None
+    for name, field in fields.items():
+        one = field.select(*CELL, F.col(value).alias(f"{name}{suffix}"))
+        out = one if out is None else out.join(one, list(CELL), "full_outer")
+    if out is None:
+        raise ValueError("no field to export")
+    return out
+
+
+def humid_statistics(split: DataFrame, periods: DataFrame) -> DataFrame:
+    """statistic, threshold, value for export: mean threshold days of compound and other years, and return periods."""
+    kind = F.when(F.col("is_compound"), "compound").otherwise("noncompound")
+    days = split.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{n}_"), kind, F.lit("_days")).alias("statistic"), F.col(f"{n}_days").cast("double").alias("value")) for n in ("wbt", "sh")])).alias("x"))
+    rows = days.select("x.statistic", F.lit(None).cast("int").alias("threshold"), "x.value")
+    return rows.unionByName(periods.select(F.concat("name", F.lit("_return_period")).alias("statistic"), F.col("threshold").cast("int").alias("threshold"), F.col("period").alias("value")))

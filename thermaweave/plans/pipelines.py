@@ -7,11 +7,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CELL, EUROPE, MAP_YEARS, PANELS, Settings
+from ..config import CELL, EUROPE, MAP_YEARS, PANELS, TREND_MONTHS, TREND_YEARS, Settings
 from ..functions import humid
 from ..functions.columns import cos_latitude, weighted_mean
 from ..operators import attribution, climatology, compound, daily, events, masks, metrics, pairing, trends
-from ..sources.grids import materialize, scaled
+from ..sources.grids import fingerprint, materialize, scaled
 
 
 def run_observational(
@@ -21,36 +21,47 @@ def run_observational(
 
     Sea events are found on paired cells only. thw_scope: the days of land events that the co-occurrence is a share of,
     "classified" (compound and stand-alone) or "all_paired". store: a folder in which pairs, climatologies, events and
-    annual tables are kept and from which a later run takes them. mask: the day by whose values cells count as land or
+    annual tables are kept, each with a manifest of what it was made of, and from which a later run takes those that it
+    would make alike: other settings, input files or code are found out and what follows from them is made anew. mask: the day by whose values cells count as land or
     sea ("first", or "any"). keys: columns of both grids beside the cell, as an ensemble's forcing and member.
     """
     spark = sst.sparkSession
+    prints: dict[str, str] = {}
 
-    def kept(name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        return materialize(spark, make, f"{store}/{name}") if store else make()
+    def kept(name: str, make: Callable[[], DataFrame], *of: DataFrame | str, **settings) -> DataFrame:
+        """A stage's table; `of` are the tables and stages that it depends on beside the settings."""
+        if not store:
+            return make()
+        prints[name] = fingerprint(spark, [prints[x] if isinstance(x, str) else x for x in of], stage=name, keys=tuple(keys), **settings)
+        return materialize(spark, make, f"{store}/{name}", prints[name])
 
-    s, cell = settings, (*keys, *CELL)
+    s, cell, share = settings, (*keys, *CELL), settings.land_percentile or settings.percentile
+    runs = {"min_duration": s.min_duration, "max_gap": s.max_gap}
     land_cells = masks.valid_mask(t2m, mask)
     edge = masks.edge(land_cells) if coast_only else land_cells
-    pairs = kept("pairs", lambda: pairing.nearest_pairs(edge, masks.valid_mask(sst, mask), s.max_distance))
+    pairs = kept("pairs", lambda: pairing.nearest_pairs(edge, masks.valid_mask(sst, mask), s.max_distance), sst, t2m, coast_only=coast_only, mask=mask, most=s.max_distance)
     sea_cells = pairs.select(F.col("ocean_lat_idx").alias("lat_idx"), F.col("ocean_lon_idx").alias("lon_idx"))
     sea_grid = events.restrict_to(sst, sea_cells)
-    sea_limits = kept("sea_climatology", lambda: climatology.climatology(sea_grid, s.base_period, s.percentile, cell))
-    # The axis is the whole source's, also where its cells are restricted.
-    sea = kept("sea_events", lambda: events.islands(climatology.exceedance(sea_grid, sea_limits, cell).join(events.time_axis(sst), "time"), s.min_duration, s.max_gap, cell))
-    land_limits = kept("land_climatology", lambda: climatology.climatology(t2m, s.base_period, s.land_percentile or s.percentile, cell))
-    land = kept("land_events", lambda: events.detect_events(t2m, land_limits, s.min_duration, s.max_gap, s.land_min_valid, cell))
-    classes = kept("classes", lambda: compound.classify_events(sea, land, pairs, keys))
-    axis = events.time_axis(t2m)
+    sea_axis, axis = events.time_axis(sst), events.time_axis(t2m)  # the whole source's, also where its cells are restricted
+    if store:
+        limits = {"period": s.base_period}
+        sea_limits = kept("sea_climatology", lambda: climatology.climatology(sea_grid, s.base_period, s.percentile, cell), sst, "pairs", share=s.percentile, **limits)
+        sea = kept("sea_events", lambda: events.detect_events(sea_grid, sea_limits, s.min_duration, s.max_gap, 0, cell, sea_axis, s.base_period), sst, "sea_climatology", **runs)
+        land_limits = kept("land_climatology", lambda: climatology.climatology(t2m, s.base_period, share, cell), t2m, share=share, **limits)
+        land = kept("land_events", lambda: events.detect_events(t2m, land_limits, s.min_duration, s.max_gap, s.land_min_valid, cell, axis, s.base_period), t2m, "land_climatology", least=s.land_min_valid, **runs)
+    else:
+        sea = events.events_above_percentile(sea_grid, s.base_period, s.percentile, s.min_duration, s.max_gap, 0, cell, sea_axis)
+        land = events.events_above_percentile(t2m, s.base_period, share, s.min_duration, s.max_gap, s.land_min_valid, cell, axis)
+    classes = kept("classes", lambda: compound.classify_events(sea, land, pairs, keys), "sea_events", "land_events", "pairs")
     years, cells = t2m.select(F.year("time").alias("year")), t2m.select(*cell, "lat", "lon").distinct()
     placed = lambda df: df.join(cells, list(cell))
     # All annual counts come from one pass over the classified events.
-    per = kept("annual", lambda: daily.annual_by_class(classes, axis, cells, years, cell))
+    per = kept("annual", lambda: daily.annual_by_class(classes, axis, cells, years, cell), "classes", t2m)
     count = lambda c: placed(per.select("year", *cell, F.col(c).alias("n_days")))
     both, alone = compound.compound_events(sea, land, pairs, keys), compound.standalone_events(sea, land, pairs, keys)
     if thw_scope == "all_paired":
         all_days = daily.annual_days(daily.land_days(compound.paired_events(land, pairs), axis, cell), cell)
-        all_annual = kept("thw_annual", lambda: placed(daily.densify(all_days, years, cells, cell)))
+        all_annual = kept("thw_annual", lambda: placed(daily.densify(all_days, years, cells, cell)), "land_events", "pairs", t2m)
     elif thw_scope == "classified":
         all_annual = count("n_thw")
     else:
@@ -99,9 +110,17 @@ def run_ensemble(sst: DataFrame, t2m: DataFrame, settings: Settings = Settings()
     return found | run_attribution(annual, settings, observed) | {"annual": annual}
 
 
-def run_humid(fields: DataFrame, compound_days: DataFrame, land: DataFrame, coast: DataFrame, settings: Settings = Settings(), months: Sequence[int] = (6, 7, 8), evaporation: DataFrame | None = None, evaporation_factor: float = 1.0) -> dict[str, DataFrame]:
+def run_humid(
+    fields: DataFrame, compound_days: DataFrame, land: DataFrame, coast: DataFrame, settings: Settings = Settings(), months: Sequence[int] = (6, 7, 8), evaporation: DataFrame | None = None, evaporation_factor: float = 1.0,
+    trend_months: Sequence[int] = TREND_MONTHS, trend_years: Mapping[str, tuple[int, int]] = TREND_YEARS, sst: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """fields (time, cell, lat, lon, tmax, d2m, sp): maps on compound days, threshold days of compound and other years,
-    return levels of the coastal buffer's mean series, and trends of specific humidity and of monthly evaporation (v)."""
+    return levels of the coastal buffer's mean series (empirical, and of the fitted distribution with intervals), and
+    trends of specific humidity, of monthly evaporation and of the sea surface (v) where those are given.
+
+    months: the season of threshold days and levels. Trends have months and years of their own. trend_fields and
+    statistics are the flat tables for export.
+    """
     t, td, sp = F.col("tmax"), F.col("d2m"), F.col("sp")
     wet = fields.select("time", *CELL, "lat", "lon", humid.wet_bulb(t, td, sp).alias("wbt"), humid.specific_humidity(td, sp).alias("sh"))
     near = masks.coastal_buffer(land, coast, settings.buffer_km).select(*CELL, "lat").distinct()
@@ -115,9 +134,15 @@ def run_humid(fields: DataFrame, compound_days: DataFrame, land: DataFrame, coas
     tops = means.groupBy(F.year("time").alias("year")).agg(F.max("wbt").alias("wbt"), F.max("sh").alias("sh"))
     top = tops.select("year", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("wbt", "sh")])).alias("x")).select("year", "x.*")
     limits = attribution.thresholds_table(fields.sparkSession, range(12, 29))  # 22 to 28 degrees, 12 to 28 g a kg
-    levels = trends.return_levels(top, limits).where("name = 'sh' OR threshold >= 22")
-    out = {"maps": metrics.masked_annual(wet, compound_days, "wbt"), "days": by_year, "split": split, "levels": levels, "gev": trends.gev(top)}
-    out["sh_trend"] = trends.seasonal_trend(wet.select("time", *CELL, F.col("sh").alias("v")), months)
+    asked = "name = 'sh' OR threshold >= 22"
+    out = {"maps": metrics.masked_annual(wet, compound_days, "wbt"), "days": by_year, "split": split, "levels": trends.return_levels(top, limits).where(asked), "gev": trends.gev(top)}
+    out["periods"] = trends.fitted_periods(top, limits, interval=settings.interval).where(asked)
+    slope = lambda df, name: trends.seasonal_trend(df, trend_months, trend_years[name])
+    out["sh_trend"] = slope(wet.select("time", *CELL, F.col("sh").alias("v")), "sh")
     if evaporation is not None:
-        out["evaporation_trend"] = trends.seasonal_trend(scaled(evaporation, "v", evaporation_factor), months)
+        out["evaporation_trend"] = slope(scaled(evaporation, "v", evaporation_factor), "evaporation")
+    if sst is not None:
+        out["sst_trend"] = slope(sst, "sst")
+    out["trend_fields"] = metrics.joined_fields({n: out[f"{n}_trend"] for n in ("sst", "evaporation", "sh") if f"{n}_trend" in out}, "slope", "_trend")
+    out["statistics"] = metrics.humid_statistics(split, out["periods"])
     return out

@@ -101,6 +101,18 @@ def _(spark, d):
     return climatology.regrid_mean(fx.land(spark, d), 0.5)
 
 
+_OVERLAP = """SELECT time, y::INT AS lat_idx, ((x % 900 + 900) % 900)::INT AS lon_idx, v, radians(least(e, (x + 1) * 0.4::DOUBLE) - greatest(w, x * 0.4::DOUBLE)) * (sin(radians(least(n, (y + 1) * 0.4::DOUBLE - 90))) - sin(radians(greatest(s, y * 0.4::DOUBLE - 90)))) AS area FROM (
+  SELECT *, unnest(range(floor(w / 0.4::DOUBLE)::BIGINT, floor(e / 0.4::DOUBLE)::BIGINT + 1)) AS x FROM (
+    SELECT *, unnest(range(floor((s + 90) / 0.4::DOUBLE)::BIGINT, floor((n + 90) / 0.4::DOUBLE)::BIGINT + 1)) AS y FROM (
+      SELECT time, v, greatest(lat - 0.125::DOUBLE, -90.0) AS s, least(lat + 0.125::DOUBLE, 90.0) AS n, lon - 0.125::DOUBLE AS w, lon + 0.125::DOUBLE AS e FROM land)))"""
+
+
+@_query("regrid_conservative", f"SELECT time, lat_idx, lon_idx, round(sum(v * area) / sum(CASE WHEN v IS NOT NULL THEN area END) / pi(), 4) AS v, round(coalesce(sum(CASE WHEN v IS NOT NULL THEN area END), 0.0) * 1e6, 4) AS area FROM ({_OVERLAP}) WHERE area > 1e-15 GROUP BY ALL")
+def _(spark, d):
+    """Quarter-degree cells on boxes of 0.4 degrees, which cut them; values over pi, so that none lies halfway between two roundings; area in millionths of a square radian."""
+    return climatology.regrid_conservative(fx.land(spark, d), 0.4, (0.25, 0.25)).withColumns({"area": F.col("area") * 1e6, "v": F.col("v") / F.pi()})
+
+
 # Masks and pairs
 
 _FIRST = "SELECT DISTINCT lat_idx, lon_idx, round(lat, 4) AS lat, round(lon, 4) AS lon FROM land WHERE v IS NOT NULL"
@@ -266,13 +278,16 @@ def _(spark, d):
     return metrics.peak_years(metrics.coastal_means(fx.annual(spark, d)[0], metrics.regions_table(spark, fx.BOXES), "n_days"))
 
 
-@_query("convex_trend", """SELECT name, round(a, 4) AS a, round(b, 4) AS b, round(my - a * mx - b * mq, 4) AS c FROM (
+_CONVEX = """SELECT name, round(a, 4) AS a, round(b, 4) AS b, round(my - a * mx - b * mq, 4) AS c FROM (
   SELECT name, mx, mq, my, unnest([{'e': a * a * uu + b * b * ww + 2 * a * b * uw - 2 * a * uz - 2 * b * wz, 'a': a, 'b': b}], recursive := true), row_number() OVER (PARTITION BY name ORDER BY a * a * uu + b * b * ww + 2 * a * b * uw - 2 * a * uz - 2 * b * wz, a, b) AS k FROM (
     SELECT *, unnest([(uz * ww - wz * uw) / (uu * ww - uw * uw), uz / uu, 0.0, 0.0]) AS a, unnest([(wz * uu - uz * uw) / (uu * ww - uw * uw), 0.0, wz / ww, 0.0]) AS b FROM (
       SELECT name, any_value(mx) AS mx, any_value(mq) AS mq, any_value(my) AS my, sum(u * u) AS uu, sum(w * w) AS ww, sum(u * w) AS uw, sum(u * z) AS uz, sum(w * z) AS wz FROM (
         SELECT *, x - mx AS u, x * x - mq AS w, value - my AS z FROM (
           SELECT name, (year - 1983)::DOUBLE AS x, value, avg((year - 1983)::DOUBLE) OVER p AS mx, avg(((year - 1983) * (year - 1983))::DOUBLE) OVER p AS mq, avg(value) OVER p AS my FROM series WINDOW p AS (PARTITION BY name)))
-      GROUP BY name)) WHERE a >= 0 AND b >= 0) WHERE k = 1""")
+      GROUP BY name)) WHERE a >= 0 AND b >= 0) WHERE k = 1"""
+
+
+@_query("convex_trend", _CONVEX)
 def _(spark, d):
     return trends.convex_trend(metrics.coastal_means(fx.annual(spark, d)[0], metrics.regions_table(spark, fx.BOXES), "n_days"))
 
@@ -356,21 +371,37 @@ def _(spark, d):
     return trends.seasonal_trend(fx.monthly(spark, d), months=())
 
 
-_MONTHLY = "SELECT lat_idx, lon_idx, year(time) AS year, avg(v * 0.1) AS v FROM monthly WHERE month(time) IN (6, 7, 8) GROUP BY ALL"
+_MONTHLY = "SELECT lat_idx, lon_idx, year(time) AS year, avg(v * 0.1) AS v FROM monthly WHERE month(time) IN (7, 8, 9) AND year(time) BETWEEN 1991 AND 2020 GROUP BY ALL"
+_SLOPE = "SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM ({}) GROUP BY ALL"
+_SH_YEARS = f"SELECT lat_idx, lon_idx, year(time) AS year, avg({_SH}) AS v FROM humid_daily WHERE month(time) IN (7, 8, 9) AND year(time) BETWEEN 1994 AND 2023 GROUP BY ALL"
+_SST_YEARS = "SELECT lat_idx, lon_idx, year(time) AS year, avg(v) AS v FROM ocean WHERE month(time) IN (7, 8, 9) AND year(time) BETWEEN 1994 AND 2023 GROUP BY ALL"
 
 
-@_query("sh_trend", f"SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM (SELECT lat_idx, lon_idx, year(time) AS year, avg({_SH}) AS v FROM humid_daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY ALL")
+@_query("sh_trend", _SLOPE.format(_SH_YEARS))
 def _(spark, d):
     return _humid_run(spark, d)["sh_trend"]
 
 
-@_query("evaporation_trend", f"SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM ({_MONTHLY}) GROUP BY ALL")
+@_query("evaporation_trend", _SLOPE.format(_MONTHLY))
 def _(spark, d):
     """Monthly evaporation under a long name, picked, renamed and scaled."""
     raw = fx.monthly(spark, d).withColumnRenamed("v", "monthly_mean_evaporation")
     return _humid_run(spark, d, grids.select_variable(raw, "monthly_mean_evaporation", "v"), 0.1)["evaporation_trend"]
 
 
+@_query("short_trend", _SLOPE.format(_SST_YEARS.replace("1994 AND 2023", "1996 AND 1999").replace("(7, 8, 9)", "(1, 2)")))
+def _(spark, d):
+    """Months and years that leave part of the series out."""
+    return trends.seasonal_trend(fx.ocean(spark, d), (1, 2), (1996, 1999))
+
+
+@_query("trend_fields", f"""SELECT * FROM (SELECT lat_idx, lon_idx, slope AS sst_trend FROM ({_SLOPE.format(_SST_YEARS)})) FULL JOIN (SELECT lat_idx, lon_idx, slope AS evaporation_trend FROM ({_SLOPE.format(_MONTHLY)})) USING (lat_idx, lon_idx)
+FULL JOIN (SELECT lat_idx, lon_idx, slope AS sh_trend FROM ({_SLOPE.format(_SH_YEARS)})) USING (lat_idx, lon_idx)""")
+def _(spark, d):
+    """The three trends as one table, a row a cell."""
+    return _humid_run(spark, d, fx.monthly(spark, d), 0.1, fx.ocean(spark, d))["trend_fields"]
+
+
 @_query("return_level", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (
 SELECT 'lat' || lat_idx AS name, threshold, avg((value >= threshold)::INT)::DOUBLE AS p FROM (SELECT lat_idx, year(time) AS year, max({_STULL}) AS value FROM humid_daily GROUP BY ALL) CROSS JOIN (SELECT unnest(range(22, 36))::INT AS threshold) GROUP BY ALL)""")
 def _(spark, d):
@@ -378,14 +409,21 @@ def _(spark, d):
     return trends.return_levels(series, attribution.thresholds_table(spark, range(22, 36)))
 
 
-@_query("gev_levels", f"""SELECT name, round(-k, 4) AS shape, round(scale, 4) AS scale, round(CASE WHEN abs(k) < 1e-6 THEN b0 - 0.5772156649015329 * scale ELSE b0 - scale * (1 - gamma(1 + k)) / k END, 4) AS location FROM (
+def _gev(series: str, keys: str) -> str:
+    """keys, shape, scale, location of each series (keys, value) by L-moments; unrounded."""
+    return f"""SELECT {keys}, -k AS shape, scale, CASE WHEN abs(k) < 1e-6 THEN b0 - 0.5772156649015329 * scale ELSE b0 - scale * (1 - gamma(1 + k)) / k END AS location FROM (
 SELECT *, CASE WHEN abs(k) < 1e-6 THEN l2 / ln(2) ELSE l2 * k / ((1 - pow(2.0, -k)) * gamma(1 + k)) END AS scale FROM (
 SELECT *, CASE WHEN 7.8590 * c + 2.9554 * c * c > -1 THEN (7.8590 * c + 2.9554 * c * c)::DOUBLE END AS k FROM (
 SELECT *, CASE WHEN 3 * b2 - b0 <> 0 THEN l2 / (3 * b2 - b0) - ln(2) / ln(3) END AS c FROM (
 SELECT *, CASE WHEN 2 * b1 - b0 > 1e-9 * greatest(abs(b0), 1e-9) THEN 2 * b1 - b0 END AS l2 FROM (
-SELECT name, avg(value) AS b0, avg(value * i / (n - 1)) AS b1, avg(value * i * (i - 1) / ((n - 1) * (n - 2))) AS b2 FROM (
-SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM (
-SELECT 'cell' || lat_idx || '-' || lon_idx AS name, year(time) AS year, avg({_STULL}) AS value FROM humid_daily GROUP BY ALL)) WHERE n >= 3 GROUP BY name)))))""")
+SELECT {keys}, avg(value) AS b0, avg(value * i / (n - 1)) AS b1, avg(value * i * (i - 1) / ((n - 1) * (n - 2))) AS b2 FROM (
+SELECT {keys}, value, row_number() OVER (PARTITION BY {keys} ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM ({series}) WHERE value IS NOT NULL) WHERE n >= 3 GROUP BY {keys})))))"""
+
+
+_CELLS_WET = f"SELECT 'cell' || lat_idx || '-' || lon_idx AS name, year(time) AS year, avg({_STULL}) AS value FROM humid_daily GROUP BY ALL"
+
+
+@_query("gev_levels", f"SELECT name, round(shape, 4) AS shape, round(scale, 4) AS scale, round(location, 4) AS location FROM ({_gev(_CELLS_WET, 'name')})")
 def _(spark, d):
     series = _wet(spark, d).groupBy(F.concat(F.lit("cell"), F.col("lat_idx"), F.lit("-"), F.col("lon_idx")).alias("name"), F.year("time").alias("year")).agg(F.avg("wbt").alias("value"))
     return trends.gev(series)
@@ -522,6 +560,21 @@ def _(spark, d):
     return grids.merge_sources(parts, "1996-01-01", "2000-12-31")
 
 
+_RAW = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN '1997-02-3' || (l_orderkey % 10) ELSE strftime(l_shipdate, '%Y-%m-%d') END AS time, CASE WHEN l_linenumber = 6 AND l_orderkey % 2 = 0 THEN ' ' WHEN l_quantity = 50 THEN 'n/a' ELSE (l_quantity::INT)::VARCHAR END AS v FROM lineitem"""
+
+
+@_query("rows_set_aside", f"""SELECT l_orderkey, l_linenumber, time, v, list_aggregate(list_filter([CASE WHEN trim(time) <> '' AND try_cast(time AS DATE) IS NULL THEN 'time is no date' END, CASE WHEN trim(v) <> '' AND try_cast(v AS DOUBLE) IS NULL THEN 'v is no double' END], lambda x: x IS NOT NULL), 'string_agg', ', ') AS reasons
+FROM ({_RAW}) WHERE (trim(time) <> '' AND try_cast(time AS DATE) IS NULL) OR (trim(v) <> '' AND try_cast(v AS DOUBLE) IS NULL)""")
+def _(spark, d):
+    """Rows with impossible days or with texts for values, from one pass over the table."""
+    raw = fx.read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linenumber") == 7, F.concat(F.lit("1997-02-3"), (F.col("l_orderkey") % 10).cast("string"))).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("time"),
+        F.when((F.col("l_linenumber") == 6) & (F.col("l_orderkey") % 2 == 0), " ").when(F.col("l_quantity") == 50, "n/a").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("v"))
+    _, bad, _ = grids.set_aside(raw, f"{shared_dir(spark)}/aside-{uuid.uuid4().hex}", {"time": "date", "v": "double"}, ("time", "l_orderkey"))
+    return bad.withColumn("reasons", F.array_join("reasons", ", "))
+
+
 @_query("level_pick", "SELECT l_orderkey AS cell, round(arg_min(v, (abs(lev - 2.0), lev)), 4) AS v FROM (SELECT l_orderkey, l_linenumber - 1.0 AS lev, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def _(spark, d):
     rows = fx.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell"), (F.col("l_linenumber") - F.lit(1.0)).alias("lev")).agg(F.max("l_extendedprice").alias("v"))
@@ -604,14 +657,14 @@ def _(spark, d):
     return run_attribution(fx.ensemble(spark, d))["summary"]
 
 
-def _humid_run(spark, d, evaporation=None, factor=1.0):
+def _humid_run(spark, d, evaporation=None, factor=1.0, sst=None):
     """The humid job; its coast is the southern row of cells, its buffer 30 km."""
     from ..config import Settings
     from .pipelines import run_humid
 
     fields = fx.with_place(fx.humid_daily(spark, d))
     cells = fields.select(*CELL, "lat", "lon").distinct()
-    return run_humid(fields, fx.compound_days(spark, d), cells, cells.where("lat_idx = 0"), Settings(buffer_km=30.0), evaporation=evaporation, evaporation_factor=factor)
+    return run_humid(fields, fx.compound_days(spark, d), cells, cells.where("lat_idx = 0"), Settings(buffer_km=30.0), evaporation=evaporation, evaporation_factor=factor, sst=sst)
 
 
 @_query("humid_run", f"""SELECT year, round(sum(wbt_days * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS wbt_days, round(sum(sh_days * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS sh_days FROM (
@@ -620,22 +673,86 @@ def _(spark, d):
     return _humid_run(spark, d)["days"]
 
 
-@_query("humid_levels", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (SELECT name, threshold, avg((value >= threshold)::INT)::DOUBLE AS p FROM (
-SELECT unnest(['wbt', 'sh']) AS name, year, unnest([max(wbt), max(sh)]) AS value FROM (
-SELECT time, year(time) AS year, sum({_CLOSED} * cos(radians(lat))) / sum(cos(radians(lat))) AS wbt, sum({_SH} * cos(radians(lat))) / sum(cos(radians(lat))) AS sh FROM humid_daily JOIN ({_NEAR}) USING (lat_idx, lon_idx) WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY year)
+_TOPS = f"""SELECT unnest(['wbt', 'sh']) AS name, year, unnest([max(wbt), max(sh)]) AS value FROM (
+SELECT time, year(time) AS year, sum({_CLOSED} * cos(radians(lat))) / sum(cos(radians(lat))) AS wbt, sum({_SH} * cos(radians(lat))) / sum(cos(radians(lat))) AS sh FROM humid_daily JOIN ({_NEAR}) USING (lat_idx, lon_idx) WHERE month(time) IN (6, 7, 8) GROUP BY ALL) GROUP BY year"""
+
+
+@_query("humid_levels", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (SELECT name, threshold, avg((value >= threshold)::INT)::DOUBLE AS p FROM ({_TOPS})
 CROSS JOIN (SELECT unnest(range(12, 29))::INT AS threshold) WHERE name = 'sh' OR threshold >= 22 GROUP BY ALL)""")
 def _(spark, d):
     """Return levels of the coastal buffer's mean series."""
     return _humid_run(spark, d)["levels"]
 
 
-@_query("panel_ratio_means", "SELECT lat_idx, lon_idx, round(avg(value), 4) AS value FROM chr WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL")
+def _chance(x: str) -> str:
+    """Probability of a value above x by shape, scale and location; chances below 1e-9 count as never."""
+    z = f"(({x} - location) / scale)"
+    return f"CASE WHEN abs(shape) < 1e-6 THEN 1 - exp(-exp(-{z})) WHEN 1 + shape * {z} > 0 THEN 1 - exp(-pow(1 + shape * {z}, -1 / shape)) WHEN shape > 0 THEN 1.0 WHEN shape < 0 THEN 0.0 END"
+
+
+def _log_period(p: str) -> str:
+    """Periods cover many powers of ten, so what is compared is their logarithm; never: null."""
+    return f"CASE WHEN {p} >= 1e-8 THEN round(-log10({p}), 4) END"
+
+
+_DRAWN = "(('0x' || substr(md5(name || '-' || replicate || '-' || slot), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
+_AGAIN = f"""SELECT name, replicate, location + scale * CASE WHEN abs(shape) < 1e-6 THEN -ln(-ln(u)) ELSE (pow(-ln(u), -shape) - 1) / shape END AS value
+FROM (SELECT *, {_DRAWN} AS u FROM (SELECT f.*, r.replicate, s.slot FROM fit f JOIN (SELECT name, count(value) AS n FROM tops GROUP BY name) USING (name) CROSS JOIN (SELECT unnest(range(1, 201)) AS replicate) r JOIN (SELECT unnest(range(1, 1001)) AS slot) s ON s.slot <= n WHERE scale IS NOT NULL))"""
+
+
+@_query("humid_periods", f"""WITH tops AS ({_TOPS}), fit AS ({_gev("SELECT * FROM tops", "name")}), again AS ({_gev(_AGAIN, "name, replicate")}), asked AS (SELECT unnest(range(12, 29))::INT AS threshold),
+ours AS (SELECT name, threshold, {_chance("threshold")} AS p FROM fit CROSS JOIN asked),
+bounds AS (SELECT name, threshold, quantile_cont(p, 0.05) AS p_low, quantile_cont(p, 0.95) AS p_high FROM (SELECT name, replicate, threshold, ({_chance("threshold")})::DOUBLE AS p FROM again CROSS JOIN asked) GROUP BY ALL)
+SELECT name, threshold, {_log_period("p")} AS log_period, {_log_period("p_high")} AS log_low, {_log_period("p_low")} AS log_high FROM ours LEFT JOIN bounds USING (name, threshold) WHERE name = 'sh' OR threshold >= 22""")
+def _(spark, d):
+    """Return periods by the fitted distribution with intervals of a parametric bootstrap, 22-28 degrees and 12-28 g a kg."""
+    log = lambda c: F.when(F.col(c) <= 1e8, F.log10(c))
+    return _humid_run(spark, d)["periods"].select("name", "threshold", log("period").alias("log_period"), log("period_low").alias("log_low"), log("period_high").alias("log_high"))
+
+
+_CELL_YEARS = f"""SELECT name, round(location + scale * CASE WHEN abs(shape) < 1e-6 THEN -ln(-ln(1 - 1.0::DOUBLE / years)) ELSE (pow(-ln(1 - 1.0::DOUBLE / years), -shape) - 1) / shape END, 4) AS level, years::INT AS years
+FROM ({_gev(_CELLS_WET, 'name')}) CROSS JOIN (SELECT unnest([5, 10, 20, 50, 100]) AS years)"""
+
+
+@_query("fitted_levels", _CELL_YEARS)
 def _(spark, d):
+    """What each cell's fitted distribution exceeds once in so many years."""
+    series = _wet(spark, d).groupBy(F.concat(F.lit("cell"), F.col("lat_idx"), F.lit("-"), F.col("lon_idx")).alias("name"), F.year("time").alias("year")).agg(F.avg("wbt").alias("value"))
+    return trends.fitted_levels(trends.gev(series))
+
+
+def _observed(spark, d, mask: str = "any", coast_only: bool = False):
+    """The observational job on the fixture's grids."""
+    from ..config import Settings
+    from .pipelines import run_observational
+
+    s = Settings(base_period=fx.BASE, min_duration=fx.MIN_DURATION, max_gap=fx.MAX_GAP, percentile=fx.SEA_SHARE, land_percentile=fx.LAND_SHARE, land_min_valid=0)
+    return run_observational(fx.ocean(spark, d), fx.land(spark, d), s, coast_only=coast_only, mask=mask)
+
+
+def _panels(spark, d):
     from .pipelines import panel_tables
 
-    c, s, t = fx.annual(spark, d)
-    found = {"compound_annual": c, "standalone_annual": s, "ratio": fx.chr_field(spark, d), "cooccurrence": fx.with_place(metrics.ratio_field(c, t))}
-    return panel_tables(found, (1996, 2000), regions=metrics.regions_table(spark, fx.BOXES))["ratio_mean"]
+    return panel_tables(_observed(spark, d), (1996, 2000), (1996, 1998, 2000), metrics.regions_table(spark, fx.BOXES))
+
+
+_FIRST_DAY = "(SELECT DISTINCT lat_idx, lon_idx, lat, lon FROM {t} WHERE v IS NOT NULL AND time = (SELECT min(time) FROM {t}))"
+_FIRST_PAIRS = f"""(SELECT land_lat_idx, land_lon_idx, ocean_lat_idx, ocean_lon_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY land_lat_idx, land_lon_idx ORDER BY dist, ocean_lat_idx, ocean_lon_idx) AS k FROM (
+    SELECT l.lat_idx AS land_lat_idx, l.lon_idx AS land_lon_idx, o.lat_idx AS ocean_lat_idx, o.lon_idx AS ocean_lon_idx,
+      sqrt((l.lat - o.lat) ** 2 + (l.lon * cos(radians(l.lat)) - (CASE WHEN o.lon > 180 THEN o.lon - 360 ELSE o.lon END) * cos(radians(o.lat))) ** 2) AS dist
+    FROM {_FIRST_DAY.format(t="land")} l CROSS JOIN {_FIRST_DAY.format(t="ocean")} o) WHERE dist <= 0.5) WHERE k = 1)"""
+
+
+@_query("observational_first_day", _CLASSES.format(pairs=_FIRST_PAIRS))
+def _(spark, d):
+    """The job's classes with its default mask: cells count as land or sea by their values on the first day."""
+    return _observed(spark, d, "first", True)["classes"].groupBy("class").agg(F.count("*").alias("n_events"), F.sum("duration").alias("n_days"))
+
+
+@_query("panel_ratio_means", "SELECT lat_idx, lon_idx, round(avg(value), 4) AS value FROM chr WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL")
+def _(spark, d):
+    return _panels(spark, d)["ratio_mean"]
 
 
 _PANELS = {
@@ -647,18 +764,16 @@ _PANELS = {
     "compound_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(n_days) FROM compound_annual WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx",
     "standalone_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(n_days) FROM standalone_annual WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx",
     "ratio_mean": "SELECT NULL, NULL, lat_idx, lon_idx, avg(value) FROM chr WHERE year BETWEEN 1996 AND 2000 GROUP BY lat_idx, lon_idx",
+    **{f"trend_{c}": f"SELECT name, NULL, NULL, NULL, {c} FROM ({_CONVEX}) WHERE name IN ('j', 'l')" for c in "abc"},
     "ratio_series": "SELECT NULL, year, NULL, NULL, sum(value * cos(radians(lat))) / sum(CASE WHEN value IS NOT NULL THEN cos(radians(lat)) END) FROM chr GROUP BY year",
 }
 
 
 @_query("panel_rows", "SELECT panel, name, year::INT AS year, lat_idx::INT AS lat_idx, lon_idx::INT AS lon_idx, round(value, 4)::DOUBLE AS value FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS panel, * FROM ({v})" for k, v in _PANELS.items()) + ")")
 def _(spark, d):
-    """The rows of all figure tables but the fitted trend, from the job that makes them."""
-    from .pipelines import panel_tables
-
-    c, s, t = fx.annual(spark, d)
-    found = {"compound_annual": c, "standalone_annual": s, "ratio": fx.chr_field(spark, d), "cooccurrence": fx.with_place(metrics.ratio_field(c, t))}
-    tables = panel_tables(found, (1996, 2000), (1996, 1998, 2000), metrics.regions_table(spark, fx.BOXES))
+    """The rows of all figure tables, from the observational job's own; a fitted trend has a row a coefficient."""
+    tables = _panels(spark, d)
+    tables |= {f"trend_{c}": tables["trend"].select("name", F.col(c).alias("value")) for c in "abc"}
     out = None
     for k in _PANELS:
         df = tables[k].withColumnRenamed("n_days", "value") if "n_days" in tables[k].columns else tables[k]
