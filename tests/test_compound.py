@@ -131,3 +131,32 @@ def test_gamma(spark):
 
     for k in (-0.9, -0.5, -0.01, 0.0, 0.3, 1.0, 2.5):
         assert abs(spark.range(1).select(trends.gamma_of_next(F.lit(k))).first()[0] / gamma(1 + k) - 1) < 1e-12
+
+
+def test_fitted_levels_and_chances_are_inverse(spark):
+    fits = [("heavy", 0.2, 2.0, 10.0), ("flat", 0.0, 1.5, -3.0), ("bounded", -0.3, 1.0, 25.0), ("none", None, None, None)]
+    fit = spark.createDataFrame(fits, "name string, shape double, scale double, location double")
+    levels = {(r.name, r.years): r.level for r in trends.fitted_levels(fit, (2, 10, 1000)).collect()}
+    parts = [F.col(c) for c in ("shape", "scale", "location")]
+    for (name, years), level in levels.items():
+        row = fit.where(F.col("name") == name).select(trends.period_of(trends.chance_above(F.lit(level), *parts)).alias("t")).first()
+        assert (row.t is None and level is None) if name == "none" else row.t == pytest.approx(years)
+    ends = fit.select("name", trends.chance_above(F.lit(29.0), *parts).alias("high"), trends.chance_above(F.lit(-50.0), *parts).alias("low")).collect()
+    got = {r.name: (r.high, r.low) for r in ends}
+    assert got["bounded"] == (0.0, 1.0) and got["heavy"][1] == 1.0 and got["none"] == (None, None)
+
+
+def test_fitted_periods(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).gumbel(24.0, 1.0, 60)
+    rows = [("sea", float(v)) for v in x] + [("flat", 5.0)] * 6 + [("few", 1.0)] * 2 + [("sea", None)]
+    series = spark.createDataFrame(rows, "name string, value double")
+    limits = attribution.thresholds_table(spark, (22, 25, 27, 40))
+    found = {(r.name, r.threshold): r for r in trends.fitted_periods(series, limits, replicates=60).collect()}
+    assert {n for n, _ in found} == {"sea", "flat"} and all(found["flat", t].period is None and found["flat", t].period_low is None for t in (22, 25, 27, 40))
+    assert all(found["sea", t].period_low < found["sea", t].period < found["sea", t].period_high for t in (25, 27))
+    assert found["sea", 25].period == pytest.approx(1 / np.mean(x > 25), rel=0.3)
+    assert found["sea", 22].period == pytest.approx(1, abs=0.02) and found["sea", 40].period > 1e4
+    again = {(r.name, r.threshold): r for r in trends.fitted_periods(series.repartition(5), limits, replicates=60).collect()}
+    assert all(again[k].period_high == pytest.approx(r.period_high) for k, r in found.items() if r.period_high)

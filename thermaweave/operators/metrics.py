@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import CELL
+from ..config import CELL, COASTS
 from ..functions.columns import cos_latitude, in_box, ratio, weighted_mean
 
 
@@ -19,7 +19,7 @@ def ratio_field(over: DataFrame, under: DataFrame, keys: Sequence[str] = ("year"
     return both.select(*keys, ratio(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))).alias("value"))
 
 
-def regions_table(spark: SparkSession, boxes) -> DataFrame:
+def regions_table(spark: SparkSession, boxes=COASTS) -> DataFrame:
     return spark.createDataFrame([tuple(b) for b in boxes], "name string, lat0 double, lat1 double, lon0 double, lon1 double")
 
 

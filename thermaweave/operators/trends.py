@@ -123,11 +123,14 @@ def fitted_periods(series: DataFrame, thresholds: DataFrame, by: str = "name", r
     """
     fit = gev(series, by)
     sizes = series.where(F.col("value").isNotNull()).groupBy(by).agg(F.count("*").cast("int").alias("_n"))
-    slots = fit.where("scale IS NOT NULL").join(sizes, by).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_slot", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    # A series without a fit draws nulls, which the second fit leaves out. Neither a filter on scale nor one that follows
+    # from the value may stand here: either would be pushed down as the whole expression of the fit.
+    slots = fit.join(sizes, by).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_slot", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.col(by), F.col("replicate"), F.col("_slot"))), 1, 8), 16, 10).cast("double")
     value = value_at((drawn + 0.5) / F.lit(2.0**32), F.col("shape"), F.col("scale"), F.col("location"))
     parameters = [F.col(c) for c in ("shape", "scale", "location")]
     chances = lambda df: df.crossJoin(F.broadcast(thresholds)).withColumn("_p", chance_above(F.col("threshold").cast("double"), *parameters))
+    value = F.when(F.col("scale").isNotNull(), value)
     again = chances(gev(slots.select(by, "replicate", value.alias("value")), (by, "replicate")))
     bounds = again.groupBy(by, "threshold").agg(*[F.percentile("_p", F.lit(q)).alias(n) for n, q in zip(("_low", "_high"), interval, strict=True)])
     found = chances(fit).join(bounds, [by, "threshold"], "left")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import ratio
 from ..operators import climatology, compound, daily, events, masks, pairing
+from ..session import shared_dir
+from ..sources.grids import fingerprint, materialize
 
 BASE = (1995, 1999)
 SEA_SHARE, LAND_SHARE, MIN_DURATION, MAX_GAP = 0.5, 0.7, 3, 2
@@ -30,14 +36,30 @@ def _grid(rows: DataFrame, time: str, key: str, value: str, lat0: float, lon0: f
     return out.withColumns({"lat": F.lit(lat0) + F.lit(0.25) * F.col("lat_idx"), "lon": lon})
 
 
+#: Grids of this session: where they lie, and their columns.
+_GRIDS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The grid as a table of the shared folder, which a session makes once, unless another has left it there from the
+    same input files: a query goes through its grids for values, days and masks."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _GRIDS:
+        grid, place = make(), f"{shared_dir(spark)}/grids/{hashlib.sha256(d.encode()).hexdigest()[:16]}-{name}"
+        materialize(spark, lambda: grid, place, fingerprint(spark, [grid], grid=name))
+        _GRIDS[key] = (place, grid.schema)
+    place, schema = _GRIDS[key]
+    return spark.read.schema(schema).parquet(place)
+
+
 def ocean(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return _grid(rows, "l_shipdate", "s_nationkey", "l_extendedprice", 40.1, -0.4)
+    rows = lambda: read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return _kept(spark, d, "ocean", lambda: _grid(rows(), "l_shipdate", "s_nationkey", "l_extendedprice", 40.1, -0.4))
 
 
 def land(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return _grid(rows, "o_orderdate", "c_nationkey", "o_totalprice", 40.0, -0.5)
+    rows = lambda: read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return _kept(spark, d, "land", lambda: _grid(rows(), "o_orderdate", "c_nationkey", "o_totalprice", 40.0, -0.5))
 
 
 def clim(grid: DataFrame, share: float) -> DataFrame:

@@ -102,9 +102,11 @@ def run_attribution(annual: DataFrame, settings: Settings = Settings(), observed
 def run_ensemble(sst: DataFrame, t2m: DataFrame, settings: Settings = Settings(), observed: DataFrame | None = None, store: str | None = None, coast_only: bool = True, mask: str = "first") -> dict[str, DataFrame]:
     """Daily fields of all members (forcing, member, time, cell, v) to the attribution's tables.
 
-    Detection, pairing and classes are those of the observations with forcing and member as keys.
+    Detection, pairing and classes are those of the observations with forcing and member as keys; members that the
+    settings don't name are left out.
     """
     keys = ("forcing", "member")
+    sst, t2m = (df.where(F.col("member").isin(*settings.members)) for df in (sst, t2m))
     found = run_observational(sst, t2m, settings, store, coast_only, mask=mask, keys=keys)
     annual = found["compound_annual"].select(*keys, "year", *CELL, "n_days")
     return found | run_attribution(annual, settings, observed) | {"annual": annual}

@@ -575,6 +575,39 @@ def _(spark, d):
     return bad.withColumn("reasons", F.array_join("reasons", ", "))
 
 
+@_query("grid_round_trip", "SELECT time, lat_idx, lon_idx, round(lat, 4) AS lat, round(lon, 4) AS lon, round(v, 4) AS v FROM land")
+def _(spark, d):
+    """A grid written as text, read with its types, stored under a source's names, and loaded by a fallback pattern."""
+    root, g = f"{shared_dir(spark)}/trip-{uuid.uuid4().hex}", fx.land(spark, d)
+    columns = g.select("time", *CELL, "lat", "lon", "v")
+    grids.write_table(columns, f"{root}/text", fmt="csv")
+    typed = grids.read_table(spark, f"{root}/text", columns.schema)
+    grids.write_table(typed.withColumnsRenamed({"v": "tg", "lat": "latitude", "lon": "longitude"}), f"{root}/raw")
+    return grids.load_grid(spark, f"{root}/merged", f"{root}/ra[w]").select("time", *CELL, "lat", "lon", "v")
+
+
+@_query("ensemble_files", """SELECT 'ALL' AS forcing, lpad((o_custkey % 3 + 1)::VARCHAR, 3, '0') AS member, o_orderdate::DATE AS time, round(max(o_totalprice) - 273.15, 4) AS "T2m" FROM orders GROUP BY ALL""")
+def _(spark, d):
+    """Members as folders of files; forcing is given, the member is cut from the path, Kelvin become Celsius."""
+    root = f"{shared_dir(spark)}/members-{uuid.uuid4().hex}"
+    rows = fx.read(spark, d, "orders").groupBy(F.lpad((F.col("o_custkey") % 3 + 1).cast("string"), 3, "0").alias("n"), F.to_date("o_orderdate").alias("time")).agg(F.max("o_totalprice").alias("TREFHT"))
+    rows.repartition("n").write.partitionBy("n").parquet(root)
+    return grids.load_ensemble(spark, f"{root}/n=*/*.parquet", "ALL", r"/n=(\d{3})/").select("forcing", "member", "time", "T2m")
+
+
+@_query("stage_reuse", "SELECT stage, n FROM (SELECT 'made' AS stage, count(*) AS n FROM land_events UNION ALL SELECT 'read', count(*) FROM land_events UNION ALL SELECT 'changed', count(*) FROM land_events WHERE duration >= 5)")
+def _(spark, d):
+    """Events stored by a first run of a stage, taken by a second one, and made anew for a longer least duration."""
+    place, g = f"{shared_dir(spark)}/reuse-{uuid.uuid4().hex}", fx.land(spark, d)
+
+    def stage(least: int) -> DataFrame:
+        make = lambda: events.events_above_percentile(g, fx.BASE, fx.LAND_SHARE, least, fx.MAX_GAP)
+        return grids.materialize(spark, make, place, grids.fingerprint(spark, [g], least=least))
+
+    counts = {name: stage(least).count() for name, least in (("made", fx.MIN_DURATION), ("read", fx.MIN_DURATION), ("changed", 5))}
+    return spark.createDataFrame(list(counts.items()), "stage string, n long")
+
+
 @_query("level_pick", "SELECT l_orderkey AS cell, round(arg_min(v, (abs(lev - 2.0), lev)), 4) AS v FROM (SELECT l_orderkey, l_linenumber - 1.0 AS lev, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def _(spark, d):
     rows = fx.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell"), (F.col("l_linenumber") - F.lit(1.0)).alias("lev")).agg(F.max("l_extendedprice").alias("v"))

@@ -7,7 +7,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -71,10 +71,11 @@ def load_member(df: DataFrame, forcing: str, member: str, temperature: str = "TR
     return out.withColumns({"forcing": F.lit(forcing), "member": F.lit(member)})
 
 
-def load_ensemble(spark: SparkSession, pattern: str, forcing: str, regex: str = r"(\d{3})\.\w+$") -> DataFrame:
-    """All members of a forcing; the member is cut from the file's name."""
+def load_ensemble(spark: SparkSession, pattern: str, forcing: str, regex: str = r"(\d{3})\.\w+$", members: Sequence[str] | None = None) -> DataFrame:
+    """All members of a forcing, or those named; the member is cut from the file's name."""
     df = spark.read.parquet(pattern)
-    return load_member(df, forcing, "").withColumn("member", F.regexp_extract(F.col("_metadata.file_path"), regex, 1))
+    found = load_member(df, forcing, "").withColumn("member", F.regexp_extract(F.col("_metadata.file_path"), regex, 1))
+    return found.where(F.col("member").isin(*members)) if members else found
 
 
 def select_variable(df: DataFrame, long_name: str, short_name: str, keys: Sequence[str] = ("time", *CELL)) -> DataFrame:
@@ -95,6 +96,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
+@cache
 def code_version() -> str:
     """A digest of this library's own source, but for the operators of training data, which no stage uses."""
     root = Path(__file__).resolve().parent.parent
