@@ -1,8 +1,10 @@
 import hashlib
+import html
+import re
 import zlib
 
 from thermaweave.llm import media
-from thermaweave.llm.common import doc_columns
+from thermaweave.llm.common import doc_columns, table
 
 from .helpers import AWKWARD, clashing, docs, words
 
@@ -45,3 +47,39 @@ def test_sequence_holds_the_whole_text(spark):
         text = "\n".join(items).encode()
         want.append((i, min(1, len(items)), len(items) + 1, len(items), len(text), hashlib.sha256(text).hexdigest()))
     assert sorted(((r.doc_id, r.position, r.n_items, r.n_texts, r.text_bytes, r.text_sha256) for r in found), key=repr) == sorted(want, key=repr)
+
+
+def by_patterns(page):
+    """The items of a page without captions, by patterns in place of a parser."""
+    page = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", page)
+    page = re.sub(r"(?is)<(script|style|head|template|noscript)\b[^>]*>.*?</\1\s*>", "", page)
+    media_tag, block = r"(?:img|video|audio|source)", "|".join(media.BLOCKS)
+    out = []
+    for part in re.split(rf"(?i)(<{media_tag}\b[^>]*>)|</?(?:{block})\b[^>]*>", page):
+        if part and re.match(rf"(?i)<{media_tag}\b", part):
+            found = re.search(r'src="sha256:([^"]*)"', part)
+            out.append(("media", None, found and found[1]))
+        elif text := " ".join(html.unescape(re.sub(r"<[^>]*>", "", part or "")).split()):
+            out.append(("text", text, None))
+    return [(k, *x) for k, x in enumerate(out)]
+
+
+def test_items_of_given_pages(spark):
+    sf = "/root/testdata/sf0.001"
+    found = media.page_items(spark, sf)
+    assert found.columns == ["page_id", "position", "kind", "text", "digest", "caption"]
+    want = [(r.page_id, *x) for r in table(spark, sf, "pages").collect() for x in by_patterns(r.html or "")]
+    assert sorted((r.page_id, r.position, r.kind, r.text, r.digest) for r in found.collect()) == sorted(want) != []
+
+
+def test_several_figures_keep_their_places_and_payloads(spark):
+    texts = [words(40, seed=k) for k in range(4)]
+    digests = [hashlib.sha256(media.payload_of(t.encode())).hexdigest() for t in texts]
+    figure = lambda k, more="": f'<figure><img src="sha256:{digests[k]}"{more}><figcaption>no. {k}</figcaption></figure>'
+    pages = [(1, f"<p>a{figure(0)}b</p>{figure(1)}{figure(0)}<p>c"), (2, f'd<img src="sha256:{digests[2]}" alt="bare">{figure(3)}e'), (3, None), (4, "<p> </p>")]
+    described = media.describe(media.media_store(docs(spark, list(enumerate(texts)))))
+    items = media.sequences(spark.createDataFrame(pages, "page_id long, html string"))
+    got = sorted((r.page_id, r.position, r.caption, r.payload_sha256) for r in media.resolve(items, "page_id", described).collect())
+    assert got == [(1, 1, "no. 0", digests[0]), (1, 3, "no. 1", digests[1]), (1, 4, "no. 0", digests[0]), (2, 1, "bare", digests[2]), (2, 2, "no. 3", digests[3])]
+    held = {r.page_id: [(i.kind, i.text) for i in r["items"] if i.kind == "text"] for r in items.collect()}
+    assert held == {1: [("text", "a"), ("text", "b"), ("text", "c")], 2: [("text", "d"), ("text", "e")], 3: [], 4: []}

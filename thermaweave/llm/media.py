@@ -222,3 +222,8 @@ def interleave(docs: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(doc_columns(table(spark, sf_dir, "documents")))
+
+
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all pages as they are given, a row an item: page_id, position, kind, text, digest, caption."""
+    return sequences(table(spark, sf_dir, "pages")).select("page_id", F.inline("items"))

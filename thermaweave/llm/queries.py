@@ -20,6 +20,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_decoded": warc.op7,
     "op7_warc_serialised": warc.op7_serialised,
     "op8_media_columns": media.op8,
+    "op8_page_items": media.page_items,
     "op9_jaccard_join": jaccard.op9,
     "op10_quality_classifier": classifier.op10,
     "op11_fill_in_middle": middles.op11,
