@@ -372,34 +372,39 @@ def _(spark, d):
 
 
 _MONTHLY = "SELECT lat_idx, lon_idx, year(time) AS year, avg(v * 0.1) AS v FROM monthly WHERE month(time) IN (7, 8, 9) AND year(time) BETWEEN 1991 AND 2020 GROUP BY ALL"
-_SLOPE = "SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM ({}) GROUP BY ALL"
+_SLOPE = "SELECT lat_idx, lon_idx, CASE WHEN slope = 0 THEN 0.0::DOUBLE ELSE slope END AS slope FROM (SELECT lat_idx, lon_idx, round(regr_slope(v, year) * 10, 4) AS slope FROM ({}) GROUP BY ALL)"
+
+
+def _without_sign_of_zero(df, *columns):
+    """A slope that rounds to zero is 0, whichever side of it the sums left it on."""
+    return df.withColumns({c: F.when(F.round(c, 4) == 0, 0.0).otherwise(F.col(c)) for c in columns})
 _SH_YEARS = f"SELECT lat_idx, lon_idx, year(time) AS year, avg({_SH}) AS v FROM humid_daily WHERE month(time) IN (7, 8, 9) AND year(time) BETWEEN 1994 AND 2023 GROUP BY ALL"
 _SST_YEARS = "SELECT lat_idx, lon_idx, year(time) AS year, avg(v) AS v FROM ocean WHERE month(time) IN (7, 8, 9) AND year(time) BETWEEN 1994 AND 2023 GROUP BY ALL"
 
 
 @_query("sh_trend", _SLOPE.format(_SH_YEARS))
 def _(spark, d):
-    return _humid_run(spark, d)["sh_trend"]
+    return _without_sign_of_zero(_humid_run(spark, d)["sh_trend"], "slope")
 
 
 @_query("evaporation_trend", _SLOPE.format(_MONTHLY))
 def _(spark, d):
     """Monthly evaporation under a long name, picked, renamed and scaled."""
     raw = fx.monthly(spark, d).withColumnRenamed("v", "monthly_mean_evaporation")
-    return _humid_run(spark, d, grids.select_variable(raw, "monthly_mean_evaporation", "v"), 0.1)["evaporation_trend"]
+    return _without_sign_of_zero(_humid_run(spark, d, grids.select_variable(raw, "monthly_mean_evaporation", "v"), 0.1)["evaporation_trend"], "slope")
 
 
 @_query("short_trend", _SLOPE.format(_SST_YEARS.replace("1994 AND 2023", "1996 AND 1999").replace("(7, 8, 9)", "(1, 2)")))
 def _(spark, d):
     """Months and years that leave part of the series out."""
-    return trends.seasonal_trend(fx.ocean(spark, d), (1, 2), (1996, 1999))
+    return _without_sign_of_zero(trends.seasonal_trend(fx.ocean(spark, d), (1, 2), (1996, 1999)), "slope")
 
 
 @_query("trend_fields", f"""SELECT * FROM (SELECT lat_idx, lon_idx, slope AS sst_trend FROM ({_SLOPE.format(_SST_YEARS)})) FULL JOIN (SELECT lat_idx, lon_idx, slope AS evaporation_trend FROM ({_SLOPE.format(_MONTHLY)})) USING (lat_idx, lon_idx)
 FULL JOIN (SELECT lat_idx, lon_idx, slope AS sh_trend FROM ({_SLOPE.format(_SH_YEARS)})) USING (lat_idx, lon_idx)""")
 def _(spark, d):
     """The three trends as one table, a row a cell."""
-    return _humid_run(spark, d, fx.monthly(spark, d), 0.1, fx.ocean(spark, d))["trend_fields"]
+    return _without_sign_of_zero(_humid_run(spark, d, fx.monthly(spark, d), 0.1, fx.ocean(spark, d))["trend_fields"], "sst_trend", "evaporation_trend", "sh_trend")
 
 
 @_query("return_level", f"""SELECT name, threshold, round(p, 4) AS p, round(CASE WHEN p > 0 THEN 1 / p ELSE 'Infinity'::DOUBLE END, 4) AS period FROM (
