@@ -81,6 +81,41 @@ def test_files_read_back(spark, tmp_path):
         assert text[2] == ("long words stand here é %s " % ("©" if every else "&copy;") * 60_000).strip()
 
 
+def test_headers_dates_and_ids_of_the_response(spark, tmp_path):
+    block = "HTTP/1.1 200 OK\r\nContent-Type: application/xhtml+xml;\r\n charset=utf-8 \r\nX-A: b: c\r\nnot a field\r\nServer: $1 \\ s\r\n\r\n"
+    day = "2024-02-29T23:30:00-01:00"
+    rows = [
+        (1, "http://u", "<title>t</title>x", block, day, "<urn:uuid:one>", "p"), (2, "http://u", "y", "etag: 1", "no day", "<urn:uuid:one>", "p"), (3, None, None, None, None, None, None),
+        (4, "http://u", "z", "", day, None, "p"), (4, "http://u", "z", "", day, None, "p"), (4, "http://u", "z", "", "2024-03-02 00:00:00Z", None, "p"), (None, "", "", "\r\n", "", "", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, head string, day string, rid string, source_type string")
+    for every in (False, True):
+        records = warc.derive(pages, every, headers="head", date="day", source_id="rid")
+        found = records.collect()
+        assert len(found) == 14 and records.columns[-2:] == ["source_headers", "created"]
+        meta = {r.page_id: r for r in found if r.record_type == "metadata" and r.page_id != 4}
+        fields = ["Content-Type: application/xhtml+xml; charset=utf-8 ", "X-A: b: c", "Server: $1 \\ s"]
+        assert meta[1].source_type == "application/xhtml+xml; charset=utf-8" and meta[1].source_headers == "\r\n".join(fields)
+        assert meta[1].block == "title: t\r\nlanguage: \r\nlinks: 0\r\n" + "".join(f"source-{f}\r\n" for f in fields)
+        assert meta[1].created == "2024-03-01T00:30:00Z" and meta[2].created is None and meta[3].created is None
+        assert meta[1].refers_to == meta[2].refers_to == "<urn:uuid:one>" and meta[1].record_id != meta[2].record_id
+        assert meta[2].source_type == meta[3].source_type == meta[None].source_type == "text/html" and meta[2].block.endswith("source-etag: 1\r\n")
+        assert meta[3].source_headers is None and meta[3].refers_to.startswith("<urn:uuid:") and meta[None].refers_to.startswith("<urn:uuid:")
+        assert len({r.record_id for r in found}) == 12  # two rows are equal
+        assert len({r.refers_to for r in found if r.page_id == 4}) == 2
+        path = tmp_path / f"h{every}"
+        warc.write(records, str(path))
+        written = [h for p in sorted(path.glob("part-*")) for h, _ in read_records(p.read_bytes())]
+        assert sorted(h["WARC-Record-ID"] for h in written) == sorted({r.record_id for r in found})
+        assert {h["WARC-Date"] for h in written} == {"2024-03-01T00:30:00Z", "2024-03-02T00:00:00Z", warc.CREATED}
+        assert {h["X-Source-Content-Type"] for h in written} == {"text/html", "application/xhtml+xml; charset=utf-8"}
+        plain = warc.derive(pages, every)
+        assert plain.columns == records.columns[:-2] and {r.source_type for r in plain.collect()} == {"text/html"}
+        assert warc.derive(pages.limit(0), every, "head", "day", "rid").count() == 0
+    stamped = pages.withColumn("day", pages.day.try_cast("timestamp"))
+    assert {r.created for r in warc.derive(stamped, date="day").collect()} == {"2024-03-01T00:30:00Z", "2024-03-02T00:00:00Z", None}
+
+
 def test_sql_decodes_what_the_query_decodes(spark):
     from html.entities import html5
 

@@ -32,6 +32,8 @@ STEPS = (
     (r"<[!/a-zA-Z][^>]*>", ""),
 )
 SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"))
+#: A header's line; a line that begins with a blank goes on with the one before.
+FIELD, FOLDED, MEDIA_TYPE = r"(?m)^([!#$%&'*+.^_`|~0-9A-Za-z-]+:[^\r\n]*)", r"\r?\n[ \t]+", r"(?im)^content-type:[ \t]*([^\r\n]*?)[ \t]*$"
 TITLE, LANGUAGE, LINK = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", r"(?i)<html(?:\s[^>]*)?\slang=[\"']?([a-zA-Z-]*)", r"(?i)<a\s[^>]*href"
 
 
@@ -84,7 +86,17 @@ def record_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
-def derive(pages: DataFrame, all_references: bool = True) -> DataFrame:
+def header_fields(headers: Column) -> Column:
+    """The lines of a block of HTTP headers that are fields, unfolded, in order, joined by line ends; null if null."""
+    return F.array_join(F.regexp_extract_all(F.regexp_replace(headers, FOLDED, " "), F.lit(FIELD), 1), "\r\n")
+
+
+def warc_date(c: Column) -> Column:
+    """A time, or text that reads as one, in the form of WARC-Date, in UTC; null if it is none."""
+    return F.date_format(F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def derive(pages: DataFrame, all_references: bool = True, headers: str | None = None, date: str | None = None, source_id: str | None = None) -> DataFrame:
     """Two rows per row of pages (page_id, url, html): page_id, record_type, record_id, refers_to, target_uri,
     source_type, source_length, source_digest, block_type, block_length, block_digest, block.
 
@@ -92,10 +104,30 @@ def derive(pages: DataFrame, all_references: bool = True) -> DataFrame:
     target. Ids and digests follow content, so repeated rows give equal records. Text of any length is converted whole;
     other columns are not read; an empty table gives no rows. Titles and texts have all character references decoded,
     named and numeric, closed or not, as HTML has it; without all_references only those of REFERENCES, without Python.
+
+    headers, date, source_id: names of columns of pages that hold more of the response. headers is its block of HTTP
+    headers: the media type that it names is source_type, its fields are the column source_headers and, as `source-...`,
+    fields of the metadata record; null, or no media type: text/html. date is the time of capture (a timestamp, or text
+    that reads as one): the column created, which WARC-Date takes; null, or no time: null. source_id is the response's own
+    record id, which refers_to keeps as it is; null or empty: the id that follows from page_id, url, digest and the columns named.
+    Records of different responses have different ids, whatever of these they share.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select(F.col("page_id"), F.col("url").alias("target_uri"), html.alias("html")).withColumns({"source_digest": F.concat(F.lit("sha256:"), F.sha2("html", 256)), "source_length": F.octet_length("html").cast("long")})
-    base = base.withColumn("refers_to", record_id("response", F.col("page_id"), F.col("target_uri"), F.col("source_digest")))
+    more = {}
+    if headers:
+        found = F.trim(F.regexp_extract(F.regexp_replace(F.col(headers), FOLDED, " "), MEDIA_TYPE, 1))
+        more |= {"source_type": F.coalesce(F.nullif(found, F.lit("")), F.lit("text/html")), "source_headers": header_fields(F.col(headers))}
+    if date:
+        more["created"] = warc_date(F.col(date))
+    if source_id:
+        more["own_id"] = F.nullif(F.col(source_id).cast("string"), F.lit(""))
+    base = pages.select(F.col("page_id"), F.col("url").alias("target_uri"), html.alias("html"), *[c.alias(k) for k, c in more.items()])
+    base = base.withColumns({"source_digest": F.concat(F.lit("sha256:"), F.sha2("html", 256)), "source_length": F.octet_length("html").cast("long")})
+    base = base.withColumn("refers_to", record_id("response", F.col("page_id"), F.col("target_uri"), F.col("source_digest"), *[F.col(k) for k in ("source_headers", "created") if k in more]))
+    parts = [F.col("refers_to")]
+    if source_id:  # ids of records tell responses apart that have one id by mistake
+        base = base.withColumnRenamed("refers_to", "derived_id").withColumn("refers_to", F.coalesce("own_id", "derived_id"))
+        parts.append(F.col("derived_id"))
     if all_references:
         base = _with_all_references(base)
         title, text, language, links = (F.col(c) for c in ("title", "text", "language", "links"))
@@ -103,11 +135,15 @@ def derive(pages: DataFrame, all_references: bool = True) -> DataFrame:
         title = _spaced(_referred(F.regexp_replace(F.regexp_extract("html", TITLE, 1), r"\s+", " ")))
         text, language, links = plain_text(F.col("html")), F.regexp_extract("html", LANGUAGE, 1), F.regexp_count("html", F.lit(LINK))
     metadata = F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), language, F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\n"))
+    if headers:
+        metadata = F.concat(metadata, F.coalesce(F.regexp_replace("source_headers", r"([^\r\n]+)(?:\r\n)?", "source-$1\r\n"), F.lit("")))
     kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("block_type"), metadata.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("block_type"), text.alias("block")))
     rows = base.withColumn("_r", F.explode(kinds)).select("*", "_r.*")
+    source_type = F.col("source_type") if headers else F.lit("text/html").alias("source_type")
     return rows.select(
-        "page_id", "record_type", F.when(F.col("record_type") == "metadata", record_id("metadata", F.col("refers_to"))).otherwise(record_id("conversion", F.col("refers_to"))).alias("record_id"), "refers_to", "target_uri",
-        F.lit("text/html").alias("source_type"), "source_length", "source_digest", "block_type", F.octet_length("block").cast("long").alias("block_length"), F.concat(F.lit("sha256:"), F.sha2("block", 256)).alias("block_digest"), "block",
+        "page_id", "record_type", F.when(F.col("record_type") == "metadata", record_id("metadata", *parts)).otherwise(record_id("conversion", *parts)).alias("record_id"), "refers_to", "target_uri",
+        source_type, "source_length", "source_digest", "block_type", F.octet_length("block").cast("long").alias("block_length"), F.concat(F.lit("sha256:"), F.sha2("block", 256)).alias("block_digest"), "block",
+        *[c for c in ("source_headers", "created") if c in more],
     )
 
 
@@ -134,8 +170,8 @@ def serialised(records: DataFrame, created: str = CREATED) -> DataFrame:
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Files of consecutive records."""
-    serialised(records).select("record").write.option("lineSep", "\r\n\r\n").text(path)
+    """Files of consecutive records. A record id may stand once, so equal records are written once (they are told by id)."""
+    serialised(records.dropDuplicates(["record_id"])).select("record").write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
