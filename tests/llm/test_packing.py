@@ -90,3 +90,16 @@ def test_a_length_of_many_pieces_is_spread(spark, monkeypatch):
 def test_stage_on_awkward_rows(spark):
     assert sorted(r.doc_id or 0 for r in packing.stage(spark, clashing(docs(spark, AWKWARD)), "").collect() if r.piece == 0) == sorted(i or 0 for i, _ in AWKWARD)
     assert packing.stage(spark, clashing(docs(spark, [])), "").collect() == []
+
+
+def test_configurations_end_with_no_better_column():
+    """Whatever the sizes and demands (equal ones leave ties), no configuration is worth more than a sequence at the end."""
+    rng = np.random.default_rng(11)
+    kinds = [rng.integers(193, 2048, 64), rng.integers(193, 420, 64), np.arange(200, 1480, 20), np.array([341, 512, 682, 683, 1023, 1024]), np.array([1024])]
+    for sizes in kinds:
+        sizes = sorted(set(sizes.tolist()))
+        for demand in (np.full(len(sizes), 12.0), rng.integers(1, 9, len(sizes)).astype(float), rng.integers(1, 10**10, len(sizes)).astype(float)):
+            base, amounts = packing.configurations(sizes, demand, 2048)
+            assert np.allclose(base @ amounts, demand, rtol=1e-6) and (np.array(sizes) @ base <= 2048).all()
+            worth = np.ones(len(sizes)) @ np.linalg.inv(base)
+            assert packing._best_configuration(sizes, worth, 2048)[0] <= 1 + 1e-6

@@ -79,25 +79,31 @@ def _best_configuration(sizes: list[int], worth: np.ndarray, room: int) -> tuple
     return float(use @ worth), use
 
 
-def configurations(sizes: list[int], demand: np.ndarray, room: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def configurations(sizes: list[int], demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and amounts of a solution of: least sum of amounts with columns @ amounts = demand.
 
-    After `most` columns the solution so far is taken: it meets the demand, with perhaps more sequences than the least."""
-    base = np.diag([float(room // s) for s in sizes])
-    amounts = demand / np.diag(base)
-    for _ in range(most):
+    Columns are added until none is worth more than a sequence. Columns that change no amount may lead in a circle:
+    where a set of columns comes back, the demands are told apart by amounts far below a piece, which leaves no ties."""
+    base, asked = np.diag([float(room // s) for s in sizes]), demand
+    seen: set[bytes] = set()
+    while True:
         inverse = np.linalg.inv(base)
-        amounts = inverse @ demand
         value, column = _best_configuration(sizes, np.ones(len(sizes)) @ inverse, room)
         if value <= 1 + 1e-7:
             break
+        mark = np.sort(base.T.copy().view([("", base.dtype)] * len(sizes)).ravel()).tobytes()
+        if mark in seen:
+            if asked is not demand:
+                break  # not even these lead on: rounding errors are all that is left to gain
+            asked, seen = demand * (1 + 1e-9 * np.sqrt(np.arange(1.0, len(sizes) + 1))), set()
+        seen.add(mark)
         step = inverse @ column
-        ratio = np.where(step > 1e-9, np.maximum(amounts, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        ratio = np.where(step > 1e-9, np.maximum(inverse @ asked, 0) / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         base[:, out] = column
-    return base, np.maximum(amounts, 0)
+    return base, np.maximum(np.linalg.inv(base) @ demand, 0)
 
 
 class _Bins:
