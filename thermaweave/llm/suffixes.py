@@ -263,7 +263,8 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
     # One member of each class: in the text with the smallest key the first place.
     member = F.min(F.struct(*KEY, "first", "anchor", "width", "span")).alias("k")
     classes = stored(again.groupBy("gram_hash", "class_hash").agg(F.sum("copies").alias("members"), member).select("gram_hash", "class_hash", "members", "k.*"), "classes")
-    places = classes.join(classes.groupBy("gram_hash").agg(F.count("*").alias("classes")).where("classes > 1"), "gram_hash")
+    counts = stored(classes.groupBy("gram_hash").agg(F.count("*").alias("classes")).where("classes > 1"), "anchor-classes")
+    places = classes.join(counts.hint("merge"), "gram_hash")
     fields = ("gram_hash", "class_hash", "classes", "span", "anchor", "first", "width")
     by_doc = places.groupBy(*KEY).agg(F.collect_list(F.struct(*fields)).alias("places"))
     same = " AND ".join(f"a.{c} <=> b.{c}" for c in KEY)
@@ -286,6 +287,7 @@ def repeated_spans(docs: DataFrame, levels: tuple[tuple[int, int], ...]) -> Data
                 yield batch({k: (v, pa.binary() if k == "context" else pa.int64()) for k, v in zip(CONTEXT, cols, strict=True)})
 
     contexts = stored(joined.mapInArrow(cut, CONTEXT_SCHEMA), "contexts")
+    forget(counts)
     few, many = [contexts.where(F.col("classes") <= MOST_CLASSES)], contexts.where(F.col("classes") > MOST_CLASSES)
     whole, held = [], []
     while not many.isEmpty():  # offsets become fewer each time, so a few times at most
