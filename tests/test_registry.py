@@ -31,6 +31,25 @@ def test_query(spark, tables, name):
     assert rows(ours.columns, ours.collect()) == rows(theirs.columns, theirs.fetchall())
 
 
+def test_first_day_with_inner_land_cells(spark, tmp_path):
+    """All 25 cells have values on the first day, so nine land cells have all their neighbours and no pair; every cell has a hot week."""
+    con = duckdb.connect()
+    for t in "customer supplier orders lineitem".split():
+        con.sql(f"CREATE TABLE {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    con.sql("UPDATE customer SET c_nationkey = c_custkey % 25")
+    con.sql("INSERT INTO supplier SELECT t.* REPLACE (1000 + n AS s_suppkey, n AS s_nationkey) FROM (SELECT * FROM supplier LIMIT 1) t, (SELECT unnest(range(25)) AS n)")
+    con.sql("INSERT INTO orders SELECT t.* REPLACE (c AS o_custkey, (SELECT min(o_orderdate) FROM orders) AS o_orderdate) FROM (SELECT * FROM orders LIMIT 1) t, (SELECT unnest(range(1, 26)) AS c)")
+    con.sql("INSERT INTO orders SELECT t.* REPLACE (c AS o_custkey, DATE '1995-06-01' + (d + 366 * y)::INT AS o_orderdate, 1e6 * (y + 1) AS o_totalprice) FROM (SELECT * FROM orders LIMIT 1) t, (SELECT unnest(range(1, 26)) AS c), (SELECT unnest(range(9)) AS d), (SELECT unnest(range(2)) AS y)")
+    con.sql("INSERT INTO lineitem SELECT t.* REPLACE (1000 + n AS l_suppkey, (SELECT min(l_shipdate) FROM lineitem) AS l_shipdate) FROM (SELECT * FROM lineitem LIMIT 1) t, (SELECT unnest(range(25)) AS n)")
+    for t in "customer supplier orders lineitem".split():
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    ours, theirs = registry.queries()["observational_first_day"](spark, str(tmp_path)), con.sql(registry.oracle_sql()["observational_first_day"])
+    found = ours.collect()
+    assert rows(ours.columns, found) == rows(theirs.columns, theirs.fetchall())
+    inner = con.sql(f"SELECT count(*) FROM ({registry.oracle_sql()['land_events']}) WHERE lat_idx BETWEEN 1 AND 3 AND lon_idx BETWEEN 1 AND 3").fetchall()[0][0]
+    assert {r["class"]: r.n_events for r in found}["unpaired"] == inner > 0
+
+
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
 

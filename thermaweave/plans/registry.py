@@ -779,12 +779,14 @@ _FIRST_PAIRS = f"""(SELECT land_lat_idx, land_lon_idx, ocean_lat_idx, ocean_lon_
   SELECT *, row_number() OVER (PARTITION BY land_lat_idx, land_lon_idx ORDER BY dist, ocean_lat_idx, ocean_lon_idx) AS k FROM (
     SELECT l.lat_idx AS land_lat_idx, l.lon_idx AS land_lon_idx, o.lat_idx AS ocean_lat_idx, o.lon_idx AS ocean_lon_idx,
       sqrt((l.lat - o.lat) ** 2 + (l.lon * cos(radians(l.lat)) - (CASE WHEN o.lon > 180 THEN o.lon - 360 ELSE o.lon END) * cos(radians(o.lat))) ** 2) AS dist
-    FROM {_FIRST_DAY.format(t="land")} l CROSS JOIN {_FIRST_DAY.format(t="ocean")} o) WHERE dist <= 0.5) WHERE k = 1)"""
+    FROM {_FIRST_DAY.format(t="land")} l JOIN ({_EDGE.format(t=_FIRST_DAY.format(t="land"), near=_CROSS, k=4)}) b ON l.lat_idx = b.lat_idx AND l.lon_idx = b.lon_idx
+    CROSS JOIN {_FIRST_DAY.format(t="ocean")} o) WHERE dist <= 0.5) WHERE k = 1)"""
 
 
 @_query("observational_first_day", _CLASSES.format(pairs=_FIRST_PAIRS))
 def _(spark, d):
-    """The job's classes with its default mask: cells count as land or sea by their values on the first day."""
+    """The job's classes with its default mask and coast: cells count as land or sea by their values on the first day,
+    and only land cells that lack one of their four neighbours then have a pair."""
     return _observed(spark, d, "first", True)["classes"].groupBy("class").agg(F.count("*").alias("n_events"), F.sum("duration").alias("n_days"))
 
 
