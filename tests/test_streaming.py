@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from thermaweave.streaming import events as stream
@@ -137,3 +138,64 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
         clock.rename(tmp_path / "clock" / clock.name)
     stream.run_to_end(timed(spark, tmp_path), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert written(spark, tmp_path, found.schema) == [(0, 0, 4), (1, 38, 42)]
+
+
+class Held:
+    """A key's state and timers; each call counts."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls, self.watermark = [], set(), 0, 0
+
+    def getListState(self, name, kind):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+def test_a_key_has_one_timer_however_many_runs():
+    held, closing = Held(), stream._Closing(3, 1, ("user_id",))
+    closing.init(held)
+    days = [d for k in range(0, 200, 10) for d in (k, k + 1, k + 3)]
+    assert list(closing.handleInputRows((7,), iter([Row(user_id=7, day_number=d) for d in days]), held)) == []
+    assert len(held.rows) == 20 and held.timers == {6 * stream.DAY_MS} and held.calls == 3
+    # The run that the timer is for grows meanwhile: nothing is closed before its new end.
+    assert list(closing.handleInputRows((7,), iter([Row(user_id=7, day_number=5)]), held)) == [] and held.timers == {6 * stream.DAY_MS}
+    got = []
+    for day in (6, 8, 100, 400):
+        held.watermark, before = day * stream.DAY_MS, held.calls
+        while held.timers and min(held.timers) <= held.watermark:
+            at = min(held.timers)
+            got.append([tuple(r) for r in closing.handleExpiredTimer((7,), held, held)])
+            held.timers.discard(at)
+        assert held.calls - before <= 3
+    assert [len(g) for g in got] == [0, 1, 9, 10] and held.rows == []
+    assert sum(got, []) == [(7, 0, 5), *((7, k, k + 3) for k in range(10, 200, 10))]
+
+
+def test_keys_are_kept_to_the_last_digit_beside_one_without(spark, tmp_path):
+    big = 2**53 + 1
+    days = [(k, dt.date(2000, 1, 1) + dt.timedelta(days=t)) for k in (big, big + 2, None) for t in range(3)]
+    spark.createDataFrame(days, "user_id long, time date").coalesce(1).write.parquet(str(tmp_path / "days"))
+    stream.close_series(spark, str(tmp_path / "clock"), "2000-01-03", 30)
+    found = stream.timed_events(spark.readStream.schema("user_id long, time date").parquet(str(tmp_path / "days")), 3, 1, ("user_id",), clock=spark.readStream.schema("time date").parquet(str(tmp_path / "clock")))
+    stream.run_to_end(found, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = stream.read_batches(spark, str(tmp_path / "out"), found.schema).collect()
+    assert sorted(((r.user_id, r.duration) for r in got), key=repr) == [(big, 3), (big + 2, 3), (None, 3)]

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -85,7 +85,11 @@ def flush_rows(cells: DataFrame, schema: StructType) -> DataFrame:
 
 
 class _Closing(StatefulProcessor):
-    """Open runs of a key, (first, last) as days since 1970. A timer closes each when no row can reach it any more."""
+    """Open runs of a key, (first, last) as days since 1970. A timer closes those that no row can reach any more.
+
+    A key has a timer at the end of its earliest run only: each firing closes all runs that the watermark has passed and
+    sets the next timer. Rows, not data frames, go in and out, as a key has few of them.
+    """
 
     def __init__(self, min_duration: int, max_gap: int, keys: Sequence[str]):
         self.min_duration, self.max_gap, self.keys = min_duration, max_gap, list(keys)
@@ -94,34 +98,40 @@ class _Closing(StatefulProcessor):
         self.handle = handle
         self.runs = handle.getListState("runs", StructType([StructField("first", LongType()), StructField("last", LongType())]))
 
-    def _end(self, last: int) -> int:
+    def _end(self, run: tuple[int, int]) -> int:
         """When the first day begins that can't be bridged."""
-        return (last + self.max_gap + 2) * DAY_MS
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        days = pd.concat([r["day_number"] for r in rows]).dropna().astype("int64").unique().tolist()
-        if days:
-            merged: list[list[int]] = []
-            for first, last in sorted([*((int(a), int(z)) for a, z in self.runs.get()), *((d, d) for d in days)]):
-                if merged and first - merged[-1][1] <= self.max_gap + 1:
-                    merged[-1][1] = max(merged[-1][1], last)
-                else:
-                    merged.append([first, last])
-            self.runs.put([tuple(r) for r in merged])
-            for _, last in merged:
-                self.handle.registerTimer(self._end(last))
-        yield pd.DataFrame({c: [] for c in (*self.keys, "first", "last")})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        return (run[1] + self.max_gap + 2) * DAY_MS
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        days = {r.day_number for r in rows} - {None}
+        if not days:
+            return
+        held = [(int(a), int(z)) for a, z in self.runs.get()]
+        merged: list[tuple[int, int]] = []
+        for first, last in sorted([*held, *((d, d) for d in days)]):
+            if merged and first - merged[-1][1] <= self.max_gap + 1:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], last))
+            else:
+                merged.append((first, last))
+        if merged != held:
+            self.runs.put(merged)
+        ends = self._end(merged[0])
+        if not held or ends < self._end(held[0]):  # else a timer is there, at this time or before it
+            self.handle.registerTimer(ends)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         runs = [(int(a), int(z)) for a, z in self.runs.get()]
-        held = [r for r in runs if self._end(r[1]) > now]  # a run that has grown since has a later timer
-        if held:
-            self.runs.put(held)
-        else:
+        held = [r for r in runs if self._end(r) > now]
+        if not held:
             self.runs.clear()
-        out = [(*key, *r) for r in runs if self._end(r[1]) <= now and r[1] - r[0] + 1 >= self.min_duration]
-        yield pd.DataFrame(out, columns=[*self.keys, "first", "last"])
+        elif len(held) < len(runs):
+            self.runs.put(held)
+        if held:
+            self.handle.registerTimer(self._end(held[0]))
+        event = Row(*self.keys, "first", "last")
+        yield from (event(*key, *r) for r in runs if self._end(r) <= now and r[1] - r[0] + 1 >= self.min_duration)
 
     def close(self) -> None:
         pass
@@ -144,7 +154,7 @@ def timed_events(exceeding: DataFrame, min_duration: int = 5, max_gap: int = 2,
         rows = rows.unionByName(ticks)
     schema = StructType([*(StructField(f.name, f.dataType) for f in rows.select(*keys).schema), StructField("first", LongType()), StructField("last", LongType())])
     grouped = rows.withWatermark("seen_at", late).groupBy(*keys)
-    found = grouped.transformWithStateInPandas(statefulProcessor=_Closing(min_duration, max_gap, keys), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    found = grouped.transformWithState(statefulProcessor=_Closing(min_duration, max_gap, keys), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
     return found.select(*keys, day("first").alias("event_start"), day("last").alias("event_end"), (F.col("last") - F.col("first") + 1).cast("int").alias("duration"))
 
